@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from segjobs.llm import packing, quality_rules, token_ids
+from segjobs.llm import packing, quality_rules, resampling, secrets, token_ids
 
-MODULES = (token_ids, packing, quality_rules)
+MODULES = (token_ids, resampling, packing, secrets, quality_rules)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
