@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from segjobs.llm import minhash, packing, quality_rules, resampling, secrets, token_ids
+from segjobs.llm import decontamination, minhash, packing, quality_rules, resampling, secrets, token_ids
 
-MODULES = (token_ids, resampling, packing, secrets, quality_rules, minhash)
+MODULES = (token_ids, resampling, packing, decontamination, secrets, quality_rules, minhash)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
