@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from segjobs.llm import chat_format, decontamination, minhash, packing, quality_rules, resampling, secrets, token_ids, url_filter
+from segjobs.llm import chat_format, decontamination, minhash, packing, quality_rules, resampling, secrets, surrogates, token_ids, url_filter
 
-MODULES = (token_ids, chat_format, resampling, packing, decontamination, secrets, url_filter, quality_rules, minhash)
+MODULES = (token_ids, chat_format, resampling, packing, decontamination, secrets, url_filter, quality_rules, minhash, surrogates)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
