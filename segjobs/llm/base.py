@@ -1,40 +1,16 @@
-"""What the text operators share: the shared folder, word rules and small column helpers."""
+"""What the text operators share: the shared folder and hashes of words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-
-#: ASCII white space; ``bytes.split()`` splits on exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which every machine of the cluster sees.
+from segjobs.functions.shared import shared_folder, stored, table
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="segjobs-")
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/segjobs-{uuid.uuid4().hex}"
+__all__ = ["WORD", "mixed", "run_hashes", "shared_folder", "stored", "table", "word_hashes"]
 
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read again: its lineage ends there."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: ASCII white space; ``bytes.split()`` splits on exactly these.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segjobs.functions.graph import components
 from segjobs.llm import base
-from segjobs.llm.components import components
 from segjobs.llm.tokens import groups, segment_hashes
 
 COORDINATES = 64
