@@ -7,9 +7,11 @@ about 1e-8 at the threshold itself. By the pigeonhole such nodes also share one
 skipped, and a candidate's collisions in them are counted on the signatures. Pairs with enough collisions are
 confirmed on their full sets.
 
-No list is expanded into all its pairs. First each list links its members with one leader. Only lists whose members
-still have different leaders are looked at again, in blocks of members, for pairs between those leaders' groups; pairs inside
-a group are joined already.
+No long list is expanded into all its pairs. First each list links its members with one leader, the member that shares
+most values with others, and links give components. Pairs within a component are joined already, so only lists
+with several are looked at again: those of up to ``SHORT`` members pair by pair, longer ones together as groups (lists
+that overlap are one group), whose members are compared on their full sets in blocks of ``BLOCK``. Blocks
+of one component, and of sizes too far apart for the similarity, are left out, and a task returns only links that join.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from segjobs.llm import base
 from segjobs.llm.tokens import groups, segment_hashes
 
 COORDINATES = 64
+SHORT = 32
 BLOCK = 128
 CHUNK = 256
 #: Node ids up to this number are broadcast (16 bytes each); beyond it they are joined by a shuffle.
@@ -97,68 +100,121 @@ def enough(similarity: tuple[int, int], common: int, a: int, b: int) -> bool:
     return den * common >= num * (a + b - common)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts: node, text.
+def shingled(texts: DataFrame, words: int) -> DataFrame:
+    """node and set (its shingles' hashes, as binary) of rows (node, text) whose text has that node's set."""
 
-    Each a's set meets those of its partners, at most about CHUNK of them in one group: a's text goes along once a group.
+    def rows(batches):
+        for batch in batches:
+            nodes, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, j in groups(text):
+                sets = shingle_sets(text[i:j], words)
+                good = [(k, s.tobytes()) for k, s in zip(nodes[i:j], sets, strict=True) if node_of(s) == k]  # else another row's text under the same doc_id
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.binary())], ["node", "set"])
+
+    return texts.mapInArrow(rows, "node bigint, set binary").dropDuplicates(["node"])
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; sets: node, set.
+
+    Each a's set meets those of its partners, about CHUNK of them in one group: it goes along once a group.
     """
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
-    head = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("node")).select("a", "chunk", F.lit(0).alias("role"), "node", "text")
-    rest = dealt.join(texts, F.col("b") == F.col("node")).select("a", "chunk", F.lit(1).alias("role"), "node", "text")
+    head = dealt.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("node")).select("a", "chunk", F.lit(0).alias("role"), "node", "set")
+    rest = dealt.join(sets, F.col("b") == F.col("node")).select("a", "chunk", F.lit(1).alias("role"), "node", "set")
 
     def rows(batches):
-        key, own = None, None
+        key, own = None, np.empty(0, np.uint64)
         for batch in batches:
-            lead, chunk, role, node, text = (batch.column(k).to_pylist() for k in range(5))
-            for i, j in groups(text):
-                found = []
-                for k, s in zip(range(i, j), shingle_sets(text[i:j], words), strict=True):
-                    if not len(s) or node_of(s) != node[k]:  # another row's text under the same doc_id
-                        continue
-                    if role[k] == 0:
-                        key, own = (lead[k], chunk[k]), s
-                    elif key == (lead[k], chunk[k]):
-                        at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                        if enough(similarity, int((own[at] == s).sum()), len(own), len(s)):
-                            found.append((lead[k], node[k]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-    # Not a range or group of unbounded size: rows of a key stream through the task in order.
+            found = []
+            for lead, chunk, role, node, packed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                s = np.frombuffer(packed, np.uint64)
+                if role == 0:
+                    key, own = (lead, chunk), s
+                elif key == (lead, chunk):
+                    at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                    if enough(similarity, int((own[at] == s).sum()), len(own), len(s)):
+                        found.append((lead, node))
+            yield _links(found)
+
+    # Rows of a key stream through the task in order; only its first set is held.
     return head.unionByName(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(rows, "a bigint, b bigint")
 
 
-def similar_in_blocks(lists: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of nodes in one list but with different labels that match in ``least`` coordinates; lists: value, node, label."""
-    sizes = lists.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = lists.join(sizes, "value").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(signatures, "node")
+def joining(members: list[tuple[int, int, int, np.ndarray]], similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between members (side, node, label, set) of different sides and labels that are enough to join what all such links join.
+
+    If all are of one side, every two are compared. Sets are compared as rows of a matrix of their common shingles.
+    """
+    side = np.array([m[0] for m in members])
+    size = np.array([len(m[3]) for m in members])
+    _, which, times = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    row = np.repeat(np.arange(len(members)), size)
+    some = times[which] > 1
+    table = np.zeros((len(members), int(column[-1]) + 1), np.float32)
+    table[row[some], column[which[some]]] = 1
+    common = np.rint(table @ table.T).astype(np.int64)
+    num, den = similarity
+    close = np.triu(den * common >= num * (size[:, None] + size - common), 1)
+    if (side != side[0]).any():
+        close &= side[:, None] != side
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(close).tolist():
+        a, b = find(members[i][2]), find(members[j][2])
+        if a != b:
+            root[a] = b
+            out.append((members[i][1], members[j][1]))
+    return out
 
-    def pairs(members):
-        own, node, label = (np.array([m[k] for m in members], np.int64) for k in range(3))
-        marks = np.array([m[3] for m in members], np.int64)
-        out = []
-        for k in range(len(node)):
-            close = (marks[k + 1 :] == marks[k]).sum(axis=1) >= least
-            for other in np.flatnonzero(close & (label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) | members[k][4])) + k + 1:
-                out.append((min(node[k], node[other]), max(node[k], node[other])))
-        return out
+
+def joined_in_blocks(members: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join different labels within a group; members: grp, node, label, size.
+
+    A block is up to about BLOCK members of one group, alike in size, and of one label if that has many members. Pairs
+    of blocks are dealt to tasks, so a large group is the work of many.
+    """
+    num, den = similarity
+    big = members.groupBy("grp", "label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("grp", "label", F.lit(True).alias("big"))
+    ratio = math.log(den / num)
+    own = members.join(big, ["grp", "label"], "left").withColumns({"of": F.when(F.col("big"), F.col("label")), "bin": F.floor(F.log("size") / ratio)})
+    many = own.groupBy("grp", "of", "bin").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    own = own.join(many.withColumnRenamed("of", "of2").withColumnRenamed("grp", "grp2").withColumnRenamed("bin", "bin2"), (F.col("grp") == F.col("grp2")) & F.col("of").eqNullSafe(F.col("of2")) & (F.col("bin") == F.col("bin2")))
+    own = own.withColumn("block", F.xxhash64("grp", F.coalesce("of", F.lit(0)), F.col("of").isNull(), "bin", F.pmod(F.xxhash64("node"), F.col("parts")))).select("grp", "block", "of", "bin", "node", "label")
+    own = base.stored(own)
+    blocks = own.select("grp", "block", "of", "bin").distinct()
+    other = blocks.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("block", "of", "bin")])
+    pairs = blocks.join(other, "grp").where("block <= block_b AND abs(bin - bin_b) <= 1 AND NOT coalesce(of = of_b, false)")
+    pairs = pairs.select(F.xxhash64("block", "block_b").alias("pair"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
+    dealt = own.join(pairs, "block").join(sets, "node").select("pair", "block", "node", "label", "set")
 
     def rows(batches):
-        key, members = None, []
+        key, held = None, []
         for batch in batches:
             found = []
-            for r in batch.to_pylist():
-                if (r["value"], r["i"], r["j"]) != key:
-                    found += pairs(members)
-                    key, members = (r["value"], r["i"], r["j"]), []
-                members.append((r["own"], r["node"], r["label"], r["signature"], r["i"] == r["j"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-        found = pairs(members)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            for pair, block, node, label, packed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if pair != key:
+                    if len(held) > 1:
+                        found += joining(held, similarity)
+                    key, held = pair, []
+                held.append((block, node, label, np.frombuffer(packed, np.uint64)))
+            yield _links(found)
+        if len(held) > 1:
+            yield _links(joining(held, similarity))
 
-    return dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(rows, "a bigint, b bigint").distinct()
+    return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(rows, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -168,33 +224,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     component_id is the least doc_id reachable over links; kept marks the rows that have it as their own. A null,
     empty or blank text is linked with nothing. Repeated rows have equal results. Very long texts count whole.
     """
-    least = least_matches(similarity[0] / similarity[1])
+    num, den = similarity
+    least = least_matches(num / den)
     rows = base.stored(signed(docs, words))
     full = rows.where(F.col("node").isNotNull())
-    nodes = base.stored(full.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("signature").alias("signature")))
+    nodes = base.stored(full.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")))
     posts = nodes.select("node", F.explode("signature").alias("value"))
     shared = posts.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    by_node = posts.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("rare"))  # COORDINATES at most
-    by_node = by_node.where(F.size("rare") >= least).select("node", F.explode(F.slice("rare", 1, F.size("rare") - F.lit(least - 1))).alias("x"))
-    lists = base.stored(by_node.select("node", F.col("x.value").alias("value")))
-    signatures = base.stored(nodes.select("node", "signature").join(lists.select("node").distinct(), "node", "left_semi"))
+    by_node = posts.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("rare"), F.sum("n").alias("mass"))  # COORDINATES at most
+    by_node = by_node.where(F.size("rare") >= least).select("node", F.size("rare").alias("many"), "mass", F.explode(F.slice("rare", 1, F.size("rare") - F.lit(least - 1))).alias("x"))
+    lists = base.stored(by_node.select("node", F.struct("many", "mass", "node").alias("weight"), F.col("x.value").alias("value")))
+    signatures = base.stored(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "low", "size", "signature"))
+
+    def enough_matches(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sizes allow the similarity and that collide often enough."""
+        mark = lambda x: signatures.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"signature_{x}"))
+        near = pairs.join(mark("a"), "a").join(mark("b"), "b").where(den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b"))
+        return base.stored(near.where(F.size(F.array_intersect("signature_a", "signature_b")) >= least).select("a", "b"))
 
-    heads = lists.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = lists.join(heads, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    mark = lambda x: signatures.select(F.col("node").alias(x), F.col("signature").alias(f"signature_{x}"))
-    stars = base.stored(stars.join(mark("a"), "a").join(mark("b"), "b").where(F.size(F.array_intersect("signature_a", "signature_b")) >= least).select("a", "b"))
+    heads = lists.groupBy("value").agg(F.max("weight").alias("lead"), F.count("*").alias("n")).where("n > 1").select("value", F.col("lead.node").alias("a"))
+    stars = enough_matches(lists.join(heads, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct())
 
-    wanted = signatures.select("node").join(nodes.select("node", "low"), "node")
+    wanted = signatures.select("node", "low")
     if signatures.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = base.stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("low")).select("node", "text"))
-    linked = base.stored(confirmed(stars, texts, words, similarity).distinct())
-
-    label = linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("lead"))
-    labelled = lists.join(label, "node", "left").select("value", "node", F.least("node", "lead").alias("label"))
-    mixed = labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
-    more = base.stored(similar_in_blocks(labelled.join(mixed, "value"), signatures, least).join(stars, ["a", "b"], "left_anti"))
-    links = linked.unionByName(confirmed(more, texts, words, similarity))
+    sets = base.stored(shingled(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("low")).select("node", "text"), words))
+    linked = base.stored(confirmed(stars, sets, similarity))
+
+    label = components(linked)
+    labelled = lists.select("value", "node").join(label, "node", "left").select("value", "node", F.coalesce("root", "node").alias("label"))
+    mixed = labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("value", "n")
+    left = base.stored(labelled.join(mixed, "value"))
+    short = left.where(F.col("n") <= SHORT)
+    pairs = short.select("value", F.col("node").alias("a"), F.col("label").alias("x")).join(short.select("value", F.col("node").alias("b"), F.col("label").alias("y")), "value").where("a < b AND x <> y").select("a", "b").distinct()
+    links = linked.unionByName(confirmed(enough_matches(pairs), sets, similarity))
+    long = left.where(F.col("n") > SHORT)
+    if not long.isEmpty():
+        grp = components(long.select(F.col("value").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("grp"))
+        members = long.select("node", "label").distinct().join(grp, "node").join(signatures.select("node", "size"), "node")
+        links = links.unionByName(joined_in_blocks(base.stored(members), sets, similarity))
 
     roots = components(links)
     lows = roots.join(nodes.select("node", "low"), "node")
