@@ -1,0 +1 @@
+"""Spark jobs for the data side of raster segmentation, and for preparing text corpora."""
