@@ -1,23 +1,22 @@
-"""What the text operators share: the shared folder and hashes of words."""
+"""What the text operators share: the shared folder, checked broadcasts and hashes."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from segjobs.functions.shared import shared_folder, stored, table
 
-__all__ = ["WORD", "mixed", "run_hashes", "shared_folder", "stored", "table", "word_hashes"]
+__all__ = ["mixed", "run_hashes", "shared_folder", "small", "stored", "table"]
 
-#: ASCII white space; ``bytes.split()`` splits on exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a table of a few numbers each that are broadcast; beyond it such a table is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
-def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word (A-Z lower-cased if asked)."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words = (data.lower() if lower else data).split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

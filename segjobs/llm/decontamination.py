@@ -19,8 +19,8 @@ SHINGLE = 5
 SIMILARITY = (80, 100)
 #: At similarity 0.8 fingerprints differ in about 10 of 64 bits (deviation 3); 23 is over four deviations away.
 RADIUS, BLOCKS = 23, 8
-#: Rows of a benchmark's index, or of candidate ids, that are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Items, with all their shingles, that are broadcast; more are joined by a shuffle.
+BROADCAST_ITEMS = 20_000
 
 WORDS = r"array_remove(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), '')"
 
@@ -38,11 +38,6 @@ FINGERPRINT = """aggregate(transform(sequence(0, 63), b -> IF(aggregate(transfor
 COMMON = """aggregate(array_distinct(item_sh), 0L, (a, x) -> a + x.w * least(size(filter(item_sh, y -> y.s = x.s)), size(filter(sh, y -> y.s = x.s))))"""
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id, n_words, item_sh, item_weight and item_fp of the items with a word."""
     out = benchmark.select("item_id", F.expr(WORDS).alias("ws")).where(F.size("ws") > 0).withColumn("sh", F.expr(_shingles("ws")))
@@ -64,7 +59,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         places = F.expr(f"IF(size(hs) < {size}, array(), transform(sequence(0, size(hs) - {size}), i -> {hashed}))")
         own = wanted.where(F.least("n_words", F.lit(SHINGLE)) == size).select("item_id", "n_words", F.expr("transform(ws, x -> xxhash64(x))").alias("hs"))
         own = own.select("item_id", "n_words", F.posexplode(places).alias("item_at", "key"))
-        found = words.select("doc_id", F.size("hs").alias("n"), F.posexplode(places).alias("at", "key")).join(small(own), "key")
+        found = words.select("doc_id", F.size("hs").alias("n"), F.posexplode(places).alias("at", "key")).join(base.small(own), "key")
         marks.append(found.select("doc_id", "item_id", F.expr("greatest(0, least(at - item_at, n - n_words))").alias("start"), "n_words"))
     if not marks:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, similarity_ppm bigint")
@@ -73,7 +68,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         places = places.unionByName(m)
     places = base.stored(places.select("doc_id", "start", "n_words").distinct())
 
-    texts = docs.select("doc_id", "text").join(small(places.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(base.small(places.select("doc_id").distinct()), "doc_id", "left_semi")
     windows = texts.select("doc_id", F.expr(WORDS).alias("ws")).join(places, "doc_id").select("doc_id", "start", "n_words", F.expr("slice(ws, start + 1, n_words)").alias("ws"))
     windows = windows.withColumn("sh", F.expr(_shingles("ws"))).withColumn("fp", F.expr(FINGERPRINT))
     windows = base.stored(windows.select("doc_id", "start", "n_words", "fp", "sh"))
@@ -83,10 +78,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = wanted.select("item_id", "n_words", "item_fp", "item_sh", "item_weight", F.expr(block.format("item_fp")).alias("x")).select("*", F.expr(near).alias("m"))
     index = index.select("item_id", "n_words", "item_fp", F.col("x.b").alias("b"), F.col("x.v").bitwiseXOR(F.col("m")).alias("v"))
     looked = windows.select("doc_id", "start", "n_words", "fp", F.expr(block.format("fp")).alias("x")).select("doc_id", "start", "n_words", "fp", F.col("x.b").alias("b"), F.col("x.v").alias("v"))
-    pairs = looked.join(small(index), ["n_words", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "start", "n_words", "item_id").distinct()
+    pairs = looked.join(base.small(index), ["n_words", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "start", "n_words", "item_id").distinct()
 
     num, den = SIMILARITY
-    sure = pairs.join(windows.select("doc_id", "start", "n_words", "sh"), ["doc_id", "start", "n_words"]).join(small(wanted.select("item_id", "item_sh", "item_weight")), "item_id")
+    sure = pairs.join(windows.select("doc_id", "start", "n_words", "sh"), ["doc_id", "start", "n_words"]).join(base.small(wanted.select("item_id", "item_sh", "item_weight"), BROADCAST_ITEMS), "item_id")
     sure = sure.withColumn("common", F.expr(COMMON)).withColumn("union", F.expr("item_weight + aggregate(sh, 0L, (a, x) -> a + x.w) - common"))
     return sure.where(den * F.col("common") >= num * F.col("union")).groupBy("doc_id", "item_id").agg(F.max(F.floor(F.expr("1000000 * common / union"))).cast("bigint").alias("similarity_ppm"))
 
@@ -94,7 +89,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that have a leak."""
     found = base.stored(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct())
-    return docs.join(small(found), F.col("doc_id") == F.col("leaked_id"), "left_anti")
+    return docs.join(base.small(found), F.col("doc_id") == F.col("leaked_id"), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
