@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = minhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()), 5, (80, 100))
     gone = base.stored(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n_rows")).where("NOT kept OR n_rows > 1").withColumnRenamed("doc_id", "known_id"))
-    marked = docs.join(decontamination.small(gone), F.col("doc_id") == F.col("known_id"), "left")
+    marked = docs.join(base.small(gone), F.col("doc_id") == F.col("known_id"), "left")
     once = marked.where("n_rows IS NULL").select(*docs.columns)
     repeated = marked.where("kept AND n_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
     return once.unionByName(repeated)
