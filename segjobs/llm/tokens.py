@@ -94,7 +94,7 @@ class UnitEncoder:
     vocabularies); otherwise white space only separates. At most about ``keep`` units are remembered.
     """
 
-    def __init__(self, path: str, spaces_count: bool, keep: int = 2_000_000):
+    def __init__(self, path: str, spaces_count: bool, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
