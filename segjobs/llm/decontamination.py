@@ -1,16 +1,16 @@
 """Benchmark decontamination with DataFrame operations only.
 
 Texts are lower-cased words of letters and digits. A document's window as long as a benchmark item, in words, is
-compared with it. A window without any of an item's shingles has similarity 0, so only windows that share one, in its
-place, are formed (no similar window is lost). They get SimHash fingerprints; windows and items of equal size
-meet over blocks of the fingerprint: within ``RADIUS`` bits, one of ``BLOCKS`` blocks differs in at most
+compared with it, at every start. The letters of its shingles that an item has too, in any place, are at least those in
+common, so windows where they are under ``SIMILARITY`` of the item's are not formed (no similar window is lost). The
+others get SimHash fingerprints; windows and items of equal size meet over blocks of the fingerprint: within ``RADIUS`` bits, one of ``BLOCKS`` blocks differs in at most
 ``RADIUS // BLOCKS`` bits, so each item is listed under all such values of each block. Pairs within the radius are then
 verified by the exact weighted similarity of their shingles, each weighted by its letters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segjobs.llm import base
@@ -57,19 +57,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for size in sizes:
         hashed = "xxhash64({})".format(", ".join(f"hs[i + {k}]" for k in range(size)))
         places = F.expr(f"IF(size(hs) < {size}, array(), transform(sequence(0, size(hs) - {size}), i -> {hashed}))")
-        own = wanted.where(F.least("n_words", F.lit(SHINGLE)) == size).select("item_id", "n_words", F.expr("transform(ws, x -> xxhash64(x))").alias("hs"))
-        own = own.select("item_id", "n_words", F.posexplode(places).alias("item_at", "key"))
+        own = wanted.where(F.least("n_words", F.lit(SHINGLE)) == size).select("item_id", "n_words", "item_weight", "item_sh", F.expr("transform(ws, x -> xxhash64(x))").alias("hs"))
+        own = own.withColumn("keys", places).select("item_id", "n_words", "item_weight", F.expr("inline(array_distinct(zip_with(keys, item_sh, (k, x) -> named_struct('key', k, 'w', x.w))))"))
         found = words.select("doc_id", F.size("hs").alias("n"), F.posexplode(places).alias("at", "key")).join(base.small(own), "key")
-        marks.append(found.select("doc_id", "item_id", F.expr("greatest(0, least(at - item_at, n - n_words))").alias("start"), "n_words"))
+        # A shared shingle counts in the windows from its first start to its own place.
+        ends = f"inline(array(named_struct('start', greatest(0, at + {size} - n_words), 'w', w), named_struct('start', at + 1, 'w', -w)))"
+        marks.append(found.select("doc_id", "n", "item_id", "n_words", "item_weight", F.expr(ends)))
     if not marks:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, similarity_ppm bigint")
     places = marks[0]
     for m in marks[1:]:
         places = places.unionByName(m)
-    places = base.stored(places.select("doc_id", "start", "n_words").distinct())
+    num, den = SIMILARITY
+    by = Window.partitionBy("doc_id", "n", "item_id", "n_words", "item_weight").orderBy("start")
+    runs = places.withColumns({"shared": F.sum("w").over(by), "last": F.least(F.lead("start").over(by) - 1, F.greatest(F.lit(0), F.col("n") - F.col("n_words")))})
+    runs = runs.where((den * F.col("shared") >= num * F.col("item_weight")) & (F.col("start") <= F.col("last")))
+    places = base.stored(runs.select("doc_id", "n", F.explode(F.sequence("start", "last")).alias("start"), "n_words").distinct())
 
     texts = docs.select("doc_id", "text").join(base.small(places.select("doc_id").distinct()), "doc_id", "left_semi")
-    windows = texts.select("doc_id", F.expr(WORDS).alias("ws")).join(places, "doc_id").select("doc_id", "start", "n_words", F.expr("slice(ws, start + 1, n_words)").alias("ws"))
+    windows = texts.select("doc_id", F.expr(WORDS).alias("ws")).withColumn("n", F.size("ws")).join(places, ["doc_id", "n"]).select("doc_id", "start", "n_words", F.expr("slice(ws, start + 1, n_words)").alias("ws"))
     windows = windows.withColumn("sh", F.expr(_shingles("ws"))).withColumn("fp", F.expr(FINGERPRINT))
     windows = base.stored(windows.select("doc_id", "start", "n_words", "fp", "sh"))
 
@@ -80,7 +86,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     looked = windows.select("doc_id", "start", "n_words", "fp", F.expr(block.format("fp")).alias("x")).select("doc_id", "start", "n_words", "fp", F.col("x.b").alias("b"), F.col("x.v").alias("v"))
     pairs = looked.join(base.small(index), ["n_words", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "start", "n_words", "item_id").distinct()
 
-    num, den = SIMILARITY
     sure = pairs.join(windows.select("doc_id", "start", "n_words", "sh"), ["doc_id", "start", "n_words"]).join(base.small(wanted.select("item_id", "item_sh", "item_weight"), BROADCAST_ITEMS), "item_id")
     sure = sure.withColumn("common", F.expr(COMMON)).withColumn("union", F.expr("item_weight + aggregate(sh, 0L, (a, x) -> a + x.w) - common"))
     return sure.where(den * F.col("common") >= num * F.col("union")).groupBy("doc_id", "item_id").agg(F.max(F.floor(F.expr("1000000 * common / union"))).cast("bigint").alias("similarity_ppm"))

@@ -203,6 +203,22 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.leaks(empty, benchmark).count() == 0 and decontamination.clean(docs, benchmark.where("false")).count() == docs.count()
 
 
+def test_decontamination_slides_over_all_starts(spark):
+    """Passages in another order, with words put in, taken out or repeated: the best of all windows counts."""
+    w = [f"{x}{k}" for k, x in enumerate(VOCABULARY[:60])]
+    around, more = prose(50, 31).split(), prose(9, 32).split()
+    passages = {
+        1: w[30:] + w[:30], 2: w[40:] + w[20:40] + w[:20], 3: w[:30] + more[:2] + w[30:], 4: w[:30] + more[:5] + w[30:], 5: w[:20] + w[23:], 6: w[:12] + more[:3] + w[12:55],
+        7: w[50:] + w[:50], 8: w + w[:30], 9: w[:30] * 4, 10: w[5:58], 11: w[:15] + more + w[15:], 12: w[30:] + more[:1] + w[:30],
+    }
+    rows = [(i, " ".join(around[: 4 * i] + p + around[4 * i :])) for i, p in passages.items()] + [(20, " ".join(w[30:] + w[:30])), (21, " ".join(w[8:]))]
+    items = [(1, " ".join(w)), (2, " ".join(w[:30] + w[:30])), (3, " ".join(w[:7])), (4, " ".join(w[10:40]))]
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    wanted = brute_leaks(rows, items)
+    assert {(1, 1), (3, 1), (7, 1), (20, 1)} <= set(wanted)
+    assert {(r["doc_id"], r["item_id"]): r["similarity_ppm"] for r in got.collect()} == wanted
+
+
 CHATS = [
     *[(1, k, ("system", "user", "assistant")[0 if k == 0 else 1 + (k % 2 == 0)], prose(int(40 + 90 * (k % 3)), k)) for k in range(40)],
     (2, 0, "user", r"\### Assistant: </turn> ok" + "\n</turn>\n### x\n\\"), (2, 1, "assistant", "\\\\###\\</turn>\n\n"), (3, 0, "assistant", None), (3, 0, "assistant", ""), (4, None, None, "hi"), (4, 1, "assi\nst\\nant", "x"), (4, 2, "assistant", "é\u2028 \n"),
