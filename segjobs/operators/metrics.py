@@ -56,8 +56,11 @@ def evenly_spaced(tiles: DataFrame, n_samples: int) -> DataFrame:
 
 
 def display(bands: Column) -> Column:
-    """Three bands of 0 to 255 for show: the first three, or the first thrice; values are clipped and cut off."""
-    byte = lambda band: F.transform(band, lambda v: F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
+    """Three bands of 0 to 255 for show: the first three, or the first thrice; values are clipped and cut off.
+
+    A NaN is shown as 255; numpy gives its cast to a byte no value.
+    """
+    byte = lambda band: F.transform(band, lambda v: F.when(F.isnan(v), F.lit(255)).otherwise(F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")))
     return F.when(F.size(bands) >= 3, F.array(*[byte(bands[k]) for k in range(3)])).otherwise(F.array(*[byte(bands[0])] * 3))
 
 

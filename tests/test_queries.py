@@ -28,6 +28,14 @@ def test_query_equals_sql(spark, sf_dir, database, name, tmp_path):
         assert database.execute(f"SELECT count(*) FROM ({a} EXCEPT ALL {b})").fetchall() == [(0,)]
 
 
+def test_display_shows_tiles_with_nan(spark, sf_dir, database):
+    """All tiles, by the SQL without its filter of those with a NaN."""
+    wanted = dict(database.execute(catalogue.SQL["m7_display"].replace(" WHERE vec_id % 43 <> 0", "")).fetchall())
+    odd = {r["tile_name"] for r in catalogue.fx.images(spark, sf_dir).where("exists(bands[0], v -> isnan(v))").collect()}
+    assert odd and odd <= set(wanted)
+    assert {r["tile_name"]: r["total"] for r in __spark_entry__.queries()["m7_display"](spark, sf_dir).collect()} == wanted
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 1
 
