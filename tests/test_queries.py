@@ -1,8 +1,10 @@
 """Every registered raster query with SQL has the rows that DuckDB finds."""
 
+import itertools
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -36,6 +38,27 @@ def test_display_shows_tiles_with_nan(spark, sf_dir, database):
     assert {r["tile_name"]: r["total"] for r in __spark_entry__.queries()["m7_display"](spark, sf_dir).collect()} == wanted
 
 
+def test_custom_scorer_scores_padded_tiles(spark, sf_dir):
+    """Every tile of every scene, by brute force: the padding is scaled along with its band and counts as pixels."""
+    scenes, pixels = catalogue.fx.scenes(spark, sf_dir).toPandas(), catalogue.fx.pixels(spark, sf_dir).toPandas()
+    wanted = {}
+    for scene, width, height in scenes[["scene_id", "width", "height"]].itertuples(index=False):
+        own = pixels[pixels["scene_id"] == scene]
+        image = np.full((3, height, width), np.nan)
+        image[:, own["y"], own["x"]] = own[["b1", "b2", "b3"]].to_numpy(float).T
+        for row, col in itertools.product(range(0, height, 8), range(0, width, 8)):
+            read = image[:, row : row + 16, col : col + 16]
+            tile = np.zeros((3, 16, 16))
+            tile[:, : read.shape[1], : read.shape[2]] = read
+            low, high = read.min((1, 2))[:, None, None], read.max((1, 2))[:, None, None]
+            tile = np.where(high > low, (tile - low) / np.where(high > low, high - low, 1), 0)
+            z = np.tensordot([2.0, -1.0, 0.5], tile, 1) - 0.25
+            wanted[scene, col, row] = (1 / (1 + np.exp(-z))).sum() * 1000
+    got = {(r["scene_id"], r["col0"], r["row0"]): r["total"] for r in __spark_entry__.queries()["s2_custom_scorer"](spark, sf_dir).collect()}
+    assert wanted and set(got) == set(wanted)
+    assert all(abs(got[k] - v) <= 0.501 for k, v in wanted.items())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 1
 
