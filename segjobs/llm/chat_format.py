@@ -5,7 +5,8 @@ A turn is ``### role\\n`` + text + ``\\n</turn>\\n``. In texts and roles a backs
 
 Prefix sums of turn tokens cut a conversation into windows: turns whose sums end in one stretch of ``span`` tokens are new in
 one window. A window starts with the conversation's system turn and up to ``HISTORY_TURNS`` turns from before
-it, within ``history`` tokens; both are context. Only texts of new assistant turns are under the loss mask, so each is
+it, within ``history`` tokens and what the system turn and the new turns leave of the budget; both are context. A long
+system turn makes its conversation's spans shorter. Only texts of new assistant turns are under the loss mask, so each is
 a target once. A turn is never cut: a window is over the budget only if a turn is longer than a span.
 """
 
@@ -63,13 +64,18 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     turns = turns.withColumn("tokens", (tokens(F.col("text")) + tokens(F.col("role")) + TURN_TOKENS).cast("long"))
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "tokens")
     turns = turns.withColumns({"at": F.row_number().over(by).cast("long"), "upto": F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0))})
-    turns = turns.withColumn("window", F.floor((F.col("upto") - 1) / span))
-    turns = turns.withColumn("head", F.concat(F.lit(HEAD), role_line(F.col("role")), F.lit("\n"))).withColumn("body", escaped(F.col("text")))
     first = Window.partitionBy("conv_id").orderBy("at")
-    turns = turns.withColumns({"starts": F.col("window") != F.coalesce(F.lag("window").over(first), F.lit(-1)), "system": F.first(F.when((F.col("at") == 1) & (F.col("role") == "system"), F.struct("at", "head", "body", "role", "tokens"))).over(first.rowsBetween(Window.unboundedPreceding, 0))})
+    is_system = (F.col("at") == 1) & (F.col("role") == "system")
+    turns = turns.withColumn("system_tokens", F.first(F.when(is_system, F.col("tokens")).otherwise(0)).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    # New turns of at most a span each are under two spans together, which fit beside the system turn.
+    own_span = F.greatest(F.lit(1), F.least(F.lit(span), F.floor((budget - F.col("system_tokens") + 1) / 2)))
+    turns = turns.withColumn("window", F.floor((F.col("upto") - 1) / own_span))
+    turns = turns.withColumn("room", F.least(F.lit(history), budget - F.col("system_tokens") - F.sum("tokens").over(Window.partitionBy("conv_id", "window"))))
+    turns = turns.withColumn("head", F.concat(F.lit(HEAD), role_line(F.col("role")), F.lit("\n"))).withColumn("body", escaped(F.col("text")))
+    turns = turns.withColumns({"starts": F.col("window") != F.coalesce(F.lag("window").over(first), F.lit(-1)), "system": F.first(F.when(is_system, F.struct("at", "head", "body", "role", "tokens"))).over(first.rowsBetween(Window.unboundedPreceding, 0))})
     # A turn goes to its own window as new, and as history to each window that starts within the next turns.
     later = [
-        F.when(F.coalesce(F.lead("starts", k).over(first), F.lit(False)) & (F.lead(F.col("upto") - F.col("tokens"), k).over(first) - F.col("upto") + F.col("tokens") <= history) & ~((F.col("at") == 1) & (F.col("role") == "system")), F.lead("window", k).over(first))
+        F.when(F.coalesce(F.lead("starts", k).over(first), F.lit(False)) & (F.lead(F.col("upto") - F.col("tokens"), k).over(first) - F.col("upto") + F.col("tokens") <= F.lead("room", k).over(first)) & ~is_system, F.lead("window", k).over(first))
         for k in range(1, history_turns + 1)
     ]
     turns = turns.withColumn("later", F.array_compact(F.array(*later)))

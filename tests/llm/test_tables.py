@@ -243,6 +243,20 @@ def test_chat_windows(spark):
     assert chat_format.windows(chats.where("false")).count() == 0
 
 
+def test_chat_windows_with_a_long_system_turn(spark):
+    r = np.random.default_rng(5)
+    system = {1: 270, 2: 630, 3: 1080}
+    chats = [(c, k, "user" if k % 2 else "assistant", prose(int(r.integers(5, 360 if c == 3 else 680)) if k % 3 else 40, 100 * c + k)) for c in system for k in range(1, 50)]
+    chats += [(c, 0, "system", prose(n, c)) for c, n in system.items()]
+    made = chat_format.windows(spark.createDataFrame(chats, "conv_id bigint, turn bigint, role string, text string")).cache()
+    rows, turns = made.collect(), defaultdict(list)
+    assert all(x["n_tokens"] <= chat_format.BUDGET and x["formatted"].startswith("### system\n") for x in rows)
+    assert all(any(x["n_context"] > 2 for x in rows if x["conv_id"] == c) for c in system)
+    for x in chat_format.read_back(made).orderBy("conv_id", "window").collect():
+        turns[x["conv_id"]] += [t["text"] for t in x["turns"]]
+    assert turns == {c: [t for i, _, _, t in sorted(chats) if i == c] for c in system}
+
+
 URLS = [None, "", "no scheme", "http://Example.ORG/es/1?q=1#x", "https://m.example.org/en/12", "https://example.org/en/2", "http://org/", "http://org", "http://a.com/fr/7", "http://a.com/de/7", "http://notcom/de/", "x://A.b://c/d#e?f", "http://spam-farm.example.net/a/b?x=1&y=2", "http://h?p#q", "http://éX.net/É"]
 
 
