@@ -1,21 +1,32 @@
-"""The folder that all machines of a cluster share, and tables written to it."""
+"""The folder that all machines of a cluster share, tables written to it, and broadcasts of checked size."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
+
+#: A table is broadcast if it has at most so many rows and about so many bytes; else it is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
+
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which every machine of the cluster sees.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Where that setting is absent, a temporary folder takes its place on a single machine (tests); on a cluster, where
+    executors would each write to their own disk, that is an error.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="segjobs-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/segjobs-{uuid.uuid4().hex}"
@@ -25,7 +36,33 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again: its lineage ends there."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from stored() that nothing reads any more."""
+    for df in tables:
+        path = _folders.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows and bytes, else as it is.
+
+    Numbers count 16 bytes each; rows of other types are measured by their JSON. No more than ``rows`` are looked at.
+    """
+    flat = (NumericType, BooleanType, DateType, TimestampType)
+    if all(isinstance(f.dataType, flat) for f in df.schema.fields):
+        width = F.lit(16 * len(df.columns))
+    else:
+        width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
