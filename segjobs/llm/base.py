@@ -3,20 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from segjobs.functions.shared import shared_folder, stored, table
+from segjobs.functions.shared import discard, shared_folder, small, stored, table
 
-__all__ = ["mixed", "run_hashes", "shared_folder", "small", "stored", "table"]
-
-#: Rows of a table of a few numbers each that are broadcast; beyond it such a table is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["discard", "mixed", "run_hashes", "shared_folder", "small", "stored", "table"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -32,8 +32,6 @@ COORDINATES = 64
 SHORT = 32
 BLOCK = 128
 CHUNK = 256
-#: Node ids up to this number are broadcast (16 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -245,9 +243,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     heads = lists.groupBy("value").agg(F.max("weight").alias("lead"), F.count("*").alias("n")).where("n > 1").select("value", F.col("lead.node").alias("a"))
     stars = enough_matches(lists.join(heads, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct())
 
-    wanted = signatures.select("node", "low")
-    if signatures.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = base.small(signatures.select("node", "low"))
     sets = base.stored(shingled(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("low")).select("node", "text"), words))
     linked = base.stored(confirmed(stars, sets, similarity))
 

@@ -2,7 +2,8 @@
 
 A text's bytes are cut where a token of these vocabularies always ends: before a single space or line break
 between two visible characters, after such a break, and between a letter and a following mark. Units are known
-by a 64-bit hash; the library itself encodes every unit that is new, and numpy puts the ids together.
+by a 64-bit hash; the library itself encodes every unit that is new, and numpy puts the ids together. Texts that hold
+the string of an added token (a control string) go to the library whole, which gives it that token's id.
 """
 
 from __future__ import annotations
@@ -92,14 +93,19 @@ class UnitEncoder:
 
     path: a tokenizers JSON file. spaces_count: a word's ids depend on the space before it (byte-level
     vocabularies); otherwise white space only separates. At most about ``keep`` units are remembered.
+    control_as_text: added tokens' strings in texts are ordinary text; the library's default, and ours, is that they
+    are those tokens.
     """
 
-    def __init__(self, path: str, spaces_count: bool, keep: int = 500_000):
+    def __init__(self, path: str, spaces_count: bool, keep: int = 500_000, control_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = control_as_text
         self.spaces_count, self.keep = spaces_count, keep
+        added = () if control_as_text else self.tokenizer.get_added_tokens_decoder().values()
+        #: In lower case, as a vocabulary may match some of them in any case: a text too many goes to the library at worst.
+        self.control = tuple(t.content.lower().encode() for t in added)
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that begin a word (byte-level: those with the space before it) or, without spaces, end one.
         self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -182,13 +188,29 @@ class UnitEncoder:
             self._grown(hashes[part], np.array([x for f in found for x in f], np.uint32), np.array([len(f) for f in found], np.int64))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [(t or "").encode() for t in texts]
+        low = b"\n".join(coded).lower()
+        odd = []
+        if any(c in low for c in self.control):
+            odd = [i for i, c in enumerate(coded) if any(x in c.lower() for x in self.control)]
+        for i in odd:
+            coded[i] = b""
+        flat, size = self._by_units(coded)
+        if odd:
+            parts = np.split(flat, np.cumsum(size)[:-1])
+            for i in odd:
+                parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                size[i] = len(parts[i])
+            flat = np.concatenate(parts)
+        return flat, size
+
+    def _by_units(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.n > self.keep:
             self._forget()
-        coded = [(t or "").encode() for t in texts]
         length = np.array([len(c) for c in coded], np.int64)
         raw = b"".join(coded)
         if not raw:
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+            return np.empty(0, np.uint32), np.zeros(len(coded), np.int64)
         data = np.frombuffer(raw, np.uint8)
         starts = np.cumsum(length) - length
         begin = cuts(data, starts[length > 0])

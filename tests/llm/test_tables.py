@@ -33,6 +33,7 @@ TEXTS = [
     (10, prose(40, 3) + "\n" + LEAK.upper() + "!!\n" + prose(40, 4)), (11, LEAK[:60]), (12, prose(60, 5) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ' + prose(60, 6)),
     (13, prose(60, 7) + " mail Ann.Lee@corp.example.org or +1 (415) 555-2671, card 4111 1111 1111 1111, host 10.20.30.40, Mrs Jane Doe met Mr John Smith and Mrs Smith. ann.lee@corp.example.org"),
     (14, " | ".join(VOCABULARY[:120])), (15, ("same line again and again here now\n") * 30), (None, prose(50, 8)), (16, "x" * 20000), (17, prose(80, 9) + " " + prose(3, 10)), (18, prose(80, 9)),
+    (19, "<|endoftext|>"), (20, "ends here<|endoftext|> and <|startoftext|>starts"),
 ]
 LABELS = [(1, 1, 0), (5, 1, 0), (14, 0, 0), (17, 1, 0), (18, 1, 0), (12, 1, 1), (None, 1, 0)]
 
@@ -57,7 +58,6 @@ def empty(docs):
 def test_token_files(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     token_ids.write(docs, f"file://{tmp_path}/ids", path, partitions=3)
     rows = token_ids.read(spark, f"file://{tmp_path}/ids").orderBy("start").collect()
     wanted = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in TEXTS]
@@ -74,7 +74,6 @@ def test_token_files(spark, docs, empty, tmp_path):
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rows = packing.pack(docs, path, capacity=256).collect()
     wanted = Counter()
     for i, t in TEXTS:

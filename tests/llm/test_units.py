@@ -17,8 +17,6 @@ from segjobs.llm.tokens import UnitEncoder
 ODD = ["", "  a  b ", "a\t b", "a \tb\n\n c", "a\t \tb", "don't it's a'b  'll", "x y  　z", "<|endoftext|> hi <|startoftext|>", "é ́a", "A\nB.\nC. d", "...", "a.\n b", "1234 12a3 a1.", "\n", "a\n", "\x1c a\x85b", "ΣΑΣ ΟΔΟΣ.", '"q" (a) b?!', "a\r\nb", "İstanbul ǅ ﬁ", "a≠b", "x\x00y", "trail "]
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 ENCODERS = {f: (UnitEncoder(public_tokenizers.path(f), spaces), Tokenizer.from_file(public_tokenizers.path(f))) for f, spaces in FILES}
-for _, library in ENCODERS.values():
-    library.encode_special_tokens = True
 
 
 def check_encoding(texts):
@@ -33,6 +31,25 @@ def test_encoding_of_odd_texts():
     check_encoding([*ODD, None, "x" * 5000, "Ab.Cd,ef " * 500])
 
 
+CONTROL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*CONTROL, " ", "\n", ".", "word", " Two,", "é", "<|", "|>"]), max_size=8).map("".join), max_size=5))
+def test_control_strings_are_what_the_library_makes_of_them(texts):
+    check_encoding([*texts, CONTROL[0], CONTROL[0] * 3, "plain text between", f"a {CONTROL[0]} b.\n{CONTROL[1]}"])
+
+
+def test_control_strings_as_text():
+    for f, spaces in FILES:
+        path = public_tokenizers.path(f)
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = True
+        text = "hello <|endoftext|> world<|startoftext|>"
+        flat, size = UnitEncoder(path, spaces, control_as_text=True).encode([text, "x"])
+        assert flat[: size[0]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aB é'.,!\n\t 1|#　 \x1cß—“s") | st.characters(codec="utf-8")), max_size=4))
 def test_encoding_equals_the_library(texts):
