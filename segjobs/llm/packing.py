@@ -120,7 +120,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
 
     docs: doc_id, text (other columns are not read). A null text is an empty one: its end id alone. Repeated rows
     are packed each for itself. An empty table gives no rows. Sequences are gapless from offset 0 and hold at most
-    ``capacity`` ids. The pieces are written once to the shared folder, so ranks stay as they are if tasks rerun.
+    ``capacity`` ids. The pieces are written once to the shared folder, so ranks stay as they are if tasks rerun. The
+    counts by length and task, by which pieces find their ranks, are broadcast below a checked size; beyond it pieces
+    are shuffled to them.
     """
     spark = docs.sparkSession
     cut = base.stored(pieces(docs, tokenizer_path, end_id, capacity, spaces_count))
@@ -134,7 +136,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     fields = [StructField(x, LongType()) for x in ("from_rank", "n", "per", "first_bin", "at")]
     planned = spark.createDataFrame(list(runs.items()), StructType([StructField("length", IntegerType()), StructField("runs", ArrayType(StructType(fields)))]))
     rank = F.col("rank_in_part") + F.col("before")
-    placed = cut.join(before, ["length", "part"]).withColumn("rank", rank).join(F.broadcast(planned), "length")
+    placed = cut.join(base.small(before), ["length", "part"]).withColumn("rank", rank).join(F.broadcast(planned), "length")
     placed = placed.withColumn("run", F.filter("runs", lambda r: (r["from_rank"] <= F.col("rank")) & (F.col("rank") < r["from_rank"] + r["n"]))[0])
     nth = F.col("rank") - F.col("run.from_rank")
     return placed.select(

@@ -1,7 +1,7 @@
 """Token-id files in Simple-8b words, and the query over them.
 
 Format: rows of a Parquet table, ordered by (shard, row). A row holds whole documents: their doc_ids, the number
-of ids of each, and all their ids as 64-bit words. A word's top 4 bits are a selector, which says how many ids of
+of ids of each, how many ids of its shard come before it, and all their ids as 64-bit words. A word's top 4 bits are a selector, which says how many ids of
 how many bits fill the other 60; selector 15 is an escape: the id needs more than 60 bits and is the next of
 ``escapes``. Ids are coded in blocks of BLOCK, each of which begins with a new word (``block_words`` has its
 place), so blocks are coded and decoded side by side and any block can be read alone.
@@ -25,7 +25,8 @@ COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 240, 1])
 BITS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 64])
 ESCAPE = 15
 
-FILE_SCHEMA = "shard int, row int, doc_ids array<bigint>, n_tokens array<bigint>, n_ids bigint, words binary, block_words binary, escapes binary"
+_ROW = "row int, row_start bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_ids bigint, words binary, block_words binary, escapes binary"
+FILE_SCHEMA = "shard int, " + _ROW
 
 
 def widths(ids: np.ndarray) -> np.ndarray:
@@ -114,35 +115,37 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, spac
     ranges = ranges.repartitionByRange(partitions, "doc_id") if partitions else ranges.repartitionByRange("doc_id")
 
     def rows(batches):
-        number = 0
+        number = place = 0
         encode = encoder(tokenizer_path, spaces_count).encode
+        schema = pa.schema([
+            ("row", pa.int32()), ("row_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())),
+            ("n_ids", pa.int64()), ("words", pa.binary()), ("block_words", pa.binary()), ("escapes", pa.binary()),
+        ])
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in groups(texts):
                 flat, size = encode(texts[i:j])
-                ends = np.cumsum(size)
-                flat = np.insert(flat, ends, end_id)
+                flat = np.insert(flat, np.cumsum(size), end_id)
                 words, blocks, escapes = coded(flat)
-                yield pa.RecordBatch.from_pydict(
-                    {"row": [number], "doc_ids": [ids[i:j]], "n_tokens": [(size + 1).tolist()], "n_ids": [len(flat)], "words": [words.astype("<u8").tobytes()], "block_words": [blocks.astype("<u4").tobytes()], "escapes": [escapes.astype("<u8").tobytes()]},
-                    schema=pa.schema([("row", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("words", pa.binary()), ("block_words", pa.binary()), ("escapes", pa.binary())]),
-                )
-                number += 1
+                packed = [words.astype("<u8").tobytes(), blocks.astype("<u4").tobytes(), escapes.astype("<u8").tobytes()]
+                values = [number, place, ids[i:j], (size + 1).tolist(), len(flat), *packed]
+                yield pa.RecordBatch.from_pydict({name: [v] for name, v in zip(schema.names, values, strict=True)}, schema=schema)
+                number, place = number + 1, place + len(flat)
 
-    out = ranges.sortWithinPartitions("doc_id").mapInArrow(rows, "row int, doc_ids array<bigint>, n_tokens array<bigint>, n_ids bigint, words binary, block_words binary, escapes binary")
+    out = ranges.sortWithinPartitions("doc_id").mapInArrow(rows, _ROW)
     out.select(F.spark_partition_id().alias("shard"), "*").write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a file table: doc_id, start (ids before it), n_tokens, ids (little-endian 32-bit, binary).
 
-    A shard's first place is the sum of the ids of the shards before it, from one small row per shard.
+    A shard's first place is the sum of the ids of the shards before it, from one small row per shard; those rows are
+    broadcast below a checked size, so that no coded word is shuffled.
     """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     sums = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    local = files.select("shard", F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("row_start"), "row")
-    placed = files.join(local.join(before, "shard").select("shard", "row", (F.col("shard_start") + F.col("row_start")).alias("start")), ["shard", "row"])
+    placed = files.join(base.small(before), "shard").withColumn("start", F.col("shard_start") + F.col("row_start"))
 
     def rows(batches):
         for batch in batches:
