@@ -2,10 +2,17 @@
 
 Texts are lower-cased words of letters and digits. A document's window as long as a benchmark item, in words, is
 compared with it, at every start. The letters of its shingles that an item has too, in any place, are at least those in
-common, so windows where they are under ``SIMILARITY`` of the item's are not formed (no similar window is lost). The
-others get SimHash fingerprints; windows and items of equal size meet over blocks of the fingerprint: within ``RADIUS`` bits, one of ``BLOCKS`` blocks differs in at most
-``RADIUS // BLOCKS`` bits, so each item is listed under all such values of each block. Pairs within the radius are then
-verified by the exact weighted similarity of their shingles, each weighted by its letters.
+common, so a window where they are under ``SIMILARITY`` of the item's cannot be similar to it: running sums over the
+shared shingles leave such windows out, whatever the order of the passage, and give each other window the items that
+it may be like. Those windows get SimHash fingerprints, and meet these items over blocks of the fingerprint:
+within ``RADIUS`` bits, one of ``BLOCKS`` blocks differs in at most ``RADIUS // BLOCKS`` bits, so each item is listed under
+all such values of each block, and no pair within the radius is missed. As blocks alone would hold a random item for
+likely (at similarity 0.8 a tenth of all bits differ, so their lists are long), they are keyed by item too: a window
+meets a row for each block it agrees on with an item that it may be like, ``BLOCKS`` a pair at most, and none of other items.
+Pairs within the radius are then verified by the exact weighted similarity of their shingles, each weighted by its letters.
+
+An item of fewer than ``SHINGLE`` words is one shingle, and could be found in any text; it is found only in documents
+that have no other words.
 """
 
 from __future__ import annotations
@@ -19,82 +26,118 @@ SHINGLE = 5
 SIMILARITY = (80, 100)
 #: At similarity 0.8 fingerprints differ in about 10 of 64 bits (deviation 3); 23 is over four deviations away.
 RADIUS, BLOCKS = 23, 8
-#: Items, with all their shingles, that are broadcast; more are joined by a shuffle.
-BROADCAST_ITEMS = 20_000
 
 WORDS = r"array_remove(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), '')"
 
 
-def _shingles(words: str, size: str = str(SHINGLE)) -> str:
-    """SQL for the shingles (s: text, w: weight) of an array of words; of fewer words the whole is one."""
-    some = f"slice({words}, i + 1, least({size}, size({words})))"
-    return f"IF(size({words}) = 0, array(), transform(sequence(0, greatest(size({words}) - {size}, 0)), i -> named_struct('s', array_join({some}, ' '), 'w', CAST(length(array_join({some}, '')) AS BIGINT))))"
+def _bound(value: str, name: str, of: str) -> str:
+    """SQL for ``of``, in which ``name`` stands for value, evaluated once."""
+    return f"transform(array({value}), {name} -> {of})[0]"
 
 
-FINGERPRINT = """aggregate(transform(sequence(0, 63), b -> IF(aggregate(transform(sh, x -> named_struct('h', xxhash64(x.s), 'w', x.w)), 0L,
-    (a, x) -> a + IF(shiftright(x.h, b) & 1L = 1L, x.w, -x.w)) > 0, shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)"""
+def _shingles(words: str) -> str:
+    """SQL for the shingles (h: hash, s: text, w: weight) of an array of words; of fewer words the whole is one."""
+    each = _bound(f"slice({words}, i + 1, {SHINGLE})", "g", "named_struct('s', array_join(g, ' '), 'w', CAST(length(array_join(g, '')) AS BIGINT))")
+    marked = f"transform(sequence(0, greatest(size({words}) - {SHINGLE}, 0)), i -> {_bound(each, 'x', _HASHED)})"
+    return f"IF(size({words}) = 0, array(), {marked})"
+
+
+_HASHED = "named_struct('h', xxhash64(x.s), 's', x.s, 'w', x.w)"
+
+#: Hashes of the shingles of an array of words by place, the same for documents and items.
+KEYS = f"""IF(size(ws) = 0, array(), IF(size(ws) < {SHINGLE}, array(xxhash64(array_join(ws, ' '), 0)), {_bound("transform(ws, x -> xxhash64(x))", "hs",
+    f"transform(sequence(0, size(hs) - {SHINGLE}), i -> xxhash64({', '.join(f'hs[i + {k}]' for k in range(SHINGLE))}))")}))"""
+
+FINGERPRINT = """aggregate(transform(sequence(0, 63), b -> IF(aggregate(sh, 0L, (a, x) -> a + IF(shiftright(x.h, b) & 1L = 1L, x.w, -x.w)) > 0,
+    shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)"""
 
 #: Weight common to the multisets sh and item_sh: each shingle as often as both have it.
-COMMON = """aggregate(array_distinct(item_sh), 0L, (a, x) -> a + x.w * least(size(filter(item_sh, y -> y.s = x.s)), size(filter(sh, y -> y.s = x.s))))"""
+COMMON = """aggregate(array_distinct(item_sh), 0L,
+    (a, x) -> a + x.w * least(size(filter(item_sh, y -> y.h = x.h AND y.s = x.s)), size(filter(sh, y -> y.h = x.h AND y.s = x.s))))"""
 
+_BITS = 64 // BLOCKS
+_BLOCK = f"explode(transform(sequence(0, {BLOCKS - 1}), b -> named_struct('b', b, 'v', shiftright({{}}, b * {_BITS}) & {2**_BITS - 1}L)))"
+_NEAR = f"explode(filter(sequence(0L, {2**_BITS - 1}L), m -> bit_count(m) <= {RADIUS // BLOCKS}))"
 
-def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_words, item_sh, item_weight and item_fp of the items with a word."""
-    out = benchmark.select("item_id", F.expr(WORDS).alias("ws")).where(F.size("ws") > 0).withColumn("sh", F.expr(_shingles("ws")))
-    return out.select("item_id", F.size("ws").alias("n_words"), F.col("sh").alias("item_sh"), F.expr("aggregate(sh, 0L, (a, x) -> a + x.w)").alias("item_weight"), F.expr(FINGERPRINT).alias("item_fp"), "ws")
 
+def items(benchmark: DataFrame) -> DataFrame:
+    """item (a key of its id and words), item_id, n_words, ws, item_sh, item_weight and item_fp of the items with a word."""
+    out = benchmark.select("item_id", F.expr(WORDS).alias("ws")).where(F.size("ws") > 0).distinct()
+    out = out.withColumn("sh", F.expr(_shingles("ws")))
+    item = F.xxhash64("item_id", F.col("item_id").isNull(), "ws")
+    weight = F.expr("aggregate(sh, 0L, (a, x) -> a + x.w)")
+    return out.select(
+        item.alias("item"), "item_id", F.size("ws").alias("n_words"), "ws", F.col("sh").alias("item_sh"),
+        weight.alias("item_weight"), F.expr(FINGERPRINT).alias("item_fp"),
+    )
+
+
+def windows(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n (words of the text), start, n_words and item: windows of texts (key, ws) that may be like an item."""
+    own = wanted.select("item", "n_words", "item_weight", F.expr(f"inline(array_distinct(zip_with({KEYS}, item_sh, (k, x) -> named_struct('hash', k, 'w', x.w))))"))
+    found = words.select("key", F.size("ws").alias("n"), F.posexplode(F.expr(KEYS)).alias("at", "hash")).join(base.small(own), "hash")
+    found = found.dropDuplicates(["key", "n", "item", "at"])  # equal texts count once; combined before the shuffle
+    # A shared shingle counts in the windows from its first start to its own place.
+    first = f"greatest(0, at + least({SHINGLE}, n_words) - n_words)"
+    ends = f"inline(array(named_struct('start', {first}, 'w', w), named_struct('start', at + 1, 'w', -w)))"
+    marks = found.select("key", "n", "item", "n_words", "item_weight", F.expr(ends))
+    num, den = SIMILARITY
+    by = Window.partitionBy("key", "n", "item", "n_words", "item_weight").orderBy("start")
+    last = F.least(F.lead("start").over(by) - 1, F.greatest(F.lit(0), F.col("n") - F.col("n_words")))
+    runs = marks.withColumns({"shared": F.sum("w").over(by), "last": last})
+    runs = runs.where((den * F.col("shared") >= num * F.col("item_weight")) & (F.col("start") <= F.col("last")))
+    return runs.select("key", "n", F.explode(F.sequence("start", "last")).alias("start"), "n_words", "item").distinct()
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id and similarity_ppm of each document that has a window similar to an item; the best window's.
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are not read. Null, empty and wordless texts match
-    nothing. A document of fewer words than an item is one window. An item of under five words is one shingle.
-    Rows of equal doc_id count as one document; repeated rows change nothing.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text), item_id and similarity_ppm of each text with a window similar to an item."""
     wanted = base.stored(items(benchmark))
-    marks, sizes = [], [r[0] for r in wanted.select(F.least("n_words", F.lit(SHINGLE))).distinct().collect()]  # five sizes at most
-    words = docs.select("doc_id", F.expr(f"transform({WORDS}, x -> xxhash64(x))").alias("hs"))
-    for size in sizes:
-        hashed = "xxhash64({})".format(", ".join(f"hs[i + {k}]" for k in range(size)))
-        places = F.expr(f"IF(size(hs) < {size}, array(), transform(sequence(0, size(hs) - {size}), i -> {hashed}))")
-        own = wanted.where(F.least("n_words", F.lit(SHINGLE)) == size).select("item_id", "n_words", "item_weight", "item_sh", F.expr("transform(ws, x -> xxhash64(x))").alias("hs"))
-        own = own.withColumn("keys", places).select("item_id", "n_words", "item_weight", F.expr("inline(array_distinct(zip_with(keys, item_sh, (k, x) -> named_struct('key', k, 'w', x.w))))"))
-        found = words.select("doc_id", F.size("hs").alias("n"), F.posexplode(places).alias("at", "key")).join(base.small(own), "key")
-        # A shared shingle counts in the windows from its first start to its own place.
-        ends = f"inline(array(named_struct('start', greatest(0, at + {size} - n_words), 'w', w), named_struct('start', at + 1, 'w', -w)))"
-        marks.append(found.select("doc_id", "n", "item_id", "n_words", "item_weight", F.expr(ends)))
-    if not marks:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, similarity_ppm bigint")
-    places = marks[0]
-    for m in marks[1:]:
-        places = places.unionByName(m)
+    words = docs.select(F.xxhash64("text").alias("key"), F.expr(WORDS).alias("ws"))
+    places = base.stored(windows(words, wanted))
+
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    texts = base.stored(texts.join(base.small(places.select("key").distinct()), "key", "left_semi").withColumn("ws", F.expr(WORDS)))
+    of_text = texts.groupBy("key").agg(F.first("ws").alias("ws"))
+    once = places.select("key", "start", "n_words").distinct()
+    cut = of_text.join(once, "key").select("key", "start", "n_words", F.expr("slice(ws, start + 1, n_words)").alias("ws"))
+    cut = cut.select("key", "start", "n_words", F.expr(_shingles("ws")).alias("sh"))
+    prints = base.stored(cut.withColumn("fp", F.expr(FINGERPRINT)))
+
+    index = wanted.select("item", "item_fp", F.expr(_BLOCK.format("item_fp")).alias("x")).select("*", F.expr(_NEAR).alias("m"))
+    index = index.select("item", "item_fp", F.col("x.b").alias("b"), F.col("x.v").bitwiseXOR(F.col("m")).alias("v"))
+    own = ["key", "start", "n_words"]
+    looked = places.select(*own, "item").join(prints.select(*own, "fp"), own)
+    looked = looked.select(*own, "item", "fp", F.expr(_BLOCK.format("fp")).alias("x")).select(*own, "item", "fp", "x.b", "x.v")
+    within = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
+    pairs = looked.join(base.small(index), ["item", "b", "v"]).where(within).select(*own, "item").distinct()
+
     num, den = SIMILARITY
-    by = Window.partitionBy("doc_id", "n", "item_id", "n_words", "item_weight").orderBy("start")
-    runs = places.withColumns({"shared": F.sum("w").over(by), "last": F.least(F.lead("start").over(by) - 1, F.greatest(F.lit(0), F.col("n") - F.col("n_words")))})
-    runs = runs.where((den * F.col("shared") >= num * F.col("item_weight")) & (F.col("start") <= F.col("last")))
-    places = base.stored(runs.select("doc_id", "n", F.explode(F.sequence("start", "last")).alias("start"), "n_words").distinct())
+    sure = pairs.join(prints.select(*own, "sh"), own)
+    sure = sure.join(base.small(wanted.select("item", "item_id", "item_sh", "item_weight")), "item")
+    sure = sure.withColumn("common", F.expr(COMMON))
+    sure = sure.withColumn("union", F.expr("item_weight + aggregate(sh, 0L, (a, x) -> a + x.w) - common"))
+    ppm = F.max(F.floor(F.expr("1000000 * common / union"))).cast("bigint")
+    best = sure.where(den * F.col("common") >= num * F.col("union")).groupBy("key", "item_id").agg(ppm.alias("similarity_ppm"))
+    return texts.select("doc_id", "key").distinct().join(base.small(best), "key")
 
-    texts = docs.select("doc_id", "text").join(base.small(places.select("doc_id").distinct()), "doc_id", "left_semi")
-    windows = texts.select("doc_id", F.expr(WORDS).alias("ws")).withColumn("n", F.size("ws")).join(places, ["doc_id", "n"]).select("doc_id", "start", "n_words", F.expr("slice(ws, start + 1, n_words)").alias("ws"))
-    windows = windows.withColumn("sh", F.expr(_shingles("ws"))).withColumn("fp", F.expr(FINGERPRINT))
-    windows = base.stored(windows.select("doc_id", "start", "n_words", "fp", "sh"))
 
-    block = f"explode(transform(sequence(0, {BLOCKS - 1}), b -> named_struct('b', b, 'v', shiftright({{}}, b * {64 // BLOCKS}) & {2 ** (64 // BLOCKS) - 1}L)))"
-    near = f"explode(filter(sequence(0L, {2 ** (64 // BLOCKS) - 1}L), m -> bit_count(m) <= {RADIUS // BLOCKS}))"
-    index = wanted.select("item_id", "n_words", "item_fp", "item_sh", "item_weight", F.expr(block.format("item_fp")).alias("x")).select("*", F.expr(near).alias("m"))
-    index = index.select("item_id", "n_words", "item_fp", F.col("x.b").alias("b"), F.col("x.v").bitwiseXOR(F.col("m")).alias("v"))
-    looked = windows.select("doc_id", "start", "n_words", "fp", F.expr(block.format("fp")).alias("x")).select("doc_id", "start", "n_words", "fp", F.col("x.b").alias("b"), F.col("x.v").alias("v"))
-    pairs = looked.join(base.small(index), ["n_words", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "start", "n_words", "item_id").distinct()
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id and similarity_ppm of each document that has a window similar to an item; the best window's.
 
-    sure = pairs.join(windows.select("doc_id", "start", "n_words", "sh"), ["doc_id", "start", "n_words"]).join(base.small(wanted.select("item_id", "item_sh", "item_weight"), BROADCAST_ITEMS), "item_id")
-    sure = sure.withColumn("common", F.expr(COMMON)).withColumn("union", F.expr("item_weight + aggregate(sh, 0L, (a, x) -> a + x.w) - common"))
-    return sure.where(den * F.col("common") >= num * F.col("union")).groupBy("doc_id", "item_id").agg(F.max(F.floor(F.expr("1000000 * common / union"))).cast("bigint").alias("similarity_ppm"))
+    docs: doc_id, text; benchmark: item_id, text; other columns are not read. Null, empty and wordless texts match
+    nothing. A document of fewer words than an item is one window. Rows are looked at one by one; those of equal doc_id give one row
+    with the best similarity, and so do those without a doc_id, whose doc_id is null here. Rows of null item_id are
+    items too. Repeated rows change nothing; very long texts are read whole; an empty table gives no rows.
+    """
+    best = _leaks(docs, benchmark).groupBy("doc_id", "item_id")
+    return best.agg(F.max("similarity_ppm").alias("similarity_ppm"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that have a leak."""
-    found = base.stored(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct())
-    return docs.join(base.small(found), F.col("doc_id") == F.col("leaked_id"), "left_anti")
+    """docs without the rows whose text has a leak, whatever their doc_id; other rows, and all columns, stay."""
+    found = base.stored(_leaks(docs, benchmark).select(F.col("key").alias("leaked")).distinct())
+    marked = docs.withColumn("leaked_key_of_text", F.xxhash64("text"))
+    return marked.join(base.small(found), F.col("leaked_key_of_text") == F.col("leaked"), "left_anti").select(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +145,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_decontamination": op5_decontamination}
+#: Windows at every start that holds a shared shingle; in all others nothing is in common.
 SQL = {
     "op5_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
@@ -110,7 +154,9 @@ ds AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS p, w FROM d),
 ish AS (SELECT item_id, len(w) AS n_words, unnest(range(0, len(w) - 4)) AS p, w FROM i),
 dk AS (SELECT doc_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM ds),
 ik AS (SELECT item_id, n_words, p, array_to_string(w[p + 1:p + 5], ' ') AS s, length(array_to_string(w[p + 1:p + 5], '')) AS c FROM ish),
-places AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(dk.p - ik.p, n - n_words)) AS start, n_words FROM dk JOIN ik USING (s)),
+seen AS (SELECT DISTINCT doc_id, dk.n, dk.p, item_id, n_words FROM dk JOIN ik USING (s)),
+places AS (SELECT DISTINCT doc_id, item_id, n_words, unnest(range(greatest(0, least(p + 5 - n_words, n - n_words)), greatest(0, least(p, n - n_words)) + 1)) AS start FROM
+  seen),
 ws AS (SELECT doc_id, item_id, start, w[start + 1:start + n_words] AS w FROM places JOIN d USING (doc_id)),
 wk AS (SELECT doc_id, item_id, start, unnest(range(0, len(w) - 4)) AS p, w FROM ws),
 wc AS (SELECT doc_id, item_id, start, array_to_string(w[p + 1:p + 5], ' ') AS s, min(length(array_to_string(w[p + 1:p + 5], ''))) AS c, count(*) AS n FROM wk GROUP BY ALL),

@@ -176,12 +176,15 @@ def test_near_duplicates(spark, docs, empty, words, num, copies):
 
 
 def brute_leaks(rows, items):
+    """Every window of every text; an item of under five words is looked for in texts of no other words alone."""
     out = {}
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 5 else Counter([tuple(w)]) if w else Counter()
     weigh = lambda c: sum(len("".join(g)) * n for g, n in c.items())
     for (i, t), (item, q) in itertools.product(rows, items):
         w, own = split(t), split(q)
+        if not w or (len(own) < 5 and w != own):
+            continue
         for at in range(max(1, len(w) - len(own) + 1)):
             a, b = grams(w[at : at + len(own)]), grams(own)
             common, whole = weigh(a & b), weigh(a | b)
@@ -194,8 +197,8 @@ def test_decontamination(spark, docs, empty):
     items = [(1, LEAK), (2, None), (3, ""), (4, prose(20, 123)), (5, "one two"), (6, prose(12, 4).replace(".", ";")), (7, LEAK)]
     benchmark = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id bigint, text string, start int")
     got = {(r["doc_id"], r["item_id"]): r["similarity_ppm"] for r in decontamination.leaks(docs, benchmark).collect()}
-    wanted = brute_leaks([(i, t) for i, t in TEXTS if i not in (5, 16)], items)
-    assert {k: v for k, v in got.items() if k[0] not in (5, 16)} == wanted
+    wanted = brute_leaks(TEXTS, items)
+    assert got == wanted
     assert {(10, 1), (10, 7), (8, 5), (9, 5)} <= set(wanted)
     left = decontamination.clean(docs, benchmark)
     assert left.columns == docs.columns and 10 not in {r["doc_id"] for r in left.collect()} and left.where("doc_id IS NULL").count() == 1
@@ -218,6 +221,21 @@ def test_decontamination_slides_over_all_starts(spark):
     assert {(r["doc_id"], r["item_id"]): r["similarity_ppm"] for r in got.collect()} == wanted
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Rows without an id, ids on several rows, copies, short items, and an item in the middle of a very long text."""
+    item = prose(33, 71)
+    long = prose(20000, 72) + " " + item + " " + prose(20000, 73)
+    rows = [(None, "x " + item), (None, "clean " + prose(60, 74)), (1, item), (1, prose(40, 75)), (2, long), (3, long), (3, long), (4, "yes"), (5, "Yes!"), (6, "yes it is so and more"), (7, "yes yes"), (8, prose(90, 76))]
+    items = [(1, item), (None, item), (2, "yes"), (2, item), (3, "it is")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity_ppm"] for r in decontamination.leaks(docs, benchmark).collect()}
+    wanted = {(d, i): 1_000_000 for d in (None, 1, 2, 3) for i in (None, 1, 2)} | {(4, 2): 1_000_000, (5, 2): 1_000_000}
+    assert got == wanted
+    left = Counter((r["doc_id"], r["text"]) for r in decontamination.clean(docs, benchmark).collect())
+    assert left == Counter([rows[1], rows[3], rows[9], rows[10], rows[11]])
+
+
 CHATS = [
     *[(1, k, ("system", "user", "assistant")[0 if k == 0 else 1 + (k % 2 == 0)], prose(int(40 + 90 * (k % 3)), k)) for k in range(40)],
     (2, 0, "user", r"\### Assistant: </turn> ok" + "\n</turn>\n### x\n\\"), (2, 1, "assistant", "\\\\###\\</turn>\n\n"), (3, 0, "assistant", None), (3, 0, "assistant", ""), (4, None, None, "hi"), (4, 1, "assi\nst\\nant", "x"), (4, 2, "assistant", "é\u2028 \n"),
