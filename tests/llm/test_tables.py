@@ -1,6 +1,8 @@
 """The text operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import hmac
+import ipaddress
 import itertools
 import re
 import zlib
@@ -10,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -310,7 +313,7 @@ def test_url_trees_on_rows_held_out(spark):
 
 
 def test_surrogates(docs, empty):
-    rows = {r["doc_id"]: r for r in surrogates.replaced(docs).collect()}
+    rows = {r["doc_id"]: r for r in surrogates.replaced(docs, "k1").collect()}
     text = rows[13]["text"]
     for original in ("Ann.Lee@", "ann.lee@", "555-2671", "4111 1111", "10.20.30.40", "Jane Doe", "John Smith"):
         assert original not in text, original
@@ -323,15 +326,103 @@ def test_surrogates(docs, empty):
     assert women[4] == women[5] and women[1] in surrogates.GIVEN["f", "latin"] and women[3] in surrogates.GIVEN["m", "latin"]
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", text)
     assert rows[1]["text"] == prose(80, 2) and rows[2]["text"] is None and rows[3]["text"] == ""
-    assert surrogates.replaced(docs).count() == len(TEXTS) and surrogates.replaced(empty).count() == 0
+    assert surrogates.replaced(docs, "k1").count() == len(TEXTS) and surrogates.replaced(empty, "k1").count() == 0
+
+
+def luhn(digits):
+    return sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(digits[::-1], 1)) % 10 == 0
+
+
+def iban(account):
+    return int("".join(str(int(c, 36)) for c in (account[4:] + account[:4]).replace(" ", ""))) % 97 == 1
+
+
+PEOPLE = [
+    (1, "Dr Anna Müller met Frau Anna Müller. Then Prof. Anna Müller left; Mr Sam O'Brien and Mrs Sam Lee-Jones stayed."),
+    (2, "My name is John Smith, mail john.smith@firm.com or J.SMITH77@firm.com, not smith@other.net, john.smith@other.net"),
+    (3, "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, wrong DE12 3704 0044 0532 0130 00"),
+    (4, "call 555-123-4567 or (415) 555-2671 or +49 30 1234567, card 4111-1111-1111-1111, not 4111 1111 1111 1112"),
+    (5, "hosts 10.0.0.1, 10.0.0.2, fe80:0:0:0:0:0:0:1 and 2001:db8::ff00:42 and again 10.0.0.1; ssn 123-45-6789"),
+    (6, "Господин Иван Петров и Госпожа Мария Петрова, Herr Müller"), (7, "no one here, 12 34, a@b, Mr x"), (8, None), (9, ""),
+    (10, "Mr Sam O'Brien wrote to 10.0.0.1 " * 400), (3, "the same id"), (None, "Frau Anna Müller"),
+]
+
+
+def test_surrogates_against_brute_force(spark):
+    """The library's regular expressions find the entities; all else stays; entities and surrogates go one to one."""
+    entity = regex.compile(surrogates.ENTITY)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in PEOPLE], "doc_id bigint, text string, entity string, kind int")
+    got = {r["text"] if r["doc_id"] in (8, 9) else (r["doc_id"], k): r for k, r in enumerate(surrogates.replaced(docs, "k").collect())}
+    rows = sorted(got.values(), key=lambda r: (r["doc_id"] or 0, r["text"] or ""))
+    before = {i: [t for j, t in PEOPLE if j == i] for i, _ in PEOPLE}
+    pairs, kinds = {}, Counter()
+    for r in rows:
+        options = before[r["doc_id"]]
+        fits = False
+        for t in options:
+            spans = [m.span() for m in entity.finditer(t or "")]
+            if len(spans) != r["n_entities"]:
+                continue
+            between = [(t or "")[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t or "")], strict=True)]
+            m = regex.fullmatch("(.+?)".join(map(regex.escape, between)), r["text"] or "", regex.DOTALL)
+            if m:
+                fits = True
+                assert (t is None) == (r["text"] is None)
+                for (a, b), new in zip(spans, m.groups(), strict=True):
+                    assert pairs.setdefault(t[a:b], new) == new
+                    kinds[t[a:b]] += 1
+        assert fits, r
+    assert sum(len(entity.findall(t or "")) for _, t in PEOPLE) == sum(r["n_entities"] for r in rows) == sum(kinds.values())
+    lowered = defaultdict(set)
+    for old, new in pairs.items():
+        lowered[new.lower()].add(old.lower())
+    assert all(len(v) == 1 for v in lowered.values()) and not set(pairs) & set(pairs.values())
+    shape = lambda x: re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", x))
+    for old, new in pairs.items():
+        if re.match(r"[+(\d]", old) and "." not in old and ":" not in old:
+            assert shape(old) == shape(new)
+    assert luhn(re.sub(r"\D", "", pairs["4111-1111-1111-1111"])) and shape(pairs["GB82WEST12345698765432"]) == shape("GB82WEST12345698765432")
+    assert iban(pairs["DE89 3704 0044 0532 0130 00"]) and iban(pairs["GB82WEST12345698765432"]) and pairs["GB82WEST12345698765432"][:2] == "GB"
+    # One person, whatever the title; gender by all titles; words of addresses that are names go with them.
+    anna = {pairs[x].split(" ", 1)[1] for x in pairs if x.endswith("Anna Müller")}
+    assert len(anna) == 1 and anna.pop().split(" ")[0].split("-")[0] in surrogates.GIVEN["f", "latin"]
+    assert pairs["Herr Müller"].split()[1] == pairs["Dr Anna Müller"].split()[2]
+    assert pairs["Mr Sam O'Brien"].split()[1].split("-")[0] in surrogates.GIVEN["n", "latin"] and regex.fullmatch(r"[\p{IsCyrillic} -]+", pairs["Господин Иван Петров"])
+    first, last = pairs["John Smith"].lower().split()
+    assert pairs["john.smith@firm.com"].split("@")[0] == f"{first}.{last}" and last.upper() in pairs["J.SMITH77@firm.com"]
+    assert pairs["smith@other.net"].split("@")[1] == pairs["john.smith@other.net"].split("@")[1] != pairs["john.smith@firm.com"].split("@")[1]
+    assert "10.0.0.1" not in "".join(r["text"] or "" for r in rows) and ipaddress.IPv6Address(pairs["2001:db8::ff00:42"])
+
+
+def test_surrogates_depend_on_a_key(spark):
+    docs = spark.createDataFrame(PEOPLE[:3], "doc_id bigint, text string")
+    one, two, again = ([r["text"] for r in surrogates.replaced(docs, k).orderBy("doc_id").collect()] for k in ("a", "b", "a"))
+    assert one == again and one != two
+    with pytest.raises(ValueError, match="key"):
+        surrogates.replaced(docs, "")
+
+
+def test_hmac(spark):
+    for key in ("k", "x" * 100):
+        made = spark.range(1).select(F.expr(surrogates.Keyed(key)("concat('née ', id)"))).first()[0]
+        assert made == hmac.new(key.encode(), "née 0".encode(), "sha256").hexdigest()
 
 
 def test_surrogates_stay_distinct(spark):
-    entities = spark.range(3000).select(F.lit("surname").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("norm"))
-    made = surrogates.mapped(entities).collect()
+    entities = spark.range(3000).select(F.lit("surname").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("norm"), F.lit("n").alias("gender"))
+    made = surrogates.mapped(entities, "k").collect()
     assert len({r["surrogate"] for r in made}) == 3000 and not {r["surrogate"] for r in made} & {r["norm"] for r in made}
 
 
+def test_surrogates_of_a_dense_type(spark):
+    """All numbers of two digits occur: they change places. A lone one of one digit does not need to."""
+    some = [("maildigits", f"{k:02}") for k in range(100)] + [("maildigits", "7"), ("number", "55")]
+    parts = spark.createDataFrame([(*x, "n") for x in some], "kind string, norm string, gender string")
+    made = {(r["kind"], r["norm"]): r["surrogate"] for r in surrogates.mapped(parts, "k", 2).collect()}
+    assert set(made) == set(some) and all(made[x] != x[1] for x in some)
+    assert {made["maildigits", f"{k:02}"] for k in range(100)} == {f"{k:02}" for k in range(100)}
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in TEXTS if i is not None]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
