@@ -118,7 +118,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sure = sure.withColumn("union", F.expr("item_weight + aggregate(sh, 0L, (a, x) -> a + x.w) - common"))
     ppm = F.max(F.floor(F.expr("1000000 * common / union"))).cast("bigint")
     best = sure.where(den * F.col("common") >= num * F.col("union")).groupBy("key", "item_id").agg(ppm.alias("similarity_ppm"))
-    return texts.select("doc_id", "key").distinct().join(base.small(best), "key")
+    return texts.select("doc_id", "key").distinct().join(base.small(base.stored(best)), "key")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
