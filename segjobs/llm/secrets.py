@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and values in a credential's place that are dear to guess.
 
-Guess cost: the least sum, over all ways to cut a value, of the log10 guesses of its parts; a part is a known word, a
-date, a repeat, a walk over the keyboard or the alphabet, or single characters by brute force. A value after a
-credential's name is a secret if its cost reaches ``MIN_COST``, so that ``password: changeme`` is none.
+Guess cost: the least sum, over all ways to cut a value, of the log10 guesses of its parts. A part is a known word, a
+date, a repeat, a walk over neighbouring keys or along the alphabet, or a single character by brute force. Words are
+known by their rank: that in the corpus, from counts of all its words, or that in a public vocabulary file, whichever
+is better. A value after a credential's name is a secret if its cost reaches ``MIN_COST``, so that
+``password: environment`` is none.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,70 +24,130 @@ from segjobs.llm import base
 # The base patterns, the fewest characters, and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-HEX_16 = re.compile(r"[0-9a-f]{16,}")  # the same matches as HEX of 16 characters or more
+HEX_16 = re.compile(r"[0-9a-f]{16,}")  # the same matches as of [0-9a-f]+ with 16 characters or more
 KINDS = ("assign", "access", "hex", "guess")
 
 MIN_COST = 10.0
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|auth(?:orization)?|(?:api|access|private|client|signing)[_-]?key)["'`]?[\x20\t]{0,3}(?:=>|:=|[:=])[\x20\t]{0,3}(?:bearer\x20)?["'`]?([^\s"'`<>]{6,})""", re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile(
+    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|auth(?:orization)?|(?:api|access|private|client|signing)[_-]?key)"""
+    r"""["'`]?[\x20\t]{0,3}(?:=>|:=|[:=])[\x20\t]{0,3}(?:bearer\x20)?["'`]?([^\s"'`<>]{6,})""",
+    re.ASCII | re.IGNORECASE,
+)
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"key")
 
-# Frequent words of passwords, most frequent first; rows of keys.
+# Frequent words of passwords, most frequent first; rows of keys; characters put for letters.
 WORDS = (
     "password 123456 qwerty letmein admin welcome monkey dragon master login secret abc123 changeme default test guest root user hello love "
     "sunshine princess football baseball shadow superman batman trustno freedom whatever ninja iloveyou flower hunter summer winter spring autumn "
     "monday friday january august october december example sample dummy placeholder your token key pass api access private public string value none null true false "
     "insert here todo fixme xxxx foobar foo bar baz company server database service system manager demo temp word phrase the and for with this that"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-KEYS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
-_LONGEST = max(map(len, WORDS))
-_NEXT = {(row[i], row[i + 1]) for row in KEYS for i in range(len(row) - 1)}
-_NEXT |= {(b, a) for a, b in _NEXT}
+KEYS = ("`1234567890-=", " qwertyuiop[]", " asdfghjkl;'", " zxcvbnm,./")
 _LEET = str.maketrans("013457@$!", "oleastasi")
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)")
-_REPEAT = re.compile(r"(.{1,8}?)\1+", re.DOTALL)
+_DATE = re.compile(
+    r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?"
+    r"|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)"
+)
+#: Words of the corpus and of the vocabulary that are known, by their ranks; longest word, repeat and walk that count as one part.
+MAX_WORDS = 50_000
+LONGEST = 32
 
 
-def guess_cost(value: str) -> float:
+_PLACE = {c: (r, k) for r, row in enumerate(KEYS) for k, c in enumerate(row) if c != " "}
+#: Guesses for where a walk begins and, for each step that leaves the direction of the one before, where it turns.
+_STARTS, _TURNS = math.log10(47), math.log10(8)
+
+
+def key_step(a: str, b: str) -> tuple[int, int] | None:
+    """The direction from one key to a neighbour in its row or the next (each is set off by half a key), else None."""
+    if a == b or a not in _PLACE or b not in _PLACE:
+        return None
+    (r, k), (s, m) = _PLACE[a], _PLACE[b]
+    near = abs(r - s) <= 1 and abs(m + s / 2 - k - r / 2) <= 1
+    return (s - r, m - k) if near else None
+
+
+def letter_step(a: str, b: str) -> int | None:
+    """1 or -1 for the next or last letter of the alphabet, else None."""
+    return ord(b) - ord(a) if "a" <= a <= "z" and "a" <= b <= "z" and abs(ord(b) - ord(a)) == 1 else None
+
+
+def parts_from(value: str, lower: str, plain: str, i: int, words: Mapping[str, int]) -> Iterator[tuple[int, float]]:
+    """(end, log10 guesses) of every part of a value that begins at i. lower, plain: the value in lower case, and with
+    letters for characters that often stand for them."""
+    n = len(value)
+    yield i + 1, 1.0  # ten guesses a character
+    for j in range(i + 3, min(n, i + LONGEST) + 1):
+        exact, other = words.get(lower[i:j]), words.get(plain[i:j])
+        cost = min(math.log10(exact + 1) if exact else math.inf, math.log10(other + 1) + 0.3 if other else math.inf)
+        if cost < math.inf:
+            yield j, cost + (0.3 if value[i:j] != lower[i:j] else 0.0)
+    for m in (_DATE.match(value, i, e) for e in range(min(n, i + 10), i + 3, -1) if value[i].isdigit()):
+        if m:
+            yield m.end(), 2.1 if m.end() - i == 4 else 4.6
+    for size in range(1, min(8, (n - i) // 2) + 1):
+        unit, times = value[i : i + size], 1
+        while times * size < LONGEST and value[i + times * size : i + (times + 1) * size] == unit:
+            times += 1
+            if times * size >= 3:
+                rank = words.get(unit.lower())
+                yield i + times * size, min(float(size), math.log10(rank + 1) + 0.3 if rank else math.inf) + math.log10(times)
+    for step_of in (key_step, letter_step):
+        way, turns = None, 0
+        for j in range(i + 1, min(n, i + LONGEST)):
+            step = step_of(lower[j - 1], lower[j])
+            if step is None:
+                break
+            turns += way is not None and step != way
+            way = step
+            if j - i >= 2:
+                yield j + 1, _STARTS + math.log10(j - i + 1) + turns * _TURNS
+
+
+def guess_cost(value: str, words: Mapping[str, int]) -> float:
     """log10 of the guesses for the cheapest cut of the value. Time grows in proportion to its length."""
     n = len(value)
     lower = value.lower() if len(value.lower()) == n else value
     plain = lower.translate(_LEET)
     best = [0.0] + [math.inf] * n
-    repeats: dict[int, tuple[int, float]] = {}
-    for m in _REPEAT.finditer(value):
-        if m.end() - m.start() >= 3:
-            unit = m[1]
-            cost = min(float(len(unit)), math.log10(RANK.get(unit.lower(), math.inf)) + 0.3 if unit.lower() in RANK else math.inf)
-            repeats[m.start()] = (m.end(), cost + math.log10((m.end() - m.start()) // len(unit)))
-    walk_from = 0
     for i in range(n):
-        here = best[i]
-        if here + 1.0 < best[i + 1]:  # ten guesses a character
-            best[i + 1] = here + 1.0
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = RANK.get(lower[i:j])
-            cost = 0.0
-            if rank is None and (rank := RANK.get(plain[i:j])) is not None:
-                cost = 0.3
-            if rank is not None:
-                cost += math.log10(rank + 1) + (0.3 if value[i:j] != lower[i:j] else 0.0)
-                best[j] = min(best[j], here + cost)
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            best[m.end()] = min(best[m.end()], here + (2.1 if m.end() - i == 4 else 4.6))
-        if i in repeats:
-            end, cost = repeats[i]
-            best[end] = min(best[end], here + cost)
-        if i and (lower[i - 1], lower[i]) not in _NEXT:
-            walk_from = i
-        if i - walk_from >= 2:  # the walk up to here, from its first key
-            cost = math.log10(47 * (i - walk_from + 1))
-            best[i + 1] = min(best[i + 1], best[walk_from] + cost)
+        for end, cost in parts_from(value, lower, plain, i, words):
+            if best[i] + cost < best[end]:
+                best[end] = best[i] + cost
     return best[n]
 
 
-cost_of = lru_cache(maxsize=20_000)(guess_cost)
+def vocabulary_words(path: str, most: int = MAX_WORDS) -> dict[str, int]:
+    """Ranks of the words in a tokenizers file, by their ids: tokens of letters that begin or end a word."""
+    from tokenizers import Tokenizer
+
+    ranks: dict[str, int] = {}
+    for token, _ in sorted(Tokenizer.from_file(path).get_vocab().items(), key=lambda x: x[1]):
+        word = token.removeprefix("Ġ").removesuffix("</w>").lower()
+        if word != token.lower() and word.isalpha() and word.isascii() and len(word) > 2:
+            ranks.setdefault(word, len(ranks) + 1)
+    return {w: r for w, r in ranks.items() if r <= most}
+
+
+def corpus_words(docs: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
+    """Ranks of the ``most`` frequent words of all texts, ties by the word; words of letters alone that occur twice or more.
+
+    Words are counted in tasks before the shuffle. Only the ranks, a bounded number, come to the driver.
+    """
+    text = F.lower(F.coalesce("text", F.lit("")))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![^\s\p{P}])\p{L}{3,32}(?![^\s\p{P}])"), 0)).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    return {r["word"]: k for k, r in enumerate(top, 1)}
+
+
+def known_words(docs: DataFrame | None = None, vocabulary: str | None = None, most: int = MAX_WORDS) -> dict[str, int]:
+    """Each word's best rank among the frequent words of passwords, of the vocabulary and of the corpus."""
+    out = {w: k for k, w in enumerate(WORDS, 1)}
+    for more in (vocabulary_words(vocabulary, most) if vocabulary else {}, corpus_words(docs, most) if docs is not None else {}):
+        for word, rank in more.items():
+            out[word] = min(rank, out.get(word, rank))
+    return out
 
 
 def base_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
@@ -98,54 +161,69 @@ def base_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and those that the guess cost adds outside of them; code points, end exclusive."""
-    if not text:
-        return [], []
-    low = text.encode().lower()
-    found = base_spans(text, low)
-    added = []
-    if any(x in low for x in _HINTS):
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            if not any(s <= a and b <= e for s, _, e in found) and cost_of(m[1]) >= MIN_COST:
-                added.append((a, 3, b))
-    return found, added
+class Scanner:
+    """spans(text): base spans, and those that the guess cost adds outside of them; code points, end exclusive."""
+
+    def __init__(self, words: Mapping[str, int], min_cost: float = MIN_COST):
+        self.min_cost = min_cost
+        self.cost_of = lru_cache(maxsize=20_000)(lambda value: guess_cost(value, words))
+
+    def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        if not text:
+            return [], []
+        low = text.encode().lower()
+        found = base_spans(text, low)
+        added = []
+        if any(x in low for x in _HINTS):
+            for m in CONTEXT.finditer(text):
+                a, b = m.span(1)
+                if not any(s <= a and b <= e for s, _, e in found) and self.cost_of(m[1]) >= self.min_cost:
+                    added.append((a, 3, b))
+        return found, added
 
 
 def _joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def scanned(docs: DataFrame, words: Mapping[str, int] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans of each row's whole text; row by row.
 
-    A null text is an empty one, without spans. Repeated rows are scanned alike; columns besides doc_id and text
-    are not read. Spans are ``kind:start:end``, by start and then by kind, comma-joined.
+    words: known_words(), by default those of docs without a vocabulary file. A null text is an empty one, without spans. Repeated rows are scanned alike; columns besides
+    doc_id and text are not read. Spans are ``kind:start:end``, by start and then by kind, comma-joined.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(dict(known_words(docs) if words is None else words))  # three times MAX_WORDS entries at most
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
+    types = [*[pa.int64()] * 5, pa.string(), pa.string()]
 
     def rows(batches):
+        scanner = Scanner(sent.value)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, added = spans(text)
+                found, added = scanner.spans(text)
                 kinds = [k for _, k, _ in found]
-                out.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), len(added), hashlib.sha256(_joined(found).encode()).hexdigest(), _joined(found + added)))
+                digest = hashlib.sha256(_joined(found).encode()).hexdigest()
+                out.append((doc_id, *(kinds.count(k) for k in range(3)), len(added), digest, _joined(found + added)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.string(), pa.string()), strict=True)], ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string")
+    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string"
+    return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
-def masked(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with every span of text replaced by the mask; overlapping spans share one. Null texts stay null."""
+def masked(docs: DataFrame, words: Mapping[str, int] | None = None, mask: str = "[secret]") -> DataFrame:
+    """docs with every span of text replaced by the mask; overlapping spans share one. Null texts stay null, other columns
+    and all rows as they are. words: as for scanned()."""
+    sent = docs.sparkSession.sparkContext.broadcast(dict(known_words(docs) if words is None else words))
 
     def rows(batches):
+        scanner = Scanner(sent.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             for i, text in enumerate(texts):
-                found, added = spans(text)
+                found, added = scanner.spans(text)
                 if found or added:
                     parts, end = [], 0
                     for a, _, b in sorted(found + added):
@@ -159,9 +237,13 @@ def masked(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(base.table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.col("n_guess"))
+    import public_tokenizers
+
+    docs = base.table(spark, sf_dir, "documents")
+    words = known_words(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return scanned(docs, words).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.col("n_guess"))
 
 
 QUERIES = {"op6_secret_scan": op6_secret_scan}
-#: No SQL: DuckDB has no dynamic programming over values; tests compare with brute force.
+#: No SQL: DuckDB has no dynamic programming over values; tests compare with all cuts of values and with re-made spans.
 SQL: dict[str, str] = {}
