@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segjobs.functions.shared import small
 from segjobs.operators.grid import clean_name, windows_along
 from segjobs.operators.validate import bounds
 
@@ -62,15 +63,19 @@ def candidates(polygons: DataFrame, scenes: DataFrame, window: int, stride: int)
 
 
 def burn_rows(parts: list, x0: float, y0: float, pixel: float, width: int, height: int) -> list[tuple[int, int, int]]:
-    """Runs (y, first x, last x) of the pixels whose centre is inside, by the parity of crossings in each row.
+    """Runs (y, first x, last x) of the pixels whose centre is inside any part; those of parts that overlap do too.
 
-    A centre on an edge belongs to the side towards larger x and y.
+    Inside a part is decided by the parity of crossings in each row. A centre on an edge belongs to the side towards
+    larger x and y.
     """
+    return [run for rings in parts for run in _burned(rings, x0, y0, pixel, width, height)]
+
+
+def _burned(rings: list, x0: float, y0: float, pixel: float, width: int, height: int) -> list[tuple[int, int, int]]:
     edges = []
-    for rings in parts:
-        for ring in rings:
-            p = np.array([((v["x"] - x0) / pixel, (y0 - v["y"]) / pixel) for v in ring], np.float64)
-            edges.append(np.concatenate([p[:-1], p[1:]], axis=1))
+    for ring in rings:
+        p = np.array([((v["x"] - x0) / pixel, (y0 - v["y"]) / pixel) for v in ring], np.float64)
+        edges.append(np.concatenate([p[:-1], p[1:]], axis=1))
     e = np.concatenate(edges) if edges else np.empty((0, 4))
     e = e[e[:, 1] != e[:, 3]]
     if not len(e):
@@ -115,13 +120,50 @@ def kept_tiles(runs: DataFrame, scenes: DataFrame, window: int, stride: int) ->
 
 
 def tile_masks(runs: DataFrame, scenes: DataFrame, window: int, stride: int, burn: int = 255) -> DataFrame:
-    """scene_id, tile_idx, tile_name, mask (row-major) of windows with a covered pixel; ``burn`` where covered, else 0."""
+    """scene_id, tile_idx, tile_name, mask (row-major) of windows with a covered pixel; ``burn`` where covered, else 0.
+
+    Runs, not pixels, go to the windows that they meet; one shuffle by window. A mask is filled by running sums over
+    where runs begin and end, so its time grows with its pixels and runs alone.
+    """
     if not 1 <= burn <= 255:
         raise ValueError(f"burn value {burn} is not within 1 and 255")
-    inside = in_windows(burned_pixels(runs), scenes, window, stride)
-    at = ((F.col("y") - F.col("j") * stride) * window + F.col("x") - F.col("i") * stride).cast("int")
-    grouped = inside.groupBy("scene_id", "tile_idx", "tile_name").agg(F.collect_set(at).alias("on"))  # window * window at most
-    return grouped.select("scene_id", "tile_idx", "tile_name", F.transform(F.sequence(F.lit(0), F.lit(window * window - 1)), lambda p: F.when(F.array_contains("on", p), burn).otherwise(0).cast("short")).alias("mask"))
+    placed = in_windows(runs.select("scene_id", "y", "x0", "x1").distinct(), scenes, window, stride, "x0", "x1")
+    ty, tx = F.col("y") - F.col("j") * stride, lambda c: F.col(c) - F.col("i") * stride
+    begin, end = F.greatest(tx("x0"), F.lit(0)), F.least(tx("x1"), F.lit(window - 1)) + 1
+    line = ty * (window + 1)  # a row has one place more, where runs up to its end stop
+    placed = placed.select("scene_id", "tile_idx", "tile_name", (line + begin).cast("int").alias("begin"), (line + end).cast("int").alias("end"))
+    grouped = placed.groupBy("scene_id", "tile_idx", "tile_name").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
+    size = window * (window + 1)
+    few = max(1, (8 << 20) // size)  # tiles filled at a time, by memory
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, few):
+                part = batch.slice(i, few)
+                n = part.num_rows
+                steps = np.zeros(n * size, np.int32)
+                for name, by in (("begin", 1), ("end", -1)):
+                    lists = part.column(part.schema.get_field_index(name))
+                    of = np.repeat(np.arange(n) * size, lists.value_lengths().to_numpy(zero_copy_only=False))
+                    np.add.at(steps, of + lists.flatten().to_numpy(zero_copy_only=False), by)
+                on = np.cumsum(steps.reshape(n * window, window + 1), axis=1)[:, :window] > 0
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (window * window))
+                mask = pa.ListArray.from_arrays(offsets, pa.array(np.where(on, burn, 0).astype(np.int16).ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), mask], ["scene_id", "tile_idx", "tile_name", "mask"])
+
+    return grouped.mapInArrow(rows, "scene_id bigint, tile_idx bigint, tile_name string, mask array<smallint>")
+
+
+def wanted_pixels(pixels: DataFrame, kept: DataFrame, window: int, stride: int) -> DataFrame:
+    """The pixels that any of the kept windows (scene_id, tile_idx, i, j) covers, before they are copied to windows.
+
+    Pixels and windows meet over blocks of the stride: a semi-join, broadcast below a checked size.
+    """
+    across = -(-window // stride)
+    over = lambda c: F.explode(F.sequence(F.col(c), F.col(c) + (across - 1)))
+    blocks = kept.select("scene_id", over("i").alias("bx"), "j").select("scene_id", "bx", over("j").alias("by")).distinct()
+    keyed = pixels.withColumns({"bx": F.floor(F.col("x") / stride), "by": F.floor(F.col("y") / stride)})
+    return keyed.join(small(blocks), ["scene_id", "bx", "by"], "left_semi").drop("bx", "by")
 
 
 def clip_counts(scenes: DataFrame, kept: DataFrame, window: int, stride: int) -> DataFrame:

@@ -70,14 +70,14 @@ def evaluate(images: DataFrame, masks: DataFrame, logits: DataFrame) -> DataFram
     return metrics.tile_and_overall(counts)
 
 
-def predict(pixels: DataFrame, scenes: DataFrame, size: int, overlap: float, weights: list[float], bias: float, threshold: float = 0.5, bands: list[str] | None = None) -> DataFrame:
-    """scene_id, y, x, mean, mask from a linear scorer on bands scaled by tile, blended where tiles overlap."""
+def predict(pixels: DataFrame, scenes: DataFrame, size: int, overlap: float, weights: list[float], bias: float, threshold: float = 0.5, bands: list[str] | None = None, sizes: tuple[int, ...] = validate.TILE_SIZES) -> DataFrame:
+    """scene_id, y, x, mean, mask of every pixel, from a linear scorer on bands scaled by tile, blended where tiles overlap."""
     bands = bands or BANDS
-    if not validate.unfit_scenes(scenes, len(bands), size, (size,)).isEmpty():
-        raise ValueError("a scene has another number of bands than the scorer")
+    if not validate.unfit_scenes(scenes, len(bands), size, sizes).isEmpty():
+        raise ValueError("the tile size is not supported, or a scene has another number of bands than the scorer")
     tiles = prepare.normalized_padded(score.prediction_tiles(pixels, scenes, size, overlap, bands))
-    stride = grid.prediction_stride(size, overlap)
-    return score.positive(score.blended_pixels(score.blended(score.linear_scores(tiles, weights, bias), stride), stride), threshold)
+    block = size if overlap == 0 else max(size // 2, grid.prediction_stride(size, overlap) // 2, 1)
+    return score.positive(score.blended_pixels(score.blended(score.linear_scores(tiles, weights, bias), block), block), threshold)
 
 
 def predict_polygons(mask: DataFrame, scenes: DataFrame) -> DataFrame:

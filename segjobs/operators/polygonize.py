@@ -8,27 +8,29 @@ from pyspark.sql import functions as F
 
 from segjobs.functions.geometry import labelled, signed_area, stitched
 from segjobs.functions.graph import components
-from segjobs.functions.shared import stored
+from segjobs.functions.shared import small, stored
 
 BLOCK = 64
-_ROOM = 1 << 24  # rows and columns of a scene; scenes up to 2**15
 
 
 def regions(mask: DataFrame, block: int = BLOCK) -> DataFrame:
-    """scene_id, y, x, region of the positive pixels (scene_id, y, x): one region for each 4-connected set, named by its least pixel.
+    """scene_id, y, x, region, first_y, first_x of the positive pixels (scene_id, y, x): one region for each 4-connected
+    set. first_y, first_x is its first pixel by row and column; region is a 64-bit hash of that and the scene.
 
     A block's pixels are labelled in one task; labels that meet at block borders are edges of a graph, whose
-    components are found by joins. Only border pixels and labels take part in those.
+    components are found by joins. Only border pixels and labels take part in those. Scenes may have any number
+    and size; two regions under one hash raise an error.
     """
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        k = labelled(pdf["y"].to_numpy(), pdf["x"].to_numpy())
-        name = (pdf["scene_id"].to_numpy() * _ROOM + pdf["y"].to_numpy()) * _ROOM + pdf["x"].to_numpy()
-        return pd.DataFrame({"scene_id": pdf["scene_id"], "y": pdf["y"], "x": pdf["x"], "label": name[k]})
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        k = labelled(y, x)
+        return pd.DataFrame({"scene_id": pdf["scene_id"], "y": y, "x": x, "label_y": y[k], "label_x": x[k]})
 
     keyed = mask.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
-    own = stored(keyed.groupBy("scene_id", "by", "bx").applyInPandas(lambda pdf: local(pdf[["scene_id", "y", "x"]]), "scene_id bigint, y bigint, x bigint, label bigint"))
+    made = keyed.groupBy("scene_id", "by", "bx").applyInPandas(lambda pdf: local(pdf[["scene_id", "y", "x"]]), "scene_id bigint, y bigint, x bigint, label_y bigint, label_x bigint")
+    own = stored(made.withColumn("label", F.xxhash64("scene_id", "label_y", "label_x")))
     edges = None
     for axis, other in (("x", "y"), ("y", "x")):
         low = own.where(F.col(axis) % block == block - 1).select("scene_id", other, (F.col(axis) + 1).alias(axis), F.col("label").alias("a"))
@@ -36,29 +38,39 @@ def regions(mask: DataFrame, block: int = BLOCK) -> DataFrame:
         pairs = low.join(high, ["scene_id", other, axis]).select("a", "b").distinct()
         edges = pairs if edges is None else edges.unionByName(pairs)
     roots = components(edges).select(F.col("node").alias("label"), "root")
-    return own.join(roots, "label", "left").select("scene_id", "y", "x", F.coalesce("root", "label").alias("region"))
+    labels = own.groupBy("scene_id", "label").agg(F.min(F.struct("label_y", "label_x")).alias("first"), F.max(F.struct("label_y", "label_x")).alias("last"))
+    labels = stored(labels.join(roots, "label", "left").withColumn("root", F.coalesce("root", "label")))
+    twice = labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+    if not labels.where("first <> last").isEmpty() or not twice.isEmpty():
+        raise RuntimeError("two regions have one hash")
+    firsts = labels.groupBy("scene_id", "root").agg(F.min("first").alias("first"))
+    named = labels.select("scene_id", "label", "root").join(firsts, ["scene_id", "root"]).select("scene_id", "label", "first.*")
+    named = named.select("scene_id", "label", F.xxhash64("scene_id", "label_y", "label_x").alias("region"), F.col("label_y").alias("first_y"), F.col("label_x").alias("first_x"))
+    return own.select("scene_id", "y", "x", "label").join(small(stored(named)), ["scene_id", "label"]).drop("label")
 
 
 def region_summary(found: DataFrame, scenes: DataFrame) -> DataFrame:
-    """scene_id, region, n_pixels, area and pixel bounds; class is 1 for all."""
-    own = found.groupBy("scene_id", "region").agg(F.count("*").alias("n_pixels"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return own.join(scenes.select("scene_id", "gt"), "scene_id").select("scene_id", "region", F.lit(1).alias("class"), "n_pixels", (F.col("n_pixels") * F.abs(F.col("gt.pw") * F.col("gt.ph"))).alias("area"), "x0", "x1", "y0", "y1")
+    """scene_id, region, n_pixels, area, pixel bounds and first pixel; class is 1 for all."""
+    own = found.groupBy("scene_id", "region").agg(F.count("*").alias("n_pixels"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("first_y").alias("first_y"), F.min("first_x").alias("first_x"))
+    return own.join(scenes.select("scene_id", "gt"), "scene_id").select("scene_id", "region", F.lit(1).alias("class"), "n_pixels", (F.col("n_pixels") * F.abs(F.col("gt.pw") * F.col("gt.ph"))).alias("area"), "x0", "x1", "y0", "y1", "first_y", "first_x")
 
 
 def boundaries(found: DataFrame) -> DataFrame:
-    """scene_id, region, ax, ay, bx, by: unit edges between a region and what is not of it, the region on their right.
+    """scene_id, region, first_y, first_x, ax, ay, bx, by: unit edges between a region and what is not of it, the region on their right.
 
     Each pixel has four; those that two pixels share cancel, in one aggregate over edges.
     """
     edge = lambda ax, ay, bx, by: F.struct((F.col("x") + ax).alias("ax"), (F.col("y") + ay).alias("ay"), (F.col("x") + bx).alias("bx"), (F.col("y") + by).alias("by"))
     around = F.array(edge(0, 0, 1, 0), edge(1, 0, 1, 1), edge(1, 1, 0, 1), edge(0, 1, 0, 0))
-    rows = found.select("scene_id", "region", F.explode(around).alias("e"))
+    own = ("scene_id", "region", "first_y", "first_x")
+    rows = found.select(*own, F.explode(around).alias("e"))
     key = F.array_sort(F.array(F.struct(F.col("e.ax").alias("x"), F.col("e.ay").alias("y")), F.struct(F.col("e.bx").alias("x"), F.col("e.by").alias("y"))))
-    return rows.groupBy("scene_id", "region", key.alias("k")).agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1").select("scene_id", "region", "e.*")
+    single = rows.groupBy(*own, key.alias("k")).agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1")
+    return single.select(*own, "e.*")
 
 
 def polygons_of(found: DataFrame, scenes: DataFrame) -> DataFrame:
-    """poly_id (the region), scene_id, parts in map coordinates and area. A region's boundary, not its pixels, goes to one task."""
+    """poly_id (the region), scene_id, parts in map coordinates, area and first pixel. A region's boundary, not its pixels, goes to one task."""
 
     def rings(pdf: pd.DataFrame) -> pd.DataFrame:
         made = stitched([((a, b), (c, d)) for a, b, c, d in pdf[["ax", "ay", "bx", "by"]].itertuples(index=False)], right_first=False)
@@ -66,9 +78,9 @@ def polygons_of(found: DataFrame, scenes: DataFrame) -> DataFrame:
         x0, y0, pw, ph = (pdf[c].iloc[0] for c in ("x0", "y0", "pw", "ph"))
         part = [[{"x": float(x0 + x * pw), "y": float(y0 + y * ph)} for x, y in r] for r in made]
         area = (abs(signed_area(made[0])) - sum(abs(signed_area(r)) for r in made[1:])) * abs(pw * ph)
-        return pd.DataFrame({"poly_id": [pdf["region"].iloc[0]], "scene_id": [pdf["scene_id"].iloc[0]], "parts": [[part]], "area": [area]})
+        return pd.DataFrame({"poly_id": [pdf["region"].iloc[0]], "scene_id": [pdf["scene_id"].iloc[0]], "parts": [[part]], "area": [area], "first_y": [pdf["first_y"].iloc[0]], "first_x": [pdf["first_x"].iloc[0]]})
 
     own = boundaries(found).join(scenes.select("scene_id", "gt.x0", "gt.pw", "gt.y0", "gt.ph"), "scene_id")
-    return own.groupBy("scene_id", "region").applyInPandas(rings, "poly_id bigint, scene_id bigint, parts array<array<array<struct<x:double,y:double>>>>, area double")
+    return own.groupBy("scene_id", "region").applyInPandas(rings, "poly_id bigint, scene_id bigint, parts array<array<array<struct<x:double,y:double>>>>, area double, first_y bigint, first_x bigint")
 
 

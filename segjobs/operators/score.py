@@ -43,43 +43,65 @@ def linear_scores(tiles: DataFrame, weights: list[float], bias: float) -> DataFr
 
 def scored(tiles: DataFrame, make_scorer: Callable[[], Scorer], batch: int = 8) -> DataFrame:
     """tiles with prob from a model: make_scorer() is called once a task and gives f(B x C x H x W) -> logits B x H x W
-    (of a list, the last item counts). Tiles go through in groups of ``batch``, so memory is bounded by tile size."""
+    (of a list, the last item counts). Tiles go through in groups of up to ``batch`` of one size, so memory is bounded by
+    tile size; bands must be whole, without nulls."""
     names = tiles.columns
 
     def rows(found):
         scorer = make_scorer()
         for b in found:
-            for i in range(0, b.num_rows, batch):
-                part = b.slice(i, batch)
-                size = part.column(names.index("size"))[0].as_py()
-                x = np.array(part.column(names.index("bands")).to_pylist(), np.float64).reshape(part.num_rows, -1, size, size)
-                z = scorer(x)
-                z = np.asarray(z[-1] if isinstance(z, list) else z, np.float64).reshape(part.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array((1 / (1 + np.exp(-z))).tolist(), pa.list_(pa.float64()))], [*names, "prob"])
+            sizes = b.column(names.index("size")).to_numpy(zero_copy_only=False)
+            i = 0
+            while i < b.num_rows:
+                size = int(sizes[i])
+                n = int(np.argmax(np.append(sizes[i : i + batch] != size, True)))
+                part = b.slice(i, n)
+                values = part.column(names.index("bands")).flatten().flatten().to_numpy(zero_copy_only=False)
+                z = scorer(np.asarray(values, np.float64).reshape(n, -1, size, size))
+                z = np.asarray(z[-1] if isinstance(z, list) else z, np.float64).reshape(n, size * size)
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (size * size))
+                prob = pa.ListArray.from_arrays(offsets, pa.array((1 / (1 + np.exp(-z))).ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, prob], [*names, "prob"])
+                i += n
 
     return tiles.mapInArrow(rows, StructType([*tiles.schema.fields, StructField("prob", ArrayType(DoubleType()))]))
 
 
-def blended(tiles: DataFrame, stride: int) -> DataFrame:
-    """scene_id, block_x, block_y and mean: blocks of stride x stride, in each pixel the mean chance of the tiles over it.
+def blended(tiles: DataFrame, block: int) -> DataFrame:
+    """scene_id, block_x, block_y and mean: blocks of block x block, in each pixel the mean chance of the tiles over it.
 
-    Tiles (size a multiple of stride) are cut into the blocks of the output, and only those travel: one shuffle by block,
-    with at most (size / stride)**2 arrays each. Pixels outside the scene are null.
+    Tiles of any size and stride are cut at the borders of the output's blocks, and only those pieces travel: one shuffle by
+    block, with about ((size + block) / stride)**2 pieces each. A pixel's mean is over the tiles that read it; pixels that
+    none did, outside the scene, are null.
     """
-    cut = tiles.withColumn("oy", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(stride)))).withColumn("ox", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(stride))))
-    cut = cut.where((F.col("oy") < F.col("read_h")) & (F.col("ox") < F.col("read_w")))
-    y, x = lambda q: F.floor(q / stride) + F.col("oy"), lambda q: q % stride + F.col("ox")
-    part = F.transform(F.sequence(F.lit(0), F.lit(stride * stride - 1)), lambda q: F.when((y(q) < F.col("read_h")) & (x(q) < F.col("read_w")), F.col("prob")[(y(q) * F.col("size") + x(q)).cast("int")]))
-    blocks = cut.select("scene_id", ((F.col("col0") + F.col("ox")) / stride).cast("long").alias("block_x"), ((F.col("row0") + F.col("oy")) / stride).cast("long").alias("block_y"), "col0", "row0", part.alias("part"))
-    grouped = blocks.groupBy("scene_id", "block_x", "block_y").agg(F.array_sort(F.collect_list(F.struct("col0", "row0", "part"))).alias("parts"))
-    mean = F.transform(F.sequence(F.lit(0), F.lit(stride * stride - 1)), lambda q: F.aggregate("parts", F.lit(0.0), lambda a, r: a + r["part"][q]) / F.size("parts"))
-    return grouped.select("scene_id", "block_x", "block_y", mean.alias("mean"))
-
-
-def blended_pixels(blocks: DataFrame, stride: int) -> DataFrame:
+    first, last = lambda c: F.floor(F.col(c) / block), lambda c, n: F.floor((F.col(c) + F.col(n) - 1) / block)
+    cut = tiles.withColumn("block_y", F.explode(F.sequence(first("row0"), last("row0", "read_h"))))
+    cut = cut.withColumn("block_x", F.explode(F.sequence(first("col0"), last("col0", "read_w"))))
+    top, left = F.greatest(F.col("block_y") * block, F.col("row0")), F.greatest(F.col("block_x") * block, F.col("col0"))
+    bottom = F.least((F.col("block_y") + 1) * block, F.col("row0") + F.col("read_h"))
+    right = F.least((F.col("block_x") + 1) * block, F.col("col0") + F.col("read_w"))
+    row = lambda y: F.slice("prob", ((y - F.col("row0")) * F.col("size") + F.col("x0") - F.col("col0") + 1).cast("int"), F.col("width"))
+    cut = cut.withColumns({"y0": top, "x0": left, "height": (bottom - top).cast("int"), "width": (right - left).cast("int")})
+    part = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda k: row(F.col("y0") + k))
+    piece = F.struct("row0", "col0", (F.col("y0") - F.col("block_y") * block).cast("int").alias("y"), (F.col("x0") - F.col("block_x") * block).cast("int").alias("x"), "height", "width", part.alias("rows"))
+    pieces = cut.select("scene_id", "block_x", "block_y", piece.alias("piece"))
+    grouped = pieces.groupBy("scene_id", "block_x", "block_y").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    over = lambda p, y, x: (p["y"] <= y) & (y < p["y"] + p["height"]) & (p["x"] <= x) & (x < p["x"] + p["width"])
+
+    def pixel(q):
+        y, x = F.floor(q / block).cast("int"), (q % block).cast("int")
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+        add = lambda a, p: F.when(over(p, y, x), F.struct((a["sum"] + p["rows"][y - p["y"]][x - p["x"]]).alias("sum"), (a["n"] + 1).alias("n"))).otherwise(a)
+        return F.aggregate("pieces", start, add, lambda a: F.when(a["n"] > 0, a["sum"] / a["n"]))
+
+    return grouped.select("scene_id", "block_x", "block_y", F.transform(F.sequence(F.lit(0), F.lit(block * block - 1)), pixel).alias("mean"))
+
+
+def blended_pixels(blocks: DataFrame, block: int) -> DataFrame:
     """scene_id, y, x, mean of the blocks' pixels inside the scene."""
     rows = blocks.select("scene_id", "block_x", "block_y", F.posexplode("mean").alias("q", "mean")).where("mean IS NOT NULL")
-    return rows.select("scene_id", (F.col("block_y") * stride + F.floor(F.col("q") / stride)).alias("y"), (F.col("block_x") * stride + F.col("q") % stride).alias("x"), "mean")
+    y, x = F.col("block_y") * block + F.floor(F.col("q") / block), F.col("block_x") * block + F.col("q") % block
+    return rows.select("scene_id", y.alias("y"), x.alias("x"), "mean")
 
 
 def positive(blended: DataFrame, threshold: float = 0.5) -> DataFrame:

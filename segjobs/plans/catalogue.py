@@ -313,15 +313,23 @@ def n2_pixels(spark, sf):
     return prepare.normalized_pixels(rows, "tile_name", ["v"]).select("tile_name", F.col("p").cast("long").alias("p"), _milli("v", "scaled"))
 
 
-_PTILES = """t AS (SELECT s.scene_id, i * 8 AS col0, j * 8 AS row0, least(16, width - i * 8) AS rw, least(16, height - j * 8) AS rh FROM scenes s JOIN range(0, 200) a(i) ON i * 8 < width JOIN range(0, 200) b(j) ON j * 8 < height),
-v AS (SELECT t.*, y, x, b1, b2, b3, min(b1) OVER w AS l1, max(b1) OVER w AS h1, min(b2) OVER w AS l2, max(b2) OVER w AS h2, min(b3) OVER w AS l3, max(b3) OVER w AS h3
+_SCORED = """v AS (SELECT t.*, y, x, b1, b2, b3, min(b1) OVER w AS l1, max(b1) OVER w AS h1, min(b2) OVER w AS l2, max(b2) OVER w AS h2, min(b3) OVER w AS l3, max(b3) OVER w AS h3
   FROM t JOIN pixels p ON p.scene_id = t.scene_id AND x >= col0 AND x < col0 + 16 AND y >= row0 AND y < row0 + 16 WINDOW w AS (PARTITION BY t.scene_id, col0, row0)),
 n AS (SELECT *, CASE WHEN h1 > l1 THEN (b1 - l1) / (h1 - l1) ELSE 0 END AS n1, CASE WHEN h2 > l2 THEN (b2 - l2) / (h2 - l2) ELSE 0 END AS n2, CASE WHEN h3 > l3 THEN (b3 - l3) / (h3 - l3) ELSE 0 END AS n3 FROM v),
 q AS (SELECT scene_id, y, x, avg(1 / (1 + exp(-(2.0 * n1 - 1.0 * n2 + 0.5 * n3 - 0.25)))) AS mean FROM n GROUP BY ALL)"""
 
 
-def _prediction(spark, sf):
-    return jobs.predict(fx.pixels(spark, sf), fx.scenes(spark, sf), SIZE, OVERLAP, WEIGHTS, BIAS)
+def _tiles_sql(stride: int) -> str:
+    return f"""t AS (SELECT s.scene_id, i * {stride} AS col0, j * {stride} AS row0, least(16, width - i * {stride}) AS rw, least(16, height - j * {stride}) AS rh
+  FROM scenes s JOIN range(0, 200) a(i) ON i * {stride} < width JOIN range(0, 200) b(j) ON j * {stride} < height),
+""" + _SCORED
+
+
+_PTILES = _tiles_sql(8)
+
+
+def _prediction(spark, sf, overlap=OVERLAP):
+    return jobs.predict(fx.pixels(spark, sf), fx.scenes(spark, sf), SIZE, overlap, WEIGHTS, BIAS, sizes=(SIZE,))
 
 
 @query("n3_padded_minmax", sql("pixels scenes", _PTILES + """, e AS (SELECT scene_id, col0, row0, any_value(rw) AS rw, any_value(rh) AS rh, any_value(l1) AS l1, any_value(h1) AS h1, sum(n1) AS inner_sum FROM n GROUP BY ALL)
@@ -409,7 +417,7 @@ def m6(spark, sf):
     return metrics.evenly_spaced(n1(spark, sf), 8)
 
 
-@query("m7_display", sql("tilepx", "SELECT tile_name, (3 * sum(CASE WHEN isnan(v) THEN 255 ELSE floor(least(greatest(v, 0), 1) * 255) END))::BIGINT AS total FROM tilepx WHERE vec_id % 43 <> 0 GROUP BY ALL"))
+@query("m7_display", sql("tilepx", "SELECT tile_name, (3 * sum(CASE WHEN isnan(v) THEN 255 ELSE floor(least(greatest(v, 0), 1) * 255) END))::BIGINT AS total FROM tilepx GROUP BY ALL"))
 def m7(spark, sf):
     shown = fx.images(spark, sf).select("tile_name", F.flatten(metrics.display(F.col("bands"))).alias("v"))
     return shown.select("tile_name", F.aggregate("v", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
@@ -449,7 +457,9 @@ def s1(spark, sf):
     return tiles.select("scene_id", "col0", "row0", "read_w", "read_h", F.aggregate(F.transform(F.col("bands")[2], lambda v, p: v * p), F.lit(0.0), lambda a, v: a + v).cast("long").alias("weighted"))
 
 
-@query("s2_custom_scorer", sql("pixels scenes", _PTILES + " SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, round(sum(1 / (1 + exp(-(2.0 * n1 - 1.0 * n2 + 0.5 * n3 - 0.25)))) * 1000)::BIGINT AS total FROM n WHERE rw = 16 AND rh = 16 GROUP BY ALL"))
+@query("s2_custom_scorer", sql("pixels scenes", _PTILES + """, f AS (SELECT scene_id, col0, row0, sum(1 / (1 + exp(-(2.0 * n1 - 1.0 * n2 + 0.5 * n3 - 0.25)))) AS inside, 256 - any_value(rw * rh) AS padding,
+  any_value(CASE WHEN h1 > l1 THEN -l1 / (h1 - l1) ELSE 0 END) AS e1, any_value(CASE WHEN h2 > l2 THEN -l2 / (h2 - l2) ELSE 0 END) AS e2, any_value(CASE WHEN h3 > l3 THEN -l3 / (h3 - l3) ELSE 0 END) AS e3 FROM n GROUP BY ALL)
+SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, round((inside + padding / (1 + exp(-(2.0 * e1 - 1.0 * e2 + 0.5 * e3 - 0.25)))) * 1000)::BIGINT AS total FROM f"""))
 def s2(spark, sf):
     def make():
         import numpy as np
@@ -465,6 +475,19 @@ def s3(spark, sf):
     return _prediction(spark, sf).select("scene_id", "y", "x", _milli("mean", "mean"), "mask")
 
 
+_BLENDED = " SELECT scene_id, y::BIGINT AS y, x::BIGINT AS x, round(mean * 1000000)::BIGINT AS mean, (mean > 0.5)::INT AS mask FROM q"
+
+
+@query("s3_s4_blended_quarter", sql("pixels scenes", _tiles_sql(12) + _BLENDED))
+def s3_quarter(spark, sf):
+    return _prediction(spark, sf, 0.25).select("scene_id", "y", "x", _milli("mean", "mean"), "mask")
+
+
+@query("s3_s4_blended_two_fifths", sql("pixels scenes", _tiles_sql(9) + _BLENDED))
+def s3_two_fifths(spark, sf):
+    return _prediction(spark, sf, 0.4).select("scene_id", "y", "x", _milli("mean", "mean"), "mask")
+
+
 _REGIONS = """e AS (SELECT a.scene_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM pos a JOIN pos b ON a.scene_id = b.scene_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
 reach(scene_id, y, x, k) AS (SELECT scene_id, y, x, y * 1000 + x FROM pos UNION SELECT e.scene_id, y2, x2, min(k) FROM reach r JOIN e ON e.scene_id = r.scene_id AND e.y = r.y AND e.x = r.x GROUP BY ALL),
 g AS (SELECT scene_id, y, x, min(k) AS k FROM reach GROUP BY ALL)"""
@@ -483,8 +506,7 @@ def s5(spark, sf):
 @query("s5_region_polygons", sql("pixels", "pos AS (SELECT scene_id, y, x FROM pixels WHERE ref_mask = 1),\n" + _REGIONS + " SELECT scene_id, (min(y) * 1000 + arg_min(x, y * 1000 + x))::BIGINT AS first_pixel, round(count(*) * 0.25 * 4)::BIGINT AS quarters FROM g GROUP BY scene_id, k", recursive=True))
 def s5_polygons(spark, sf):
     made = polygonize.polygons_of(stored(_regions(spark, sf)), fx.scenes(spark, sf))
-    first = F.shiftright("poly_id", 24) % (1 << 24) * 1000 + F.col("poly_id") % (1 << 24)
-    return made.select("scene_id", first.cast("long").alias("first_pixel"), F.round(clean.area(F.col("parts")) * 4).cast("long").alias("quarters"))
+    return made.select("scene_id", (F.col("first_y") * 1000 + F.col("first_x")).alias("first_pixel"), F.round(clean.area(F.col("parts")) * 4).cast("long").alias("quarters"))
 
 
 @query("s7_prediction_summary", sql("pixels scenes", _PTILES + " SELECT s.scene_id, width::INT AS width, height::INT AS height, (SELECT count(*) FROM t WHERE t.scene_id = s.scene_id)::BIGINT AS n_tiles, 'both' AS outputs FROM scenes s"))
@@ -581,6 +603,11 @@ def j6_predict(spark, sf):
     return _prediction(spark, sf).groupBy("scene_id").agg(F.count("*").alias("n_pixels"), F.sum("mask").alias("n_positive"))
 
 
+@query("j6_predict_uneven_overlap", sql("pixels scenes", _tiles_sql(9) + " SELECT scene_id, count(*)::BIGINT AS n_pixels, sum((mean > 0.5)::INT)::BIGINT AS n_positive FROM q GROUP BY ALL"))
+def j6_uneven(spark, sf):
+    return _prediction(spark, sf, 0.4).groupBy("scene_id").agg(F.count("*").alias("n_pixels"), F.sum("mask").alias("n_positive"))
+
+
 @query("j6_j7_predict_and_clean")
 def j7(spark, sf):
     scenes = fx.scenes(spark, sf)
