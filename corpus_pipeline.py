@@ -38,7 +38,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in text and n_chars as it is then."""
-    masked = secrets.masked(docs)
+    import public_tokenizers
+
+    masked = secrets.masked(docs, secrets.known_words(docs, public_tokenizers.path("byte_bpe_50k.json")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
     return masked
