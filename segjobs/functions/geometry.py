@@ -140,11 +140,8 @@ def covered(points: np.ndarray, edges: np.ndarray, first: np.ndarray) -> np.ndar
     return out
 
 
-def dissolved(polygons: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """The union as polygons (shell first, then holes): parts of edges with the union on one side only, stitched.
-
-    Polygons that meet in corners alone stay separate.
-    """
+def union_edges(polygons: list[list[np.ndarray]]) -> np.ndarray:
+    """The boundary of the union, as edges (n x 4) with the union on their left: parts of edges with it on one side only."""
     per = [np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in rings]) for rings in polygons]
     edges = np.concatenate(per)
     first = np.cumsum([0, *map(len, per)])[:-1]
@@ -155,15 +152,62 @@ def dissolved(polygons: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
     side = np.stack([-d[:, 1], d[:, 0]], axis=1) / length[:, None] * np.minimum(length, 1e-3)[:, None] * 1e-3
     middle = (parts[:, :2] + parts[:, 2:]) / 2
     left, right = covered(middle + side, edges, first), covered(middle - side, edges, first)
-    keep = {tuple(p) for p in parts[left & ~right].tolist()} | {(c, e, a, b) for a, b, c, e in parts[right & ~left].tolist()}
-    rings = stitched([((a, b), (c, e)) for a, b, c, e in sorted(keep)], right_first=False)
+    return np.unique(np.concatenate([parts[left & ~right], parts[right & ~left][:, [2, 3, 0, 1]]]), axis=0)
+
+
+def from_edges(edges: np.ndarray) -> list[list[np.ndarray]]:
+    """Polygons (shell first, then holes) of a boundary's edges. Polygons that meet in corners alone stay separate."""
+    rings = stitched([((a, b), (c, e)) for a, b, c, e in edges.tolist()], right_first=False)
     rings = [r for r in rings if len(r) >= 4 and abs(signed_area(r)) > 1e-12]
     shells = [r for r in rings if signed_area(r) > 0]
     out = [[s] for s in shells]
+    boxes = np.array([[*s.min(axis=0), *s.max(axis=0)] for s in shells]).reshape(-1, 4)
     for hole in (r for r in rings if signed_area(r) < 0):
         d = hole[1] - hole[0]
         inner = (hole[0] + hole[1]) / 2 + np.array([-d[1], d[0]]) * 1e-6  # on the union's side of the hole's edge
-        around = [k for k, s in enumerate(shells) if covered(inner[None], np.concatenate([s[:-1], s[1:]], axis=1), np.zeros(1, int))[0]]
+        near = np.flatnonzero((boxes[:, :2] <= inner).all(axis=1) & (inner <= boxes[:, 2:]).all(axis=1)).tolist()
+        around = [k for k in near if covered(inner[None], np.concatenate([shells[k][:-1], shells[k][1:]], axis=1), np.zeros(1, int))[0]]
         if around:
             out[min(around, key=lambda k: signed_area(shells[k]))].append(hole)
     return out
+
+
+def dissolved(polygons: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """The union as polygons (shell first, then holes). Polygons that meet in corners alone stay separate."""
+    return from_edges(union_edges(polygons))
+
+
+def clipped(ring: np.ndarray, axis: int, low: float, high: float) -> np.ndarray:
+    """A closed ring cut to low..high along an axis (Sutherland-Hodgman); parts of it may run to and fro along the cut."""
+    for bound, sign in ((low, 1.0), (high, -1.0)):
+        if len(ring) < 4:
+            return ring[:0]
+        p = ring[:-1]
+        q = np.roll(p, -1, axis=0)
+        inside, after = sign * (p[:, axis] - bound) >= 0, sign * (q[:, axis] - bound) >= 0
+        if inside.all():
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (bound - p[:, axis]) / (q[:, axis] - p[:, axis])
+            cut = p + t[:, None] * (q - p)
+        cut[:, axis] = bound
+        both = np.stack([p, cut], axis=1).reshape(-1, 2)
+        both = both[np.stack([inside, inside != after], axis=1).ravel()]
+        ring = np.concatenate([both, both[:1]]) if len(both) >= 3 else ring[:0]
+    return ring
+
+
+def cancelled(low: np.ndarray, high: np.ndarray, way: np.ndarray) -> list[tuple[float, float, int]]:
+    """Stretches of one line (low..high, way 1 or -1) that are left where those of opposite ways cancel, joined."""
+    at = np.unique(np.concatenate([low, high]))
+    net = np.zeros(len(at), np.int64)
+    np.add.at(net, np.searchsorted(at, low), way)
+    np.subtract.at(net, np.searchsorted(at, high), way)
+    net = np.sign(np.cumsum(net))[:-1]
+    out: list[tuple[float, float, int]] = []
+    for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), net.tolist(), strict=True):
+        if w and out and out[-1][1] == a and out[-1][2] == w:
+            out[-1] = (out[-1][0], b, w)
+        elif w:
+            out.append((a, b, w))
+    return out

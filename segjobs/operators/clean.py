@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segjobs.functions.geometry import chaikin, dissolved, simplified
+from segjobs.functions.geometry import cancelled, chaikin, clipped, from_edges, simplified, union_edges
 from segjobs.functions.graph import components
-from segjobs.functions.shared import stored
+from segjobs.functions.shared import small, stored
 from segjobs.operators.validate import bounds, check_not_empty, problem
 
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
-CELL = 16.0
+GRID = 256
 
 
 def ring_area(ring: Column) -> Column:
@@ -43,39 +44,112 @@ def _rows(parts: list[list[np.ndarray]]) -> list:
     return [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings] for rings in parts]
 
 
-def touching(parts: DataFrame, cell: float = CELL) -> DataFrame:
-    """Pairs (a, b) of parts of a scene whose boxes touch: an equi-join on grid cells, each pair from one cell."""
-    boxed = bounds(parts.withColumn("parts", F.array("rings"))).select("scene_id", "part_id", "min_x", "min_y", "max_x", "max_y")
-    along = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell).cast("long"), F.floor(F.col(high) / cell).cast("long")))
-    cells = boxed.withColumn("cx", along("min_x", "max_x")).withColumn("cy", along("min_y", "max_y"))
-    a = cells.select("scene_id", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in ("part_id", "min_x", "min_y", "max_x", "max_y")])
-    b = cells.select("scene_id", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("part_id", "min_x", "min_y", "max_x", "max_y")])
+def celled(parts: DataFrame) -> DataFrame:
+    """parts (scene_id, part_id, rings) with their box and cell, the side of the scene's grid: twice the median side of
+    a box, so that most parts meet few cells, and at least 1 / ``GRID`` of the scene, so that none meets too many."""
+    boxed = bounds(parts.withColumn("parts", F.array("rings"))).drop("parts")
+    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    width, height = F.max("max_x") - F.min("min_x"), F.max("max_y") - F.min("min_y")
+    by_scene = boxed.groupBy("scene_id").agg(F.greatest(2 * F.percentile_approx(side, 0.5), F.greatest(width, height) / GRID, F.lit(1e-6)).alias("cell"))
+    return boxed.join(small(stored(by_scene)), "scene_id")
+
+
+def _cells(low: str, high: str):
+    number = lambda c: F.floor(F.col(c) / F.col("cell")).cast("long")
+    return F.explode(F.sequence(number(low), number(high)))
+
+
+def touching(parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of parts (from celled()) of a scene whose boxes touch: an equi-join on grid cells, each pair from one cell."""
+    own = ("part_id", "min_x", "min_y", "max_x", "max_y")
+    cells = parts.select("scene_id", "cell", *own).withColumn("cx", _cells("min_x", "max_x")).withColumn("cy", _cells("min_y", "max_y"))
+    a, b = (cells.select("scene_id", "cell", "cx", "cy", *[F.col(c).alias(f"{k}_{c}") for c in own]) for k in "ab")
     meet = "a_part_id < b_part_id AND a_min_x <= b_max_x AND b_min_x <= a_max_x AND a_min_y <= b_max_y AND b_min_y <= a_max_y"
-    once = (F.col("cx") == F.floor(F.greatest("a_min_x", "b_min_x") / cell)) & (F.col("cy") == F.floor(F.greatest("a_min_y", "b_min_y") / cell))
-    return a.join(b, ["scene_id", "cx", "cy"]).where(F.expr(meet) & once).select(F.col("a_part_id").alias("a"), F.col("b_part_id").alias("b"))
+    once = (F.col("cx") == F.floor(F.greatest("a_min_x", "b_min_x") / F.col("cell"))) & (F.col("cy") == F.floor(F.greatest("a_min_y", "b_min_y") / F.col("cell")))
+    found = a.join(b.drop("cell"), ["scene_id", "cx", "cy"]).where(F.expr(meet) & once)
+    return found.select(F.col("a_part_id").alias("a"), F.col("b_part_id").alias("b"))
+
+
+_EDGES = "scene_id bigint, cluster bigint, ax double, ay double, bx double, by double"
+
 
+def _edge_table(scene_id: int, cluster: int, edges: np.ndarray) -> pa.Table:
+    same = lambda v: pa.array(np.full(len(edges), v, np.int64))
+    columns = [same(scene_id), same(cluster), *(pa.array(np.ascontiguousarray(edges[:, k], np.float64)) for k in range(4))]
+    return pa.table(columns, names=["scene_id", "cluster", "ax", "ay", "bx", "by"])
 
-def merged(polygons: DataFrame, cell: float = CELL) -> DataFrame:
+
+def pieces(parts: DataFrame) -> DataFrame:
+    """scene_id, cluster, cell, cx, cy, rings of parts (scene_id, cluster, cell, rings), cut at the borders of cells. Row by row."""
+
+    def rows(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                cell, found = r["cell"], []
+                rings = [np.round(x, 9) for x in _points([r["rings"]])[0]]
+                for cx in range(math.floor(rings[0][:, 0].min() / cell), math.floor(rings[0][:, 0].max() / cell) + 1):
+                    strip = [c for c in (clipped(x, 0, cx * cell, (cx + 1) * cell) for x in rings) if len(c)]
+                    if not strip:
+                        continue
+                    for cy in range(math.floor(strip[0][:, 1].min() / cell), math.floor(strip[0][:, 1].max() / cell) + 1):
+                        cut = [c for c in (clipped(x, 1, cy * cell, (cy + 1) * cell) for x in strip) if len(c)]
+                        if cut:
+                            found.append((cx, cy, _rows([cut])[0]))
+                n = len(found)
+                head = [pa.array([r[c]] * n, t) for c, t in (("scene_id", pa.int64()), ("cluster", pa.int64()), ("cell", pa.float64()))]
+                rest = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*head, *rest, pa.array([f[2] for f in found], batch.column(3).type)], ["scene_id", "cluster", "cell", "cx", "cy", "rings"])
+
+    schema = "scene_id bigint, cluster bigint, cell double, cx bigint, cy bigint, rings array<array<struct<x:double,y:double>>>"
+    return parts.select("scene_id", "cluster", "cell", "rings").mapInArrow(rows, schema)
+
+
+def merged(polygons: DataFrame) -> DataFrame:
     """scene_id, parts: the union of touching and overlapping polygons, one row for each separate polygon.
 
-    Parts whose boxes touch are clusters, by connected components. A cluster is dissolved in two rounds: first its parts in
-    each square of four cells, which drops most inner edges, then what is left of the cluster.
+    Parts whose boxes touch are clusters, by connected components. They are cut at the borders of grid cells, and a task
+    unites what one cell has of a cluster. Along cell borders, edges of neighbours cancel, line by line. What is left is
+    the outline of the union; only it, not the parts, goes to one task for a cluster, to be stitched into rings.
     """
-    single = stored(usable(polygons).select("scene_id", "poly_id", F.posexplode("parts").alias("k", "rings")).where(F.size("rings") > 0).select("scene_id", F.xxhash64("scene_id", "poly_id", "k").alias("part_id"), "rings"))
-    roots = components(touching(single, cell)).select(F.col("node").alias("part_id"), "root")
+    single = usable(polygons).select("scene_id", "poly_id", F.posexplode("parts").alias("k", "rings")).where(F.size("rings") > 0)
+    single = single.select(F.col("scene_id").cast("long").alias("scene_id"), F.xxhash64("scene_id", "poly_id", "k").alias("part_id"), "rings")
+    single = stored(celled(stored(single)))
+    roots = components(touching(single)).select(F.col("node").alias("part_id"), "root")
     own = single.join(roots, "part_id", "left").withColumn("cluster", F.coalesce("root", "part_id"))
-    corner = lambda axis: F.floor(F.array_min(F.transform(F.col("rings")[0], lambda p: p[axis])) / (4 * cell))
-
-    schema = "scene_id bigint, cluster bigint, rings array<array<struct<x:double,y:double>>>"
-
-    def union(group: pa.Table) -> pa.Table:
-        rings = group.column("rings")
-        made = dissolved(_points(rings.to_pylist())) if len(rings) > 1 else _points(rings.to_pylist())
-        same = lambda c: pa.array([group.column(c)[0].as_py()] * len(made), pa.int64())
-        return pa.table({"scene_id": same("scene_id"), "cluster": same("cluster"), "rings": pa.array(_rows(made), rings.type)})
 
-    near = own.withColumns({"cx": corner("x"), "cy": corner("y")}).groupBy("scene_id", "cluster", "cx", "cy").applyInArrow(union, schema)
-    whole = near.groupBy("scene_id", "cluster").applyInArrow(union, schema)
+    def unite(group: pa.Table) -> pa.Table:
+        first = lambda c: group.column(c)[0].as_py()
+        edges = union_edges(_points(group.column("rings").to_pylist()))
+        made = _edge_table(first("scene_id"), first("cluster"), edges)
+        # The border on which an edge lies: the number of its line, and of the cell along it.
+        cell, (cx, cy) = first("cell"), (first("cx"), first("cy"))
+        line = np.full(len(edges), None, object)
+        for axis, n, along in (("x", cx, cy), ("y", cy, cx)):
+            a, b = (edges[:, 0], edges[:, 2]) if axis == "x" else (edges[:, 1], edges[:, 3])
+            for k in (n, n + 1):
+                line[(a == np.round(k * cell, 9)) & (b == np.round(k * cell, 9))] = f"{axis}:{k}:{along}"
+        return made.append_column("line", pa.array(line.tolist(), pa.string()))
+
+    edges = stored(pieces(own).groupBy("scene_id", "cluster", "cx", "cy").applyInArrow(unite, _EDGES + ", line string"))
+
+    def cancel(group: pa.Table) -> pa.Table:
+        ax, ay, bx, by = (group.column(c).to_numpy() for c in ("ax", "ay", "bx", "by"))
+        upright = group.column("line")[0].as_py().startswith("x")
+        at, a, b = (ax[0], ay, by) if upright else (ay[0], ax, bx)
+        left = cancelled(np.minimum(a, b), np.maximum(a, b), np.where(b > a, 1, -1))
+        ends = [(p, q) if way > 0 else (q, p) for p, q, way in left]
+        out = np.array([(at, p, at, q) if upright else (p, at, q, at) for p, q in ends], np.float64).reshape(-1, 4)
+        return _edge_table(group.column("scene_id")[0].as_py(), group.column("cluster")[0].as_py(), out)
+
+    border = edges.where("line IS NOT NULL").groupBy("scene_id", "cluster", "line").applyInArrow(cancel, _EDGES)
+    outline = edges.where("line IS NULL").drop("line").unionByName(border)
+
+    def stitch(group: pa.Table) -> pa.Table:
+        made = from_edges(np.stack([group.column(c).to_numpy() for c in ("ax", "ay", "bx", "by")], axis=1))
+        scene = pa.array([group.column("scene_id")[0].as_py()] * len(made), pa.int64())
+        return pa.table({"scene_id": scene, "rings": pa.array(_rows(made), pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))})
+
+    whole = outline.groupBy("scene_id", "cluster").applyInArrow(stitch, "scene_id bigint, rings array<array<struct<x:double,y:double>>>")
     return whole.select("scene_id", F.array("rings").alias("parts"))
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segjobs.functions.shared import stored
 from segjobs.operators import augment, clip, grid, losses, metrics, polygonize, prepare, score, split, validate
-from segjobs.operators.clean import Steps, cleaned
-from segjobs.sources import catalog
+from segjobs.operators.clean import Steps, cleaned, usable
+from segjobs.sources import catalog, sinks
 
 BANDS = ["b1", "b2", "b3"]
 
@@ -19,20 +19,48 @@ def clipped_tiles(pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, win
     """scene_id, tile_idx, tile_name, size, bands, mask, gt of the windows with a covered pixel. Masks come first: windows
     without one never pull pixels."""
     validate.check_not_empty(polygons, "polygons")
-    masks = clip.tile_masks(stored(clip.burned_runs(polygons, scenes)), scenes, window, stride, burn)
-    pixels = clip.clip_pixels(pixels, scenes, window, stride).join(masks.select("scene_id", "tile_idx"), ["scene_id", "tile_idx"], "left_semi")
+    runs = stored(clip.burned_runs(polygons, scenes))
+    masks = stored(clip.tile_masks(runs, scenes, window, stride, burn))
+    places = grid.training_grid(scenes, window, stride).select("scene_id", "tile_idx", "i", "j", "gt")
+    places = stored(places.join(masks.select("scene_id", "tile_idx"), ["scene_id", "tile_idx"], "left_semi"))
+    pixels = clip.clip_pixels(clip.wanted_pixels(pixels, places, window, stride), scenes, window, stride)
+    pixels = pixels.join(masks.select("scene_id", "tile_idx"), ["scene_id", "tile_idx"], "left_semi")
     tiles = clip.tiles_of(pixels, window, bands or BANDS)
-    places = grid.training_grid(scenes, window, stride).select("scene_id", "tile_idx", "gt")
-    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(places, ["scene_id", "tile_idx"])
-
-
-def run_clipping(spark: SparkSession, root: str, prefix: str, pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, window: int, stride: int, burn: int = 255) -> int:
-    """A new clipping version; its number."""
-    if not validate.wrong_types(polygons).isEmpty() or not validate.crs_mismatches(scenes, polygons).isEmpty():
-        raise ValueError("polygons of a wrong type, or in another reference system than their scene")
-    made = stored(clipped_tiles(pixels, scenes, polygons, window, stride, burn))
+    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(places.drop("i", "j"), ["scene_id", "tile_idx"])
+
+
+def check_clipping(scenes: DataFrame, polygons: DataFrame, window: int, stride: int, budget: int | None = None) -> dict[str, int]:
+    """Errors for what cannot be clipped; else counts to warn of. ``budget``: bytes that the tiles may need.
+
+    Square pixels are needed, since windows have as many rows as columns of the same size.
+    """
+    checks = {
+        "polygons of a wrong type": validate.wrong_types(polygons),
+        "polygons in another reference system than their scene": validate.crs_mismatches(scenes, polygons),
+        "scenes without polygons in their extent": validate.without_overlap(scenes, polygons.where("parts IS NOT NULL")),
+        "scenes whose pixels are not square": validate.uneven_pixels(scenes),
+    }
+    for what, rows in checks.items():
+        if not rows.isEmpty():
+            raise ValueError(f"there are {what}")
+    need = grid.storage_estimate(scenes, window, stride).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    if budget is not None and need > budget:
+        raise ValueError(f"the tiles may need {need} bytes, more than {budget}")
+    empty = validate.scenes_without_polygons(scenes, polygons).count()
+    return {"estimated_bytes": need, "invalid_polygons": validate.invalid(polygons).count(), "scenes_without_polygons": empty}
+
+
+def run_clipping(
+    spark: SparkSession, root: str, prefix: str, pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, window: int, stride: int,
+    burn: int = 255, bands: list[str] | None = None, budget: int | None = None,
+) -> int:
+    """A new clipping version, of all given bands; its number."""
+    bands = bands or BANDS
+    warnings = check_clipping(scenes, polygons, window, stride, budget)
+    made = stored(clipped_tiles(pixels, scenes, polygons, window, stride, burn, bands))
     counts = clip.clip_counts(scenes, made, window, stride).agg(F.sum("tile_count"), F.sum("skipped_count")).first()
-    info = {"window_size": window, "stride": stride, "burn_value": burn, "band_count": len(BANDS), "total_tiles": counts[0] or 0, "skipped_tiles": counts[1] or 0, "invalid_polygons": validate.invalid(polygons).count()}
+    info = {"window_size": window, "stride": stride, "burn_value": burn, "band_count": len(bands)}
+    info |= {"total_tiles": counts[0] or 0, "skipped_tiles": counts[1] or 0, **warnings}
     return catalog.write_version(made, root, prefix, "clipping", info)
 
 
@@ -56,9 +84,9 @@ def run_augmentation(spark: SparkSession, root: str, prefix: str, splitting: int
     return catalog.write_version(made, root, prefix, "augmented", {"based_on_splitting_version": splitting, "based_on_clipping_version": clipping, "methods": ",".join(methods), **counts}, "subset")
 
 
-def run_all(spark: SparkSession, root: str, prefix: str, pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, window: int, stride: int, methods: Iterable[str]) -> tuple[int, int, int]:
+def run_all(spark: SparkSession, root: str, prefix: str, pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, window: int, stride: int, methods: Iterable[str], bands: list[str] | None = None) -> tuple[int, int, int]:
     """All three stages, each from the version just written."""
-    clipping = run_clipping(spark, root, prefix, pixels, scenes, polygons, window, stride)
+    clipping = run_clipping(spark, root, prefix, pixels, scenes, polygons, window, stride, bands=bands)
     splitting = run_splitting(spark, root, prefix, clipping)
     return clipping, splitting, run_augmentation(spark, root, prefix, splitting, methods, clipping)
 
@@ -70,6 +98,27 @@ def evaluate(images: DataFrame, masks: DataFrame, logits: DataFrame) -> DataFram
     return metrics.tile_and_overall(counts)
 
 
+def run_evaluation(images: DataFrame, masks: DataFrame, make_scorer: Callable[[], score.Scorer], path: str, n_samples: int = 8) -> DataFrame:
+    """evaluate() with logits from a model, on bands scaled by tile, written below path: metrics by tile as CSV (metrics),
+    predicted masks (masks), and evenly spaced tiles with image, truth, prediction and IoU (samples).
+
+    images: tile_name, size, bands, gt, crs; masks: tile_name, mask. Tiles are scored once, and written before use.
+    """
+    tiles = prepare.paired(images, masks)
+    chances = score.scored(prepare.normalized(tiles.select("tile_name", "size", "bands")), make_scorer)
+    logit = F.transform("prob", lambda p: F.log(p / (1 - p)))
+    scored = stored(tiles.join(chances.select("tile_name", logit.alias("z")), "tile_name"))
+    counts = stored(metrics.tile_confusion(scored).select(F.lit("test").alias("split"), "tile_name", "tp", "fp", "tn", "fn"))
+    out = stored(metrics.tile_and_overall(counts))
+    sinks.write_metrics(out.where("tile_name IS NOT NULL"), f"{path}/metrics")
+    predicted = scored.select("tile_name", F.transform("z", metrics.predicted).alias("predicted"))
+    sinks.tile_masks(predicted, images).write.parquet(f"{path}/masks")
+    chosen = metrics.evenly_spaced(scored.select("tile_name"), n_samples).select("tile_name")
+    samples = scored.select("tile_name", "bands", "mask").join(predicted, "tile_name").join(out.select("tile_name", "iou"), "tile_name")
+    samples.join(chosen, "tile_name", "left_semi").write.parquet(f"{path}/samples")
+    return out
+
+
 def predict(pixels: DataFrame, scenes: DataFrame, size: int, overlap: float, weights: list[float], bias: float, threshold: float = 0.5, bands: list[str] | None = None, sizes: tuple[int, ...] = validate.TILE_SIZES) -> DataFrame:
     """scene_id, y, x, mean, mask of every pixel, from a linear scorer on bands scaled by tile, blended where tiles overlap."""
     bands = bands or BANDS
@@ -85,14 +134,32 @@ def predict_polygons(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     return polygonize.polygons_of(stored(polygonize.regions(mask.where("mask = 1"))), scenes)
 
 
-def postprocess(polygons: DataFrame, steps: Steps) -> DataFrame:
-    return cleaned(polygons, steps)
+def run_prediction(pixels: DataFrame, scenes: DataFrame, path: str, size: int, overlap: float, weights: list[float], bias: float, outputs: str = "both", **options) -> DataFrame:
+    """predict() written below path as raster, vector or both; a summary by scene. options: as for predict()."""
+    mask = stored(predict(pixels, scenes, size, overlap, weights, bias, **options))
+    polygons = predict_polygons(mask, scenes) if outputs != "raster" else None
+    sinks.write_prediction(mask, polygons, path, outputs)
+    return score.prediction_summary(scenes, grid.prediction_grid(scenes, size, overlap), outputs)
+
+
+def postprocess(polygons: DataFrame, steps: Steps, path: str | None = None) -> tuple[DataFrame, int, int]:
+    """The cleaned polygons, written as multipolygons if there is a path, and the counts of usable ones before and after."""
+    made = stored(cleaned(polygons, steps))
+    if path is not None:
+        sinks.multipolygons(made.select("scene_id", "parts")).write.parquet(path)
+    return made, usable(polygons).count(), made.count()
 
 
-def validation_epoch(images: DataFrame, masks: DataFrame, logits: DataFrame, batch_size: int) -> DataFrame:
-    """val_loss, val_iou, val_f1 and n_batches: plain means over batches of tiles by name."""
+def validation_epoch(images: DataFrame, masks: DataFrame, logits: DataFrame, batch_size: int, log_path: str | None = None, run_id: int = 0, epoch: int = 0, train_loss: float | None = None) -> DataFrame:
+    """val_loss, val_iou, val_f1 and n_batches: plain means over batches of tiles by name. With a log_path they are
+    appended to the epoch log there."""
     tiles = prepare.paired(images, masks).join(logits.select("tile_name", "z"), "tile_name")
     rows = stored(split.batches(tiles.select("tile_name", "z", "mask"), batch_size))
     pixels = rows.select("batch", F.explode(F.arrays_zip("z", "mask")).alias("v")).select("batch", F.col("v.z").alias("z"), (F.col("v.mask") > 0).cast("int").alias("t"))
     loss = losses.epoch_loss(losses.batch_losses(pixels, "batch")).select(F.col("loss").alias("val_loss"))
-    return loss.crossJoin(metrics.batch_means(metrics.tile_confusion(rows)))  # one row and one row
+    out = loss.crossJoin(metrics.batch_means(metrics.tile_confusion(rows)))  # one row and one row
+    if log_path is not None:
+        out = stored(out)
+        line = out.select(F.lit(run_id).alias("run_id"), F.lit(epoch).alias("epoch"), F.lit(train_loss).cast("double").alias("train_loss"), "val_loss", "val_iou", "val_f1")
+        sinks.append_epochs(line, log_path)
+    return out

@@ -42,6 +42,12 @@ def without_overlap(scenes: DataFrame, polygons: DataFrame) -> DataFrame:
     return scene_bounds(scenes).join(extent, "scene_id").where("x1 < west OR x0 > east OR y1 < south OR y0 > north").select("scene_id")
 
 
+def uneven_pixels(scenes: DataFrame) -> DataFrame:
+    """Scenes whose pixels are not square, or turned."""
+    square = (F.abs("gt.pw") == F.abs("gt.ph")) & (F.coalesce("gt.rx", F.lit(0.0)) == 0) & (F.coalesce("gt.ry", F.lit(0.0)) == 0)
+    return scenes.where(~square).select("scene_id")
+
+
 def crosses(ring: np.ndarray) -> bool:
     """Whether two edges of a closed ring that are no neighbours meet. For long rings in blocks of edges."""
     a, b = ring[:-1], ring[1:]

@@ -612,7 +612,7 @@ def j6_uneven(spark, sf):
 def j7(spark, sf):
     scenes = fx.scenes(spark, sf)
     polygons = jobs.predict_polygons(_prediction(spark, sf), scenes)
-    made = jobs.postprocess(polygons, clean.Steps(min_hole_area=1.0, min_area=1.0, tolerance=0.25, smooth_rounds=1))
+    made, _, _ = jobs.postprocess(polygons, clean.Steps(min_hole_area=1.0, min_area=1.0, tolerance=0.25, smooth_rounds=1))
     return made.groupBy("scene_id").agg(F.count("*").alias("n_polygons"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli"))
 
 

@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from segjobs.functions.graph import components
 from segjobs.functions.ranking import ranked
-from segjobs.operators import augment, clean, grid, jobs, metrics, score, split, validate
-from segjobs.sources import catalog
+from segjobs.operators import augment, clean, clip, grid, jobs, metrics, polygonize, score, split, validate
+from segjobs.sources import catalog, sinks
 from segjobs.sources import fixtures as fx
 
 
@@ -115,3 +115,74 @@ def test_merge_keeps_area_and_is_idempotent(spark):
     areas = sorted(r[0] for r in once.select(clean.area(F.col("parts"))).collect())
     assert areas == pytest.approx([4, 4, 31])
     assert sorted(r[0] for r in clean.merged(once).select(clean.area(F.col("parts"))).collect()) == pytest.approx(areas)
+
+
+def ring(x, y, w, h):
+    return [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))]
+
+
+def test_merge_of_a_long_chain_and_of_a_large_one_over_many_small_ones(spark):
+    rows = [(k, 0, [[ring(k, 0, 1, 1 + k % 2)]]) for k in range(1500)]
+    rows += [(5000 + k, 1, [[ring(7 * k, 7 * k, 1, 1)]]) for k in range(60)] + [(6000, 1, [[ring(-0.5, -0.5, 430, 430), ring(100.25, 20.25, 3, 3)]])]
+    polygons = spark.createDataFrame(rows, f"poly_id bigint, scene_id bigint, parts {clean.PARTS}")
+    made = {r["scene_id"]: r for r in clean.merged(polygons).select("scene_id", clean.area(F.col("parts")).alias("area"), F.size(F.col("parts")[0]).alias("rings")).collect()}
+    assert made[0]["area"] == pytest.approx(1500 * 1.5) and made[1]["area"] == pytest.approx(430 * 430 - 9) and made[1]["rings"] == 2
+
+
+def test_regions_of_scenes_of_any_number(spark):
+    far = 1 << 40
+    rows = [(s, y, x) for s in (1, 65537, far) for y, x in ((0, 0), (0, 1), (9, 9))]
+    found = polygonize.regions(spark.createDataFrame(rows, "scene_id bigint, y bigint, x bigint"), 4).collect()
+    assert len(found) == len(rows) and len({r["region"] for r in found}) == 6
+    assert {(r["first_y"], r["first_x"]) for r in found} == {(0, 0), (9, 9)}
+
+
+@pytest.mark.parametrize("overlap", [0.0, 0.25, 0.4, 0.5, 0.9])
+def test_prediction_returns_every_pixel(spark, sf_dir, overlap):
+    pixels, scenes = fx.pixels(spark, sf_dir), fx.scenes(spark, sf_dir)
+    made = jobs.predict(pixels, scenes, 16, overlap, [2.0, -1.0, 0.5], -0.25, sizes=(16,))
+    assert made.select("scene_id", "y", "x").distinct().count() == made.count() == pixels.count()
+
+
+def test_burning_of_parts_that_overlap():
+    parts = [[ring(0, -4, 4, 4)], [ring(2, -6, 4, 4)]]
+    runs = clip.burn_rows(parts, 0, 0, 1, 10, 10)
+    assert {(y, x) for y, a, b in runs for x in range(a, b + 1)} == {(y, x) for y in range(4) for x in range(4)} | {(y, x) for y in range(2, 6) for x in range(2, 6)}
+
+
+def test_mask_of_one_large_tile(spark):
+    scenes = spark.createDataFrame([(0, "s", 1024, 1024)], "scene_id bigint, name string, width int, height int")
+    runs = spark.createDataFrame([(0, y, 0, 1023) for y in range(1024)] + [(0, 5, 3, 9)], "scene_id bigint, y bigint, x0 bigint, x1 bigint")
+    got = clip.tile_masks(runs, scenes, 1024, 1024, 7).select(F.size("mask").alias("n"), F.expr("aggregate(mask, 0L, (a, v) -> a + v)").alias("total")).collect()
+    assert [(r["n"], r["total"]) for r in got] == [(1 << 20, 7 << 20)]
+
+
+def test_clipping_is_checked_first(spark, sf_dir):
+    scenes, polygons = fx.scenes(spark, sf_dir), fx.polygons(spark, sf_dir)
+    assert jobs.check_clipping(scenes, polygons, 8, 4)["estimated_bytes"] > 0
+    wide = scenes.withColumn("gt", F.col("gt").withField("ph", F.lit(-0.25)))
+    away = polygons.withColumn("parts", F.transform("parts", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] + 1e6).alias("x"), p["y"].alias("y"))))))
+    for what, args in (("square", (wide, polygons, 8, 4)), ("extent", (scenes, away, 8, 4)), ("bytes", (scenes, polygons, 8, 4, 10)), ("type", (scenes, polygons.withColumn("geom_type", F.lit("Point")), 8, 4))):
+        with pytest.raises(ValueError, match=what):
+            jobs.check_clipping(*args)
+
+
+def test_outputs_of_jobs(spark, sf_dir, tmp_path):
+    root = f"file://{tmp_path}"
+    images = fx.images(spark, sf_dir).withColumns({"gt": F.lit(1), "crs": F.lit("c")})
+    out = jobs.run_evaluation(images, fx.masks(spark, sf_dir), lambda: lambda x: x[:, 0] * 4 - 2, f"{root}/e", 4)
+    n = out.where("tile_name IS NOT NULL").count()
+    assert spark.read.option("header", True).csv(f"{root}/e/metrics").count() == n == spark.read.parquet(f"{root}/e/masks").count()
+    assert 4 <= spark.read.parquet(f"{root}/e/samples").where("iou IS NOT NULL").count() < n
+    pixels, scenes = fx.pixels(spark, sf_dir), fx.scenes(spark, sf_dir)
+    for outputs in ("raster", "vector", "both"):
+        made = jobs.run_prediction(pixels, scenes, f"{root}/{outputs}", 16, 0.25, [2.0, -1.0, 0.5], -0.25, outputs, sizes=(16,)).collect()
+        assert {r["outputs"] for r in made} == {outputs}
+        assert {x.name for x in (tmp_path / outputs).iterdir()} == ({"raster", "vector"} if outputs == "both" else {outputs})
+    with pytest.raises(ValueError, match="output"):
+        sinks.write_prediction(pixels, None, f"{root}/none", "neither")
+    cleaned, before, after = jobs.postprocess(fx.predicted_polygons(spark, sf_dir), clean.Steps(min_hole_area=0, min_area=10), f"{root}/clean")
+    assert before > after == cleaned.count() == spark.read.parquet(f"{root}/clean").where("geom_type = 'MultiPolygon'").count()
+    for epoch in (1, 2):
+        jobs.validation_epoch(fx.images(spark, sf_dir), fx.masks(spark, sf_dir), fx.logits(spark, sf_dir), 8, f"{root}/log", 3, epoch, 0.5)
+    assert [r["Epoch"] for r in spark.read.option("header", True).csv(f"{root}/log").orderBy("Epoch").collect()] == ["1", "2"]
