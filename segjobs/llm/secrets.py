@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segjobs.functions.ranking import ranked
 from segjobs.llm import base
 
 # The base patterns, the fewest characters, and the order of kinds.
@@ -49,7 +50,7 @@ _DATE = re.compile(
     r"|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)"
 )
 #: Words of the corpus and of the vocabulary that are known, by their ranks; longest word, repeat and walk that count as one part.
-MAX_WORDS = 50_000
+MAX_WORDS = 20_000
 LONGEST = 32
 
 
@@ -132,13 +133,14 @@ def vocabulary_words(path: str, most: int = MAX_WORDS) -> dict[str, int]:
 def corpus_words(docs: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
     """Ranks of the ``most`` frequent words of all texts, ties by the word; words of letters alone that occur twice or more.
 
-    Words are counted in tasks before the shuffle. Only the ranks, a bounded number, come to the driver.
+    Words are counted in tasks before the shuffle, and ranked over ranges of their counts, so that only the ``most`` words
+    themselves, a bounded number, come to the driver.
     """
     text = F.lower(F.coalesce("text", F.lit("")))
     words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![^\s\p{P}])\p{L}{3,32}(?![^\s\p{P}])"), 0)).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
-    return {r["word"]: k for k, r in enumerate(top, 1)}
+    top = ranked(counts, F.desc("n"), F.asc("word")).where(F.col("rank") <= most)
+    return {r["word"]: r["rank"] for r in top.select("word", "rank").collect()}
 
 
 def known_words(docs: DataFrame | None = None, vocabulary: str | None = None, most: int = MAX_WORDS) -> dict[str, int]:
