@@ -184,7 +184,9 @@ def _surrogates() -> str:
 def _made(parts: DataFrame, keyed: Keyed) -> DataFrame:
     """parts (kind, norm, gender, attempt) with their surrogate."""
     message = "concat_ws('|', kind, norm, attempt)"
-    out = parts.withColumn("script", _script(F.col("norm"))).withColumn("h", F.expr(keyed(message)))
+    # Little to read but much to reckon: over all tasks, whatever the size of the files.
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = parts.repartition(tasks, "kind", "norm").withColumn("script", _script(F.col("norm"))).withColumn("h", F.expr(keyed(message)))
     steps = f"sequence(0, greatest(CAST(length(norm) DIV 10 AS INT), CAST(attempt AS INT)))"
     stream = f"transform({steps}, k -> {keyed('concat_ws(' + chr(39) + '|' + chr(39) + ', h, k)')})"
     out = out.withColumn("stream", F.expr(stream)).withColumn("shaped", F.expr(_SHAPED))
@@ -208,7 +210,7 @@ def mapped(parts: DataFrame, key: str, rounds: int = MAX_ROUNDS) -> DataFrame:
     real = parts.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("taken"))
     todo, done = parts.withColumn("attempt", F.lit(0).cast("long")), None
     for attempt in range(10 * rounds):
-        made = _made(todo, keyed)
+        made = base.stored(_made(todo, keyed))  # else the joins' filters would reckon all of it before it is spread
         first = made.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"), F.lit(True).alias("first"))
         taken = real if done is None else real.unionByName(done.select("kind", "surrogate", F.lit(True).alias("taken")))
         made = made.join(first, ["kind", "surrogate", "norm"], "left").join(taken, ["kind", "surrogate"], "left")
