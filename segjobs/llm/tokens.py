@@ -97,7 +97,7 @@ class UnitEncoder:
     are those tokens.
     """
 
-    def __init__(self, path: str, spaces_count: bool, keep: int = 500_000, control_as_text: bool = False):
+    def __init__(self, path: str, spaces_count: bool, keep: int = 200_000, control_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -237,7 +237,7 @@ def encoder(path: str, spaces_count: bool) -> UnitEncoder:
     return UnitEncoder(path, spaces_count)
 
 
-def groups(texts: list, chars: int = 400_000):
+def groups(texts: list, chars: int = 200_000):
     """(from, to) of neighbouring texts with about so many characters, at least one text each."""
     start = size = 0
     for i, t in enumerate(texts):
