@@ -4,7 +4,8 @@ A turn is ``### role\\n`` + text + ``\\n</turn>\\n``. In texts and roles a backs
 ``###`` and ``</turn>``, so that no text holds a control string, and unescaping gives the text back.
 
 Prefix sums of turn tokens cut a conversation into windows: turns whose sums end in one stretch of ``span`` tokens are new in
-one window. A window starts with the conversation's system turn and up to ``HISTORY_TURNS`` turns from before
+one window. A span is what the budget leaves beside history, system turn and longest turn, or half of the former if turns
+are long. A window starts with the conversation's system turn and up to ``HISTORY_TURNS`` turns from before
 it, within ``history`` tokens and what the system turn and the new turns leave of the budget; both are context. A long
 system turn makes its conversation's spans shorter. Only texts of new assistant turns are under the loss mask, so each is
 a target once. A turn is never cut: a window is over the budget only if a turn is longer than a span.
@@ -67,8 +68,12 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     first = Window.partitionBy("conv_id").orderBy("at")
     is_system = (F.col("at") == 1) & (F.col("role") == "system")
     turns = turns.withColumn("system_tokens", F.first(F.when(is_system, F.col("tokens")).otherwise(0)).over(first.rowsBetween(Window.unboundedPreceding, 0)))
-    # New turns of at most a span each are under two spans together, which fit beside the system turn.
-    own_span = F.greatest(F.lit(1), F.least(F.lit(span), F.floor((budget - F.col("system_tokens") + 1) / 2)))
+    # The turn that a stretch begins within reaches into it by less than the longest turn: with that taken off, the new turns
+    # and all that the history can take fit. If turns are long, two half spans do instead, since turns of at most one stay under both.
+    whole = Window.partitionBy("conv_id")
+    longest = F.coalesce(F.max(F.when(~is_system, F.col("tokens"))).over(whole), F.lit(0))
+    half = F.least(F.lit(span), F.floor((budget - F.col("system_tokens") + 1) / 2))
+    own_span = F.greatest(F.lit(1), half, budget - F.least(F.lit(history), history_turns * longest) - F.col("system_tokens") - longest + 1)
     turns = turns.withColumn("window", F.floor((F.col("upto") - 1) / own_span))
     turns = turns.withColumn("room", F.least(F.lit(history), budget - F.col("system_tokens") - F.sum("tokens").over(Window.partitionBy("conv_id", "window"))))
     turns = turns.withColumn("head", F.concat(F.lit(HEAD), role_line(F.col("role")), F.lit("\n"))).withColumn("body", escaped(F.col("text")))
@@ -132,12 +137,17 @@ t AS (
     14 + length(role) + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) AS size
   FROM c),
 p AS (SELECT *, row_number() OVER w AS nth, sum(tokens) OVER w AS upto FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
-q AS (SELECT *, upto - tokens AS since, (upto - 1)::BIGINT // 768 AS win FROM p),
-r AS (SELECT *, win <> coalesce(lag(win) OVER v, -1) AS starts, nth = 1 AND role = 'system' AS is_system FROM q WINDOW v AS (PARTITION BY conv_id ORDER BY nth)),
+o AS (
+  SELECT *, coalesce(max(tokens) FILTER (nth = 1 AND role = 'system') OVER c, 0) AS sys, coalesce(max(tokens) FILTER (nth > 1 OR role <> 'system') OVER c, 0) AS longest
+  FROM p WINDOW c AS (PARTITION BY conv_id)),
+q AS (SELECT *, upto - tokens AS since, (upto - 1)::BIGINT // greatest(1, least(768, (2049 - sys)::BIGINT // 2), 2049 - least(512, 4 * longest) - sys - longest)::BIGINT AS win FROM o),
+r AS (
+  SELECT *, win <> coalesce(lag(win) OVER v, -1) AS starts, nth = 1 AND role = 'system' AS is_system, least(512, 2048 - sys - sum(tokens) OVER (PARTITION BY conv_id, win)) AS room
+  FROM q WINDOW v AS (PARTITION BY conv_id ORDER BY nth)),
 s AS (
   SELECT *, first_value(CASE WHEN is_system THEN size ELSE 0 END) OVER v AS system_size,
-    coalesce((lead(starts, 1) OVER v AND lead(since, 1) OVER v - since <= 512)::INT, 0) + coalesce((lead(starts, 2) OVER v AND lead(since, 2) OVER v - since <= 512)::INT, 0)
-    + coalesce((lead(starts, 3) OVER v AND lead(since, 3) OVER v - since <= 512)::INT, 0) + coalesce((lead(starts, 4) OVER v AND lead(since, 4) OVER v - since <= 512)::INT, 0) AS again
+    coalesce((lead(starts, 1) OVER v AND lead(since, 1) OVER v - since <= lead(room, 1) OVER v)::INT, 0) + coalesce((lead(starts, 2) OVER v AND lead(since, 2) OVER v - since <= lead(room, 2) OVER v)::INT, 0)
+    + coalesce((lead(starts, 3) OVER v AND lead(since, 3) OVER v - since <= lead(room, 3) OVER v)::INT, 0) + coalesce((lead(starts, 4) OVER v AND lead(since, 4) OVER v - since <= lead(room, 4) OVER v)::INT, 0) AS again
   FROM r WINDOW v AS (PARTITION BY conv_id ORDER BY nth))
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -294,6 +294,18 @@ def test_chat_windows_with_a_long_system_turn(spark):
     assert turns == {c: [t for i, _, _, t in sorted(chats) if i == c] for c in system}
 
 
+def test_chat_windows_use_the_budget(spark):
+    """Windows of short turns are nearly full, apart from the first and last of a conversation; none is over the budget."""
+    r = np.random.default_rng(6)
+    chats = [(c, k, "user" if k % 2 else "assistant", prose(int(r.integers(1, most)), 1000 * c + k)) for c, most in ((1, 60), (2, 200), (3, 690)) for k in range(1, 200)]
+    chats += [(c, 0, "system", prose(30, c)) for c in (1, 2)]
+    rows = chat_format.windows(spark.createDataFrame(chats, "conv_id bigint, turn bigint, role string, text string")).select("conv_id", "window", "n_tokens").collect()
+    for c, share in ((1, 0.85), (2, 0.8), (3, 0.4)):
+        mine = [x["n_tokens"] for x in sorted(rows, key=lambda x: x["window"]) if x["conv_id"] == c]
+        assert max(mine) <= chat_format.BUDGET
+        assert np.mean(mine[1:-1]) >= share * chat_format.BUDGET, (c, mine)
+
+
 URLS = [None, "", "no scheme", "http://Example.ORG/es/1?q=1#x", "https://m.example.org/en/12", "https://example.org/en/2", "http://org/", "http://org", "http://a.com/fr/7", "http://a.com/de/7", "http://notcom/de/", "x://A.b://c/d#e?f", "http://spam-farm.example.net/a/b?x=1&y=2", "http://h?p#q", "http://éX.net/É"]
 
 
