@@ -51,28 +51,39 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def labelled(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """For each pixel the index of the first pixel (by y, then x) of its 4-connected region; pixels ordered so."""
-    at = {p: k for k, p in enumerate(zip(ys.tolist(), xs.tolist(), strict=True))}
-    root = list(range(len(ys)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for (y, x), k in at.items():
-        for near in ((y - 1, x), (y, x - 1)):
-            if near in at:
-                a, b = find(k), find(at[near])
-                root[max(a, b)] = min(a, b)
-    return np.array([find(k) for k in range(len(ys))], np.int64)
+    """For each pixel the index of the first pixel (by y, then x) of its 4-connected region; pixels ordered so.
+
+    Regions that meet take the lower of their first pixels, all at once, until no two meet. Equal pixels are one.
+    """
+    root = np.arange(len(ys))
+    if not len(ys):
+        return root
+    width = int(xs.max() - xs.min()) + 2
+    place = ys.astype(np.int64) * width + (xs - xs.min())
+    sides = []
+    for step in (0, 1, width):
+        at = np.searchsorted(place, place - step)
+        there = np.flatnonzero(place[at] == place - step)
+        sides.append((at[there], there))
+    a, b = (np.concatenate(side) for side in zip(*sides, strict=True))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def stitched(edges: list[tuple[tuple, tuple]], right_first: bool = True) -> list[np.ndarray]:
-    """Closed rings of directed edges; where ways part, the sharpest turn to the right (or left) is taken."""
+    """Closed rings of directed edges; where ways part, the sharpest turn to the right (or left) is taken.
+
+    A ring begins at its lowest point, in whatever order the edges come, so that later steps do not depend on that.
+    """
     out: dict[tuple, list[tuple]] = {}
-    for a, b in edges:
+    for a, b in sorted(edges):
         out.setdefault(a, []).append(b)
     rings = []
     for start in list(out):

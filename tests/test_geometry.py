@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from segjobs.functions.geometry import chaikin, dissolved, labelled, signed_area, simplified, stitched
+from segjobs.functions.geometry import chaikin, dissolved, labelled, signed_area, simplified, stitched, union_edges
 from segjobs.operators.augment import METHODS
 from segjobs.operators.clip import burn_rows
 from segjobs.operators.validate import problem
@@ -110,3 +110,29 @@ def test_problems_of_polygons():
     assert problem([[points([(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)])]]) == "crossing"
     assert problem([[points(box(0, 0, 4, 4)), points(box(9, 9, 1, 1))]]) == "hole outside"
     assert problem([[points(box(0, 0, 4, 4)), points(box(1, 1, 1, 1))]]) is None
+
+
+def test_labels_equal_a_flood_fill():
+    random = np.random.default_rng(11)
+    for share in (0.2, 0.55, 0.6, 0.9):
+        grid = random.random((23, 31)) < share
+        ys, xs = np.nonzero(grid)
+        first = {}
+        for start in zip(ys.tolist(), xs.tolist(), strict=True):
+            todo = [] if start in first else [start]
+            while todo:
+                y, x = todo.pop()
+                if 0 <= y < 23 and 0 <= x < 31 and grid[y, x] and (y, x) not in first:
+                    first[y, x] = start
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        got = labelled(ys, xs + 7)
+        assert [(int(ys[k]), int(xs[k])) for k in got] == [first[p] for p in zip(ys.tolist(), xs.tolist(), strict=True)]
+    assert len(labelled(np.empty(0, np.int64), np.empty(0, np.int64))) == 0
+
+
+def test_rings_do_not_depend_on_the_order_of_edges():
+    edges = [((a, b), (c, d)) for a, b, c, d in union_edges([[box(0, 0, 4, 4)], [box(4, 4, 3, 3)], [box(2, 1, 5, 1)]]).tolist()]
+    whole = [r.tolist() for r in stitched(edges, False)]
+    assert all(r[0] == min(r) for r in whole)
+    for seed in range(5):
+        assert [r.tolist() for r in stitched([edges[k] for k in np.random.default_rng(seed).permutation(len(edges))], False)] == whole
