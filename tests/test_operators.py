@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,27 @@ def test_own_augmentation(spark, sf_dir):
         assert r["bands"][0][5] == -before[r["tile_name"].removesuffix("_neg") + ".tif"][0][5]
 
 
+def test_augmentation_of_mixed_sizes_and_missing_masks(spark):
+    """Tiles of several sizes and bands, masks that are null or hold a null: each turned as numpy does one by one."""
+    rows = []
+    for k in range(60):
+        size = 2 + k // 7 % 3
+        bands = [[float(100 * b + p + k) for p in range(size * size)] for b in range(1 + k % 2)]
+        mask = None if k % 5 == 0 else [None if k % 4 == 0 and p == 1 else (p + k) % 2 * 255 for p in range(size * size)]
+        rows.append((f"t{k}.tif", size, bands, mask, k))
+    tiles = spark.createDataFrame(rows, "tile_name string, size int, bands array<array<double>>, mask array<smallint>, own int").coalesce(1)
+    made = {(r["tile_name"], r["method"]): r for r in augment.augmented(tiles, augment.METHODS).collect()}
+    assert len(made) == 7 * len(rows)
+    for name, size, bands, mask, own in rows:
+        for method, (suffix, turn) in augment.METHODS.items():
+            got = made[f"{name.removesuffix('.tif')}_{suffix}", method]
+            one = lambda v: turn(np.array(v, object).reshape(size, size)).ravel().tolist()  # noqa: B023, E731
+            assert got["bands"] == [one(b) for b in bands] and got["own"] == own
+            assert got["mask"] == (None if mask is None else one(mask))
+    with pytest.raises(Exception, match="another length"):
+        augment.augmented(tiles.withColumn("size", F.lit(3)), ["Flip H"]).collect()
+
+
 def test_versions(spark, tmp_path):
     root = f"file://{tmp_path}"
     rows = spark.range(3)
