@@ -242,7 +242,14 @@ def c4(spark, sf):
 # Split, augmentation, batches ------------------------------------------------------------------------------------
 
 _SHUFFLED = "o AS (SELECT vec_id, tile_name, label, row_number() OVER (ORDER BY md5('42:' || tile_name), tile_name) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT vec_id, tile_name, label FROM tilepx))"
-_SUBSET = "CASE WHEN rank <= round_even(n * 75 / 100.0, 0) THEN 'train' WHEN rank <= round_even(n * 75 / 100.0, 0) + round_even(n * 15 / 100.0, 0) THEN 'valid' ELSE 'test' END"
+
+
+def _subset(train: int, valid: int) -> str:
+    to = [f"round_even(n * {share} / 100.0, 0)" for share in (train, valid)]
+    return f"CASE WHEN rank <= {to[0]} THEN 'train' WHEN rank <= {to[0]} + {to[1]} THEN 'valid' ELSE 'test' END"
+
+
+_SUBSET = _subset(75, 15)
 
 
 @query("p1_seeded_shuffle", sql("tilepx", _SHUFFLED + " SELECT tile_name, rank::BIGINT AS rank FROM o"))
@@ -566,6 +573,14 @@ def pp6(spark, sf):
     return made.select("poly_id", F.size(points).cast("long").alias("n_points"), F.round(open_x).cast("long").alias("sum_x"))
 
 
+@query("pp8_counts", sql("rects", """f AS (SELECT CASE WHEN two THEN 2 ELSE 1 END * w * h AS area FROM rects)
+SELECT count(*)::BIGINT AS input_count, count(*) FILTER (area BETWEEN 10 AND 60)::BIGINT AS output_count, (2 * sum(area) FILTER (area BETWEEN 10 AND 60))::BIGINT AS double_area FROM f"""))
+def pp8_counts(spark, sf):
+    made, before, after = jobs.postprocess(fx.predicted_polygons(spark, sf), clean.Steps(min_hole_area=0, min_area=10, max_area=60))
+    counts = [F.lit(n).cast("long").alias(name) for n, name in ((before, "input_count"), (after, "output_count"))]
+    return made.agg(F.round(2 * F.sum("area")).cast("long").alias("double_area")).select(*counts, "double_area")
+
+
 @query("pp7_pp8_clean_up")
 def pp8(spark, sf):
     made = clean.cleaned(fx.predicted_polygons(spark, sf), clean.Steps(merge=True, min_hole_area=0, min_area=10, max_area=400, tolerance=0.5, smooth_rounds=1))
@@ -583,7 +598,16 @@ def j1(spark, sf):
     return made.select("scene_id", "tile_idx", "tile_name", F.aggregate(F.col("bands")[2], F.lit(0.0), lambda a, v: a + v).cast("long").alias("b3_sum"), F.aggregate(prepare.binary(F.col("mask")), F.lit(0).cast("long"), lambda a, v: a + v).alias("positive"))
 
 
-@query("j4_prepare_versions")
+def _prepared_sql() -> str:
+    methods = ", ".join(f"('{m}')" for m in augment.METHODS)
+    return _GRID + f""", k AS (SELECT DISTINCT g.scene_id, tile_idx FROM g JOIN inside n ON n.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8),
+t AS (SELECT 'scene_' || scene_id || '_' || lpad(tile_idx::VARCHAR, 5, '0') AS tile_name FROM k),
+o AS (SELECT row_number() OVER (ORDER BY md5('42:' || tile_name), tile_name) AS rank, count(*) OVER () AS n FROM t),
+s AS (SELECT {_subset(80, 10)} AS subset FROM o)
+SELECT subset, method, count(*)::BIGINT AS n, 1 AS clipping, 1 AS splitting, 1 AS augmented FROM s, (VALUES {methods}) m(method) GROUP BY subset, method"""
+
+
+@query("j4_prepare_versions", sql("pixels scenes shapes inside", _prepared_sql()))
 def j4(spark, sf):
     from segjobs.functions.shared import shared_folder
 

@@ -1,6 +1,7 @@
 """Every registered raster query with SQL has the rows that DuckDB finds."""
 
 import itertools
+import math
 import os
 
 import duckdb
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from segjobs.operators import clean, jobs, validate
 from segjobs.plans import catalogue
 
 QUICK = sorted(set(catalogue.SQL) - {"pp1_merged_area", "pp1_merged_polygons", "s5_region_polygons"})
@@ -59,6 +61,80 @@ def test_custom_scorer_scores_padded_tiles(spark, sf_dir):
     assert all(abs(got[k] - v) <= 0.501 for k, v in wanted.items())
 
 
+def plain_area(ring):
+    return abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in itertools.pairwise(ring))) / 2
+
+
+def plainly_simplified(ring, tolerance):
+    """Douglas-Peucker by recursion, from the first point and the one farthest from it."""
+    if len(ring) <= 4:
+        return ring
+    square = [(x - ring[0][0]) ** 2 + (y - ring[0][1]) ** 2 for x, y in ring]
+    far = square.index(max(square))
+    kept, dropped = {0, far, len(ring) - 1}, []
+
+    def part(a, b):
+        if b - a < 2:
+            return
+        (ax, ay), dx, dy = ring[a], ring[b][0] - ring[a][0], ring[b][1] - ring[a][1]
+        away = []
+        for x, y in ring[a + 1 : b]:
+            t = min(max(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0), 1) if dx or dy else 0
+            away.append(math.sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2))
+        k = a + 1 + away.index(max(away))
+        if max(away) <= tolerance:
+            dropped.append((max(away), k))
+            return
+        kept.add(k)
+        part(a, k)
+        part(k, b)
+
+    part(0, far)
+    part(far, len(ring) - 1)
+    for _, k in sorted(dropped, reverse=True):
+        if len(kept) < 4:
+            kept.add(k)
+    return [ring[k] for k in sorted(kept)] if len(kept) >= 4 else ring
+
+
+def plainly_smoothed(ring):
+    corners = [((3 * a[0] + b[0]) / 4, (3 * a[1] + b[1]) / 4, (a[0] + 3 * b[0]) / 4, (a[1] + 3 * b[1]) / 4) for a, b in itertools.pairwise(ring)]
+    points = [p for c in corners for p in (c[:2], c[2:])]
+    return [*points, points[0]]
+
+
+def plainly_cleaned(parts, min_hole, low, high, tolerance):
+    """The area of one polygon after the steps, one after another, or None if a filter leaves it out."""
+    parts = [[[(p["x"], p["y"]) for p in ring] for ring in rings] for rings in parts]
+    parts = [[rings[0], *[r for r in rings[1:] if min_hole > 0 and plain_area(r) >= min_hole]] for rings in parts if rings]
+    area = lambda: sum(plain_area(rings[0]) - sum(map(plain_area, rings[1:])) for rings in parts)
+    if not low <= area() <= high:
+        return None
+    for k in range(5):
+        made = [[plainly_simplified(r, tolerance / 2**k) for r in rings] for rings in parts]
+        if validate.problem([[[{"x": x, "y": y} for x, y in r] for r in rings] for rings in made]) is None:
+            parts = made
+            break
+    parts = [[plainly_smoothed(r) for r in rings] for rings in parts]
+    return area()
+
+
+def test_clean_up_equals_plain_steps(spark, sf_dir):
+    """The queries with simplifying and smoothing, which have no SQL. What they start from has: pp1 and s5 compare it."""
+    regions = jobs.predict_polygons(catalogue._prediction(spark, sf_dir), catalogue.fx.scenes(spark, sf_dir))
+    merged = clean.merged(catalogue.fx.predicted_polygons(spark, sf_dir))
+    cases = {"pp7_pp8_clean_up": (merged, 0, 10, 400, 0.5), "j6_j7_predict_and_clean": (regions, 1.0, 1.0, math.inf, 0.25)}
+    for name, (polygons, *steps) in cases.items():
+        wanted = {}
+        for r in polygons.select("scene_id", "parts").collect():
+            area = plainly_cleaned(r["parts"], *steps)
+            if area is not None:
+                wanted.setdefault(r["scene_id"], []).append(area)
+        got = {r[0]: r[1:] for r in __spark_entry__.queries()[name](spark, sf_dir).collect()}
+        assert wanted and {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in wanted.items()}, name
+        assert all(abs(got[k][1] - 1000 * sum(v)) <= 1 for k, v in wanted.items()), name
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 1
 
