@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from segjobs.functions.segments import CROSS, contacts, sides
+
 
 def signed_area(ring: np.ndarray) -> float:
     """Positive if the ring runs counter-clockwise (y upwards)."""
@@ -20,10 +22,10 @@ def chaikin(ring: np.ndarray, rounds: int) -> np.ndarray:
     return np.concatenate([points, points[:1]])
 
 
-def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker on a closed ring, from its first point and the farthest one; at least four points stay."""
+def kept_points(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of a closed ring Douglas-Peucker keeps, from its first one and the farthest; at least four stay."""
     if len(ring) <= 4:
-        return ring
+        return np.ones(len(ring), bool)
     far = int(((ring - ring[0]) ** 2).sum(axis=1).argmax())
     keep = np.zeros(len(ring), bool)
     keep[[0, far, len(ring) - 1]] = True
@@ -33,21 +35,94 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        p, d = ring[a + 1 : b] - ring[a], ring[b] - ring[a]
-        length = float(d @ d)
-        t = np.clip(p @ d / length, 0, 1)[:, None] if length else np.zeros((len(p), 1))
-        away = np.sqrt(((p - t * d) ** 2).sum(axis=1))
-        k = int(away.argmax())
-        if away[k] > tolerance:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+        k, away = farthest(ring, a, b)
+        if away > tolerance:
+            keep[k] = True
+            todo += [(a, k), (k, b)]
         else:
-            dropped.append((away[k], a + 1 + k))
+            dropped.append((away, k))
     for _, k in sorted(dropped, reverse=True):  # a ring needs three corners
         if keep.sum() >= 4:
             break
         keep[k] = True
-    return ring[keep] if keep.sum() >= 4 else ring
+    return keep if keep.sum() >= 4 else np.ones(len(ring), bool)
+
+
+def farthest(ring: np.ndarray, a: int, b: int) -> tuple[int, float]:
+    """The point between a and b that is farthest from the segment between them, and how far."""
+    p, d = ring[a + 1 : b] - ring[a], ring[b] - ring[a]
+    length = float(d @ d)
+    t = np.clip(p @ d / length, 0, 1)[:, None] if length else np.zeros((len(p), 1))
+    away = np.sqrt(((p - t * d) ** 2).sum(axis=1))
+    k = int(away.argmax())
+    return a + 1 + k, float(away[k])
+
+
+def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker on a closed ring, from its first point and the farthest one; at least four points stay."""
+    return ring[kept_points(ring, tolerance)]
+
+
+def simplified_together(xy: np.ndarray, ring: np.ndarray, row: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points stay of closed rings (their points one after another; row: the polygon of each ring) so that no shortcut
+    meets what its polygon did not meet before.
+
+    Rings are simplified each for itself. Then all segments of all polygons are indexed; a shortcut that meets its own ring,
+    crosses another one, or has left one on its other side gets back the farthest point it leaves out, and so on.
+    """
+    keep = np.zeros(len(xy), bool)
+    begin = np.searchsorted(ring, np.arange(len(row)), "left")
+    end = np.searchsorted(ring, np.arange(len(row)), "right")
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        keep[a:b] = kept_points(xy[a:b], tolerance)
+    several = np.bincount(row)[row] > 1 if len(row) else np.zeros(0, bool)
+    live = np.unique(row)  # polygons that changed since they were last found to be fine
+    while len(live):
+        at = np.flatnonzero(keep & np.isin(row[ring], live))
+        a, b = at[:-1], at[1:]
+        some = (ring[a] == ring[b]) & (xy[a] != xy[b]).any(axis=1)
+        a, b = a[some], b[some]
+        of = ring[a]
+        e = np.concatenate([xy[a], xy[b]], axis=1)
+        count = np.bincount(of, minlength=len(row))
+        place = np.arange(len(a)) - (np.cumsum(count) - count)[of]
+        bad = np.zeros(len(a), bool)
+        for i, j, kind in contacts(e, row[of]):
+            gap = np.abs(place[i] - place[j])
+            near = (gap == 1) | (gap == count[of[i]] - 1)
+            wrong = np.where((of[i] == of[j]) & ~near, True, kind == CROSS)
+            bad[i[wrong]] = bad[j[wrong]] = True
+        bad |= _jumped(xy, ring, row, begin, a, b, several)
+        bad &= b - a > 1
+        for i in np.flatnonzero(bad).tolist():
+            keep[farthest(xy, int(a[i]), int(b[i]))[0]] = True
+        live = np.unique(row[of[bad]])
+    return keep
+
+
+def _jumped(xy: np.ndarray, ring: np.ndarray, row: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Whether another ring of the polygon lies between a shortcut and the points that it leaves out: its first point does."""
+    out = np.zeros(len(a), bool)
+    cut = np.flatnonzero((b - a > 1) & several[ring[a]])
+    if not len(cut):
+        return out
+    others: dict[int, np.ndarray] = {}
+    for k in cut.tolist():
+        polygon = int(row[ring[a[k]]])
+        if polygon not in others:
+            others[polygon] = np.flatnonzero(row == polygon)
+        points = xy[a[k] : b[k] + 1]
+        low, high = points.min(axis=0), points.max(axis=0)
+        first = xy[begin[others[polygon][others[polygon] != ring[a[k]]]]]
+        first = first[((low <= first) & (first <= high)).all(axis=1)]
+        if len(first):
+            closed = np.concatenate([points, points[:1]])
+            odd = np.zeros(len(first), np.int64)
+            e = np.concatenate([closed[:-1], closed[1:]], axis=1)
+            for p, _, on in sides(first, np.zeros(len(first), np.int64), e, np.zeros(len(e), np.int64)):
+                np.add.at(odd, p[~on], 1)
+            out[k] = (odd % 2).any()
+    return out
 
 
 def labelled(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
@@ -75,150 +150,3 @@ def labelled(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
         np.minimum.at(root, high[apart], low[apart])
         while (root[root] != root).any():
             root = root[root]
-
-
-def stitched(edges: list[tuple[tuple, tuple]], right_first: bool = True) -> list[np.ndarray]:
-    """Closed rings of directed edges; where ways part, the sharpest turn to the right (or left) is taken.
-
-    A ring begins at its lowest point, in whatever order the edges come, so that later steps do not depend on that.
-    """
-    out: dict[tuple, list[tuple]] = {}
-    for a, b in sorted(edges):
-        out.setdefault(a, []).append(b)
-    rings = []
-    for start in list(out):
-        while out.get(start):
-            ring, here, came = [start], out[start].pop(), start
-            while here != start:
-                ring.append(here)
-                ways = out[here]
-                if len(ways) > 1:
-                    dx, dy = here[0] - came[0], here[1] - came[1]
-                    turn = [np.arctan2(dx * (w[1] - here[1]) - dy * (w[0] - here[0]), dx * (w[0] - here[0]) + dy * (w[1] - here[1])) for w in ways]
-                    k = int(np.argmin(turn)) if right_first else int(np.argmax(turn))
-                else:
-                    k = 0
-                came, here = here, ways.pop(k)
-            rings.append(straightened(np.array([*ring, start], np.float64)))
-    return rings
-
-
-def straightened(ring: np.ndarray) -> np.ndarray:
-    """Without the points on straight runs."""
-    p = ring[:-1]
-    before, after = np.roll(p, 1, axis=0), np.roll(p, -1, axis=0)
-    cross = (p[:, 0] - before[:, 0]) * (after[:, 1] - p[:, 1]) - (p[:, 1] - before[:, 1]) * (after[:, 0] - p[:, 0])
-    p = p[np.abs(cross) > 1e-12]
-    return np.concatenate([p, p[:1]])
-
-
-def split_edges(edges: np.ndarray) -> np.ndarray:
-    """Edges (n x 4) cut wherever another crosses, touches or overlaps them."""
-    n, cuts = len(edges), [[] for _ in range(len(edges))]
-    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
-    for i in range(n):
-        near = np.flatnonzero((low[i] <= high + 1e-12).all(axis=1) & (low <= high[i] + 1e-12).all(axis=1))
-        a, d = edges[i, :2], edges[i, 2:] - edges[i, :2]
-        other, e = edges[near, :2], edges[near, 2:] - edges[near, :2]
-        cross = d[0] * e[:, 1] - d[1] * e[:, 0]
-        gap = other - a
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (gap[:, 0] * e[:, 1] - gap[:, 1] * e[:, 0]) / cross
-            u = (gap[:, 0] * d[1] - gap[:, 1] * d[0]) / cross
-        meets = (np.abs(cross) > 1e-12) & (t > 1e-12) & (t < 1 - 1e-12) & (u > -1e-12) & (u < 1 + 1e-12)
-        cuts[i] += t[meets].tolist()
-        along = (np.abs(cross) <= 1e-12) & (np.abs(gap[:, 0] * d[1] - gap[:, 1] * d[0]) <= 1e-9)
-        for p in (edges[near[along], :2], edges[near[along], 2:]):
-            t = ((p - a) @ d) / (d @ d)
-            cuts[i] += t[(t > 1e-12) & (t < 1 - 1e-12)].tolist()
-    out = []
-    for i in range(n):
-        t = np.array([0.0, *sorted(set(np.round(cuts[i], 12).tolist())), 1.0])[:, None]
-        p = np.round(edges[i, :2] + t * (edges[i, 2:] - edges[i, :2]), 9)
-        out.append(np.concatenate([p[:-1], p[1:]], axis=1))
-    return np.concatenate(out)
-
-
-def covered(points: np.ndarray, edges: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether each point is inside any polygon, by parity; polygon k's edges begin at first[k]."""
-    out = np.zeros(len(points), bool)
-    for i in range(0, len(points), 2048):
-        x, y = points[i : i + 2048, :1], points[i : i + 2048, 1:]
-        over = (edges[None, :, 1] > y) != (edges[None, :, 3] > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = edges[:, 0] + (y - edges[:, 1]) * (edges[:, 2] - edges[:, 0]) / (edges[:, 3] - edges[:, 1])
-        out[i : i + 2048] = (np.add.reduceat((over & (x < at)).astype(np.int64), first, axis=1) % 2).any(axis=1)
-    return out
-
-
-def union_edges(polygons: list[list[np.ndarray]]) -> np.ndarray:
-    """The boundary of the union, as edges (n x 4) with the union on their left: parts of edges with it on one side only."""
-    per = [np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in rings]) for rings in polygons]
-    edges = np.concatenate(per)
-    first = np.cumsum([0, *map(len, per)])[:-1]
-    parts = np.unique(split_edges(edges), axis=0)
-    d = parts[:, 2:] - parts[:, :2]
-    length = np.sqrt((d**2).sum(axis=1))
-    parts, d, length = parts[length > 1e-9], d[length > 1e-9], length[length > 1e-9]
-    side = np.stack([-d[:, 1], d[:, 0]], axis=1) / length[:, None] * np.minimum(length, 1e-3)[:, None] * 1e-3
-    middle = (parts[:, :2] + parts[:, 2:]) / 2
-    left, right = covered(middle + side, edges, first), covered(middle - side, edges, first)
-    return np.unique(np.concatenate([parts[left & ~right], parts[right & ~left][:, [2, 3, 0, 1]]]), axis=0)
-
-
-def from_edges(edges: np.ndarray) -> list[list[np.ndarray]]:
-    """Polygons (shell first, then holes) of a boundary's edges. Polygons that meet in corners alone stay separate."""
-    rings = stitched([((a, b), (c, e)) for a, b, c, e in edges.tolist()], right_first=False)
-    rings = [r for r in rings if len(r) >= 4 and abs(signed_area(r)) > 1e-12]
-    shells = [r for r in rings if signed_area(r) > 0]
-    out = [[s] for s in shells]
-    boxes = np.array([[*s.min(axis=0), *s.max(axis=0)] for s in shells]).reshape(-1, 4)
-    for hole in (r for r in rings if signed_area(r) < 0):
-        d = hole[1] - hole[0]
-        inner = (hole[0] + hole[1]) / 2 + np.array([-d[1], d[0]]) * 1e-6  # on the union's side of the hole's edge
-        near = np.flatnonzero((boxes[:, :2] <= inner).all(axis=1) & (inner <= boxes[:, 2:]).all(axis=1)).tolist()
-        around = [k for k in near if covered(inner[None], np.concatenate([shells[k][:-1], shells[k][1:]], axis=1), np.zeros(1, int))[0]]
-        if around:
-            out[min(around, key=lambda k: signed_area(shells[k]))].append(hole)
-    return out
-
-
-def dissolved(polygons: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """The union as polygons (shell first, then holes). Polygons that meet in corners alone stay separate."""
-    return from_edges(union_edges(polygons))
-
-
-def clipped(ring: np.ndarray, axis: int, low: float, high: float) -> np.ndarray:
-    """A closed ring cut to low..high along an axis (Sutherland-Hodgman); parts of it may run to and fro along the cut."""
-    for bound, sign in ((low, 1.0), (high, -1.0)):
-        if len(ring) < 4:
-            return ring[:0]
-        p = ring[:-1]
-        q = np.roll(p, -1, axis=0)
-        inside, after = sign * (p[:, axis] - bound) >= 0, sign * (q[:, axis] - bound) >= 0
-        if inside.all():
-            continue
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (bound - p[:, axis]) / (q[:, axis] - p[:, axis])
-            cut = p + t[:, None] * (q - p)
-        cut[:, axis] = bound
-        both = np.stack([p, cut], axis=1).reshape(-1, 2)
-        both = both[np.stack([inside, inside != after], axis=1).ravel()]
-        ring = np.concatenate([both, both[:1]]) if len(both) >= 3 else ring[:0]
-    return ring
-
-
-def cancelled(low: np.ndarray, high: np.ndarray, way: np.ndarray) -> list[tuple[float, float, int]]:
-    """Stretches of one line (low..high, way 1 or -1) that are left where those of opposite ways cancel, joined."""
-    at = np.unique(np.concatenate([low, high]))
-    net = np.zeros(len(at), np.int64)
-    np.add.at(net, np.searchsorted(at, low), way)
-    np.subtract.at(net, np.searchsorted(at, high), way)
-    net = np.sign(np.cumsum(net))[:-1]
-    out: list[tuple[float, float, int]] = []
-    for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), net.tolist(), strict=True):
-        if w and out and out[-1][1] == a and out[-1][2] == w:
-            out[-1] = (out[-1][0], b, w)
-        elif w:
-            out.append((a, b, w))
-    return out

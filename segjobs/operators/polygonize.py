@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segjobs.functions.geometry import labelled, signed_area, stitched
+from segjobs.functions import nested, overlay
+from segjobs.functions.geometry import labelled
 from segjobs.functions.graph import components
 from segjobs.functions.shared import small, stored
 
@@ -56,7 +59,8 @@ def region_summary(found: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def boundaries(found: DataFrame) -> DataFrame:
-    """scene_id, region, first_y, first_x, ax, ay, bx, by: unit edges between a region and what is not of it, the region on their right.
+    """scene_id, region, first_y, first_x, ax, ay, bx, by: unit edges between a region and what is not of it, the region on their
+    left as x and y grow.
 
     Each pixel has four; those that two pixels share cancel, in one aggregate over edges.
     """
@@ -69,18 +73,25 @@ def boundaries(found: DataFrame) -> DataFrame:
     return single.select(*own, "e.*")
 
 
-def polygons_of(found: DataFrame, scenes: DataFrame) -> DataFrame:
-    """poly_id (the region), scene_id, parts in map coordinates, area and first pixel. A region's boundary, not its pixels, goes to one task."""
-
-    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = stitched([((a, b), (c, d)) for a, b, c, d in pdf[["ax", "ay", "bx", "by"]].itertuples(index=False)], right_first=False)
-        made.sort(key=lambda r: -abs(signed_area(r)))  # the shell first
-        x0, y0, pw, ph = (pdf[c].iloc[0] for c in ("x0", "y0", "pw", "ph"))
-        part = [[{"x": float(x0 + x * pw), "y": float(y0 + y * ph)} for x, y in r] for r in made]
-        area = (abs(signed_area(made[0])) - sum(abs(signed_area(r)) for r in made[1:])) * abs(pw * ph)
-        return pd.DataFrame({"poly_id": [pdf["region"].iloc[0]], "scene_id": [pdf["scene_id"].iloc[0]], "parts": [[part]], "area": [area], "first_y": [pdf["first_y"].iloc[0]], "first_x": [pdf["first_x"].iloc[0]]})
-
-    own = boundaries(found).join(scenes.select("scene_id", "gt.x0", "gt.pw", "gt.y0", "gt.ph"), "scene_id")
-    return own.groupBy("scene_id", "region").applyInPandas(rings, "poly_id bigint, scene_id bigint, parts array<array<array<struct<x:double,y:double>>>>, area double, first_y bigint, first_x bigint")
+_POLYGONS = "poly_id bigint, scene_id bigint, parts array<array<array<struct<x:double,y:double>>>>, area double, first_y bigint, first_x bigint"
 
 
+def polygons_of(found: DataFrame, scenes: DataFrame) -> DataFrame:
+    """poly_id (the region), scene_id, parts in map coordinates, area and first pixel. A region's boundary, not its pixels, goes
+    to one task; rings of many regions are made in one call, on whole numbers."""
+    edges = boundaries(found).groupBy("scene_id", "region", "first_y", "first_x").agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges"))
+    own = edges.join(scenes.select("scene_id", "gt.x0", "gt.pw", "gt.y0", "gt.ph"), "scene_id")
+
+    def rows(batches):
+        for batch in batches:
+            scene, region, y, x, x0, pw, y0, ph = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+            lists = batch.column(8)
+            e = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 4)
+            made = overlay.polygons_of(e, np.repeat(np.arange(len(scene)), nested.sizes(lists) // 4), len(scene))
+            area = [sum(overlay.doubled_area(r) for r in rings) / 2 * abs(a * b) for (rings,), a, b in zip(made, pw, ph, strict=True)]
+            mapped = [[r * np.array([pw[k], ph[k]]) + np.array([x0[k], y0[k]]) for r in rings] for k, (rings,) in enumerate(made)]
+            parts = pa.ListArray.from_arrays(nested.offsets(np.ones(len(scene), np.int64)), nested.rings_array(mapped))
+            columns = [pa.array(region), pa.array(scene), parts, pa.array(area, pa.float64()), pa.array(y), pa.array(x)]
+            yield pa.RecordBatch.from_arrays(columns, ["poly_id", "scene_id", "parts", "area", "first_y", "first_x"])
+
+    return own.select("scene_id", "region", "first_y", "first_x", "x0", "pw", "y0", "ph", "edges").mapInArrow(rows, _POLYGONS)

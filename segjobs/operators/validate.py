@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segjobs.functions import nested
+from segjobs.functions.segments import CROSS, contacts, sides
+
 TILE_SIZES = (64, 128, 256, 512, 1024)
 MAX_BANDS = 40
 
@@ -48,51 +51,108 @@ def uneven_pixels(scenes: DataFrame) -> DataFrame:
     return scenes.where(~square).select("scene_id")
 
 
-def crosses(ring: np.ndarray) -> bool:
-    """Whether two edges of a closed ring that are no neighbours meet. For long rings in blocks of edges."""
-    a, b = ring[:-1], ring[1:]
-    n = len(a)
-    side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-    for i in range(0, n, 512):
-        p, q = a[i : i + 512, None], b[i : i + 512, None]
-        meet = (side(p, q, a[None]) * side(p, q, b[None]) <= 0) & (side(a[None], b[None], p) * side(a[None], b[None], q) <= 0)
-        meet &= (np.minimum(p, q) <= np.maximum(a, b)[None]).all(-1) & (np.minimum(a, b)[None] <= np.maximum(p, q)).all(-1)
-        gap = np.abs(np.arange(i, min(i + 512, n))[:, None] - np.arange(n))
-        if (meet & (gap > 1) & (gap < n - 1)).any():
-            return True
-    return False
-
-
-def holds(ring: np.ndarray, x: float, y: float) -> bool:
-    """Whether a point is inside a closed ring, by the parity of crossings."""
-    a, b = ring[:-1], ring[1:]
-    over = (a[:, 1] > y) != (b[:, 1] > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-    return bool((over & (x < at)).sum() % 2)
+def _first(found: list[str | None], rows: np.ndarray, what: str) -> None:
+    for k in np.unique(rows).tolist():
+        found[k] = found[k] or what
+
+
+def problems(parts: pa.Array) -> list[str | None]:
+    """What is wrong with each polygon of a list array of parts: null, empty, short (a ring of under four points), open,
+    not finite, crossing (rings that meet other than at points, or themselves anywhere), hole outside, holes overlap or parts
+    overlap; None if nothing. Points that repeat their predecessor do not matter. The segments of all polygons of an
+    array are indexed together; every test is exact.
+    """
+    found: list[str | None] = [None if v else "null" for v in parts.is_valid().to_pylist()]
+    n_parts = nested.sizes(parts)
+    flat = parts.flatten()
+    n_rings = nested.sizes(flat)
+    row_of_part = np.repeat(np.arange(len(parts)), n_parts)
+    for k in np.flatnonzero(np.bincount(row_of_part, n_rings, len(parts)) == 0).tolist():
+        found[k] = found[k] or "empty"
+    rings = flat.flatten()
+    size = nested.sizes(rings)
+    part = np.repeat(np.arange(len(flat)), n_rings)
+    row = row_of_part[part]
+    shell = np.arange(len(part)) == np.repeat(np.cumsum(n_rings) - n_rings, n_rings)
+    _first(found, row[size < 4], "short")
+    xy = nested.flat_points(rings.flatten())
+    ring = np.repeat(np.arange(len(size)), size)
+    _first(found, row[ring[~np.isfinite(xy).all(axis=1)]], "not finite")
+    begin = np.cumsum(size) - size
+    some = np.flatnonzero(size > 0)
+    _first(found, row[some[(xy[begin[some]] != xy[begin[some] + size[some] - 1]).any(axis=1)]], "open")
+    good = np.array([f is None for f in found], bool)
+    inner = np.flatnonzero((ring[1:] == ring[:-1]) & (xy[1:] != xy[:-1]).any(axis=1) & good[row[ring[1:]]]) if len(ring) else np.empty(0, np.int64)
+    e, ring = np.concatenate([xy[inner], xy[inner + 1]], axis=1), ring[inner + 1] if len(inner) else ring[:0]
+    if not len(e):
+        _first(found, row[good[row]], "short")
+        return found
+    edges_in = np.bincount(ring, minlength=len(size))
+    _first(found, row[(edges_in < 3) & good[row]], "short")  # all its points are one or two
+    first = np.cumsum(edges_in) - edges_in
+    at = np.arange(len(e)) - first[ring]
+    owner = row[ring]
+    for i, j, kind in contacts(e, owner):
+        same, gap = ring[i] == ring[j], np.abs(at[i] - at[j])
+        neighbours = same & ((gap == 1) | (gap == edges_in[ring[i]] - 1))
+        own_part = part[ring[i]] == part[ring[j]]
+        wrong = np.where(same & ~neighbours, True, kind == CROSS)
+        _first(found, owner[i[wrong & own_part]], "crossing")
+        _first(found, owner[i[wrong & ~own_part]], "parts overlap")
+    _nesting(found, e, ring, row, part, shell)
+    return found
+
+
+def _nesting(found: list[str | None], e: np.ndarray, ring: np.ndarray, row: np.ndarray, part: np.ndarray, shell: np.ndarray) -> None:
+    """Whether holes lie in their shell and in no other hole, and parts in no other part: by their points that no other ring holds."""
+    owner = row[ring]
+    several = np.bincount(row, minlength=len(found))[owner] > 1
+    good = np.array([f is None for f in found], bool)
+    e, ring = e[several & good[owner]], ring[several & good[owner]]
+    if not len(e):
+        return
+    odd: dict[tuple[int, int], int] = {}
+    held: set[tuple[int, int]] = set()
+    for p, k, on in sides(e[:, :2], row[ring], e, row[ring]):
+        other = ring[p] != ring[k]
+        p, k, on = p[other], k[other], on[other]
+        held.update(zip(p[on].tolist(), ring[k[on]].tolist(), strict=True))
+        both, times = np.unique(np.stack([p[~on], ring[k[~on]]]), axis=1, return_counts=True)
+        for a, b, c in zip(*both.tolist(), times.tolist(), strict=True):
+            odd[a, b] = odd.get((a, b), 0) + c
+    inside = {pair for pair, c in odd.items() if c % 2} - held
+    shells = {int(part[r]): int(r) for r in np.unique(ring).tolist() if shell[r]}
+    free: dict[int, list[int]] = {}
+    for p, r in enumerate(ring.tolist()):
+        free.setdefault(r, []).append(p)
+    for r, own in free.items():
+        if not shell[r]:
+            s = shells[int(part[r])]
+            loose = [p for p in own if (p, s) not in held]
+            here = sum((p, s) in inside for p in loose)
+            if here < len(loose) or not loose:
+                _first(found, row[[r]], "hole outside" if not here else "crossing")
+    by_point: dict[int, list[int]] = {}
+    for p, r in inside:
+        by_point.setdefault(p, []).append(r)
+    for p, around in by_point.items():
+        r = int(ring[p])
+        if not shell[r] and any(not shell[q] and part[q] == part[r] for q in around):
+            _first(found, row[[r]], "holes overlap")
+        elif shell[r]:
+            depth: dict[int, int] = {}
+            for q in around:
+                depth[int(part[q])] = depth.get(int(part[q]), 0) + 1
+            if any(c % 2 and q != int(part[r]) for q, c in depth.items()):
+                _first(found, row[[r]], "parts overlap")
+
+
+_PARTS_TYPE = pa.list_(nested.RINGS)
 
 
 def problem(parts: list | None) -> str | None:
-    """What is wrong with a polygon: null, empty, short, open, crossing or hole outside; None if nothing."""
-    if parts is None:
-        return "null"
-    if not parts or not any(rings for rings in parts):
-        return "empty"
-    for rings in parts:
-        shell = None
-        for ring in rings:
-            points = np.array([(p["x"], p["y"]) for p in ring], np.float64)
-            if len(points) < 4:
-                return "short"
-            if (points[0] != points[-1]).any():
-                return "open"
-            if crosses(points):
-                return "crossing"
-            if shell is None:
-                shell = points
-            elif not holds(shell, *points[:-1].mean(axis=0)):
-                return "hole outside"
-    return None
+    """What is wrong with one polygon, as problems() has it."""
+    return problems(pa.array([parts], _PARTS_TYPE))[0]
 
 
 def invalid(polygons: DataFrame) -> DataFrame:
@@ -100,9 +160,8 @@ def invalid(polygons: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            found = [(r["poly_id"], r["scene_id"], problem(r["parts"])) for r in batch.to_pylist()]
-            found = [r for r in found if r[2]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["poly_id", "scene_id", "problem"])
+            found = pa.array(problems(batch.column(2)), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["poly_id", "scene_id", "problem"]).filter(found.is_valid())
 
     return polygons.select(F.col("poly_id").cast("long"), F.col("scene_id").cast("long"), "parts").mapInArrow(rows, "poly_id bigint, scene_id bigint, problem string")
 

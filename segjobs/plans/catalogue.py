@@ -167,6 +167,18 @@ def v6(spark, sf):
     return validate.invalid(fx.polygons(spark, sf).withColumn("parts", odd)).select("poly_id", "problem")
 
 
+# Two rings cross if their sides cross or share a stretch: squares that meet in more than a corner, unless one lies within the other.
+_HOLES = """m AS (SELECT *, x >= 0 AND x + w <= 12 AND y + w <= 12 AND (x = 0 OR x + w = 12 OR y = 0 OR y + w = 12) OR (x < 0 AND x + w >= 0) OR (x + w > 12 AND x < 12) OR (y + w > 12 AND y < 12 AND x < 12 AND x + w > 0) AS first_cuts,
+  x >= 12 OR x + w < 0 AS first_out, u = 0 OR v = 0 OR u + s >= 12 OR v + s >= 12 AS second_cuts,
+  x < u + s AND u < x + w AND y < v + s AND v < y + w AS overlap, (x <= u + s AND u <= x + w AND y < v + s AND v < y + w) OR (x < u + s AND u < x + w AND y <= v + s AND v <= y + w) AS meet,
+  (x < u AND u + s < x + w AND y < v AND v + s < y + w) OR (u < x AND x + w < u + s AND v < y AND y + w < v + s) AS nested FROM holed)"""
+
+
+@query("v6_holes", sql("holed", _HOLES + " SELECT poly_id, CASE WHEN first_cuts OR second_cuts OR (meet AND NOT nested) THEN 'crossing' WHEN first_out THEN 'hole outside' ELSE 'holes overlap' END AS problem FROM m WHERE first_cuts OR second_cuts OR meet OR first_out"))
+def v6_holes(spark, sf):
+    return validate.invalid(fx.holed_polygons(spark, sf)).select("poly_id", "problem")
+
+
 @query("v9_unfit_scenes", sql("scenes", "SELECT scene_id, CASE scene_id % 3 WHEN 0 THEN 'bands differ' ELSE 'band count' END AS problem FROM scenes WHERE scene_id % 3 <> 1"))
 def v9(spark, sf):
     bands = F.when(F.col("scene_id") % 3 == 0, 4).when(F.col("scene_id") % 3 == 2, 41).otherwise(3)
@@ -543,6 +555,38 @@ def pp1_polygons(spark, sf):
     return made.select("scene_id", F.round(clean.area(F.col("parts"))).cast("long").alias("area"), F.col("min_x").alias("x0"), F.col("min_y").alias("y0"))
 
 
+# A unit square's diagonals cut it into four triangles, each of which a diamond covers or not: by its middle, in sixths.
+_TRIANGLES = """quarters AS (SELECT scene_id, cx, cy, t FROM (SELECT scene_id, poly_id, x, y, r, hole, x - r + dx AS cx, y - r + dy AS cy, t, abs(6 * (dx - r) + 3 + CASE t WHEN 0 THEN -2 WHEN 1 THEN 2 ELSE 0 END) + abs(6 * (dy - r) + 3 + CASE t WHEN 2 THEN -2 WHEN 3 THEN 2 ELSE 0 END) AS away
+  FROM diamonds JOIN range(0, 20) a(dx) ON dx < 2 * r JOIN range(0, 20) b(dy) ON dy < 2 * r, range(0, 4) c(t)) WHERE away < 6 * r AND NOT (hole AND away < 6 * (r - 2)) GROUP BY ALL)"""
+
+
+@query("pp1_merged_slanted", sql("diamonds", _TRIANGLES + " SELECT scene_id, count(*)::BIGINT AS quarters FROM quarters GROUP BY scene_id"))
+def pp1_slanted(spark, sf):
+    made = stored(clean.merged(fx.slanted_polygons(spark, sf)))
+    return made.groupBy("scene_id").agg(F.round(F.sum(clean.area(F.col("parts"))) * 4).cast("long").alias("quarters"))
+
+
+# Triangles of one polygon share an edge: four within a square, those beside and above each other across its sides.
+_SLANTED_POLYGONS = _TRIANGLES + """,
+f AS (SELECT *, (row_number() OVER (PARTITION BY scene_id ORDER BY cx, cy, t))::BIGINT AS k FROM quarters),
+e AS (SELECT a.scene_id, a.k, b.k AS k2 FROM f a JOIN f b ON a.scene_id = b.scene_id AND a.cx = b.cx AND a.cy = b.cy AND (a.t < 2) <> (b.t < 2)
+  UNION ALL SELECT a.scene_id, a.k, b.k FROM f a JOIN f b ON a.scene_id = b.scene_id AND a.t = 1 AND b.t = 0 AND b.cx = a.cx + 1 AND b.cy = a.cy
+  UNION ALL SELECT a.scene_id, b.k, a.k FROM f a JOIN f b ON a.scene_id = b.scene_id AND a.t = 1 AND b.t = 0 AND b.cx = a.cx + 1 AND b.cy = a.cy
+  UNION ALL SELECT a.scene_id, a.k, b.k FROM f a JOIN f b ON a.scene_id = b.scene_id AND a.t = 3 AND b.t = 2 AND b.cy = a.cy + 1 AND b.cx = a.cx
+  UNION ALL SELECT a.scene_id, b.k, a.k FROM f a JOIN f b ON a.scene_id = b.scene_id AND a.t = 3 AND b.t = 2 AND b.cy = a.cy + 1 AND b.cx = a.cx),
+reach(scene_id, k, m) AS (SELECT scene_id, k, k FROM f UNION SELECT e.scene_id, k2, min(m) FROM reach r JOIN e ON e.scene_id = r.scene_id AND e.k = r.k GROUP BY ALL),
+g AS (SELECT scene_id, k, min(m) AS m FROM reach GROUP BY ALL)
+SELECT scene_id, count(*)::BIGINT AS quarters FROM g GROUP BY scene_id, m"""
+
+
+@query("pp1_merged_slanted_map", sql("diamonds", _SLANTED_POLYGONS, recursive=True))
+def pp1_slanted_map(spark, sf):
+    """Far from the origin and in steps that are no binary fractions, as map coordinates are."""
+    made = clean.merged(fx.slanted_polygons(spark, sf, 0.3, 500000.37, 5000000.21))
+    near = F.transform("parts", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] - 500000.37).alias("x"), (p["y"] - 5000000.21).alias("y")))))
+    return made.select("scene_id", F.round(clean.area(near) / 0.09 * 4).cast("long").alias("quarters"))
+
+
 @query("pp2_fill_holes", sql("rects", "SELECT poly_id, (2 * CASE WHEN two THEN 2 ELSE 1 END * w * h)::BIGINT AS all_filled, (2 * CASE WHEN two THEN 2 ELSE 1 END * w * h)::BIGINT AS small_filled, (2 * (CASE WHEN two THEN 2 ELSE 1 END * w * h - hole::INT))::BIGINT AS none_filled FROM rects"))
 def pp2(spark, sf):
     own = fx.predicted_polygons(spark, sf)

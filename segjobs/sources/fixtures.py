@@ -66,6 +66,30 @@ def predicted_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("poly_id"), F.floor(k / 2000).alias("scene_id"), parts.alias("parts"))
 
 
+def slanted_polygons(spark: SparkSession, sf_dir: str, step: float = 1.0, east: float = 0.0, north: float = 0.0) -> DataFrame:
+    """Clean-up input with slanted edges: diamonds, some with a diamond for a hole, in units of step from (east, north):
+    poly_id, scene_id, parts."""
+    k = F.col("p_partkey")
+    x, y, r = (k * k * 11 + k * 29) % 397, (k * k * 5 + k * 61) % 389, 2 + k % 8
+    at = lambda dx, dy: _point(F.lit(east) + F.lit(step) * (x + dx), F.lit(north) + F.lit(step) * (y + dy))
+    diamond = lambda n: F.array(at(-n, F.lit(0)), at(F.lit(0), -n), at(n, F.lit(0)), at(F.lit(0), n), at(-n, F.lit(0)))
+    rings = F.when((k % 3 == 0) & (r >= 4), F.array(diamond(r), diamond(r - 2))).otherwise(F.array(diamond(r)))
+    return table(spark, sf_dir, "part").select(k.alias("poly_id"), F.floor(k / 1000).alias("scene_id"), F.array(rings).alias("parts"))
+
+
+def holed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of 12 with two holes of many places: inside, sticking out, outside, overlapping or in each other; or one of each
+    shape of U in the other: poly_id, scene_id, parts."""
+    k = F.col("p_partkey")
+    x, y, w, u, v, s = k % 13 - 1, k % 11, 1 + k % 4, (k * 7) % 12, (k * 5) % 12, 1 + k % 3
+    squares = F.array(_rectangle(F.lit(0), F.lit(0), F.lit(12), F.lit(12)), _rectangle(x, y, w, w), _rectangle(u, v, s, s))
+    path = lambda *points: F.array(*[_point(F.lit(a), F.lit(b)) for a, b in points])
+    outer = path((0, 0), (10, 0), (10, 10), (7, 10), (7, 3), (3, 3), (3, 10), (0, 10), (0, 0))
+    inner = path((1, 1), (9, 1), (9, 9), (8, 9), (8, 2), (2, 2), (2, 9), (1, 9), (1, 1))
+    rings = F.when(k % 29 == 0, F.array(outer, inner)).otherwise(squares)
+    return table(spark, sf_dir, "part").select(k.alias("poly_id"), F.lit(0).alias("scene_id"), F.array(rings).alias("parts"))
+
+
 def _tile_name() -> Column:
     return F.concat(F.lit("tile_"), F.lpad(F.col("vec_id").cast("string"), 5, "0"), F.lit(".tif"))
 
@@ -114,6 +138,9 @@ SQL = {
   CASE WHEN vec_id % 17 <> 0 AND (p + label + vec_id) % 3 = 0 THEN 1 ELSE 0 END AS t, vec_id % 10 <> 9 AS has_mask, CASE WHEN vec_id % 34 = 0 THEN -1.0::DOUBLE ELSE 4 * v END AS z
   FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))""",
     "epoch_log": """epoch_log AS (SELECT o_orderkey % 20 AS run_id, o_orderkey // 20 + 1 AS epoch, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS val_iou FROM orders)""",
+    "diamonds": """diamonds AS (SELECT p_partkey AS poly_id, p_partkey // 1000 AS scene_id, (p_partkey * p_partkey * 11 + p_partkey * 29) % 397 AS x, (p_partkey * p_partkey * 5 + p_partkey * 61) % 389 AS y,
+  2 + p_partkey % 8 AS r, p_partkey % 3 = 0 AND 2 + p_partkey % 8 >= 4 AS hole FROM part)""",
+    "holed": """holed AS (SELECT p_partkey AS poly_id, p_partkey % 13 - 1 AS x, p_partkey % 11 AS y, 1 + p_partkey % 4 AS w, (p_partkey * 7) % 12 AS u, (p_partkey * 5) % 12 AS v, 1 + p_partkey % 3 AS s FROM part WHERE p_partkey % 29 <> 0)""",
     "rects": """rects AS (SELECT p_partkey AS poly_id, p_partkey // 2000 AS scene_id, (p_partkey * p_partkey * 7 + p_partkey * 37) % 449 AS x0, (p_partkey * p_partkey * 3 + p_partkey * 53) % 443 AS y0,
   1 + p_size % 9 AS w, 1 + p_partkey % 7 AS h, p_partkey % 4 = 0 AND 1 + p_size % 9 >= 3 AND 1 + p_partkey % 7 >= 3 AS hole, p_partkey % 8 = 0 AS two FROM part)""",
 }

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from segjobs.functions.geometry import chaikin, dissolved, labelled, signed_area, simplified, stitched, union_edges
+from segjobs.functions.geometry import chaikin, labelled, signed_area, simplified
+from segjobs.functions.overlay import dissolved, doubled_area, polygons_of
 from segjobs.operators.augment import METHODS
 from segjobs.operators.clip import burn_rows
 from segjobs.operators.validate import problem
@@ -70,8 +71,9 @@ def test_labels_and_rings_of_small_masks(mask):
             for near, a, b in (((r - 1, c), (c, r), (c + 1, r)), ((r, c + 1), (c + 1, r), (c + 1, r + 1)), ((r + 1, c), (c + 1, r + 1), (c, r + 1)), ((r, c - 1), (c, r + 1), (c, r))):
                 if near not in mine:
                     edges.append((a, b))
-        rings = stitched(edges, right_first=False)
-        assert sum(signed_area(ring) for ring in rings) == pytest.approx(len(mine))
+        e = np.array([(*p, *q) for p, q in edges])
+        (rings,) = polygons_of(e, np.zeros(len(e), np.int64), 1)[0]
+        assert sum(doubled_area(ring) for ring in rings) == 2 * len(mine)
         # Burning the rings gives the pixels back.
         parts = [[[{"x": p[0], "y": -p[1]} for p in ring] for ring in rings]]
         assert {(r, c) for r, a, b in burn_rows(parts, 0, 0, 1, 9, 9) for c in range(a, b + 1)} == mine
@@ -131,8 +133,10 @@ def test_labels_equal_a_flood_fill():
 
 
 def test_rings_do_not_depend_on_the_order_of_edges():
-    edges = [((a, b), (c, d)) for a, b, c, d in union_edges([[box(0, 0, 4, 4)], [box(4, 4, 3, 3)], [box(2, 1, 5, 1)]]).tolist()]
-    whole = [r.tolist() for r in stitched(edges, False)]
-    assert all(r[0] == min(r) for r in whole)
+    made = dissolved([[box(0, 0, 4, 4)], [box(4, 4, 3, 3)], [box(2, 1, 5, 1)]])
+    e = np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for rings in made for r in rings]).astype(np.int64)
+    whole = [[r.tolist() for r in rings] for rings in polygons_of(e, np.zeros(len(e), np.int64), 1)[0]]
+    assert all(r[0] == min(r) for rings in whole for r in rings)
     for seed in range(5):
-        assert [r.tolist() for r in stitched([edges[k] for k in np.random.default_rng(seed).permutation(len(edges))], False)] == whole
+        some = e[np.random.default_rng(seed).permutation(len(e))]
+        assert [[r.tolist() for r in rings] for rings in polygons_of(some, np.zeros(len(e), np.int64), 1)[0]] == whole
