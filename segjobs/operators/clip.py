@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segjobs.functions.shared import small
+from segjobs.operators.blocks import arrays, parts_of, placed
 from segjobs.operators.grid import clean_name, windows_along
 from segjobs.operators.validate import bounds
 
@@ -40,11 +41,22 @@ def clip_pixels(pixels: DataFrame, scenes: DataFrame, window: int, stride: int)
     return out.withColumns({"ty": F.col("y") - F.col("j") * stride, "tx": F.col("x") - F.col("i") * stride}).drop("i", "j")
 
 
-def tiles_of(clipped: DataFrame, window: int, bands: list[str]) -> DataFrame:
-    """Block layout: scene_id, tile_idx, tile_name, size and bands, each a row-major array. One shuffle by tile."""
+def tiles_of(clipped: DataFrame, window: int, bands: list[str], nodata: float | None = None) -> DataFrame:
+    """Block layout: scene_id, tile_idx, tile_name, size and bands, each a row-major array. One shuffle by tile.
+
+    A pixel lies at its own place: one that is missing is null, or nodata, and two rows of one pixel are an error.
+    """
     at = (F.col("ty") * window + F.col("tx")).cast("int")
-    grouped = clipped.groupBy("scene_id", "tile_idx", "tile_name").agg(F.array_sort(F.collect_list(F.struct(at.alias("p"), *bands))).alias("v"))
-    return grouped.select("scene_id", "tile_idx", "tile_name", F.lit(window).alias("size"), F.array(*[F.col(f"v.{b}").cast("array<double>") for b in bands]).alias("bands"))
+    grouped = clipped.groupBy("scene_id", "tile_idx", "tile_name").agg(F.collect_list(F.struct(at.alias("p"), *[F.col(b).cast("double").alias(b) for b in bands])).alias("v"))
+
+    def rows(batches):
+        for whole in batches:
+            for batch in parts_of(whole, window * window * len(bands)):
+                size = pa.array(np.full(batch.num_rows, window, np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), size, arrays(*placed(batch.column(3), window * window, nodata))], ["scene_id", "tile_idx", "tile_name", "size", "bands"])
+
+    kept = grouped.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("tile_idx").cast("long").alias("tile_idx"), "tile_name", "v")
+    return kept.mapInArrow(rows, "scene_id bigint, tile_idx bigint, tile_name string, size int, bands array<array<double>>")
 
 
 def pixels_of(tiles: DataFrame, bands: list[str], keys: tuple[str, ...] = ("tile_name",)) -> DataFrame:

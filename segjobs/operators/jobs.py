@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segjobs.functions.shared import stored
-from segjobs.operators import augment, clip, grid, losses, metrics, polygonize, prepare, score, split, validate
+from segjobs.functions.shared import small, stored
+from segjobs.operators import augment, blocks, clip, grid, losses, metrics, polygonize, prepare, score, split, validate
 from segjobs.operators.clean import Steps, cleaned, usable
 from segjobs.sources import catalog, sinks
 
@@ -21,12 +21,26 @@ def clipped_tiles(pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, win
     validate.check_not_empty(polygons, "polygons")
     runs = stored(clip.burned_runs(polygons, scenes))
     masks = stored(clip.tile_masks(runs, scenes, window, stride, burn))
-    places = grid.training_grid(scenes, window, stride).select("scene_id", "tile_idx", "i", "j", "gt")
+    places = grid.training_grid(scenes, window, stride).select("scene_id", "tile_idx", "col0", "row0", "gt")
     places = stored(places.join(masks.select("scene_id", "tile_idx"), ["scene_id", "tile_idx"], "left_semi"))
-    pixels = clip.clip_pixels(clip.wanted_pixels(pixels, places, window, stride), scenes, window, stride)
-    pixels = pixels.join(masks.select("scene_id", "tile_idx"), ["scene_id", "tile_idx"], "left_semi")
-    tiles = clip.tiles_of(pixels, window, bands or BANDS)
-    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(places.drop("i", "j"), ["scene_id", "tile_idx"])
+    block = blocks.block_for(window, stride)
+    under = small(stored(blocks.blocks_under(places, block, window)))
+    of = lambda c: F.floor(F.col(c) / block).cast("long")
+    near = pixels.withColumns({"by": of("y"), "bx": of("x")}).join(under, ["scene_id", "by", "bx"], "left_semi").drop("by", "bx")
+    made = blocks.blocks_of(near, scenes, block, bands or BANDS)
+    tiles = blocks.training_tiles(made, scenes, block, window, stride, places)
+    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(places.drop("col0", "row0"), ["scene_id", "tile_idx"])
+
+
+def clipped_from_blocks(spark: SparkSession, path: str, scenes: DataFrame, polygons: DataFrame, block: int, window: int, stride: int, burn: int = 255) -> DataFrame:
+    """clipped_tiles() of scenes in blocks (blocks.write_blocks()): only files of rows of blocks under kept windows are read."""
+    runs = stored(clip.burned_runs(polygons, scenes))
+    masks = stored(clip.tile_masks(runs, scenes, window, stride, burn))
+    places = grid.training_grid(scenes, window, stride).select("scene_id", "tile_idx", "col0", "row0", "gt")
+    places = stored(places.join(masks.select("scene_id", "tile_idx"), ["scene_id", "tile_idx"], "left_semi"))
+    found = blocks.read_blocks(spark, path, stored(blocks.blocks_under(places, block, window)))
+    tiles = blocks.training_tiles(found, scenes, block, window, stride, places)
+    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(places.drop("col0", "row0"), ["scene_id", "tile_idx"])
 
 
 def check_clipping(scenes: DataFrame, polygons: DataFrame, window: int, stride: int, budget: int | None = None) -> dict[str, int]:
@@ -124,7 +138,9 @@ def predict(pixels: DataFrame, scenes: DataFrame, size: int, overlap: float, wei
     bands = bands or BANDS
     if not validate.unfit_scenes(scenes, len(bands), size, sizes).isEmpty():
         raise ValueError("the tile size is not supported, or a scene has another number of bands than the scorer")
-    tiles = prepare.normalized_padded(score.prediction_tiles(pixels, scenes, size, overlap, bands))
+    side = blocks.block_for(size, grid.prediction_stride(size, overlap))
+    cut = blocks.prediction_tiles(blocks.blocks_of(pixels, scenes, side, bands), scenes, side, size, overlap)
+    tiles = prepare.normalized_padded(cut)
     block = size if overlap == 0 else max(size // 2, grid.prediction_stride(size, overlap) // 2, 1)
     return score.positive(score.blended_pixels(score.blended(score.linear_scores(tiles, weights, bias), block), block), threshold)
 
@@ -154,10 +170,9 @@ def validation_epoch(images: DataFrame, masks: DataFrame, logits: DataFrame, bat
     """val_loss, val_iou, val_f1 and n_batches: plain means over batches of tiles by name. With a log_path they are
     appended to the epoch log there."""
     tiles = prepare.paired(images, masks).join(logits.select("tile_name", "z"), "tile_name")
-    rows = stored(split.batches(tiles.select("tile_name", "z", "mask"), batch_size))
-    pixels = rows.select("batch", F.explode(F.arrays_zip("z", "mask")).alias("v")).select("batch", F.col("v.z").alias("z"), (F.col("v.mask") > 0).cast("int").alias("t"))
-    loss = losses.epoch_loss(losses.batch_losses(pixels, "batch")).select(F.col("loss").alias("val_loss"))
-    out = loss.crossJoin(metrics.batch_means(metrics.tile_confusion(rows)))  # one row and one row
+    sums = stored(split.batches(losses.tile_sums(tiles), batch_size))  # sums, not arrays, are ranked
+    loss = losses.epoch_loss(losses.summed_losses(sums, "batch")).select(F.col("loss").alias("val_loss"))
+    out = loss.crossJoin(metrics.batch_means(sums))  # one row and one row
     if log_path is not None:
         out = stored(out)
         line = out.select(F.lit(run_id).alias("run_id"), F.lit(epoch).alias("epoch"), F.lit(train_loss).cast("double").alias("train_loss"), "val_loss", "val_iou", "val_f1")

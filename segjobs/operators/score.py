@@ -6,33 +6,45 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from segjobs.operators.blocks import arrays, parts_of, placed
 from segjobs.operators.grid import prediction_stride
 from segjobs.operators.losses import sigmoid
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
 
-def prediction_tiles(pixels: DataFrame, scenes: DataFrame, size: int, overlap: float, bands: list[str]) -> DataFrame:
+def prediction_tiles(pixels: DataFrame, scenes: DataFrame, size: int, overlap: float, bands: list[str], nodata: float | None = None) -> DataFrame:
     """scene_id, col0, row0, size, read_w, read_h and bands, with 0 where a tile reaches over the scene's edge.
 
-    A pixel goes to every tile that covers it; one shuffle by tile.
+    A pixel goes to every tile that covers it; one shuffle by tile. blocks.prediction_tiles() has the same rows from blocks, for
+    a shuffle of about the pixels once. A missing pixel within the scene is null, or nodata, and its tile's other pixels keep
+    their places; two rows of one pixel are an error; a tile without any pixel has no row.
     """
     stride = prediction_stride(size, overlap)
     along = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - size) / stride) + 1, F.lit(0)).cast("long"), F.floor(F.col(c) / stride).cast("long")))
-    placed = pixels.withColumn("col0", along("x")).withColumn("row0", along("y")).withColumns({"col0": F.col("col0") * stride, "row0": F.col("row0") * stride})
+    placed_in = pixels.withColumn("col0", along("x")).withColumn("row0", along("y")).withColumns({"col0": F.col("col0") * stride, "row0": F.col("row0") * stride})
     at = ((F.col("y") - F.col("row0")) * size + F.col("x") - F.col("col0")).cast("int")
-    grouped = placed.groupBy("scene_id", "col0", "row0").agg(F.array_sort(F.collect_list(F.struct(at.alias("p"), *bands))).alias("v"))
-    own = grouped.join(scenes.select("scene_id", "width", "height"), "scene_id").withColumns({"read_w": F.least(F.lit(size), F.col("width") - F.col("col0")).cast("long"), "read_h": F.least(F.lit(size), F.col("height") - F.col("row0")).cast("long")})
-
-    def padded(band: str) -> Column:
-        y, x = lambda p: F.floor(p / size), lambda p: p % size
-        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda p: F.when((x(p) < F.col("read_w")) & (y(p) < F.col("read_h")), F.col("v")[(y(p) * F.col("read_w") + x(p)).cast("int")][band].cast("double")).otherwise(0.0))
-
-    return own.select("scene_id", "col0", "row0", F.lit(size).alias("size"), "read_w", "read_h", F.array(*[padded(b) for b in bands]).alias("bands"))
+    grouped = placed_in.groupBy("scene_id", "col0", "row0").agg(F.collect_list(F.struct(at.alias("p"), *[F.col(b).cast("double").alias(b) for b in bands])).alias("v"))
+    read = lambda n, c: F.least(F.lit(size), F.col(n) - F.col(c)).cast("long")
+    own = grouped.join(scenes.select("scene_id", "width", "height"), "scene_id").withColumns({"read_w": read("width", "col0"), "read_h": read("height", "row0")}).where("read_w > 0 AND read_h > 0")
+
+    def rows(batches):
+        for whole in batches:
+            for batch in parts_of(whole, size * size * len(bands)):
+                values, missing = placed(batch.column(5), size * size, nodata)
+                w, h = (batch.column(k).to_numpy()[:, None, None] for k in (3, 4))
+                y, x = np.divmod(np.arange(size * size), size)
+                outside = np.broadcast_to((x >= w) | (y >= h), values.shape)
+                values[outside], missing[outside] = 0.0, False
+                columns = [*(batch.column(k) for k in range(3)), pa.array(np.full(batch.num_rows, size, np.int32)), batch.column(3), batch.column(4)]
+                yield pa.RecordBatch.from_arrays([*columns, arrays(values, missing)], ["scene_id", "col0", "row0", "size", "read_w", "read_h", "bands"])
+
+    kept = own.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("col0").cast("long").alias("col0"), F.col("row0").cast("long").alias("row0"), "read_w", "read_h", "v")
+    return kept.mapInArrow(rows, "scene_id bigint, col0 bigint, row0 bigint, size int, read_w bigint, read_h bigint, bands array<array<double>>")
 
 
 def linear_scores(tiles: DataFrame, weights: list[float], bias: float) -> DataFrame:

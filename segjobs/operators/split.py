@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segjobs.functions.ranking import ranked
-from segjobs.operators.validate import check_not_empty, check_percentages
+from segjobs.operators.validate import check_percentages
 
 SEED = 42
 SUBSETS = ("train", "valid", "test")
@@ -41,8 +41,9 @@ def shuffled_as_list(spark: SparkSession, tiles: DataFrame, seed: int = SEED) ->
 def split(tiles: DataFrame, train: int = 80, valid: int = 10, test: int = 10, seed: int | str = SEED) -> DataFrame:
     """tiles with subset; exact counts, halves rounded to even, and the rest to test."""
     check_percentages(train, valid, test)
-    check_not_empty(tiles, "tiles to split")
     n = tiles.count()
+    if not n:
+        raise ValueError("there are no tiles to split")
     n_train, n_valid = round(n * train / 100), round(n * valid / 100)
     subset = F.when(F.col("rank") <= n_train, "train").when(F.col("rank") <= n_train + n_valid, "valid").otherwise("test")
     return shuffled(tiles, seed).withColumn("subset", subset)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segjobs.functions.shared import stored, table
-from segjobs.operators import augment, clean, clip, grid, jobs, losses, metrics, polygonize, prepare, score, split, validate
+from segjobs.operators import augment, blocks, clean, clip, grid, jobs, losses, metrics, polygonize, prepare, score, split, validate
 from segjobs.sources import catalog, sinks
 from segjobs.sources import fixtures as fx
 from segjobs.sources.fixtures import sql
@@ -227,6 +227,16 @@ def c1(spark, sf):
     return clip.clip_pixels(fx.pixels(spark, sf), fx.scenes(spark, sf), WINDOW, STRIDE).select("scene_id", "tile_idx", "ty", "tx", "b1", "b2", "b3")
 
 
+@query("c1_block_tiles", sql("pixels scenes", _GRID + """ SELECT g.scene_id, tile_idx::BIGINT AS tile_idx, round(sum(b1 * ((y - j * 4) * 8 + x - i * 4 + 1)) * 1000)::BIGINT AS b1_milli, sum(b3 * ((y - j * 4) * 8 + x - i * 4 + 1))::BIGINT AS b3_weighted, count(*)::BIGINT AS n
+FROM g JOIN pixels p ON p.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8 GROUP BY ALL"""))
+def c1_blocks(spark, sf):
+    """Windows from blocks, by an exchange of block edges."""
+    s, block = fx.scenes(spark, sf), blocks.block_for(WINDOW, STRIDE)
+    made = blocks.training_tiles(blocks.blocks_of(fx.pixels(spark, sf), s, block, BANDS), s, block, WINDOW, STRIDE)
+    weighted = lambda k: F.aggregate(F.transform(F.col("bands")[k], lambda v, p: v * (p + 1)), F.lit(0.0), lambda a, v: a + v)
+    return made.select("scene_id", "tile_idx", F.round(weighted(0) * 1000).cast("long").alias("b1_milli"), weighted(2).cast("long").alias("b3_weighted"), F.size(F.col("bands")[0]).cast("long").alias("n"))
+
+
 @query("c2_candidates", sql("scenes shapes", _GRID + " SELECT poly_id, g.scene_id, tile_idx::BIGINT AS tile_idx FROM g JOIN shapes s ON s.scene_id = g.scene_id AND px <= i * 4 + 8 AND px + w >= i * 4 AND py <= j * 4 + 8 AND py + CASE shape WHEN 1 THEN h + 0.125 ELSE h END >= j * 4"))
 def c2(spark, sf):
     return clip.candidates(fx.polygons(spark, sf), fx.scenes(spark, sf), WINDOW, STRIDE).select("poly_id", "scene_id", "tile_idx")
@@ -385,6 +395,27 @@ def l1(spark, sf):
     return losses.batch_losses(_batched(spark, sf), "batch").select("batch", _milli("bce", "bce"), _milli("dice", "dice"), _milli("bce_dice", "bce_dice"))
 
 
+@query("l1_l3_tile_sums", sql("tilepx", _LOSSES + " SELECT batch::BIGINT AS batch, round(bce * 1000000)::BIGINT AS bce, round(dice * 1000000)::BIGINT AS dice, round((0.5 * bce + 0.5 * dice) * 1000000)::BIGINT AS bce_dice FROM s"))
+def l1_sums(spark, sf):
+    """The same from sums of whole arrays, without a row a pixel."""
+    sums = split.batches(losses.tile_sums(_tiles(spark, sf)), 8)
+    return losses.summed_losses(sums, "batch").select("batch", _milli("bce", "bce"), _milli("dice", "dice"), _milli("bce_dice", "bce_dice"))
+
+
+@query("io5_version_infos", """SELECT s_suppkey % 7 + 1 AS version, count(*)::BIGINT AS total_tiles, min(s_suppkey)::BIGINT AS first_key FROM supplier GROUP BY ALL""")
+def io5(spark, sf):
+    """Versions written one after another, found again with their infos in one read."""
+    from segjobs.functions.shared import shared_folder
+
+    root, own = shared_folder(spark), table(spark, sf, "supplier").withColumn("v", F.col("s_suppkey") % 7)
+    counts = {r["v"]: r for r in own.groupBy("v").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first")).collect()}  # a row a version
+    for v in sorted(counts):
+        catalog.write_version(own.where(F.col("v") == v), root, "p", "clipping", {"total_tiles": counts[v]["n"], "first_key": counts[v]["first"]})
+    found = catalog.scan_versions(spark, root, "p", "clipping")
+    number = lambda k: F.get_json_object("info", f"$.{k}").cast("long").alias(k)
+    return found.select(F.col("version").cast("long").alias("version"), number("total_tiles"), number("first_key"))
+
+
 @query("l4_epoch_loss", sql("tilepx", _LOSSES + " SELECT round(avg(0.5 * bce + 0.5 * dice) * 1000000)::BIGINT AS loss, count(*)::BIGINT AS n_batches FROM s"))
 def l4(spark, sf):
     return losses.epoch_loss(losses.batch_losses(_batched(spark, sf), "batch")).select(_milli("loss", "loss"), "n_batches")
@@ -476,6 +507,14 @@ def s1(spark, sf):
     return tiles.select("scene_id", "col0", "row0", "read_w", "read_h", F.aggregate(F.transform(F.col("bands")[2], lambda v, p: v * p), F.lit(0.0), lambda a, v: a + v).cast("long").alias("weighted"))
 
 
+@query("s1_block_tiles", sql("pixels scenes", _tiles_sql(9) + " SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, rw::BIGINT AS read_w, rh::BIGINT AS read_h, sum(b3 * ((y - row0) * 16 + x - col0))::BIGINT AS weighted FROM n GROUP BY ALL"))
+def s1_blocks(spark, sf):
+    """Prediction windows from blocks, at a stride that does not divide their size."""
+    s, block = fx.scenes(spark, sf), blocks.block_for(SIZE, grid.prediction_stride(SIZE, 0.4))
+    tiles = blocks.prediction_tiles(blocks.blocks_of(fx.pixels(spark, sf), s, block, BANDS), s, block, SIZE, 0.4)
+    return tiles.select("scene_id", "col0", "row0", "read_w", "read_h", F.aggregate(F.transform(F.col("bands")[2], lambda v, p: v * p), F.lit(0.0), lambda a, v: a + v).cast("long").alias("weighted"))
+
+
 @query("s2_custom_scorer", sql("pixels scenes", _PTILES + """, f AS (SELECT scene_id, col0, row0, sum(1 / (1 + exp(-(2.0 * n1 - 1.0 * n2 + 0.5 * n3 - 0.25)))) AS inside, 256 - any_value(rw * rh) AS padding,
   any_value(CASE WHEN h1 > l1 THEN -l1 / (h1 - l1) ELSE 0 END) AS e1, any_value(CASE WHEN h2 > l2 THEN -l2 / (h2 - l2) ELSE 0 END) AS e2, any_value(CASE WHEN h3 > l3 THEN -l3 / (h3 - l3) ELSE 0 END) AS e3 FROM n GROUP BY ALL)
 SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, round((inside + padding / (1 + exp(-(2.0 * e1 - 1.0 * e2 + 0.5 * e3 - 0.25)))) * 1000)::BIGINT AS total FROM f"""))

@@ -1,10 +1,12 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from segjobs.functions.graph import components
 from segjobs.functions.ranking import ranked
-from segjobs.operators import augment, clean, clip, grid, jobs, metrics, polygonize, score, split, validate
+from segjobs.operators import augment, clean, clip, grid, jobs, losses, metrics, polygonize, score, split, validate
 from segjobs.sources import catalog, sinks
 from segjobs.sources import fixtures as fx
 
@@ -120,6 +122,46 @@ def test_versions(spark, tmp_path):
     assert [r["version"] for r in found] == [1, 2, 4] and found[2]["info"] is None and '"window_size":8' in found[0]["info"]
 
 
+def test_writers_at_once_get_different_versions(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    with ThreadPoolExecutor(6) as pool:
+        made = list(pool.map(lambda k: (catalog.write_version(spark.range(k), root, "p", "splitting", {"n": k}), k), range(1, 7)))
+    assert sorted(n for n, _ in made) == [1, 2, 3, 4, 5, 6]
+    for number, k in made:
+        assert catalog.read_version(spark, root, "p", "splitting", number).count() == k
+    infos = {r["version"]: r["info"] for r in catalog.scan_versions(spark, root, "p", "splitting").collect()}
+    assert all(f'"n":{k}' in infos[number] for number, k in made)
+
+
+def test_a_writer_that_fails_leaves_no_version(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    with pytest.raises(Exception, match="no such"):
+        catalog.write_version(spark.range(3).select(F.raise_error(F.lit("no such row")).alias("x")), root, "p", "clipping", {})
+    assert catalog.versions(spark, root, "p", "clipping") == []
+    assert catalog.write_version(spark.range(3), root, "p", "clipping", {}) == 1
+
+
+def test_a_folder_that_is_there_is_not_written_into(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "_m").touch()
+    (tmp_path / "v1").mkdir()
+    (tmp_path / "v1" / "x").touch()
+    assert not catalog._moved(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/v1", "_m")
+    assert (tmp_path / "a" / "_m").exists() and {p.name for p in (tmp_path / "v1").iterdir()} == {"x"}
+
+
+def test_tile_sums(spark):
+    rows = [("a", [0.0, 2.0, -1.5], [0, 255, 1], 1), ("b", [], [], 1), ("c", None, None, 1)]
+    made = {r["tile_name"]: r.asDict() for r in losses.tile_sums(spark.createDataFrame(rows, "tile_name string, z array<double>, mask array<int>, p int")).collect()}
+    assert (made["a"]["n"], made["a"]["tp"], made["a"]["fp"], made["a"]["tn"], made["a"]["fn"]) == (3, 1, 0, 1, 1)
+    z, t = np.array([0.0, 2.0, -1.5]), np.array([0, 1, 1])
+    p = 1 / (1 + np.exp(-z))
+    assert made["a"]["ce"] == pytest.approx(-(t * np.log(p) + (1 - t) * np.log(1 - p)).sum())
+    assert made["b"]["n"] == made["c"]["n"] == 0
+    with pytest.raises(Exception, match="length"):
+        losses.tile_sums(spark.createDataFrame([("a", [0.0], [0, 1])], "tile_name string, z array<double>, mask array<int>")).collect()
+
+
 def test_prepare_all_stages(spark, sf_dir, tmp_path):
     root = f"file://{tmp_path}"
     numbers = jobs.run_all(spark, root, "fields", fx.pixels(spark, sf_dir), fx.scenes(spark, sf_dir), fx.polygons(spark, sf_dir), 8, 4, ["Flip H", "Mirror"])
