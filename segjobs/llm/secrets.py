@@ -2,8 +2,8 @@
 
 Guess cost: the least sum, over all ways to cut a value, of the log10 guesses of its parts. A part is a known word, a
 date, a repeat, a walk over neighbouring keys or along the alphabet, or a single character by brute force. Words are
-known by their rank: that in the corpus, from counts of all its words, or that in a public vocabulary file, whichever
-is better. A value after a credential's name is a secret if its cost reaches ``MIN_COST``, so that
+known by their rank: that in the corpus, from counts of the texts that have them, or that in a public vocabulary file,
+whichever is better. A value after a credential's name is a secret if its cost reaches ``MIN_COST``, so that
 ``password: environment`` is none.
 """
 
@@ -34,6 +34,8 @@ CONTEXT = re.compile(
     r"""["'`]?[\x20\t]{0,3}(?:=>|:=|[:=])[\x20\t]{0,3}(?:bearer\x20)?["'`]?([^\s"'`<>]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
+#: What every credential's name has a part of: in texts without it nothing is looked for.
+CONTEXT_HINT = r"(?i)pass|pwd|secret|token|credential|auth|key"
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"key")
 
 # Frequent words of passwords, most frequent first; rows of keys; characters put for letters.
@@ -51,6 +53,8 @@ _DATE = re.compile(
 )
 #: Words of the corpus and of the vocabulary that are known, by their ranks; longest word, repeat and walk that count as one part.
 MAX_WORDS = 20_000
+#: A word of the corpus is in so many different texts, and in one of so many.
+MIN_TEXTS, ONE_IN = 5, 100_000
 LONGEST = 32
 
 
@@ -130,15 +134,26 @@ def vocabulary_words(path: str, most: int = MAX_WORDS) -> dict[str, int]:
     return {w: r for w, r in ranks.items() if r <= most}
 
 
-def corpus_words(docs: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
-    """Ranks of the ``most`` frequent words of all texts, ties by the word; words of letters alone that occur twice or more.
+def corpus_words(docs: DataFrame, most: int = MAX_WORDS, min_texts: int = MIN_TEXTS, one_in: int = ONE_IN) -> dict[str, int]:
+    """Ranks of the ``most`` words of letters alone that the most texts have, ties by the word.
+
+    What stands in a credential's place is no evidence of a word, so it is cut out first; a text counts once, however
+    often it has the word and however many copies it has; and a word is known if ``min_texts`` texts and one in ``one_in`` have it. So a
+    secret that leaked often is not taken for a word, and repeated rows change nothing.
 
     Words are counted in tasks before the shuffle, and ranked over ranges of their counts, so that only the ``most`` words
     themselves, a bounded number, come to the driver.
     """
-    text = F.lower(F.coalesce("text", F.lit("")))
-    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![^\s\p{P}])\p{L}{3,32}(?![^\s\p{P}])"), 0)).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").withColumn("key", F.xxhash64("text"))
+    copies = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    n_texts = copies.count()
+    repeated = base.small(base.stored(copies.where("n > 1").select("key")))
+    once = keyed.join(repeated, "key", "left_anti").select("text")
+    again = keyed.join(repeated, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("text")
+    text = F.when(F.col("text").rlike(CONTEXT_HINT), F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")).otherwise(F.col("text"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![^\s\p{P}])\p{L}{3,32}(?![^\s\p{P}])"), 0))
+    counts = once.unionByName(again).select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = counts.where((F.col("n") >= min_texts) & (F.col("n") * one_in >= n_texts))
     top = ranked(counts, F.desc("n"), F.asc("word")).where(F.col("rank") <= most)
     return {r["word"]: r["rank"] for r in top.select("word", "rank").collect()}
 
@@ -191,8 +206,8 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 def scanned(docs: DataFrame, words: Mapping[str, int] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans of each row's whole text; row by row.
 
-    words: known_words(), by default those of docs without a vocabulary file. A null text is an empty one, without spans. Repeated rows are scanned alike; columns besides
-    doc_id and text are not read. Spans are ``kind:start:end``, by start and then by kind, comma-joined.
+    words: known_words(), by default those of docs without a vocabulary file. A null text is an empty one, without spans.
+    Repeated rows are scanned alike and change no other row's spans; columns besides doc_id and text are not read. Spans are ``kind:start:end``, by start and then by kind, comma-joined.
     """
     sent = docs.sparkSession.sparkContext.broadcast(dict(known_words(docs) if words is None else words))  # three times MAX_WORDS entries at most
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
