@@ -1,15 +1,17 @@
 """Benchmark decontamination with DataFrame operations only.
 
 Texts are lower-cased words of letters and digits. A document's window as long as a benchmark item, in words, is
-compared with it, at every start. The letters of its shingles that an item has too, in any place, are at least those in
-common, so a window where they are under ``SIMILARITY`` of the item's cannot be similar to it: running sums over the
-shared shingles leave such windows out, whatever the order of the passage, and give each other window the items that
-it may be like. Those windows get SimHash fingerprints, and meet these items over blocks of the fingerprint:
-within ``RADIUS`` bits, one of ``BLOCKS`` blocks differs in at most ``RADIUS // BLOCKS`` bits, so each item is listed under
-all such values of each block, and no pair within the radius is missed. As blocks alone would hold a random item for
-likely (at similarity 0.8 a tenth of all bits differ, so their lists are long), they are keyed by item too: a window
-meets a row for each block it agrees on with an item that it may be like, ``BLOCKS`` a pair at most, and none of other items.
-Pairs within the radius are then verified by the exact weighted similarity of their shingles, each weighted by its letters.
+compared with it, at every start, over SimHash fingerprints: those within ``RADIUS`` bits are found by ``BLOCKS`` blocks
+of the fingerprint. Of two within the radius, one block differs in at most ``RADIUS // BLOCKS`` bits, so each item is listed
+under all such values of each block and no pair is missed. A window looks up its blocks among the items of its length: at
+these sizes it meets an unlike item in 1.16 rows (eight blocks, each of which lists an item under 37 of 256 values), and one in 60
+of them is within the radius. Pairs within it are verified by the exact weighted similarity of their
+shingles, each weighted by its letters.
+
+Windows that cannot be similar to any item are left out first. Of an item, the shingles that fewest items have and
+that weigh more than ``1 - SIMILARITY`` of it together are looked for in all texts; a text without any of them has no similar window.
+In texts that have one, running sums over what they share with the item leave those windows whose share is too small. Both
+leave out windows only, and none that is similar, whatever the order of the passage: which item a window is like is found by the blocks alone.
 
 An item of fewer than ``SHINGLE`` words is one shingle, and could be found in any text; it is found only in documents
 that have no other words.
@@ -72,12 +74,29 @@ def items(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def windows(words: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n (words of the text), start, n_words and item: windows of texts (key, ws) that may be like an item."""
-    own = wanted.select("item", "n_words", "item_weight", F.expr(f"inline(array_distinct(zip_with({KEYS}, item_sh, (k, x) -> named_struct('hash', k, 'w', x.w))))"))
-    found = words.select("key", F.size("ws").alias("n"), F.posexplode(F.expr(KEYS)).alias("at", "hash")).join(base.small(own), "hash")
-    found = found.dropDuplicates(["key", "n", "item", "at"])  # equal texts count once; combined before the shuffle
+def hashes_of(wanted: DataFrame) -> DataFrame:
+    """item, n_words, item_weight, hash, w and rare of the distinct shingles of items. Rare ones are had by the fewest items, and
+    just enough to weigh more than what a similar window may lack."""
+    rows = wanted.select("item", "n_words", "item_weight", F.expr(f"inline(zip_with({KEYS}, item_sh, (k, x) -> named_struct('hash', k, 'w', x.w)))"))
+    own = rows.groupBy("item", "n_words", "item_weight", "hash").agg(F.max("w").alias("w"), F.sum("w").alias("all"))
+    own = own.withColumn("n_items", F.count("*").over(Window.partitionBy("hash")))
+    before = F.sum("all").over(Window.partitionBy("item").orderBy("n_items", "hash")) - F.col("all")
+    num, den = SIMILARITY
+    return own.select("item", "n_words", "item_weight", "hash", "w", (den * before <= (den - num) * F.col("item_weight")).alias("rare"))
+
+
+def candidates(words: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(key, item) of texts (key, ws) that have one of the item's rare shingles."""
+    rare = hashes.where("rare").select("item", "hash")
+    return words.select("key", F.explode(F.array_distinct(F.expr(KEYS))).alias("hash")).join(base.small(rare), "hash").select("key", "item").distinct()
+
+
+def windows(texts: DataFrame, likely: DataFrame, hashes: DataFrame) -> DataFrame:
+    """key, start and n_words of the windows of texts (key, ws; each key once) that may be similar to an item of their length."""
+    items_of = hashes.groupBy("item", "n_words", "item_weight").agg(F.map_from_entries(F.collect_list(F.struct("hash", "w"))).alias("weights"))
+    own = texts.select("key", F.size("ws").alias("n"), F.expr(KEYS).alias("hashes")).join(likely, "key").join(base.small(items_of), "item")
     # A shared shingle counts in the windows from its first start to its own place.
+    found = own.select("key", "n", "item", "n_words", "item_weight", F.expr("inline(filter(transform(hashes, (h, i) -> named_struct('at', i, 'w', weights[h])), x -> x.w IS NOT NULL))"))
     first = f"greatest(0, at + least({SHINGLE}, n_words) - n_words)"
     ends = f"inline(array(named_struct('start', {first}, 'w', w), named_struct('start', at + 1, 'w', -w)))"
     marks = found.select("key", "n", "item", "n_words", "item_weight", F.expr(ends))
@@ -86,33 +105,45 @@ def windows(words: DataFrame, wanted: DataFrame) -> DataFrame:
     last = F.least(F.lead("start").over(by) - 1, F.greatest(F.lit(0), F.col("n") - F.col("n_words")))
     runs = marks.withColumns({"shared": F.sum("w").over(by), "last": last})
     runs = runs.where((den * F.col("shared") >= num * F.col("item_weight")) & (F.col("start") <= F.col("last")))
-    return runs.select("key", "n", F.explode(F.sequence("start", "last")).alias("start"), "n_words", "item").distinct()
+    return runs.select("key", F.explode(F.sequence("start", "last")).alias("start"), "n_words").distinct()
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), item_id and similarity_ppm of each text with a window similar to an item."""
-    wanted = base.stored(items(benchmark))
-    words = docs.select(F.xxhash64("text").alias("key"), F.expr(WORDS).alias("ws"))
-    places = base.stored(windows(words, wanted))
+def all_windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """windows() with none left out: every start, for the length of every item."""
+    own = texts.select("key", F.size("ws").alias("n")).join(base.small(wanted.select("n_words").distinct()))
+    own = own.where(f"n > 0 AND (n_words >= {SHINGLE} OR n < {SHINGLE})")
+    return own.select("key", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - F.col("n_words")))).alias("start"), "n_words")
 
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    texts = base.stored(texts.join(base.small(places.select("key").distinct()), "key", "left_semi").withColumn("ws", F.expr(WORDS)))
-    of_text = texts.groupBy("key").agg(F.first("ws").alias("ws"))
-    once = places.select("key", "start", "n_words").distinct()
-    cut = of_text.join(once, "key").select("key", "start", "n_words", F.expr("slice(ws, start + 1, n_words)").alias("ws"))
-    cut = cut.select("key", "start", "n_words", F.expr(_shingles("ws")).alias("sh"))
-    prints = base.stored(cut.withColumn("fp", F.expr(FINGERPRINT)))
 
-    index = wanted.select("item", "item_fp", F.expr(_BLOCK.format("item_fp")).alias("x")).select("*", F.expr(_NEAR).alias("m"))
-    index = index.select("item", "item_fp", F.col("x.b").alias("b"), F.col("x.v").bitwiseXOR(F.col("m")).alias("v"))
-    own = ["key", "start", "n_words"]
-    looked = places.select(*own, "item").join(prints.select(*own, "fp"), own)
-    looked = looked.select(*own, "item", "fp", F.expr(_BLOCK.format("fp")).alias("x")).select(*own, "item", "fp", "x.b", "x.v")
+def near_items(prints: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, start, n_words, item) of windows (with fp) and items of their length within RADIUS bits, over blocks."""
+    index = wanted.select("item", "n_words", "item_fp", F.expr(_BLOCK.format("item_fp")).alias("x")).select("*", F.expr(_NEAR).alias("m"))
+    index = index.select("item", "n_words", "item_fp", F.col("x.b").alias("b"), F.col("x.v").bitwiseXOR(F.col("m")).alias("v"))
+    looked = prints.select("key", "start", "n_words", "fp", F.expr(_BLOCK.format("fp")).alias("x")).select("key", "start", "n_words", "fp", "x.b", "x.v")
     within = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    pairs = looked.join(base.small(index), ["item", "b", "v"]).where(within).select(*own, "item").distinct()
+    return looked.join(base.small(index), ["n_words", "b", "v"]).where(within).select("key", "start", "n_words", "item").distinct()
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, all_starts: bool = False) -> DataFrame:
+    """doc_id, key (a hash of the text), item_id and similarity_ppm of each text with a window similar to an item.
+    all_starts: no window is left out before the fingerprints."""
+    wanted = base.stored(items(benchmark))
+    hashes = base.stored(hashes_of(wanted))
+    keyed = F.xxhash64("text").alias("key")
+    texts = docs.select("doc_id", "text", keyed)
+    if not all_starts:
+        likely = base.stored(candidates(docs.select(keyed, F.expr(WORDS).alias("ws")), hashes))
+        texts = texts.join(base.small(likely.select("key").distinct()), "key", "left_semi")
+    texts = base.stored(texts.withColumn("ws", F.expr(WORDS)))
+    of_text = texts.groupBy("key").agg(F.first("ws").alias("ws"))
+    places = base.stored(all_windows(of_text, wanted) if all_starts else windows(of_text, likely, hashes))
+    own = ["key", "start", "n_words"]
+    cut = of_text.join(places, "key").select(*own, F.expr("slice(ws, start + 1, n_words)").alias("ws"))
+    cut = cut.select(*own, F.expr(_shingles("ws")).alias("sh"))
+    prints = base.stored(cut.withColumn("fp", F.expr(FINGERPRINT)))
 
     num, den = SIMILARITY
-    sure = pairs.join(prints.select(*own, "sh"), own)
+    sure = near_items(prints, wanted).join(prints.select(*own, "sh"), own)
     sure = sure.join(base.small(wanted.select("item", "item_id", "item_sh", "item_weight")), "item")
     sure = sure.withColumn("common", F.expr(COMMON))
     sure = sure.withColumn("union", F.expr("item_weight + aggregate(sh, 0L, (a, x) -> a + x.w) - common"))

@@ -122,9 +122,9 @@ def test_secrets_outside_the_base_patterns(spark):
         (1, "pwd: hG7$kd02Vb!pQ", ["hG7$kd02Vb!pQ"]), (2, "Authorization: Bearer kq8Zr0vQm-WxTbK", ["kq8Zr0vQm-WxTbK"]), (3, "private_key => 'vR8!nd#2kQz0'", ["vR8!nd#2kQz0"]),
         (4, "password: environment", []), (5, "passphrase = ththandre", []), (6, "pwd=qazwsxedc client-key: 19991231", []), (7, None, []), (8, "pwd: " + "Zk4$" + "x" * 9000, ["Zk4$" + "x" * 9000]),
     ]
-    docs = spark.createDataFrame([(i, t, "w") for i, t, _ in rows] + [(k, "ththandre, ththandre", "w") for k in (20, 21)], "doc_id bigint, text string, spans string")
+    docs = spark.createDataFrame([(i, t, "w") for i, t, _ in rows] + [(k, f"ththandre, ththandre {k}", "w") for k in range(20, 25)], "doc_id bigint, text string, spans string")
     words = secrets.known_words(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    assert secrets.corpus_words(docs)["ththandre"] == 1 and secrets.corpus_words(docs, 1) == {"ththandre": 1} and secrets.corpus_words(docs.where("false")) == {}
+    assert secrets.corpus_words(docs) == {"ththandre": 1} and secrets.corpus_words(docs, min_texts=6) == {} and secrets.corpus_words(docs.where("false")) == {}
     got = {r["doc_id"]: r for r in secrets.scanned(docs, words).collect()}
     for i, text, wanted in rows:
         assert [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i]["spans"].split(",") if s) if k == "guess"] == wanted
@@ -133,6 +133,57 @@ def test_secrets_outside_the_base_patterns(spark):
     assert masked[1] == "pwd: [secret]" and masked[4] == rows[3][1] and masked[7] is None
 
 
+def test_secrets_that_leaked_often_are_secrets(spark):
+    """Repetition, in copies or in other texts, does not make a credential's value a word; nor does it change other rows."""
+    schema = "doc_id bigint, text string"
+    spans = lambda rows: {r["doc_id"]: r["spans"] for r in secrets.scanned(spark.createDataFrame(rows, schema)).collect()}
+    text = "passphrase := xqzvkwjbtrm"
+    assert spans([(1, text)]) == {1: "guess:14:25"}
+    assert spans([(k, text) for k in range(30)]) == {k: "guess:14:25" for k in range(30)}
+    assert set(spans([(k, f"note {k}\n{text}") for k in range(30)]).values()) == {f"guess:{14 + n}:{25 + n}" for n in (7, 8)}
+    prose_rows = [(k, f"text {k} of gorbandel") for k in range(8)] + [(90, "pwd: gorbandel")]
+    known = secrets.corpus_words(spark.createDataFrame(prose_rows, schema))
+    assert known["gorbandel"] == secrets.corpus_words(spark.createDataFrame(prose_rows * 3, schema))["gorbandel"]
+    assert spans(prose_rows)[90] == spans(prose_rows * 3)[90] == ""
+    assert "gorbandel" not in secrets.corpus_words(spark.createDataFrame([(k, "the same gorbandel text") for k in range(50)], schema))
+
+
+def test_decontamination_without_its_filter(spark, docs):
+    """Blocks and radius find the same leaks among all windows as among those that the shared shingles leave."""
+    r = np.random.default_rng(21)
+    passages = [r.choice(VOCABULARY[:60], n).tolist() for n in (12, 12, 12, 25, 25, 40, 5, 3)]
+    texts = []
+    for k in range(40):
+        words = r.choice(VOCABULARY[:60], 50).tolist()
+        own = list(passages[k % len(passages)])
+        for _ in range(k % 4):
+            own[int(r.integers(len(own)))] = "other"
+        if k % 5 == 0:
+            own = own[len(own) // 2 :] + own[: len(own) // 2]
+        texts.append((k, " ".join([*words[:20], *own, *words[20:]])))
+    texts += [(50, " ".join(passages[-1])), (51, None), (52, ""), (53, " ".join(passages[0][:11])), (54, texts[0][1])]
+    own = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id bigint, text string")
+    found = [sorted(decontamination._leaks(own, bench, every).select("doc_id", "item_id", "similarity_ppm").collect()) for every in (False, True)]
+    assert found[0] == found[1] and len(found[0]) >= 10
+
+
+def test_rare_shingles_weigh_enough(spark):
+    """Shingles that many items have are not looked up in texts, as far as others weigh more than a similar window may lack."""
+    common = "which of the following is the best answer to this"
+    bench = spark.createDataFrame([(k, f"{common} {prose(12, 100 + k)}") for k in range(30)], "item_id bigint, text string")
+    rows = decontamination.hashes_of(decontamination.items(bench)).collect()
+    often = Counter(r["hash"] for r in rows)
+    by_item = defaultdict(list)
+    for r in rows:
+        by_item[r["item"]].append(r)
+    assert len(by_item) == 30
+    for own in by_item.values():
+        rare = [r for r in own if r["rare"]]
+        assert 100 * sum(r["w"] for r in rare) > 20 * own[0]["item_weight"]
+        assert max(often[r["hash"]] for r in rare) == 1
+
+
 def test_resampling(docs, labels, empty):
     rows = resampling.resampled(docs, labels, keep=0.5).collect()
     keys = sorted((r["gumbel_key"] for r in rows), reverse=True)
