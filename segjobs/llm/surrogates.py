@@ -8,7 +8,8 @@ known by the name, with or without whichever title, and a word of a mail address
 
 Surrogates come from HMAC-SHA-256 under a key that callers must give. A check over all distinct entities gives those whose
 surrogate is taken, or is itself an entity of the corpus, another try; in a type so dense that tries run out, its entities
-change places in an order that the key decides, which keeps them distinct too.
+change places in an order that the key decides, which keeps them distinct too. So where nearly all values of a shape are taken,
+a surrogate may be another entity's true value; callers who must rule that out keep such types out of the text altogether.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ KEY_SETTING, DEMO_KEY = "spark.segjobs.pii.key", "demonstration only"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE, FEMALE, ANY = "Mr|Herr|Monsieur|Señor|Sr|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа", "Dr|Prof"
 _TITLE = rf"(?:{MALE}|{FEMALE}|{ANY})\.?"
+_TITLES = rf"(?:{_TITLE} )++"
+_PARTICLE = r"(?:de la|de las|de los|van de[rn]?|von de[rm]|del|della|de|da|dos|du|di|van|von|zu|zum|ter|ten|le|la|al|el|bin|ibn)"
 _NAME = r"\p{Lu}\p{Ll}*+(?:['’-]\p{Lu}?\p{Ll}++)*+"
 _INTRODUCED = r"[Mm]y name is |[Nn]ame: ?|[Cc]ontact: |[Ss]igned, |[Mm]ein Name ist |[Jj]e m'appelle |[Mm]e llamo |[Мм]еня зовут "
 PATTERNS = {
@@ -39,7 +42,7 @@ PATTERNS = {
     "address": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "address6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])",
     "number": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "name": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?(?!\p{{L}})|(?<={_INTRODUCED}){_NAME} {_NAME}(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}}){_TITLES}(?:{_NAME} )?(?:{_PARTICLE} )?{_NAME}(?!\p{{L}})|(?<={_INTRODUCED}){_NAME} (?:{_PARTICLE} )?{_NAME}(?!\p{{L}})",
 }
 GIVEN = {
     ("m", "latin"): "James Peter Martin Paul Louis Hugo Felix Emil Carlos Diego Mateo Oscar Victor Simon Jonas Adrian".split(),
@@ -70,23 +73,34 @@ def _script(x: Column) -> Column:
 
 
 def _gender(title: Column) -> Column:
-    return F.when(title.rlike(rf"^(?:{MALE})\.?$"), "m").when(title.rlike(rf"^(?:{FEMALE})\.?$"), "f")
+    return F.when(title.rlike(rf"(?:^| )(?:{MALE})\.?(?: |$)"), "m").when(title.rlike(rf"(?:^| )(?:{FEMALE})\.?(?: |$)"), "f")
+
+
+def _title(entity: Column) -> Column:
+    """The titles that a name begins with, and the space after them; empty without."""
+    return F.regexp_extract(entity, rf"^{_TITLES}", 0)
+
+
+def _name_words(entity: Column) -> Column:
+    """The words of a name after its titles, particles too."""
+    return F.split(F.regexp_replace(entity, rf"^{_TITLES}", ""), " ")
 
 
 def entities_of(found: DataFrame) -> DataFrame:
     """entity, kind, title (null without) and parts (kind, norm) of the distinct entities of rows (entities).
 
-    A name's parts are its words: given name and surname. A mail address's parts are the runs of letters and of digits
+    A name's parts are its words with a capital: given name and surname; a word alone is a surname, unless it is one of the known
+    given names. Particles such as "de la" stay as they are. A mail address's parts are the runs of letters and of digits
     before its ``@``, and its domain. Other entities are one part: their digits or letters.
     """
     own = found.select(F.explode("entities").alias("entity")).groupBy("entity").count().select("entity")
-    own = own.withColumn("kind", _typed(F.col("entity"))).withColumn("words", F.split("entity", " "))
-    titled = (F.col("kind") == "name") & F.col("words")[0].rlike(f"^{_TITLE}$")
-    own = own.withColumn("title", F.when(titled, F.col("words")[0]))
-    names = F.when(titled, F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))).otherwise(F.col("words"))
+    own = own.withColumn("kind", _typed(F.col("entity")))
+    own = own.withColumn("title", F.when((F.col("kind") == "name") & (_title(F.col("entity")) != ""), F.rtrim(_title(F.col("entity")))))
+    own = own.withColumn("names", F.filter(_name_words(F.col("entity")), lambda w: w.rlike(r"^\p{Lu}")))
     part = lambda kind, norm: F.struct(kind.alias("kind"), norm.alias("norm"))
-    last = F.size(names) - 1
-    name = F.transform(names, lambda w, i: part(F.when(i == last, "surname").otherwise("given"), w))
+    last = F.size("names") - 1
+    alone = lambda w: (last == 0) & w.isin(*sorted({n for names in GIVEN.values() for n in names}))
+    name = F.transform("names", lambda w, i: part(F.when((i == last) & ~alone(w), "surname").otherwise("given"), w))
     local = F.regexp_extract_all(F.lower(F.regexp_extract("entity", "^[^@]*", 0)), F.lit(r"\p{L}+|\p{N}+"), 0)
     mail = F.transform(local, lambda w: part(F.when(w.rlike(r"^\p{N}"), "maildigits").otherwise("mailword"), w))
     mail = F.concat(mail, F.array(part(F.lit("maildomain"), F.lower(F.regexp_extract("entity", "@(.*)$", 1)))))
@@ -158,7 +172,10 @@ _HEXED = f"array_join(transform(sequence(1, length(norm)), i -> IF(substr(norm,
 
 def _surrogates() -> str:
     """SQL for the surrogate of (kind, norm, gender, script, attempt), from h and stream, its hashes, and shaped."""
-    octets = " || '.' || ".join(f"CAST(1 + {_number('h', str(1 + 6 * k))} % 254 AS STRING)" for k in range(4))
+    # An address of a private, local or loopback network stays one.
+    network = "regexp_extract(norm, '^(?:10[.]|127[.]|169[.]254[.]|192[.]168[.]|172[.](?:1[6-9]|2[0-9]|3[01])[.])', 0)"
+    drawn = ", ".join(f"CAST(1 + {_number('h', str(1 + 6 * k))} % 254 AS STRING)" for k in range(4))
+    octets = f"concat({network}, array_join(slice(array({drawn}), 1, 4 - length(regexp_replace({network}, '[^.]', ''))), '.'))"
     # A phone number keeps what it has beyond its last ten digits: its country's number.
     phone = "IF(length(norm) > 10, concat(substr(norm, 1, length(norm) - 10), substr(shaped, 1, 10)), shaped)"
     stem = "substr(shaped, 1, length(norm) - 1)"
@@ -174,9 +191,10 @@ def _surrogates() -> str:
         grown = f"{word} || IF(attempt > 0, {extra}, '')"
         if script == "latin":
             names.append(f"WHEN kind = 'maildomain' THEN concat({grown}, '.example.', {top})")
-        names.append(f"WHEN kind = 'surname' AND script = '{script}' THEN initcap({grown})")
+        second = f"IF(norm LIKE '%-%', concat('-', initcap({' || '.join(_pick(syllables, 19 + 6 * k) for k in range(3))})), '')"
+        names.append(f"WHEN kind = 'surname' AND script = '{script}' THEN initcap({grown}) || {second}")
         for gender in "mfn":
-            given = _pick(GIVEN[gender, script], 43)
+            given = f"{_pick(GIVEN[gender, script], 43)} || IF(norm LIKE '%-%', concat('-', {_pick(GIVEN[gender, script], 49)}), '')"
             names.append(f"WHEN kind = 'given' AND gender = '{gender}' AND script = '{script}' THEN {given} || IF(attempt > 0, concat('-', initcap({grown})), '')")
     return f"CASE WHEN kind = 'address' THEN {octets} WHEN kind = 'address6' THEN {_HEXED} WHEN kind = 'phone' THEN {phone} WHEN kind = 'card' THEN {card} WHEN kind = 'account' THEN {account} {' '.join(names)} ELSE shaped END"
 
@@ -258,14 +276,17 @@ def _formatted() -> Column:
     filled = F.array_join(F.flatten(F.zip_with(marks, F.concat(words, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     cased = lambda of, x: F.when((of == F.upper(of)) & (of != F.lower(of)), F.upper(x)).otherwise(x)
     email = F.concat(cased(local, filled), F.lit("@"), domain)
-    name = F.concat_ws(" ", "title", F.array_join("found", " "))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("k"))
+    word = lambda a, w: F.when(w.rlike(r"^\p{Lu}"), F.struct(F.concat(a["out"], F.array(F.get("found", a["k"]))).alias("out"), (a["k"] + 1).alias("k")))
+    words = F.aggregate(_name_words(F.col("entity")), empty, lambda a, w: word(a, w).otherwise(F.struct(F.concat(a["out"], F.array(w)).alias("out"), a["k"].alias("k"))))
+    name = F.concat(_title(F.col("entity")), F.array_join(words["out"], " "))
     address6 = cased(F.col("entity"), one)
     kind = F.col("kind")
     return F.when(kind == "email", email).when(kind == "address", one).when(kind == "address6", address6).when(kind == "name", name).otherwise(placed)
 
 
 def surrogates_of(entities: DataFrame, key: str) -> DataFrame:
-    """(entity, surrogate) of entities_of()'s rows."""
+    """(entity, surrogate, words) of entities_of()'s rows; words: norm and surrogate of the words of names."""
     parts = base.stored(distinct_parts(entities))
     names = parts.where("kind IN ('given', 'surname')").select(F.lower("norm").alias("low"), "kind", "norm")
     names = base.stored(names.groupBy("low").agg(F.min(F.struct("kind", "norm")).alias("name")))
@@ -278,23 +299,36 @@ def surrogates_of(entities: DataFrame, key: str) -> DataFrame:
     known = known.unionByName(linked.join(of, ["of_kind", "of_norm"]).select("kind", "norm", "surrogate"))
     pieces = entities.select("entity", "kind", "title", F.posexplode_outer("parts").alias("k", "p"))
     pieces = pieces.select("entity", F.col("kind").alias("of"), "title", "k", "p.kind", "p.norm").join(known, ["kind", "norm"], "left")
-    found = F.array_sort(F.collect_list(F.struct("k", "surrogate")))
+    found = F.array_sort(F.collect_list(F.struct("k", "surrogate", "norm")))
     whole = pieces.groupBy("entity").agg(F.first("of").alias("kind"), F.first("title").alias("title"), found.alias("s"))
-    whole = whole.select("entity", "kind", "title", F.expr("filter(s.surrogate, x -> x IS NOT NULL)").alias("found"))
-    made = base.stored(whole.select("entity", "kind", _formatted().alias("surrogate")))
+    words = F.expr("IF(kind = 'name', transform(filter(s, x -> x.surrogate IS NOT NULL), x -> struct(x.norm, x.surrogate)), array())")
+    whole = whole.select("entity", "kind", "title", F.expr("filter(s.surrogate, x -> x IS NOT NULL)").alias("found"), words.alias("words"))
+    made = base.stored(whole.select("entity", "kind", _formatted().alias("surrogate"), "words"))
     # Words of mail addresses are replaced one by one; should two addresses meet after all, both get a mark of their own.
     mails = made.where("kind = 'email'").groupBy(F.lower("surrogate").alias("met")).agg(F.min(F.lower("entity")).alias("x"), F.max(F.lower("entity")).alias("y"))
     mails = made.join(base.small(base.stored(mails.where("x < y").select("met"))), F.lower("surrogate") == F.col("met"), "left")
     mark = F.expr(f"substr({Keyed(key)('lower(entity)')}, 1, 12)")
     own = F.when(F.col("met").isNotNull(), F.concat_ws(".", mark, "surrogate")).otherwise(F.col("surrogate"))
-    return mails.select("entity", own.alias("surrogate"))
+    return mails.select("entity", own.alias("surrogate"), "words")
+
+
+#: A text as words and what stands between them: a word goes on over a hyphen or apostrophe if a capital follows.
+_TOKENS = r"\p{L}++(?:['’-]\p{Lu}\p{L}*+)*+|[^\p{L}]++"
+
+
+def _mentions(part: Column, names: Column) -> Column:
+    """A part of a text with the words of names (norm and surrogate, ordered) replaced."""
+    known = F.array_distinct(F.transform(names, lambda n: n["norm"]))
+    of = F.map_from_arrays(known, F.transform(known, lambda w: F.filter(names, lambda n: n["norm"] == w)[0]["surrogate"]))
+    return F.array_join(F.transform(F.regexp_extract_all(part, F.lit(_TOKENS), 0), lambda t: F.coalesce(F.try_element_at(of, t), t)), "")
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in text, and n_entities. All columns and rows stay; a column n_entities is replaced.
 
     A null or empty text stays as it is, with 0 entities. Repeated rows are changed alike. Very long texts are read
-    whole. An empty table gives no rows. One pass over all texts; only rows with entities are shuffled, and of
+    whole. An empty table gives no rows. A text in which a person is found has that person's words replaced wherever they stand as whole
+    words, with a title or without; n_entities does not count those. One pass over all texts; only rows with entities are shuffled, and of
     equal texts one is looked up. Without a key there is an error.
     """
     Keyed(key)
@@ -307,9 +341,10 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     entities = base.stored(entities_of(some))
     new = base.stored(surrogates_of(entities, key))
     texts = some.groupBy("text_key").agg(F.first("entities").alias("entities")).select("text_key", F.posexplode("entities").alias("at", "entity"))
-    texts = texts.join(base.small(new), "entity").groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("s"))
+    texts = texts.join(base.small(new), "entity").groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("names"))
     texts = base.small(base.stored(texts))
     between = F.split("row.text", ENTITY, -1)
+    between = F.when(F.size("names") > 0, F.transform(between, lambda part: _mentions(part, F.col("names")))).otherwise(between)
     text = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col("s.surrogate"), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     changed = some.join(texts, "text_key")
     changed = changed.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in own], F.size("entities").cast("long").alias("n_entities"))

@@ -133,6 +133,29 @@ def test_secrets_outside_the_base_patterns(spark):
     assert masked[1] == "pwd: [secret]" and masked[4] == rows[3][1] and masked[7] is None
 
 
+def test_persons_in_all_their_forms(spark):
+    """Mentions without a title, chains of titles, particles, hyphens, single given names and private networks."""
+    texts = [
+        "Mr John Smith wrote. John said hi. Later John Smith and Smith left; Smith's hat stayed, blacksmith too.", "Prof Dr Eva Braun and Herr Dr. Eva Braun-Keller met.", "Mr de la Cruz, Frau Anna von Berg and Mrs Anna came. Cruz sat.",
+        "Monsieur Jean-Luc Picard, then Jean-Luc alone.", "from 10.1.2.3 to 192.168.7.9, 172.20.1.1 and 8.8.8.8", "John and Smith are nobody here.", None, "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replaced(rows, "k").collect()}
+    words = lambda t: re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", t)
+    first = re.fullmatch(r"Mr (\S+) (\S+) wrote\. (\S+) said hi\. Later (\S+) (\S+) and (\S+) left; (\S+)'s hat stayed, blacksmith too\.", got[0]).groups()
+    assert first[0] == first[2] == first[3] != "John" and first[1] == first[4] == first[5] == first[6] != "Smith"
+    second = re.fullmatch(r"Prof Dr (\S+) (\S+) and Herr Dr\. (\S+) (\S+)-(\S+) met\.", got[1]).groups()
+    assert second[0] == second[2] and not {"Eva", "Braun", "Keller"} & set(second)
+    third = re.fullmatch(r"Mr de la (\S+), Frau (\S+) von (\S+) and Mrs (\S+) came\. (\S+) sat\.", got[2]).groups()
+    assert third[0] == third[4] and third[1] == third[3] and not {"Cruz", "Anna", "Berg"} & set(third)
+    fourth = re.fullmatch(r"Monsieur (\S+-\S+) (\S+), then (\S+-\S+) alone\.", got[3]).groups()
+    assert fourth[0] == fourth[2] and not {"Jean-Luc", "Picard"} & set(words(got[3]))
+    old, new = (re.findall(r"\d+(?:\.\d+){3}", t) for t in (texts[4], got[4]))
+    for a, b in zip(old, new, strict=True):
+        assert a != b and ipaddress.ip_address(a).is_private == ipaddress.ip_address(b).is_private
+    assert got[5] == texts[5] and got[6] is None and got[7] == ""
+
+
 def test_secrets_that_leaked_often_are_secrets(spark):
     """Repetition, in copies or in other texts, does not make a credential's value a word; nor does it change other rows."""
     schema = "doc_id bigint, text string"
