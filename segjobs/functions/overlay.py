@@ -213,11 +213,15 @@ def vertices(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number[: len(e)], number[len(e) :]
 
 
-def successors(e: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each edge of outlines the one that follows it: of several, that with the sharpest turn to the left."""
+def successors(e: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray | None = None) -> np.ndarray:
+    """For each edge of outlines the one that follows it: of several, that with the sharpest turn to the left. With inner,
+    -1 for edges whose end it does not mark."""
     order = np.argsort(starts, kind="stable")
     first, last = (np.searchsorted(starts[order], ends, side) for side in ("left", "right"))
-    follow = order[first]
+    follow = order[np.minimum(first, len(order) - 1)]
+    if inner is not None:
+        follow[~inner] = -1
+        last = np.where(inner, last, first)
     way = e[:, 2:] - e[:, :2]
     for k in np.flatnonzero(last - first > 1).tolist():  # corners in which polygons or holes meet
         d, best = way[k].tolist(), None
@@ -244,11 +248,12 @@ def rings_of(e: np.ndarray) -> list[np.ndarray]:
             k = follow[k]
         if walk:
             own = np.array(walk)
-            rings += _simple(walk, starts[own].tolist()) if often[own].any() else [own]
+            rings += simple_rings(walk, starts[own].tolist()) if often[own].any() else [own]
     return rings
 
 
-def _simple(walk: list[int], at: list[int]) -> list[np.ndarray]:
+def simple_rings(walk: list[int], at: list[int]) -> list[np.ndarray]:
+    """A walk over edges, which begin at the vertices ``at``, in rings that come to no vertex twice."""
     out, path, where = [], [], {}
     for k, vertex in zip(walk, at, strict=True):
         if vertex in where:

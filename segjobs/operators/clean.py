@@ -14,6 +14,7 @@ from segjobs.functions.geometry import chaikin, simplified_together
 from segjobs.functions.graph import components
 from segjobs.functions.overlay import BITS, cancelled, directed, in_cells, polygons_of, united
 from segjobs.functions.shared import small, stored
+from segjobs.operators import rings
 from segjobs.operators.validate import bounds, check_not_empty, problems
 
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
@@ -38,6 +39,8 @@ def usable(polygons: DataFrame) -> DataFrame:
 
 #: Clusters of more parts are cut into cells; a cell's pieces are united by so many a task, and then what comes of them.
 WHOLE, CELL_PIECES = 64, 512
+#: Outlines of more edges are put together from chains, and by no single task.
+WHOLE_OUTLINE = 200_000
 #: A cluster's cells are no smaller than this share of its extent.
 CELLS_ALONG = 512
 
@@ -189,6 +192,7 @@ def _united(pieces: DataFrame, *keys: str) -> DataFrame:
 
 
 _EDGES = "scene_id bigint, cluster bigint, ax bigint, ay bigint, bx bigint, by bigint"
+_IN_CELLS = _EDGES + ", cell bigint, cx bigint, cy bigint, axis bigint, at bigint, along bigint"
 
 
 def _edge_rows(cells: DataFrame) -> DataFrame:
@@ -206,10 +210,11 @@ def _edge_rows(cells: DataFrame) -> DataFrame:
                     line = (n[k] + side) * cell[k]
                     on = (e[:, a] == line) & (e[:, a + 2] == line)
                     axis[on], at[on], along[on] = a, line[on], other[k][on]
-            columns = [scene[k], cluster[k], *e.T, axis, at, along]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], ["scene_id", "cluster", "ax", "ay", "bx", "by", "axis", "at", "along"])
+            columns = [scene[k], cluster[k], *e.T, cell[k], cx[k], cy[k], axis, at, along]
+            names = ["scene_id", "cluster", "ax", "ay", "bx", "by", "cell", "cx", "cy", "axis", "at", "along"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names)
 
-    return cells.select("scene_id", "cluster", "cell", "cx", "cy", "edges").mapInArrow(rows, _EDGES + ", axis bigint, at bigint, along bigint")
+    return cells.select("scene_id", "cluster", "cell", "cx", "cy", "edges").mapInArrow(rows, _IN_CELLS)
 
 
 def _borders(edges: DataFrame) -> DataFrame:
@@ -254,7 +259,8 @@ def merged(polygons: DataFrame) -> DataFrame:
     Parts whose boxes touch are clusters, by connected components. Most clusters are one part, which stays as it is if it is
     valid, or a few, which a task unites with many other clusters in one call. Larger ones are cut at the borders of grid
     cells: a task unites what a cell has (by CELL_PIECES at a time if there are more), and along cell borders edges of
-    neighbours cancel, line by line. What is left is the outline of the union, which is stitched into rings.
+    neighbours cancel, line by line. What is left is the outline of the union, which is stitched into rings; one of more than
+    WHOLE_OUTLINE edges from chains in its cells (rings.py), so that no task holds it.
 
     Shapes are united on a grid of whole numbers, with a step of 2**-28 of their scene's extent (overlay.py): coordinates that
     are multiples of the step stay exact, others move by half a step at most, and by a step or so where edges cross.
@@ -278,16 +284,27 @@ def merged(polygons: DataFrame) -> DataFrame:
 def _merged_in_cells(parts: DataFrame, grids: DataFrame) -> DataFrame:
     extent = F.greatest(F.max("max_x") - F.min("min_x"), F.max("max_y") - F.min("min_y"))
     side = F.greatest(2 * F.percentile_approx("side", 0.5), extent / CELLS_ALONG)
-    cells = parts.groupBy("cluster").agg(F.greatest(F.ceil(side / F.first("grid")), F.lit(2)).cast("long").alias("cell"))
-    pieces = stored(_cut(parts.join(small(stored(cells)), "cluster")))
+    cells = stored(parts.groupBy("cluster").agg(F.greatest(F.ceil(side / F.first("grid")), F.lit(2)).cast("long").alias("cell")))
+    pieces = stored(_cut(parts.join(small(cells), "cluster")))
     at = ["scene_id", "cluster", "cx", "cy"]
     full = stored(pieces.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > CELL_PIECES))
     if not full.isEmpty():  # whatever their number, a task has CELL_PIECES of a cell, and then what comes of them
         salt = F.floor(F.rand(0) * F.ceil(F.coalesce("n", F.lit(1)) / CELL_PIECES)).cast("long")
         pieces = stored(_united(pieces.join(small(full), at, "left").withColumn("salt", salt), "salt"))
     edges = stored(_edge_rows(_united(pieces)))
-    outline = edges.where("axis < 0").select("scene_id", "cluster", "ax", "ay", "bx", "by").unionByName(_borders(edges))
-    return _stitched(outline, grids)
+    inner = edges.where("axis < 0").select("scene_id", "cluster", "cell", "cx", "cy", "ax", "ay", "bx", "by")
+    # What is left on borders is on no cell's inside, whichever it is given to.
+    border = _borders(edges).join(small(cells), "cluster")
+    of = lambda c: F.floor(F.col(c) / F.col("cell")).cast("long")
+    outline = stored(inner.unionByName(border.withColumns({"cx": of("ax"), "cy": of("ay")}).select(inner.columns)))
+    count = outline.groupBy("scene_id", "cluster").agg(F.count("*").alias("n_edges"))
+    large = small(stored(count.where(F.col("n_edges") > WHOLE_OUTLINE).select("cluster")))
+    out = _stitched(outline.join(large, "cluster", "left_anti"), grids)
+    if large.isEmpty():
+        return out
+    by_cell = outline.join(large, "cluster", "left_semi").groupBy("scene_id", "cluster", "cell", "cx", "cy").agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges"))
+    places = grids.select("scene_id", F.col("grid").alias("grid_x"), F.col("grid").alias("grid_y"), "ox", "oy")
+    return out.unionByName(rings.mapped(rings.polygons(by_cell), places).select("scene_id", "rings"))
 
 
 def fill_holes(polygons: DataFrame, min_hole_area: float) -> DataFrame:

@@ -12,8 +12,12 @@ from segjobs.functions import nested, overlay
 from segjobs.functions.geometry import labelled
 from segjobs.functions.graph import components
 from segjobs.functions.shared import small, stored
+from segjobs.operators import rings
+from segjobs.operators.clean import area
 
 BLOCK = 64
+#: Boundaries of more edges are put together from chains.
+WHOLE_BOUNDARY = 1_000_000
 
 
 def regions(mask: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -78,8 +82,29 @@ _POLYGONS = "poly_id bigint, scene_id bigint, parts array<array<array<struct<x:d
 
 def polygons_of(found: DataFrame, scenes: DataFrame) -> DataFrame:
     """poly_id (the region), scene_id, parts in map coordinates, area and first pixel. A region's boundary, not its pixels, goes
-    to one task; rings of many regions are made in one call, on whole numbers."""
-    edges = boundaries(found).groupBy("scene_id", "region", "first_y", "first_x").agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges"))
+    to one task; rings of many regions are made in one call, on whole numbers. A boundary of more than WHOLE_BOUNDARY edges
+    is put together from chains in blocks of BLOCK pixels, so that no task holds it."""
+    unit = stored(boundaries(found))
+    count = unit.groupBy("scene_id", "region").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE_BOUNDARY)
+    large = small(stored(count.select("scene_id", "region")))
+    some = unit.join(large, ["scene_id", "region"], "left_anti")
+    out = _whole_polygons(some, scenes)
+    return out if large.isEmpty() else out.unionByName(_chained_polygons(unit.join(large, ["scene_id", "region"], "left_semi"), scenes))
+
+
+def _chained_polygons(unit: DataFrame, scenes: DataFrame) -> DataFrame:
+    # Edges of a block; those on its border are on no block's inside.
+    of = lambda a, b: F.floor(F.least(a, b) / BLOCK).cast("long")
+    cells = unit.groupBy("scene_id", F.col("region").alias("cluster"), F.lit(BLOCK).cast("long").alias("cell"), of("ax", "bx").alias("cx"), of("ay", "by").alias("cy"))
+    made = rings.polygons(cells.agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges")))
+    gt = scenes.select("scene_id", F.col("gt.pw").alias("grid_x"), F.col("gt.ph").alias("grid_y"), (F.col("gt.x0") / F.col("gt.pw")).alias("ox"), (F.col("gt.y0") / F.col("gt.ph")).alias("oy"))
+    first = unit.groupBy("scene_id", F.col("region").alias("cluster")).agg(F.first("first_y").alias("first_y"), F.first("first_x").alias("first_x"))
+    own = rings.mapped(made, gt).join(first, ["scene_id", "cluster"]).withColumn("parts", F.array("rings"))
+    return own.select(F.col("cluster").alias("poly_id"), "scene_id", "parts", area(F.col("parts")).alias("area"), "first_y", "first_x")
+
+
+def _whole_polygons(unit: DataFrame, scenes: DataFrame) -> DataFrame:
+    edges = unit.groupBy("scene_id", "region", "first_y", "first_x").agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges"))
     own = edges.join(scenes.select("scene_id", "gt.x0", "gt.pw", "gt.y0", "gt.ph"), "scene_id")
 
     def rows(batches):
@@ -88,10 +113,10 @@ def polygons_of(found: DataFrame, scenes: DataFrame) -> DataFrame:
             lists = batch.column(8)
             e = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 4)
             made = overlay.polygons_of(e, np.repeat(np.arange(len(scene)), nested.sizes(lists) // 4), len(scene))
-            area = [sum(overlay.doubled_area(r) for r in rings) / 2 * abs(a * b) for (rings,), a, b in zip(made, pw, ph, strict=True)]
-            mapped = [[r * np.array([pw[k], ph[k]]) + np.array([x0[k], y0[k]]) for r in rings] for k, (rings,) in enumerate(made)]
+            size = [sum(overlay.doubled_area(r) for r in own) / 2 * abs(a * b) for (own,), a, b in zip(made, pw, ph, strict=True)]
+            mapped = [[r * np.array([pw[k], ph[k]]) + np.array([x0[k], y0[k]]) for r in own] for k, (own,) in enumerate(made)]
             parts = pa.ListArray.from_arrays(nested.offsets(np.ones(len(scene), np.int64)), nested.rings_array(mapped))
-            columns = [pa.array(region), pa.array(scene), parts, pa.array(area, pa.float64()), pa.array(y), pa.array(x)]
+            columns = [pa.array(region), pa.array(scene), parts, pa.array(size, pa.float64()), pa.array(y), pa.array(x)]
             yield pa.RecordBatch.from_arrays(columns, ["poly_id", "scene_id", "parts", "area", "first_y", "first_x"])
 
     return own.select("scene_id", "region", "first_y", "first_x", "x0", "pw", "y0", "ph", "edges").mapInArrow(rows, _POLYGONS)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from segjobs.functions import nested, overlay
 from segjobs.functions.geometry import kept_points, signed_area, simplified_together
 from segjobs.functions.segments import orientation
-from segjobs.operators import clean
+from segjobs.operators import clean, polygonize, rings
 from segjobs.operators.validate import problem, problems
 
 PLACES = [((0.0, 0.0), 1.0), ((500000.37, 5000000.21), 1.0), ((12.5, 41.9), 1e-5)]
@@ -91,11 +91,13 @@ def test_flat_and_repeated_shapes():
     assert len(made) == 1 and signed_area(made[0][0]) == 4
 
 
-@pytest.mark.parametrize("whole", [64, 1])
+@pytest.mark.parametrize(("whole", "outline"), [(64, 1000), (1, 1000), (1, 0)])
 @pytest.mark.parametrize("place", range(3))
-def test_merged_equals_union(spark, monkeypatch, whole, place):
-    """Many slanted polygons; with clusters united at once, and all of them cut into cells with few pieces a task."""
+def test_merged_equals_union(spark, monkeypatch, whole, outline, place):
+    """Many slanted polygons; with clusters united at once, and all of them cut into cells with few pieces a task, whose outlines are
+    stitched in a task or from chains."""
     monkeypatch.setattr(clean, "WHOLE", whole)
+    monkeypatch.setattr(clean, "WHOLE_OUTLINE", outline)
     monkeypatch.setattr(clean, "CELL_PIECES", 512 if whole > 1 else 3)
     r = np.random.default_rng(place)
     origin, scale = PLACES[place]
@@ -114,6 +116,35 @@ def test_merged_equals_union(spark, monkeypatch, whole, place):
     assert problems(pa.array([g["parts"] for g in got if g["scene_id"] == 2], nested.PARTS)) == [None]
 
 
+def test_chains_are_ranked_into_circles(spark):
+    r = np.random.default_rng(6)
+    links, wanted = [], {}
+    for size in (1, 2, 3, 64, 257):
+        own = r.permutation(10**6)[:size] * 10 + size % 10
+        lead = int(own.min())
+        start = int(np.flatnonzero(own == lead)[0])
+        for k in range(size):
+            links.append((int(own[k]), int(own[(k + 1) % size])))
+            wanted[int(own[k])] = (lead, (k - start) % size)
+    rows = rings.ranked_circles(spark.createDataFrame(links, "id bigint, next bigint")).collect()
+    assert {x["id"]: (x["ring"], x["place"]) for x in rows} == wanted
+    assert rings.ranked_circles(spark.createDataFrame([], "id bigint, next bigint")).count() == 0
+
+
+@pytest.mark.parametrize("mask", ["111111111 100000001 101101101 101100001 100001111 111111000", "110110110 111111111 010101010 111111111 110110110", "101010101 111111111 100010001 111111111 101010101"])
+def test_regions_from_chains(spark, monkeypatch, mask):
+    """Regions over many blocks, with holes that meet the shell or each other in corners."""
+    pixels = [(s, y, x) for s in (1, 2) for y, row in enumerate(mask.split()) for x, c in enumerate(row) if c == "1"]
+    found = polygonize.regions(spark.createDataFrame(pixels, "scene_id bigint, y bigint, x bigint"), 2)
+    scenes = spark.createDataFrame([(s, (10.0, 0.5, 0.0, 20.0, 0.0, -0.5)) for s in (1, 2)], "scene_id bigint, gt struct<x0:double,pw:double,rx:double,y0:double,ry:double,ph:double>")
+    whole = {r["poly_id"]: r for r in polygonize.polygons_of(found, scenes).collect()}
+    monkeypatch.setattr(polygonize, "WHOLE_BOUNDARY", 0)
+    monkeypatch.setattr(polygonize, "BLOCK", 2)
+    chained = {r["poly_id"]: r for r in polygonize.polygons_of(found, scenes).collect()}
+    shape = lambda r: (r["scene_id"], r["area"], r["first_y"], r["first_x"], sorted(tuple((p["x"], p["y"]) for p in ring) for ring in r["parts"][0]))
+    assert {k: shape(r) for k, r in whole.items()} == {k: shape(r) for k, r in chained.items()} and len(whole) >= 2
+
+
 def test_merged_of_nothing(spark):
     empty = spark.createDataFrame([], f"poly_id bigint, scene_id bigint, parts {clean.PARTS}")
     assert clean.merged(empty).count() == 0
