@@ -664,6 +664,14 @@ def pp8_counts(spark, sf):
     return made.agg(F.round(2 * F.sum("area")).cast("long").alias("double_area")).select(*counts, "double_area")
 
 
+@query("pp7_pp8_merge_and_filter", sql("rects", _CELLS + ",\npos AS (SELECT * FROM cells),\n" + _REGIONS + """, r AS (SELECT scene_id, count(*) AS area FROM g GROUP BY scene_id, k)
+SELECT scene_id, count(*)::BIGINT AS output_count, (1000 * sum(area))::BIGINT AS area_milli FROM r WHERE area BETWEEN 10 AND 400 GROUP BY scene_id""", recursive=True))
+def pp8_filter(spark, sf):
+    """Merged first, so that areas are those of the merged polygons."""
+    made = clean.cleaned(fx.predicted_polygons(spark, sf), clean.Steps(merge=True, min_area=10, max_area=400))
+    return made.groupBy("scene_id").agg(F.count("*").alias("output_count"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli"))
+
+
 @query("pp7_pp8_clean_up")
 def pp8(spark, sf):
     made = clean.cleaned(fx.predicted_polygons(spark, sf), clean.Steps(merge=True, min_hole_area=0, min_area=10, max_area=400, tolerance=0.5, smooth_rounds=1))
@@ -715,6 +723,14 @@ def j6_uneven(spark, sf):
     return _prediction(spark, sf, 0.4).groupBy("scene_id").agg(F.count("*").alias("n_pixels"), F.sum("mask").alias("n_positive"))
 
 
+@query("j6_j7_predict_and_filter", sql("pixels scenes", _PTILES + ",\npos AS (SELECT scene_id, y, x FROM q WHERE mean > 0.5),\n" + _REGIONS + """, r AS (SELECT scene_id, count(*) * 0.25 AS area FROM g GROUP BY scene_id, k)
+SELECT scene_id, count(*)::BIGINT AS n_polygons, (1000 * sum(area))::BIGINT AS area_milli FROM r WHERE area >= 1 GROUP BY scene_id""", recursive=True))
+def j7_filter(spark, sf):
+    polygons = jobs.predict_polygons(_prediction(spark, sf), fx.scenes(spark, sf))
+    made, _, _ = jobs.postprocess(polygons, clean.Steps(min_area=1.0))
+    return made.groupBy("scene_id").agg(F.count("*").alias("n_polygons"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli"))
+
+
 @query("j6_j7_predict_and_clean")
 def j7(spark, sf):
     scenes = fx.scenes(spark, sf)

@@ -231,6 +231,48 @@ def test_clipping_is_checked_first(spark, sf_dir):
             jobs.check_clipping(*args)
 
 
+def test_values_of_job_outputs(spark, sf_dir, tmp_path):
+    """What evaluation and prediction write, against numpy: metric lines, masks and samples; raster blocks and polygons."""
+    root = f"file://{tmp_path}"
+    gt = F.struct(F.col("vec_id").cast("double").alias("x0"))
+    images = fx.images(spark, sf_dir).withColumns({"gt": gt, "crs": F.lit("c")})
+    jobs.run_evaluation(images, fx.masks(spark, sf_dir), lambda: lambda x: x[:, 0] * 4 - 2, f"{root}/e", 4)
+    truth = {r["tile_name"]: np.array(r["mask"]) > 0 for r in fx.masks(spark, sf_dir).collect()}
+    wanted = {}
+    for r in images.collect():
+        if r["tile_name"] in truth:
+            v = np.array(r["bands"][0])
+            v = np.zeros(64) if np.isnan(v).any() or v.max() <= v.min() else (v - v.min()) / (v.max() - v.min())
+            on, t = v * 4 - 2 > 0, truth[r["tile_name"]]
+            tp, fp, fn, tn = (on & t).sum(), (on & ~t).sum(), (~on & t).sum(), (~on & ~t).sum()
+            rates = tp / (tp + fp + fn + 1e-7), 2 * tp / (2 * tp + fp + fn + 1e-7), tp / (tp + fp + 1e-7), tp / (tp + fn + 1e-7), (tp + tn) / (64 + 1e-7)
+            wanted[r["tile_name"]] = (on, rates, r["vec_id"])
+    lines = spark.read.option("header", True).csv(f"{root}/e/metrics").collect()
+    assert {x["filename"] for x in lines} == set(wanted)
+    for x in lines:
+        assert [x[c] for c in ("iou", "f1", "precision", "recall", "pixel_accuracy")] == [f"{v:.6f}" for v in wanted[x["filename"]][1]]
+    for x in spark.read.parquet(f"{root}/e/masks").collect():
+        assert (np.array(x["mask"]) == 255 * wanted[x["tile_name"]][0]).all() and x["gt"]["x0"] == wanted[x["tile_name"]][2] and x["crs"] == "c"
+    samples = spark.read.parquet(f"{root}/e/samples").collect()
+    names = sorted(wanted)
+    assert {x["tile_name"] for x in samples} == set(names[:: max(1, len(names) // 4)])
+    assert all((np.array(x["predicted"]) == wanted[x["tile_name"]][0]).all() and x["iou"] == pytest.approx(wanted[x["tile_name"]][1][0]) for x in samples)
+
+    pixels, scenes = fx.pixels(spark, sf_dir), fx.scenes(spark, sf_dir)
+    jobs.run_prediction(pixels, scenes, f"{root}/p", 16, 0.25, [2.0, -1.0, 0.5], -0.25, "both", sizes=(16,))
+    mask = {(r["scene_id"], r["y"], r["x"]): r["mask"] for r in jobs.predict(pixels, scenes, 16, 0.25, [2.0, -1.0, 0.5], -0.25, sizes=(16,)).collect()}
+    width = {r["scene_id"]: r["width"] for r in scenes.collect()}
+    seen = 0
+    for b in spark.read.parquet(f"{root}/p/raster").collect():
+        w = min(256, width[b["scene_id"]] - 256 * b["block_x"])
+        for k, v in enumerate(b["values"]):
+            assert v == 255 * mask[b["scene_id"], 256 * b["block_y"] + k // w, 256 * b["block_x"] + k % w]
+            seen += 1
+    assert seen == len(mask)
+    burnt = clip.burned_pixels(clip.burned_runs(spark.read.parquet(f"{root}/p/vector"), scenes)).collect()
+    assert {tuple(r) for r in burnt} == {k for k, v in mask.items() if v == 1}
+
+
 def test_outputs_of_jobs(spark, sf_dir, tmp_path):
     root = f"file://{tmp_path}"
     images = fx.images(spark, sf_dir).withColumns({"gt": F.lit(1), "crs": F.lit("c")})
