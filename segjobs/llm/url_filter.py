@@ -68,11 +68,12 @@ def labelled(pages: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Dat
     pages: url, host, path; labels: doc_id, quality, toxic. Rows without a URL, and labels without a doc_id, count for
     nothing; a null quality or toxic says nothing bad; of a document's several labels the worst holds.
     """
-    own = pages.where("url IS NOT NULL").select("url", "host", "path").distinct()
+    own = pages.where("url IS NOT NULL").select("url", "host", "path")
     own = own.withColumn("of", F.expr("try_cast(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT)"))
     poor = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.max(poor.cast("double")).alias("bad"))
-    rows = own.join(known, "of").select("url", "host", "path", "bad", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).alias("fold"))
+    found = own.join(base.small(known), "of").select("url", "host", "path", "bad").distinct()  # of labelled URLs alone
+    rows = found.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
     return rows.orderBy(F.xxhash64("url"), "url", "bad").limit(max_fit)
 
 
