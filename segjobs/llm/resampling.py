@@ -87,7 +87,7 @@ def weighted(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in groups(texts):
                 of, bucket = grams(texts[i:j], buckets)
-                weight = np.bincount(of, of_bucket[bucket], minlength=j - i)
+                weight = np.bincount(of, of_bucket[bucket], minlength=j - i).astype(np.float64)  # without n-grams: whole numbers
                 mixed = base.mixed(base.mixed(np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in ids[i:j]], np.uint64)) + np.uint64(seed))
                 u = ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
                 key = np.floor((weight - np.log(-np.log(u))) * SCALE).astype(np.int64)

@@ -15,7 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from segjobs.llm import base, harmonic, merkle, whitening
+import corpus_pipeline
+from segjobs.llm import base, harmonic, merkle, resampling, whitening
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, tree int, length string, digest int"
 
@@ -296,3 +297,61 @@ def test_query_digests(spark, sf_dir):
         own = ids[r["doc_id"]]
         assert r["doc_tokens"] == len(own)
         assert r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+# Resampling and the pipeline's stages ------------------------------------------------------------------------------
+
+
+def test_resampling_weights_tell_good_from_raw_on_texts_held_out(spark):
+    """Half of the good texts are labelled; the others' weights a gram are above those of nearly all raw texts."""
+    r = np.random.default_rng(13)
+    good, raw = ([f"{k}{n}" for n in range(300)] for k in ("lorem", "ipsum"))
+    text = lambda share: " ".join(r.choice(good if r.random() < share else raw) for _ in range(120))
+    rows = [(i, text(0.7 if i % 3 == 0 else 0.3)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 600, 6)], "doc_id bigint, quality int")
+    weights = {x["doc_id"]: x["log_weight"] / x["n_grams"] for x in resampling.resampled(docs, labels, keep=0.3).collect()}
+    held_out = [i for i in range(600) if i % 6]
+    wanted = np.array([i % 3 == 0 for i in held_out])
+    order = np.argsort(np.argsort([weights[i] for i in held_out]))
+    n, m = int(wanted.sum()), int((~wanted).sum())
+    assert (order[wanted].sum() - n * (n - 1) / 2) / (n * m) > 0.9
+
+
+def test_resampling_noise_is_gumbel(spark):
+    """The noise of many ids follows the Gumbel distribution, and differs with the seed."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    noise = [np.array([x["gumbel_key"] for x in resampling.weighted(docs, np.zeros(8), seed).orderBy("doc_id").collect()]) / resampling.SCALE for seed in (1, 2)]
+    for x in noise:
+        expected = np.exp(-np.exp(-np.sort(x)))
+        assert np.abs(expected - (np.arange(4000) + 0.5) / 4000).max() < 1.63 / np.sqrt(4000)  # Kolmogorov's bound at 1 %
+    assert abs(np.corrcoef(noise)[0, 1]) < 0.06
+
+
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_stages_take_odd_and_empty_tables(spark, docs, tmp_path, rows):
+    """Nulls in every column, copies, equal ids and clashing names; each stage on all of them, not on what others left."""
+    own = docs.where("false") if rows == "none" else docs
+    bench = spark.createDataFrame([(1, None), (None, "")] if rows == "odd" else [], "item_id bigint, text string")
+    labels = spark.createDataFrame([(None, None, None), (1, 1, None)] if rows == "odd" else [], "doc_id bigint, quality int, toxic int")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda x: tuple((v is not None, v) for v in x)
+    before = sorted(map(tuple, own.collect()), key=key)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, own, str(tmp_path))
+        assert made.columns == own.columns, name
+        after = sorted(map(tuple, made.collect()), key=key)
+        at = own.columns.index("text")
+        if name == "quality":
+            assert all(x in before and len((x[at] or "").split()) >= 20 for x in after)
+        elif name == "near_duplicates":
+            assert all(x in before for x in after) and {x[0] for x in after} <= {x[0] for x in before}
+            assert sum(x[0] is None for x in after) == sum(x[0] is None for x in before)
+        elif name == "decontaminate":
+            assert after == before
+        else:
+            same = lambda x: (*x[:at], *x[at + 1 : own.columns.index("n_chars")], *x[own.columns.index("n_chars") + 1 :])
+            assert sorted(map(same, after), key=key) == sorted(map(same, before), key=key)
+    packed = corpus_pipeline.pack(spark, own, str(tmp_path)).collect()
+    assert len({(p["doc_id"], p["piece"]) for p in packed}) <= len(packed) and (rows == "none") == (not packed)
