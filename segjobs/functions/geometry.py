@@ -64,11 +64,11 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def simplified_together(xy: np.ndarray, ring: np.ndarray, row: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which points stay of closed rings (their points one after another; row: the polygon of each ring) so that no shortcut
-    meets what its polygon did not meet before.
+    """Which points stay of closed rings (their points one after another; row: the polygon of each ring) so that no
+    shortcut meets what its polygon did not meet before.
 
-    Rings are simplified each for itself. Then all segments of all polygons are indexed; a shortcut that meets its own ring,
-    crosses another one, or has left one on its other side gets back the farthest point it leaves out, and so on.
+    Rings are simplified each for itself. Then all segments of all polygons are indexed; a shortcut that meets its own
+    ring, crosses another one, or has left one on its other side gets back the farthest point it leaves out, and so on.
     """
     keep = np.zeros(len(xy), bool)
     begin = np.searchsorted(ring, np.arange(len(row)), "left")
@@ -100,8 +100,17 @@ def simplified_together(xy: np.ndarray, ring: np.ndarray, row: np.ndarray, toler
     return keep
 
 
-def _jumped(xy: np.ndarray, ring: np.ndarray, row: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, several: np.ndarray) -> np.ndarray:
-    """Whether another ring of the polygon lies between a shortcut and the points that it leaves out: its first point does."""
+def _jumped(
+    xy: np.ndarray,
+    ring: np.ndarray,
+    row: np.ndarray,
+    begin: np.ndarray,
+    a: np.ndarray,
+    b: np.ndarray,
+    several: np.ndarray,
+) -> np.ndarray:
+    """Whether another ring of the polygon lies between a shortcut and the points that it leaves out: its first point
+    does."""
     out = np.zeros(len(a), bool)
     cut = np.flatnonzero((b - a > 1) & several[ring[a]])
     if not len(cut):

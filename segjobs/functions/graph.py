@@ -18,7 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder, and the one before it deleted. A hub's rows meet in a join, which adaptive
     execution can split. Self-loops and repeated edges are harmless; an empty table gives no rows.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges = stored(
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
+    )
     before = None
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

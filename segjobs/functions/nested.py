@@ -30,7 +30,9 @@ def offsets(count: np.ndarray) -> pa.Array:
 
 
 def points_array(points: np.ndarray) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, k], np.float64)) for k in (0, 1)], fields=list(POINT))
+    return pa.StructArray.from_arrays(
+        [pa.array(np.ascontiguousarray(points[:, k], np.float64)) for k in (0, 1)], fields=list(POINT)
+    )
 
 
 def rings_array(polygons: list[list[np.ndarray]]) -> pa.Array:

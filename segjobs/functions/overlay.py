@@ -1,10 +1,11 @@
 """Unions of polygons on a whole-number grid, for many groups of polygons at once.
 
-Coordinates are whole numbers of at most ``BITS`` bits, so every test of sides is exact in 64 bits. Edges are directed, with
-the inside on their left. They are noded by iterated snap rounding: where two edges cross, the nearest grid point becomes a
-vertex, and an edge that passes through the unit square about a vertex is led through it, until nothing is left to
-do. Then edges meet in vertices alone, each has a winding number on either side, and those with a covered side and an open
-one are the boundary of the union; around every vertex as many of them arrive as leave, so that rings always close.
+Coordinates are whole numbers of at most ``BITS`` bits, so every test of sides is exact in 64 bits. Edges are directed,
+with the inside on their left. They are noded by iterated snap rounding: where two edges cross, the nearest grid point
+becomes a vertex, and an edge that passes through the unit square about a vertex is led through it, until nothing is
+left to do. Then edges meet in vertices alone, each has a winding number on either side, and those with a covered side
+and an open one are the boundary of the union; around every vertex as many of them arrive as leave, so that rings always
+close.
 
 Groups are laid side by side along x, and whatever is compared is found by ranges of x: groups never meet, and one call
 of numpy serves them all.
@@ -46,7 +47,8 @@ def cross(ax, ay, bx, by):
 
 
 def normalized(e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from the left to the right (or upwards), each once, by x, with the sum of their ways; those that cancel are gone."""
+    """Edges from the left to the right (or upwards), each once, by x, with the sum of their ways; those that cancel are
+    gone."""
     back = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
     e, w = np.where(back[:, None], e[:, [2, 3, 0, 1]], e), np.where(back, -w, w)
     order = np.lexsort(e.T[::-1])
@@ -67,7 +69,9 @@ def crossings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         near = (low[i] <= high[j]) & (low[j] <= high[i])
         i, j = i[near], j[near]
         a, c = e[i], e[j]
-        dx, dy, fx, fy, gx, gy = a[:, 2] - a[:, 0], a[:, 3] - a[:, 1], c[:, 2] - c[:, 0], c[:, 3] - c[:, 1], c[:, 0] - a[:, 0], c[:, 1] - a[:, 1]
+        dx, dy, fx, fy, gx, gy = a[:, 2] - a[:, 0], a[:, 3] - a[:, 1], c[:, 2] - c[:, 0], c[:, 3] - c[:, 1], c[
+            :, 0
+        ] - a[:, 0], c[:, 1] - a[:, 1]
         o1 = cross(dx, dy, gx, gy)
         o2 = cross(dx, dy, gx + fx, gy + fy)
         o3 = -cross(fx, fy, gx, gy)
@@ -107,8 +111,8 @@ def distinct_points(points: np.ndarray) -> np.ndarray:
 
 
 def noded(e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that meet in their ends alone, with the sums of their ways. A vertex that an edge is led through never leaves
-    it again, and there are finitely many grid points near an edge, so this ends."""
+    """Edges that meet in their ends alone, with the sums of their ways. A vertex that an edge is led through never
+    leaves it again, and there are finitely many grid points near an edge, so this ends."""
     e, w = normalized(e, w)
     while len(e):
         i, j, at = crossings(e)
@@ -130,7 +134,10 @@ def noded(e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         last = np.concatenate([first[1:], [True]])
         begin = np.where(first[:, None], e[owner, :2], np.roll(cut, 1, axis=0))
         ends = np.concatenate([cut[last], e[owner[last], 2:]], axis=1)
-        e, w = normalized(np.concatenate([e[whole], np.concatenate([begin, cut], axis=1), ends]), np.concatenate([w[whole], w[owner], w[owner[last]]]))
+        e, w = normalized(
+            np.concatenate([e[whole], np.concatenate([begin, cut], axis=1), ends]),
+            np.concatenate([w[whole], w[owner], w[owner[last]]]),
+        )
     return e, w
 
 
@@ -175,10 +182,11 @@ def apart(e: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 def united(e: np.ndarray, piece: np.ndarray, group_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, group): the boundary of each group's union. piece: the piece of each edge; group_of: each piece's group, ascending.
+    """(edges, group): the boundary of each group's union. piece: the piece of each edge; group_of: each piece's group,
+    ascending.
 
-    Pieces of a group are united FAN at a time, neighbours along x first, then these unions, and so on: what many stacked
-    pieces cover is soon a few edges.
+    Pieces of a group are united FAN at a time, neighbours along x first, then these unions, and so on: what many
+    stacked pieces cover is soon a few edges.
     """
     while True:
         left = np.full(len(group_of), np.iinfo(np.int64).max)
@@ -214,8 +222,8 @@ def vertices(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def successors(e: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray | None = None) -> np.ndarray:
-    """For each edge of outlines the one that follows it: of several, that with the sharpest turn to the left. With inner,
-    -1 for edges whose end it does not mark."""
+    """For each edge of outlines the one that follows it: of several, that with the sharpest turn to the left. With
+    inner, -1 for edges whose end it does not mark."""
     order = np.argsort(starts, kind="stable")
     first, last = (np.searchsorted(starts[order], ends, side) for side in ("left", "right"))
     follow = order[np.minimum(first, len(order) - 1)]
@@ -235,7 +243,8 @@ def successors(e: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.nd
 
 
 def rings_of(e: np.ndarray) -> list[np.ndarray]:
-    """Simple closed rings (numbers of edges in order) of outlines: a walk that comes back to a vertex leaves a ring there."""
+    """Simple closed rings (numbers of edges in order) of outlines: a walk that comes back to a vertex leaves a ring
+    there."""
     starts, ends = vertices(e)
     follow = successors(e, starts, ends).tolist()
     often = np.bincount(starts)[starts] > 1
@@ -354,20 +363,26 @@ def clipped(e: np.ndarray, axis: int, bound: int, keep_below: bool) -> np.ndarra
         point = np.empty((len(some), 2), np.int64)
         point[:, axis] = bound
         point[:, o] = p[:, o] + np.rint((q[:, o] - p[:, o]) * share).astype(np.int64)
-        e = np.concatenate([e[~through], np.concatenate([some[:, :2], point], axis=1), np.concatenate([point, some[:, 2:]], axis=1)])
+        e = np.concatenate(
+            [e[~through], np.concatenate([some[:, :2], point], axis=1), np.concatenate([point, some[:, 2:]], axis=1)]
+        )
     e = e.copy()
     press = np.minimum if keep_below else np.maximum
     for c in (axis, axis + 2):
         e[:, c] = press(e[:, c], bound)
     on = (e[:, axis] == bound) & (e[:, axis + 2] == bound)
-    low, high, way = np.minimum(e[on, o], e[on, o + 2]), np.maximum(e[on, o], e[on, o + 2]), np.where(e[on, o + 2] > e[on, o], 1, -1)
+    low, high, way = np.minimum(e[on, o], e[on, o + 2]), np.maximum(e[on, o], e[on, o + 2]), np.where(
+        e[on, o + 2] > e[on, o], 1, -1
+    )
     line, low, high, way = cancelled(np.zeros(len(low), np.int64), low, high, way)
     made = np.full((len(low), 4), bound, np.int64)
     made[:, o], made[:, o + 2] = np.where(way > 0, low, high), np.where(way > 0, high, low)
     return np.concatenate([e[~on], np.repeat(made, np.abs(way), axis=0)])
 
 
-def cancelled(line: np.ndarray, low: np.ndarray, high: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cancelled(line: np.ndarray, low: np.ndarray, high: np.ndarray, way: np.ndarray) -> tuple[
+    np.ndarray, np.ndarray, np.ndarray, np.ndarray
+]:
     """(line, low, high, net way) of stretches of lines where the ways of what lies on them do not cancel, each
     joined with the next of the same way."""
     on, at = np.concatenate([line, line]), np.concatenate([low, high])
@@ -388,7 +403,9 @@ def cancelled(line: np.ndarray, low: np.ndarray, high: np.ndarray, way: np.ndarr
 def in_cells(e: np.ndarray, cell: int) -> list[tuple[int, int, np.ndarray]]:
     """(cx, cy, edges) of closed rings for every cell of a grid that they reach into: halved again and again."""
     out: list[tuple[int, int, np.ndarray]] = []
-    low, high = np.minimum(e[:, :2], e[:, 2:]).min(axis=0) // cell, (np.maximum(e[:, :2], e[:, 2:]).max(axis=0) - 1) // cell
+    low, high = np.minimum(e[:, :2], e[:, 2:]).min(axis=0) // cell, (
+        np.maximum(e[:, :2], e[:, 2:]).max(axis=0) - 1
+    ) // cell
     todo = [(e, *low.tolist(), *np.maximum(low, high).tolist())]
     while todo:
         own, x0, y0, x1, y1 = todo.pop()
@@ -398,15 +415,20 @@ def in_cells(e: np.ndarray, cell: int) -> list[tuple[int, int, np.ndarray]]:
             out.append((x0, y0, own))
         elif x1 - x0 >= y1 - y0:
             m = (x0 + x1) // 2 + 1
-            todo += [(clipped(own, 0, m * cell, True), x0, y0, m - 1, y1), (clipped(own, 0, m * cell, False), m, y0, x1, y1)]
+            todo += [
+                (clipped(own, 0, m * cell, True), x0, y0, m - 1, y1), (clipped(own, 0, m * cell, False), m, y0, x1, y1)
+            ]
         else:
             m = (y0 + y1) // 2 + 1
-            todo += [(clipped(own, 1, m * cell, True), x0, y0, x1, m - 1), (clipped(own, 1, m * cell, False), x0, m, x1, y1)]
+            todo += [
+                (clipped(own, 1, m * cell, True), x0, y0, x1, m - 1), (clipped(own, 1, m * cell, False), x0, m, x1, y1)
+            ]
     return out
 
 
 def dissolved(polygons: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """The union of polygons (closed rings of doubles, shell first) as polygons, on a grid of ``BITS`` bits over all of them."""
+    """The union of polygons (closed rings of doubles, shell first) as polygons, on a grid of ``BITS`` bits over all of
+    them."""
     rings = [r for own in polygons for r in own]
     flat = np.concatenate(rings)
     low, high = flat.min(axis=0), flat.max(axis=0)

@@ -18,4 +18,6 @@ def ranked(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(small(before), "_part").withColumn(name, (F.col("_before") + within).cast("long")).drop("_part", "_before")
+    return parts.join(small(before), "_part").withColumn(name, (F.col("_before") + within).cast("long")).drop(
+        "_part", "_before"
+    )

@@ -28,12 +28,20 @@ def orientation(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     value = left - right
     out = np.sign(value).astype(np.int64)
     unsure = np.flatnonzero(np.abs(value) <= 1e-15 * (np.abs(left) + np.abs(right)))
-    unsure = unsure[(a[unsure] != b[unsure]).any(axis=1) & (a[unsure] != c[unsure]).any(axis=1) & (b[unsure] != c[unsure]).any(axis=1)]
-    level = ((a[unsure, 1] == b[unsure, 1]) & (b[unsure, 1] == c[unsure, 1])) | ((a[unsure, 0] == b[unsure, 0]) & (b[unsure, 0] == c[unsure, 0]))
+    unsure = unsure[
+        (a[unsure] != b[unsure]).any(axis=1)
+        & (a[unsure] != c[unsure]).any(axis=1)
+        & (b[unsure] != c[unsure]).any(axis=1)
+    ]
+    level = ((a[unsure, 1] == b[unsure, 1]) & (b[unsure, 1] == c[unsure, 1])) | (
+        (a[unsure, 0] == b[unsure, 0]) & (b[unsure, 0] == c[unsure, 0])
+    )
     unsure = unsure[~level]  # on one upright or level line the products above are zeros
     if len(unsure):
         n = whole(np.stack([a[unsure], b[unsure], c[unsure]], axis=1))
-        exact = (n[:, 1, 0] - n[:, 0, 0]) * (n[:, 2, 1] - n[:, 0, 1]) - (n[:, 1, 1] - n[:, 0, 1]) * (n[:, 2, 0] - n[:, 0, 0])
+        exact = (n[:, 1, 0] - n[:, 0, 0]) * (n[:, 2, 1] - n[:, 0, 1]) - (n[:, 1, 1] - n[:, 0, 1]) * (
+            n[:, 2, 0] - n[:, 0, 0]
+        )
         out[unsure] = np.array([(v > 0) - (v < 0) for v in exact], np.int64)
     same = (a == b).all(axis=1) | (a == c).all(axis=1) | (b == c).all(axis=1)
     out[same] = 0
@@ -56,8 +64,8 @@ TOUCH, CROSS = 1, 2
 
 
 def contacts(e: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, kind) of segments (n x 4) of one group that share a point: TOUCH at an end of one of them, or CROSS if they cross
-    inside both or share a stretch."""
+    """(i, j, kind) of segments (n x 4) of one group that share a point: TOUCH at an end of one of them, or CROSS if
+    they cross inside both or share a stretch."""
     low, high = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
     first, last = ranked(group, low[:, 0], high[:, 0])
     order = np.argsort(first, kind="stable")
@@ -74,9 +82,11 @@ def contacts(e: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield i[on], j[on], kind[on]
 
 
-def sides(points: np.ndarray, group: np.ndarray, e: np.ndarray, e_group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(point, segment, on) of points and segments of one group: segments that lie under a point by the rule of half-open
-    ranges of x, or (on) hold it."""
+def sides(points: np.ndarray, group: np.ndarray, e: np.ndarray, e_group: np.ndarray) -> Iterator[
+    tuple[np.ndarray, np.ndarray, np.ndarray]
+]:
+    """(point, segment, on) of points and segments of one group: segments that lie under a point by the rule of
+    half-open ranges of x, or (on) hold it."""
     back = e[:, 0] > e[:, 2]
     e = np.where(back[:, None], e[:, [2, 3, 0, 1]], e)
     n, m = len(points), len(e)

@@ -27,7 +27,9 @@ METHODS: dict[str, Method] = {
 
 def flipped_transform(gt: Column, size: Column, method: Column) -> Column:
     """The geotransform after a method: flips move the origin and turn an axis; others leave it."""
-    pick = lambda **new: F.struct(*[(new[k] if k in new else gt[k]).alias(k) for k in ("x0", "pw", "rx", "y0", "ry", "ph")])
+    pick = lambda **new: F.struct(
+        *[(new[k] if k in new else gt[k]).alias(k) for k in ("x0", "pw", "rx", "y0", "ry", "ph")]
+    )
     zero = F.lit(0.0)
     flip_h = pick(x0=gt["x0"] + size * gt["pw"], pw=-gt["pw"], rx=zero, ry=zero)
     flip_v = pick(rx=zero, y0=gt["y0"] + size * gt["ph"], ry=zero, ph=-gt["ph"])
@@ -89,4 +91,6 @@ def augmented(tiles: DataFrame, methods: Iterable[str], registry: dict[str, Meth
                     yield pa.RecordBatch.from_arrays([*arrays, pa.array([method] * len(stems))], [*names, "method"])
 
     out = tiles.mapInArrow(rows, StructType([*tiles.schema.fields, StructField("method", StringType())]))
-    return out.withColumn("gt", flipped_transform(F.col("gt"), F.col("size"), F.col("method"))) if "gt" in names else out
+    return out.withColumn(
+        "gt", flipped_transform(F.col("gt"), F.col("size"), F.col("method"))
+    ) if "gt" in names else out

@@ -1,9 +1,9 @@
 """Scenes as square blocks of pixels, and windows cut from them with an exchange of block edges.
 
-A pixel table becomes blocks in one shuffle of its rows. A window belongs to the block in which it begins, so a block needs,
-besides its own pixels, the edges of the three blocks to its right and below that its windows reach into: what travels is the
-pixels once and these edges, not a copy of each pixel for every window over it. Blocks written by write_blocks() are
-laid out by scene and row of blocks, so that a job that wants few windows reads few files.
+A pixel table becomes blocks in one shuffle of its rows. A window belongs to the block in which it begins, so a block
+needs, besides its own pixels, the edges of the three blocks to its right and below that its windows reach into: what
+travels is the pixels once and these edges, not a copy of each pixel for every window over it. Blocks written by
+write_blocks() are laid out by scene and row of blocks, so that a job that wants few windows reads few files.
 """
 
 from __future__ import annotations
@@ -34,10 +34,13 @@ def arrays(values: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
 def placed(lists: pa.Array, size: int, nodata: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(values, missing), each tiles x bands x size, of lists of structs: the place of a pixel, then its bands.
 
-    A place without a row, or whose band is null, is missing, or nodata if that is given. Two rows of one place are an error.
+    A place without a row, or whose band is null, is missing, or nodata if that is given. Two rows of one place are an
+    error.
     """
     n, rows = len(lists), lists.flatten()
-    at = np.repeat(np.arange(n), nested.sizes(lists)) * size + rows.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.repeat(np.arange(n), nested.sizes(lists)) * size + rows.field(0).to_numpy(zero_copy_only=False).astype(
+        np.int64
+    )
     if len(at) and np.bincount(at).max() > 1:
         raise ValueError("two rows have the same pixel")
     bands = rows.type.num_fields - 1
@@ -61,17 +64,28 @@ def parts_of(batch: pa.RecordBatch, pixels: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, few)
 
 
-def blocks_of(pixels: DataFrame, scenes: DataFrame, block: int, bands: list[str], nodata: float | None = None) -> DataFrame:
-    """scene_id, by, bx, height, width, bands (row-major) of pixels (scene_id, y, x and bands): blocks of block x block, less at
-    a scene's right and lower edge. Missing pixels are null, or nodata; two rows of one pixel are an error; pixels outside
-    their scene are left out. One shuffle, a row a pixel.
+def blocks_of(
+    pixels: DataFrame, scenes: DataFrame, block: int, bands: list[str], nodata: float | None = None
+) -> DataFrame:
+    """scene_id, by, bx, height, width, bands (row-major) of pixels (scene_id, y, x and bands): blocks of block x block,
+    less at a scene's right and lower edge. Missing pixels are null, or nodata; two rows of one pixel are an error;
+    pixels outside their scene are left out. One shuffle, a row a pixel.
     """
     own = scenes.select("scene_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
     inside = pixels.join(small(own), "scene_id").where("y >= 0 AND x >= 0 AND y < _h AND x < _w")
     place = (F.col("y") % block * block + F.col("x") % block).cast("int")
-    keyed = inside.select("scene_id", F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx"), "_w", "_h", F.struct(place.alias("p"), *[F.col(b).cast("double").alias(b) for b in bands]).alias("v"))
+    keyed = inside.select(
+        "scene_id",
+        F.floor(F.col("y") / block).alias("by"),
+        F.floor(F.col("x") / block).alias("bx"),
+        "_w",
+        "_h",
+        F.struct(place.alias("p"), *[F.col(b).cast("double").alias(b) for b in bands]).alias("v"),
+    )
     size = lambda n, k: F.least(F.lit(block), F.first(n) - F.col(k) * block).cast("int")
-    grouped = keyed.groupBy("scene_id", "by", "bx").agg(size("_h", "by").alias("height"), size("_w", "bx").alias("width"), F.collect_list("v").alias("v"))
+    grouped = keyed.groupBy("scene_id", "by", "bx").agg(
+        size("_h", "by").alias("height"), size("_w", "bx").alias("width"), F.collect_list("v").alias("v")
+    )
 
     def rows(batches):
         for whole in batches:
@@ -80,17 +94,30 @@ def blocks_of(pixels: DataFrame, scenes: DataFrame, block: int, bands: list[str]
                 heights, widths = (batch.column(k).to_pylist() for k in (3, 4))
                 flat, gone, sizes = [], [], []
                 for k, (h, w) in enumerate(zip(heights, widths, strict=True)):
-                    cut = lambda x: x[k].reshape(-1, block, block)[:, :h, :w].reshape(len(bands), -1)  # noqa: E731, B023
+                    cut = lambda x: x[k].reshape(-1, block, block)[:, :h, :w].reshape(  # noqa: E731, B023
+                        len(bands), -1
+                    )
                     flat.append(cut(values).ravel())
                     gone.append(cut(missing).ravel())
                     sizes += [h * w] * len(bands)
                 mask = np.concatenate(gone) if gone else np.empty(0, bool)
                 data = pa.array(np.concatenate(flat) if flat else np.empty(0), mask=mask)
                 each = pa.ListArray.from_arrays(nested.offsets(np.array(sizes, np.int64)), data)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(heights) + 1, dtype=np.int32) * len(bands)), each)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), lists], ["scene_id", "by", "bx", "height", "width", "bands"])
-
-    return grouped.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("by").cast("long").alias("by"), F.col("bx").cast("long").alias("bx"), "height", "width", "v").mapInArrow(rows, _BLOCKS)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(heights) + 1, dtype=np.int32) * len(bands)), each
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k) for k in range(5)), lists], ["scene_id", "by", "bx", "height", "width", "bands"]
+                )
+
+    return grouped.select(
+        F.col("scene_id").cast("long").alias("scene_id"),
+        F.col("by").cast("long").alias("by"),
+        F.col("bx").cast("long").alias("bx"),
+        "height",
+        "width",
+        "v",
+    ).mapInArrow(rows, _BLOCKS)
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
@@ -99,13 +126,24 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
 
 
 def read_blocks(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Blocks of write_blocks(); of those alone that wanted (scene_id, by, bx) names, if given. Its scenes and rows prune
-    the folders that are read, while the job runs."""
-    found = spark.read.parquet(path).select(F.col("scene_id").cast("long").alias("scene_id"), F.col("by").cast("long").alias("by"), "bx", "height", "width", "bands")
+    """Blocks of write_blocks(); of those alone that wanted (scene_id, by, bx) names, if given. Its scenes and rows
+    prune the folders that are read, while the job runs."""
+    found = spark.read.parquet(path).select(
+        F.col("scene_id").cast("long").alias("scene_id"),
+        F.col("by").cast("long").alias("by"),
+        "bx",
+        "height",
+        "width",
+        "bands",
+    )
     if wanted is None:
         return found
     # A filter on the broadcast side is what makes Spark prune by it.
-    names = wanted.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("by").cast("long").alias("by"), F.col("bx").cast("long").alias("bx")).where("by >= 0").distinct()
+    names = wanted.select(
+        F.col("scene_id").cast("long").alias("scene_id"),
+        F.col("by").cast("long").alias("by"),
+        F.col("bx").cast("long").alias("bx"),
+    ).where("by >= 0").distinct()
     return found.join(small(names), ["scene_id", "by", "bx"], "left_semi")
 
 
@@ -116,12 +154,17 @@ def block_for(window: int, stride: int) -> int:
 
 def blocks_under(windows: DataFrame, block: int, window: int) -> DataFrame:
     """scene_id, by, bx of the blocks that windows (scene_id, row0, col0) reach into."""
-    along = lambda c: F.explode(F.sequence(F.floor(F.col(c) / block).cast("long"), F.floor((F.col(c) + (window - 1)) / block).cast("long")))
-    return windows.select("scene_id", along("row0").alias("by"), "col0").select("scene_id", "by", along("col0").alias("bx")).distinct()
+    along = lambda c: F.explode(
+        F.sequence(F.floor(F.col(c) / block).cast("long"), F.floor((F.col(c) + (window - 1)) / block).cast("long"))
+    )
+    return windows.select("scene_id", along("row0").alias("by"), "col0").select(
+        "scene_id", "by", along("col0").alias("bx")
+    ).distinct()
 
 
 def _edges(blocks: DataFrame, block: int, reach: int) -> DataFrame:
-    """The pieces of blocks that those to their left, above, and above to their left need: home by and bx, place, bands."""
+    """The pieces of blocks that those to their left, above, and above to their left need: home by and bx, place,
+    bands."""
 
     def rows(batches):
         for whole in batches:
@@ -137,23 +180,38 @@ def _edges(blocks: DataFrame, block: int, reach: int) -> DataFrame:
                         if by[k] < dy or bx[k] < dx:
                             continue
                         h, w = min(height[k], reach) if dy else height[k], min(width[k], reach) if dx else width[k]
-                        out.append((scene[k], by[k] - dy, bx[k] - dx, by[k], bx[k], h, w, data[:, :h, :w], there[:, :h, :w]))
+                        out.append(
+                            (scene[k], by[k] - dy, bx[k] - dx, by[k], bx[k], h, w, data[:, :h, :w], there[:, :h, :w])
+                        )
                 if not out:
                     continue
                 n_bands = out[0][7].shape[0]
                 data, gone = np.concatenate([o[7].ravel() for o in out]), np.concatenate([~o[8].ravel() for o in out])
-                each = pa.ListArray.from_arrays(nested.offsets(np.repeat([o[5] * o[6] for o in out], n_bands)), pa.array(data, mask=gone))
+                each = pa.ListArray.from_arrays(
+                    nested.offsets(np.repeat([o[5] * o[6] for o in out], n_bands)), pa.array(data, mask=gone)
+                )
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * n_bands), each)
                 types = [pa.int64()] * 5 + [pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([*(pa.array([o[j] for o in out], t) for j, t in enumerate(types)), lists], ["scene_id", "hy", "hx", "by", "bx", "height", "width", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([o[j] for o in out], t) for j, t in enumerate(types)), lists],
+                    ["scene_id", "hy", "hx", "by", "bx", "height", "width", "bands"],
+                )
 
     schema = "scene_id bigint, hy bigint, hx bigint, by bigint, bx bigint, height int, width int, bands array<array<double>>"
     return blocks.select("scene_id", "by", "bx", "height", "width", "bands").mapInArrow(rows, schema)
 
 
-def windows_of(blocks: DataFrame, scenes: DataFrame, block: int, window: int, stride: int, full: bool, wanted: DataFrame | None = None) -> DataFrame:
-    """scene_id, col0, row0, read_w, read_h, bands (window x window, row-major) of the windows at every multiple of the stride;
-    with full, of those alone that lie within the scene, else 0 where one reaches over the scene's edge. wanted
+def windows_of(
+    blocks: DataFrame,
+    scenes: DataFrame,
+    block: int,
+    window: int,
+    stride: int,
+    full: bool,
+    wanted: DataFrame | None = None,
+) -> DataFrame:
+    """scene_id, col0, row0, read_w, read_h, bands (window x window, row-major) of the windows at every multiple of the
+    stride; with full, of those alone that lie within the scene, else 0 where one reaches over the scene's edge. wanted
     (scene_id, col0, row0) names the windows to cut, all if it is absent. Missing pixels stay null.
 
     block: the size of blocks, a multiple of the stride and no less than a window reaches beyond it.
@@ -161,16 +219,31 @@ def windows_of(blocks: DataFrame, scenes: DataFrame, block: int, window: int, st
     reach = max(window - stride, 0)
     if block % stride or reach > block:
         raise ValueError(f"blocks of {block} do not suit windows of {window} at every {stride}")
-    own = blocks.select("scene_id", F.col("by").alias("hy"), F.col("bx").alias("hx"), "by", "bx", "height", "width", "bands")
+    own = blocks.select(
+        "scene_id", F.col("by").alias("hy"), F.col("bx").alias("hx"), "by", "bx", "height", "width", "bands"
+    )
     pieces = own.unionByName(_edges(blocks, block, reach)) if reach else own
-    grouped = pieces.groupBy("scene_id", "hy", "hx").agg(F.collect_list(F.struct("by", "bx", "height", "width", "bands")).alias("pieces"))
-    homes = grouped.join(small(scenes.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("width").alias("_w"), F.col("height").alias("_h"))), "scene_id")
+    grouped = pieces.groupBy("scene_id", "hy", "hx").agg(
+        F.collect_list(F.struct("by", "bx", "height", "width", "bands")).alias("pieces")
+    )
+    homes = grouped.join(
+        small(
+            scenes.select(
+                F.col("scene_id").cast("long").alias("scene_id"),
+                F.col("width").alias("_w"),
+                F.col("height").alias("_h"),
+            )
+        ),
+        "scene_id",
+    )
     if wanted is None:
         homes = homes.withColumn("starts", F.lit(None).cast("array<bigint>"))
     else:
         of = lambda c: F.floor(F.col(c) / block).cast("long")
         start = (F.col("row0") % block * block + F.col("col0") % block).cast("long")
-        starts = wanted.groupBy(F.col("scene_id").cast("long").alias("scene_id"), of("row0").alias("hy"), of("col0").alias("hx")).agg(F.collect_set(start).alias("starts"))
+        starts = wanted.groupBy(
+            F.col("scene_id").cast("long").alias("scene_id"), of("row0").alias("hy"), of("col0").alias("hx")
+        ).agg(F.collect_set(start).alias("starts"))
         homes = homes.join(starts, ["scene_id", "hy", "hx"])
 
     def rows(batches):
@@ -178,7 +251,15 @@ def windows_of(blocks: DataFrame, scenes: DataFrame, block: int, window: int, st
             for batch in parts_of(whole, (block + reach) ** 2):
                 scene, hy, hx, width, height = (batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5))
                 for k in range(batch.num_rows):
-                    yield from cut(scene[k], hy[k] * block, hx[k] * block, batch.column(3)[k].values, width[k], height[k], batch.column(6)[k].as_py())
+                    yield from cut(
+                        scene[k],
+                        hy[k] * block,
+                        hx[k] * block,
+                        batch.column(3)[k].values,
+                        width[k],
+                        height[k],
+                        batch.column(6)[k].as_py(),
+                    )
 
     def cut(scene, y0, x0, pieces, width, height, starts):
         side = block + max(window, stride)
@@ -193,28 +274,61 @@ def windows_of(blocks: DataFrame, scenes: DataFrame, block: int, window: int, st
             image[:, y : y + h, x : x + w] = flat.to_numpy(zero_copy_only=False).reshape(n_bands, h, w)
             gone[:, y : y + h, x : x + w] = ~flat.is_valid().to_numpy(zero_copy_only=False).reshape(n_bands, h, w)
         if starts is None:
-            y, x = (v.ravel() for v in np.meshgrid(np.arange(0, block, stride), np.arange(0, block, stride), indexing="ij"))
+            y, x = (
+                v.ravel() for v in np.meshgrid(np.arange(0, block, stride), np.arange(0, block, stride), indexing="ij")
+            )
         else:
             y, x = np.divmod(np.array(sorted(starts), np.int64), block)
-        fits = (y0 + y + window <= height) & (x0 + x + window <= width) if full else (y0 + y < height) & (x0 + x < width)
+        fits = (y0 + y + window <= height) & (x0 + x + window <= width) if full else (y0 + y < height) & (
+            x0 + x < width
+        )
         y, x = y[fits], x[fits]
         few = max(1, (4 << 20) // (window * window * n_bands))
         for i in range(0, len(y), few):
             corners = list(zip(y[i : i + few].tolist(), x[i : i + few].tolist(), strict=True))
-            values, missing = (np.stack([v[:, a : a + window, b : b + window].reshape(n_bands, -1) for a, b in corners]) for v in (image, gone))
+            values, missing = (
+                np.stack([v[:, a : a + window, b : b + window].reshape(n_bands, -1) for a, b in corners])
+                for v in (image, gone)
+            )
             row0, col0 = y0 + y[i : i + few], x0 + x[i : i + few]
-            columns = [np.full(len(row0), scene), col0, row0, np.minimum(window, width - col0), np.minimum(window, height - row0)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), arrays(values, missing)], ["scene_id", "col0", "row0", "read_w", "read_h", "bands"])
+            columns = [
+                np.full(len(row0), scene),
+                col0,
+                row0,
+                np.minimum(window, width - col0),
+                np.minimum(window, height - row0),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in columns), arrays(values, missing)],
+                ["scene_id", "col0", "row0", "read_w", "read_h", "bands"],
+            )
 
     return homes.select("scene_id", "hy", "hx", "pieces", "_w", "_h", "starts").mapInArrow(rows, _TILES)
 
 
-def training_tiles(blocks: DataFrame, scenes: DataFrame, block: int, window: int, stride: int, wanted: DataFrame | None = None) -> DataFrame:
-    """scene_id, tile_idx, tile_name, size, bands of full windows, as clip.tiles_of() has them; wanted: scene_id, col0, row0."""
+def training_tiles(
+    blocks: DataFrame, scenes: DataFrame, block: int, window: int, stride: int, wanted: DataFrame | None = None
+) -> DataFrame:
+    """scene_id, tile_idx, tile_name, size, bands of full windows, as clip.tiles_of() has them; wanted: scene_id, col0,
+    row0."""
     found = windows_of(blocks, scenes, block, window, stride, True, wanted)
-    sized = small(scenes.select(F.col("scene_id").cast("long").alias("scene_id"), "name", windows_along(F.col("height"), window, stride).alias("ny")))
-    named = found.join(sized, "scene_id").withColumn("tile_idx", (F.col("col0") / stride * F.col("ny") + F.col("row0") / stride + 1).cast("long"))
-    return named.select("scene_id", "tile_idx", F.format_string("%s_%05d", clean_name(F.col("name")), F.col("tile_idx")).alias("tile_name"), F.lit(window).alias("size"), "bands")
+    sized = small(
+        scenes.select(
+            F.col("scene_id").cast("long").alias("scene_id"),
+            "name",
+            windows_along(F.col("height"), window, stride).alias("ny"),
+        )
+    )
+    named = found.join(sized, "scene_id").withColumn(
+        "tile_idx", (F.col("col0") / stride * F.col("ny") + F.col("row0") / stride + 1).cast("long")
+    )
+    return named.select(
+        "scene_id",
+        "tile_idx",
+        F.format_string("%s_%05d", clean_name(F.col("name")), F.col("tile_idx")).alias("tile_name"),
+        F.lit(window).alias("size"),
+        "bands",
+    )
 
 
 def prediction_tiles(blocks: DataFrame, scenes: DataFrame, block: int, size: int, overlap: float) -> DataFrame:

@@ -23,12 +23,16 @@ PARTS = "array<array<array<struct<x:double,y:double>>>>"
 def ring_area(ring: Column) -> Column:
     """The area of a closed ring, by the shoelace formula."""
     step = lambda a, i: a + ring[i]["x"] * ring[i + 1]["y"] - ring[i + 1]["x"] * ring[i]["y"]
-    return F.when(F.size(ring) < 4, 0.0).otherwise(F.abs(F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), step)) / 2)
+    return F.when(F.size(ring) < 4, 0.0).otherwise(
+        F.abs(F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), step)) / 2
+    )
 
 
 def area(parts: Column) -> Column:
     """Shells less holes, over all parts."""
-    part = lambda rings: 2 * ring_area(rings[0]) - F.aggregate(rings, F.lit(0.0), lambda a, r: a + ring_area(r))
+    part = lambda rings: 2 * ring_area(rings[0]) - F.aggregate(
+        rings, F.lit(0.0), lambda a, r: a + ring_area(r)
+    )
     return F.aggregate(F.filter(parts, lambda rings: F.size(rings) > 0), F.lit(0.0), lambda a, rings: a + part(rings))
 
 
@@ -48,46 +52,74 @@ _MERGED = "scene_id bigint, rings array<array<struct<x:double,y:double>>>"
 
 
 def boxed(polygons: DataFrame) -> DataFrame:
-    """scene_id, part_id, rings and box of the parts of polygons; copies within a scene once, parts with a coordinate that is
-    null or not finite never."""
-    parts = usable(polygons).select(F.col("scene_id").cast("long").alias("scene_id"), F.explode("parts").alias("rings")).where(F.size("rings") > 0)
+    """scene_id, part_id, rings and box of the parts of polygons; copies within a scene once, parts with a coordinate
+    that is null or not finite never."""
+    parts = usable(polygons).select(
+        F.col("scene_id").cast("long").alias("scene_id"), F.explode("parts").alias("rings")
+    ).where(F.size("rings") > 0)
     known = bounds(parts.dropDuplicates(["scene_id", "rings"]).withColumn("parts", F.array("rings"))).drop("parts")
     fine = F.forall(F.flatten("rings"), lambda p: (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
     return stored(known.where(fine).withColumn("part_id", F.monotonically_increasing_id()))
 
 
 def gridded(parts: DataFrame) -> DataFrame:
-    """scene_id, grid, ox, oy: the grid step, a power of two by which a scene's coordinates have BITS bits, and its origin in steps."""
+    """scene_id, grid, ox, oy: the grid step, a power of two by which a scene's coordinates have BITS bits, and its
+    origin in steps."""
     extent = F.greatest(F.max("max_x") - F.min("min_x"), F.max("max_y") - F.min("min_y"), F.lit(1e-300))
     step = F.pow(F.lit(2.0), F.ceil(F.log2(extent)) - BITS)
     found = parts.groupBy("scene_id").agg(step.alias("grid"), F.min("min_x").alias("x"), F.min("min_y").alias("y"))
-    return found.select("scene_id", "grid", F.floor(F.col("x") / F.col("grid")).cast("double").alias("ox"), F.floor(F.col("y") / F.col("grid")).cast("double").alias("oy"))
+    return found.select(
+        "scene_id",
+        "grid",
+        F.floor(F.col("x") / F.col("grid")).cast("double").alias("ox"),
+        F.floor(F.col("y") / F.col("grid")).cast("double").alias("oy"),
+    )
 
 
 def touching(parts: DataFrame) -> DataFrame:
     """Pairs (a, b) of parts (from boxed()) of a scene whose boxes touch, each once.
 
-    Cells follow the parts: a part lies in the at most four cells, twice as wide as it at most, of the level of its own size, and
-    looks for others of its level and of every wider one that its scene has. So neither a town of small parts
+    Cells follow the parts: a part lies in the at most four cells, twice as wide as it at most, of the level of its own
+    size, and looks for others of its level and of every wider one that its scene has. So neither a town of small parts
     in an empty land nor a part over all of them fills a cell with parts that do not touch.
     """
     side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     # Wide enough that whole numbers of cells stay exact, however far from the origin.
     far = F.greatest(*[F.abs(c) for c in ("min_x", "max_x", "min_y", "max_y")])
-    own = parts.select("scene_id", "part_id", "min_x", "min_y", "max_x", "max_y", F.ceil(F.log2(F.greatest(side, far / float(1 << 50), F.lit(1e-300)))).cast("int").alias("level"))
+    own = parts.select(
+        "scene_id",
+        "part_id",
+        "min_x",
+        "min_y",
+        "max_x",
+        "max_y",
+        F.ceil(F.log2(F.greatest(side, far / float(1 << 50), F.lit(1e-300)))).cast("int").alias("level"),
+    )
     levels = own.groupBy("scene_id").agg(F.collect_set("level").alias("levels"))
     cell = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col(level))).cast("long")
     along = lambda low, high, level: F.explode(F.sequence(cell(low, level), cell(high, level)))
 
     def placed(rows: DataFrame, prefix: str) -> DataFrame:
         rows = rows.withColumn("cx", along("min_x", "max_x", "at")).withColumn("cy", along("min_y", "max_y", "at"))
-        return rows.select("scene_id", "at", "cx", "cy", *[F.col(c).alias(f"{prefix}_{c}") for c in ("part_id", "min_x", "min_y", "max_x", "max_y", "level")])
-
-    looking = own.join(small(stored(levels)), "scene_id").withColumn("at", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels")
+        return rows.select(
+            "scene_id",
+            "at",
+            "cx",
+            "cy",
+            *[F.col(c).alias(f"{prefix}_{c}") for c in ("part_id", "min_x", "min_y", "max_x", "max_y", "level")],
+        )
+
+    looking = own.join(small(stored(levels)), "scene_id").withColumn(
+        "at", F.explode(F.filter("levels", lambda x: x >= F.col("level")))
+    ).drop("levels")
     a, b = placed(looking, "a"), placed(own.withColumn("at", F.col("level")), "b")
     meet = "(a_level < b_level OR a_part_id < b_part_id) AND a_min_x <= b_max_x AND b_min_x <= a_max_x AND a_min_y <= b_max_y AND b_min_y <= a_max_y"
-    corner = lambda axis: F.floor(F.greatest(f"a_min_{axis}", f"b_min_{axis}") / F.pow(F.lit(2.0), F.col("at"))).cast("long")
-    found = a.join(b, ["scene_id", "at", "cx", "cy"]).where(F.expr(meet) & (F.col("cx") == corner("x")) & (F.col("cy") == corner("y")))
+    corner = lambda axis: F.floor(
+        F.greatest(f"a_min_{axis}", f"b_min_{axis}") / F.pow(F.lit(2.0), F.col("at"))
+    ).cast("long")
+    found = a.join(b, ["scene_id", "at", "cx", "cy"]).where(
+        F.expr(meet) & (F.col("cx") == corner("x")) & (F.col("cy") == corner("y"))
+    )
     return found.select(F.col("a_part_id").alias("a"), F.col("b_part_id").alias("b"))
 
 
@@ -108,11 +140,15 @@ def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
 
 
-def _polygon_rows(scene: np.ndarray, grid: np.ndarray, origin: np.ndarray, e: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+def _polygon_rows(
+    scene: np.ndarray, grid: np.ndarray, origin: np.ndarray, e: np.ndarray, group: np.ndarray
+) -> pa.RecordBatch:
     """A row for each polygon of the groups' outlines."""
     made = polygons_of(e, group, len(scene))
     own = [[(r + origin[k]) * grid[k] for r in rings] for k, polygons in enumerate(made) for rings in polygons]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(scene, [len(p) for p in made]), pa.int64()), nested.rings_array(own)], ["scene_id", "rings"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(scene, [len(p) for p in made]), pa.int64()), nested.rings_array(own)], ["scene_id", "rings"]
+    )
 
 
 def _alone(parts: DataFrame) -> DataFrame:
@@ -121,7 +157,13 @@ def _alone(parts: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             rings = batch.column(batch.schema.get_field_index("rings"))
-            wrong = np.array([p is not None for p in problems(pa.ListArray.from_arrays(nested.offsets(np.ones(len(rings), np.int64)), rings))], bool)
+            wrong = np.array(
+                [
+                    p is not None
+                    for p in problems(pa.ListArray.from_arrays(nested.offsets(np.ones(len(rings), np.int64)), rings))
+                ],
+                bool,
+            )
             fine = batch.filter(pa.array(~wrong))
             yield pa.RecordBatch.from_arrays([fine.column(0), fine.column(1)], ["scene_id", "rings"])
             if wrong.any():
@@ -168,15 +210,23 @@ def _cut(parts: DataFrame) -> DataFrame:
             e, row = _grid_edges(batch.column(batch.schema.get_field_index("rings")), grid, np.stack([ox, oy], axis=1))
             found = [(k, *piece) for k in np.unique(row).tolist() for piece in in_cells(e[row == k], int(cell[k]))]
             k, cx, cy = (np.array([f[j] for f in found], np.int64) for j in range(3))
-            lists = pa.ListArray.from_arrays(nested.offsets(np.array([4 * len(f[3]) for f in found], np.int64)), pa.array(np.concatenate([f[3] for f in found]).ravel() if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(v[k], pa.int64()) for v in (scene, cluster, cell)), pa.array(cx), pa.array(cy), lists], ["scene_id", "cluster", "cell", "cx", "cy", "edges"])
+            lists = pa.ListArray.from_arrays(
+                nested.offsets(np.array([4 * len(f[3]) for f in found], np.int64)),
+                pa.array(np.concatenate([f[3] for f in found]).ravel() if found else np.empty(0, np.int64)),
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(v[k], pa.int64()) for v in (scene, cluster, cell)), pa.array(cx), pa.array(cy), lists],
+                ["scene_id", "cluster", "cell", "cx", "cy", "edges"],
+            )
 
     return parts.select("scene_id", "cluster", "cell", "rings", "grid", "ox", "oy").mapInArrow(rows, _PIECE)
 
 
 def _united(pieces: DataFrame, *keys: str) -> DataFrame:
     """Pieces of equal keys as one: the boundary of their union."""
-    grouped = pieces.groupBy("scene_id", "cluster", "cell", "cx", "cy", *keys).agg(F.collect_list("edges").alias("each"))
+    grouped = pieces.groupBy("scene_id", "cluster", "cell", "cx", "cy", *keys).agg(
+        F.collect_list("edges").alias("each")
+    )
 
     def rows(batches):
         for batch in batches:
@@ -185,8 +235,12 @@ def _united(pieces: DataFrame, *keys: str) -> DataFrame:
             lists = each.flatten()
             e = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
             made, owner = united(e, np.repeat(np.arange(len(lists)), nested.sizes(lists) // 4), group)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("scene_id", "cluster", "cell", "cx", "cy")]
-            yield pa.RecordBatch.from_arrays([*columns, _edge_lists(made, owner, len(each))], ["scene_id", "cluster", "cell", "cx", "cy", "edges"])
+            columns = [
+                batch.column(batch.schema.get_field_index(c)) for c in ("scene_id", "cluster", "cell", "cx", "cy")
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, _edge_lists(made, owner, len(each))], ["scene_id", "cluster", "cell", "cx", "cy", "edges"]
+            )
 
     return grouped.select("scene_id", "cluster", "cell", "cx", "cy", "each").mapInArrow(rows, _PIECE)
 
@@ -221,7 +275,9 @@ def _borders(edges: DataFrame) -> DataFrame:
     """What is left of edges on cell borders where those of neighbours cancel, line by line."""
     upright = F.col("axis") == 0
     a, b = F.when(upright, F.col("ay")).otherwise(F.col("ax")), F.when(upright, F.col("by")).otherwise(F.col("bx"))
-    lines = edges.where("axis >= 0").groupBy("scene_id", "cluster", "axis", "at", "along").agg(F.collect_list(F.array(a, b)).alias("each"))
+    lines = edges.where("axis >= 0").groupBy("scene_id", "cluster", "axis", "at", "along").agg(
+        F.collect_list(F.array(a, b)).alias("each")
+    )
 
     def rows(batches):
         for batch in batches:
@@ -229,18 +285,29 @@ def _borders(edges: DataFrame) -> DataFrame:
             each = batch.column(batch.schema.get_field_index("each"))
             ends = each.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
             line = np.repeat(np.arange(len(each)), nested.sizes(each))
-            line, low, high, net = cancelled(line, ends.min(axis=1, initial=1 << 62), ends.max(axis=1, initial=-(1 << 62)), np.where(ends[:, 1] > ends[:, 0], 1, -1))
+            line, low, high, net = cancelled(
+                line,
+                ends.min(axis=1, initial=1 << 62),
+                ends.max(axis=1, initial=-(1 << 62)),
+                np.where(ends[:, 1] > ends[:, 0], 1, -1),
+            )
             p, q = np.where(net > 0, low, high), np.where(net > 0, high, low)
             u, c = axis[line] == 0, at[line]
-            columns = [scene[line], cluster[line], np.where(u, c, p), np.where(u, p, c), np.where(u, c, q), np.where(u, q, c)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["scene_id", "cluster", "ax", "ay", "bx", "by"])
+            columns = [
+                scene[line], cluster[line], np.where(u, c, p), np.where(u, p, c), np.where(u, c, q), np.where(u, q, c)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in columns], ["scene_id", "cluster", "ax", "ay", "bx", "by"]
+            )
 
     return lines.select("scene_id", "cluster", "axis", "at", "each").mapInArrow(rows, _EDGES)
 
 
 def _stitched(edges: DataFrame, grids: DataFrame) -> DataFrame:
     """The polygons of clusters' outlines; an outline, not what it covers, goes to one task."""
-    outlines = edges.groupBy("scene_id", "cluster").agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges"))
+    outlines = edges.groupBy("scene_id", "cluster").agg(
+        F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges")
+    )
 
     def rows(batches):
         for batch in batches:
@@ -250,31 +317,45 @@ def _stitched(edges: DataFrame, grids: DataFrame) -> DataFrame:
             group = np.repeat(np.arange(len(scene)), nested.sizes(lists) // 4)
             yield _polygon_rows(scene, grid, np.stack([ox, oy], axis=1), e, group)
 
-    return outlines.join(small(grids), "scene_id").select("scene_id", "edges", "grid", "ox", "oy").mapInArrow(rows, _MERGED)
+    return outlines.join(small(grids), "scene_id").select("scene_id", "edges", "grid", "ox", "oy").mapInArrow(
+        rows, _MERGED
+    )
 
 
 def merged(polygons: DataFrame) -> DataFrame:
     """scene_id, parts: the union of touching and overlapping polygons, one row for each separate polygon.
 
-    Parts whose boxes touch are clusters, by connected components. Most clusters are one part, which stays as it is if it is
-    valid, or a few, which a task unites with many other clusters in one call. Larger ones are cut at the borders of grid
-    cells: a task unites what a cell has (by CELL_PIECES at a time if there are more), and along cell borders edges of
-    neighbours cancel, line by line. What is left is the outline of the union, which is stitched into rings; one of more than
-    WHOLE_OUTLINE edges from chains in its cells (rings.py), so that no task holds it.
+    Parts whose boxes touch are clusters, by connected components. Most clusters are one part, which stays as it is if
+    it is valid, or a few, which a task unites with many other clusters in one call. Larger ones are cut at the borders
+    of grid cells: a task unites what a cell has (by CELL_PIECES at a time if there are more), and along cell borders
+    edges of neighbours cancel, line by line. What is left is the outline of the union, which is stitched into rings;
+    one of more than WHOLE_OUTLINE edges from chains in its cells (rings.py), so that no task holds it.
 
-    Shapes are united on a grid of whole numbers, with a step of 2**-28 of their scene's extent (overlay.py): coordinates that
-    are multiples of the step stay exact, others move by half a step at most, and by a step or so where edges cross.
-    Null, empty and not finite parts are left out; a part that crosses itself covers what its rings wind around.
+    Shapes are united on a grid of whole numbers, with a step of 2**-28 of their scene's extent (overlay.py):
+    coordinates that are multiples of the step stay exact, others move by half a step at most, and by a step or so where
+    edges cross. Null, empty and not finite parts are left out; a part that crosses itself covers what its rings wind
+    around.
     """
     parts = boxed(polygons)
     grids = stored(gridded(parts))
     roots = stored(components(touching(parts)).select(F.col("node").alias("part_id"), F.col("root").alias("cluster")))
-    known = parts.select("scene_id", "part_id", "rings", F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")).alias("side"), "min_x", "min_y", "max_x", "max_y")
+    known = parts.select(
+        "scene_id",
+        "part_id",
+        "rings",
+        F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")).alias("side"),
+        "min_x",
+        "min_y",
+        "max_x",
+        "max_y",
+    )
     gridded_parts = known.join(small(grids), "scene_id")
     lone = gridded_parts.join(small(roots.select("part_id")), "part_id", "left_anti")
     sizes = stored(roots.groupBy("cluster").agg(F.count("*").alias("n_parts")))
     own = gridded_parts.join(small(roots), "part_id").join(small(sizes), "cluster")
-    few = own.where(F.col("n_parts") <= WHOLE).groupBy("scene_id", "cluster").agg(F.collect_list("rings").alias("parts"), *[F.first(c).alias(c) for c in ("grid", "ox", "oy")])
+    few = own.where(F.col("n_parts") <= WHOLE).groupBy("scene_id", "cluster").agg(
+        F.collect_list("rings").alias("parts"), *[F.first(c).alias(c) for c in ("grid", "ox", "oy")]
+    )
     out = _alone(lone).unionByName(_whole(few))
     if not sizes.where(F.col("n_parts") > WHOLE).isEmpty():
         out = out.unionByName(_merged_in_cells(own.where(F.col("n_parts") > WHOLE), grids))
@@ -284,7 +365,9 @@ def merged(polygons: DataFrame) -> DataFrame:
 def _merged_in_cells(parts: DataFrame, grids: DataFrame) -> DataFrame:
     extent = F.greatest(F.max("max_x") - F.min("min_x"), F.max("max_y") - F.min("min_y"))
     side = F.greatest(2 * F.percentile_approx("side", 0.5), extent / CELLS_ALONG)
-    cells = stored(parts.groupBy("cluster").agg(F.greatest(F.ceil(side / F.first("grid")), F.lit(2)).cast("long").alias("cell")))
+    cells = stored(
+        parts.groupBy("cluster").agg(F.greatest(F.ceil(side / F.first("grid")), F.lit(2)).cast("long").alias("cell"))
+    )
     pieces = stored(_cut(parts.join(small(cells), "cluster")))
     at = ["scene_id", "cluster", "cx", "cy"]
     full = stored(pieces.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > CELL_PIECES))
@@ -302,14 +385,19 @@ def _merged_in_cells(parts: DataFrame, grids: DataFrame) -> DataFrame:
     out = _stitched(outline.join(large, "cluster", "left_anti"), grids)
     if large.isEmpty():
         return out
-    by_cell = outline.join(large, "cluster", "left_semi").groupBy("scene_id", "cluster", "cell", "cx", "cy").agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges"))
+    by_cell = outline.join(large, "cluster", "left_semi").groupBy("scene_id", "cluster", "cell", "cx", "cy").agg(
+        F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges")
+    )
     places = grids.select("scene_id", F.col("grid").alias("grid_x"), F.col("grid").alias("grid_y"), "ox", "oy")
     return out.unionByName(rings.mapped(rings.polygons(by_cell), places).select("scene_id", "rings"))
 
 
 def fill_holes(polygons: DataFrame, min_hole_area: float) -> DataFrame:
     """Without holes smaller than ``min_hole_area``; without any if that is 0 or less. Empty results are dropped."""
-    kept = lambda rings: F.concat(F.slice(rings, 1, 1), F.filter(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: ring_area(r) >= min_hole_area)) if min_hole_area > 0 else F.slice(rings, 1, 1)
+    kept = lambda rings: F.concat(
+        F.slice(rings, 1, 1),
+        F.filter(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: ring_area(r) >= min_hole_area),
+    ) if min_hole_area > 0 else F.slice(rings, 1, 1)
     return usable(polygons.withColumn("parts", F.transform(F.filter("parts", lambda rings: F.size(rings) > 0), kept)))
 
 
@@ -322,8 +410,8 @@ def filter_area(polygons: DataFrame, min_area: float | None = None, max_area: fl
 
 
 def _changed(polygons: DataFrame, change) -> DataFrame:
-    """polygons with parts made anew from flat arrays: change(points, ring of each, polygon of each ring) gives new points and
-    the ring of each, ascending; a ring keeps its place, and is gone if it has no points."""
+    """polygons with parts made anew from flat arrays: change(points, ring of each, polygon of each ring) gives new
+    points and the ring of each, ascending; a ring keeps its place, and is gone if it has no points."""
     at = polygons.columns.index("parts")
 
     def rows(batches):
@@ -334,17 +422,21 @@ def _changed(polygons: DataFrame, change) -> DataFrame:
             n_parts, n_rings, size = nested.sizes(parts), nested.sizes(flat), nested.sizes(rings)
             polygon = np.repeat(np.repeat(np.arange(len(parts)), n_parts), n_rings)
             points, ring = change(nested.flat_points(rings.flatten()), np.repeat(np.arange(len(size)), size), polygon)
-            each = pa.ListArray.from_arrays(nested.offsets(np.bincount(ring, minlength=len(size))), nested.points_array(points))
+            each = pa.ListArray.from_arrays(
+                nested.offsets(np.bincount(ring, minlength=len(size))), nested.points_array(points)
+            )
             by_part = pa.ListArray.from_arrays(nested.offsets(n_rings), each)
-            whole = pa.ListArray.from_arrays(nested.offsets(n_parts), by_part, mask=pa.array(~parts.is_valid().to_numpy(zero_copy_only=False)))
+            whole = pa.ListArray.from_arrays(
+                nested.offsets(n_parts), by_part, mask=pa.array(~parts.is_valid().to_numpy(zero_copy_only=False))
+            )
             yield batch.set_column(at, batch.schema.field(at), whole.cast(batch.schema.field(at).type))
 
     return polygons.mapInArrow(rows, polygons.schema)
 
 
 def simplify(polygons: DataFrame, tolerance: float) -> DataFrame:
-    """Douglas-Peucker on every ring, with topology kept: rings stay closed, and no shortcut crosses another ring or its own, or
-    jumps over a ring. A valid polygon stays valid; in an invalid one, what was wrong may stay."""
+    """Douglas-Peucker on every ring, with topology kept: rings stay closed, and no shortcut crosses another ring or its
+    own, or jumps over a ring. A valid polygon stays valid; in an invalid one, what was wrong may stay."""
 
     def change(points, ring, polygon):
         keep = simplified_together(points, ring, polygon, tolerance)
@@ -376,11 +468,15 @@ class Steps:
     smooth_rounds: int | None = None
 
     def any(self) -> bool:
-        return self.merge or any(v is not None for v in (self.min_hole_area, self.min_area, self.max_area, self.tolerance, self.smooth_rounds))
+        return self.merge or any(
+            v is not None
+            for v in (self.min_hole_area, self.min_area, self.max_area, self.tolerance, self.smooth_rounds)
+        )
 
 
 def cleaned(polygons: DataFrame, steps: Steps) -> DataFrame:
-    """scene_id, parts, area after the steps in their order: areas are filtered before shapes are simplified and smoothed."""
+    """scene_id, parts, area after the steps in their order: areas are filtered before shapes are simplified and
+    smoothed."""
     if not steps.any():
         raise ValueError("no step is enabled")
     out = usable(polygons)

@@ -25,20 +25,40 @@ def _along(first: Column, last: Column, n: Column, window: int, stride: int) ->
 
 
 def _sized(scenes: DataFrame, window: int, stride: int) -> DataFrame:
-    return scenes.select("scene_id", "name", windows_along(F.col("width"), window, stride).alias("nx"), windows_along(F.col("height"), window, stride).alias("ny"))
-
-
-def in_windows(rows: DataFrame, scenes: DataFrame, window: int, stride: int, x0: str = "x", x1: str = "x", y0: str = "y", y1: str = "y") -> DataFrame:
+    return scenes.select(
+        "scene_id",
+        "name",
+        windows_along(F.col("width"), window, stride).alias("nx"),
+        windows_along(F.col("height"), window, stride).alias("ny"),
+    )
+
+
+def in_windows(
+    rows: DataFrame,
+    scenes: DataFrame,
+    window: int,
+    stride: int,
+    x0: str = "x",
+    x1: str = "x",
+    y0: str = "y",
+    y1: str = "y",
+) -> DataFrame:
     """Each row once for each window that meets its pixels x0..x1, y0..y1, with i, j, tile_idx and tile_name."""
     placed = rows.join(_sized(scenes, window, stride), "scene_id")
-    placed = placed.withColumn("i", F.explode(_along(F.col(x0), F.col(x1), F.col("nx"), window, stride))).withColumn("j", F.explode(_along(F.col(y0), F.col(y1), F.col("ny"), window, stride)))
-    return placed.withColumn("tile_idx", F.col("i") * F.col("ny") + F.col("j") + 1).withColumn("tile_name", F.format_string("%s_%05d", clean_name(F.col("name")), F.col("tile_idx"))).drop("name", "nx", "ny")
+    placed = placed.withColumn("i", F.explode(_along(F.col(x0), F.col(x1), F.col("nx"), window, stride))).withColumn(
+        "j", F.explode(_along(F.col(y0), F.col(y1), F.col("ny"), window, stride))
+    )
+    return placed.withColumn("tile_idx", F.col("i") * F.col("ny") + F.col("j") + 1).withColumn(
+        "tile_name", F.format_string("%s_%05d", clean_name(F.col("name")), F.col("tile_idx"))
+    ).drop("name", "nx", "ny")
 
 
 def clip_pixels(pixels: DataFrame, scenes: DataFrame, window: int, stride: int) -> DataFrame:
     """The pixels of each window, with ty and tx inside it and all bands. A pixel is in every window that covers it."""
     out = in_windows(pixels, scenes, window, stride)
-    return out.withColumns({"ty": F.col("y") - F.col("j") * stride, "tx": F.col("x") - F.col("i") * stride}).drop("i", "j")
+    return out.withColumns({"ty": F.col("y") - F.col("j") * stride, "tx": F.col("x") - F.col("i") * stride}).drop(
+        "i", "j"
+    )
 
 
 def tiles_of(clipped: DataFrame, window: int, bands: list[str], nodata: float | None = None) -> DataFrame:
@@ -47,31 +67,66 @@ def tiles_of(clipped: DataFrame, window: int, bands: list[str], nodata: float |
     A pixel lies at its own place: one that is missing is null, or nodata, and two rows of one pixel are an error.
     """
     at = (F.col("ty") * window + F.col("tx")).cast("int")
-    grouped = clipped.groupBy("scene_id", "tile_idx", "tile_name").agg(F.collect_list(F.struct(at.alias("p"), *[F.col(b).cast("double").alias(b) for b in bands])).alias("v"))
+    grouped = clipped.groupBy("scene_id", "tile_idx", "tile_name").agg(
+        F.collect_list(F.struct(at.alias("p"), *[F.col(b).cast("double").alias(b) for b in bands])).alias("v")
+    )
 
     def rows(batches):
         for whole in batches:
             for batch in parts_of(whole, window * window * len(bands)):
                 size = pa.array(np.full(batch.num_rows, window, np.int32))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), size, arrays(*placed(batch.column(3), window * window, nodata))], ["scene_id", "tile_idx", "tile_name", "size", "bands"])
-
-    kept = grouped.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("tile_idx").cast("long").alias("tile_idx"), "tile_name", "v")
-    return kept.mapInArrow(rows, "scene_id bigint, tile_idx bigint, tile_name string, size int, bands array<array<double>>")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(k) for k in range(3)),
+                        size,
+                        arrays(*placed(batch.column(3), window * window, nodata)),
+                    ],
+                    ["scene_id", "tile_idx", "tile_name", "size", "bands"],
+                )
+
+    kept = grouped.select(
+        F.col("scene_id").cast("long").alias("scene_id"),
+        F.col("tile_idx").cast("long").alias("tile_idx"),
+        "tile_name",
+        "v",
+    )
+    return kept.mapInArrow(
+        rows, "scene_id bigint, tile_idx bigint, tile_name string, size int, bands array<array<double>>"
+    )
 
 
 def pixels_of(tiles: DataFrame, bands: list[str], keys: tuple[str, ...] = ("tile_name",)) -> DataFrame:
     """Long layout of tiles: keys, y, x and a column for each band; the inverse of tiles_of."""
     zipped = F.arrays_zip(*[F.col("bands")[k].alias(b) for k, b in enumerate(bands)])
     rows = tiles.select(*keys, "size", F.posexplode(zipped).alias("p", "v"))
-    return rows.select(*keys, F.floor(F.col("p") / F.col("size")).alias("y"), (F.col("p") % F.col("size")).cast("long").alias("x"), *[F.col("v")[b].alias(b) for b in bands])
+    return rows.select(
+        *keys,
+        F.floor(F.col("p") / F.col("size")).alias("y"),
+        (F.col("p") % F.col("size")).cast("long").alias("x"),
+        *[F.col("v")[b].alias(b) for b in bands],
+    )
 
 
 def candidates(polygons: DataFrame, scenes: DataFrame, window: int, stride: int) -> DataFrame:
     """(poly_id, scene_id, tile_idx, tile_name) of polygons whose box meets a window; touching counts."""
     own = bounds(polygons).join(scenes.select("scene_id", "gt"), "scene_id")
-    px = {"bx0": (F.col("min_x") - F.col("gt.x0")) / F.col("gt.pw"), "bx1": (F.col("max_x") - F.col("gt.x0")) / F.col("gt.pw"), "by0": (F.col("gt.y0") - F.col("max_y")) / F.col("gt.pw"), "by1": (F.col("gt.y0") - F.col("min_y")) / F.col("gt.pw")}
-    own = own.withColumns(px).select("poly_id", "scene_id", (F.ceil("bx0") - 1).alias("bx0"), F.floor("bx1").alias("bx1"), (F.ceil("by0") - 1).alias("by0"), F.floor("by1").alias("by1"))
-    return in_windows(own, scenes, window, stride, "bx0", "bx1", "by0", "by1").select("poly_id", "scene_id", "tile_idx", "tile_name")
+    px = {
+        "bx0": (F.col("min_x") - F.col("gt.x0")) / F.col("gt.pw"),
+        "bx1": (F.col("max_x") - F.col("gt.x0")) / F.col("gt.pw"),
+        "by0": (F.col("gt.y0") - F.col("max_y")) / F.col("gt.pw"),
+        "by1": (F.col("gt.y0") - F.col("min_y")) / F.col("gt.pw"),
+    }
+    own = own.withColumns(px).select(
+        "poly_id",
+        "scene_id",
+        (F.ceil("bx0") - 1).alias("bx0"),
+        F.floor("bx1").alias("bx1"),
+        (F.ceil("by0") - 1).alias("by0"),
+        F.floor("by1").alias("by1"),
+    )
+    return in_windows(own, scenes, window, stride, "bx0", "bx1", "by0", "by1").select(
+        "poly_id", "scene_id", "tile_idx", "tile_name"
+    )
 
 
 def burn_rows(parts: list, x0: float, y0: float, pixel: float, width: int, height: int) -> list[tuple[int, int, int]]:
@@ -93,7 +148,9 @@ def _burned(rings: list, x0: float, y0: float, pixel: float, width: int, height:
     if not len(e):
         return []
     low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
-    first, last = np.maximum(np.ceil(low - 0.5), 0).astype(int), np.minimum(np.ceil(high - 0.5) - 1, height - 1).astype(int)
+    first, last = np.maximum(np.ceil(low - 0.5), 0).astype(int), np.minimum(np.ceil(high - 0.5) - 1, height - 1).astype(
+        int
+    )
     n = np.maximum(last - first + 1, 0)
     which = np.repeat(np.arange(len(e)), n)
     if not len(which):
@@ -104,7 +161,9 @@ def _burned(rings: list, x0: float, y0: float, pixel: float, width: int, height:
     order = np.lexsort((at, row))
     row, at = row[order], at[order]
     # Crossings of a row come in pairs: in and out.
-    start, stop = np.maximum(np.ceil(at[0::2] - 0.5), 0).astype(int), np.minimum(np.ceil(at[1::2] - 0.5) - 1, width - 1).astype(int)
+    start, stop = np.maximum(np.ceil(at[0::2] - 0.5), 0).astype(int), np.minimum(
+        np.ceil(at[1::2] - 0.5) - 1, width - 1
+    ).astype(int)
     some = start <= stop
     return list(zip(row[0::2][some].tolist(), start[some].tolist(), stop[some].tolist(), strict=True))
 
@@ -115,10 +174,18 @@ def burned_runs(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            out = [(r["scene_id"], r["poly_id"], *run) for r in batch.to_pylist() for run in burn_rows(r["parts"], r["gt"]["x0"], r["gt"]["y0"], r["gt"]["pw"], r["width"], r["height"])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], ["scene_id", "poly_id", "y", "x0", "x1"])
+            out = [
+                (r["scene_id"], r["poly_id"], *run)
+                for r in batch.to_pylist()
+                for run in burn_rows(r["parts"], r["gt"]["x0"], r["gt"]["y0"], r["gt"]["pw"], r["width"], r["height"])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], pa.int64()) for k in range(5)], ["scene_id", "poly_id", "y", "x0", "x1"]
+            )
 
-    return own.select("scene_id", F.col("poly_id").cast("long").alias("poly_id"), "parts", "gt", "width", "height").mapInArrow(rows, "scene_id bigint, poly_id bigint, y bigint, x0 bigint, x1 bigint")
+    return own.select(
+        "scene_id", F.col("poly_id").cast("long").alias("poly_id"), "parts", "gt", "width", "height"
+    ).mapInArrow(rows, "scene_id bigint, poly_id bigint, y bigint, x0 bigint, x1 bigint")
 
 
 def burned_pixels(runs: DataFrame) -> DataFrame:
@@ -128,7 +195,9 @@ def burned_pixels(runs: DataFrame) -> DataFrame:
 
 def kept_tiles(runs: DataFrame, scenes: DataFrame, window: int, stride: int) -> DataFrame:
     """scene_id, tile_idx, tile_name of windows with a covered pixel: from runs, so before any pixel is copied."""
-    return in_windows(runs.select("scene_id", "y", "x0", "x1"), scenes, window, stride, "x0", "x1").select("scene_id", "tile_idx", "tile_name").distinct()
+    return in_windows(runs.select("scene_id", "y", "x0", "x1"), scenes, window, stride, "x0", "x1").select(
+        "scene_id", "tile_idx", "tile_name"
+    ).distinct()
 
 
 def tile_masks(runs: DataFrame, scenes: DataFrame, window: int, stride: int, burn: int = 255) -> DataFrame:
@@ -143,8 +212,16 @@ def tile_masks(runs: DataFrame, scenes: DataFrame, window: int, stride: int, bur
     ty, tx = F.col("y") - F.col("j") * stride, lambda c: F.col(c) - F.col("i") * stride
     begin, end = F.greatest(tx("x0"), F.lit(0)), F.least(tx("x1"), F.lit(window - 1)) + 1
     line = ty * (window + 1)  # a row has one place more, where runs up to its end stop
-    placed = placed.select("scene_id", "tile_idx", "tile_name", (line + begin).cast("int").alias("begin"), (line + end).cast("int").alias("end"))
-    grouped = placed.groupBy("scene_id", "tile_idx", "tile_name").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
+    placed = placed.select(
+        "scene_id",
+        "tile_idx",
+        "tile_name",
+        (line + begin).cast("int").alias("begin"),
+        (line + end).cast("int").alias("end"),
+    )
+    grouped = placed.groupBy("scene_id", "tile_idx", "tile_name").agg(
+        F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end")
+    )
     size = window * (window + 1)
     few = max(1, (8 << 20) // size)  # tiles filled at a time, by memory
 
@@ -161,7 +238,9 @@ def tile_masks(runs: DataFrame, scenes: DataFrame, window: int, stride: int, bur
                 on = np.cumsum(steps.reshape(n * window, window + 1), axis=1)[:, :window] > 0
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (window * window))
                 mask = pa.ListArray.from_arrays(offsets, pa.array(np.where(on, burn, 0).astype(np.int16).ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), mask], ["scene_id", "tile_idx", "tile_name", "mask"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in range(3)), mask], ["scene_id", "tile_idx", "tile_name", "mask"]
+                )
 
     return grouped.mapInArrow(rows, "scene_id bigint, tile_idx bigint, tile_name string, mask array<smallint>")
 
@@ -173,7 +252,9 @@ def wanted_pixels(pixels: DataFrame, kept: DataFrame, window: int, stride: int)
     """
     across = -(-window // stride)
     over = lambda c: F.explode(F.sequence(F.col(c), F.col(c) + (across - 1)))
-    blocks = kept.select("scene_id", over("i").alias("bx"), "j").select("scene_id", "bx", over("j").alias("by")).distinct()
+    blocks = kept.select("scene_id", over("i").alias("bx"), "j").select(
+        "scene_id", "bx", over("j").alias("by")
+    ).distinct()
     keyed = pixels.withColumns({"bx": F.floor(F.col("x") / stride), "by": F.floor(F.col("y") / stride)})
     return keyed.join(small(blocks), ["scene_id", "bx", "by"], "left_semi").drop("bx", "by")
 
@@ -181,5 +262,9 @@ def wanted_pixels(pixels: DataFrame, kept: DataFrame, window: int, stride: int)
 def clip_counts(scenes: DataFrame, kept: DataFrame, window: int, stride: int) -> DataFrame:
     """scene_id, tile_count (kept) and skipped_count."""
     n = kept.groupBy("scene_id").agg(F.count("*").alias("tile_count"))
-    own = _sized(scenes, window, stride).join(n, "scene_id", "left").withColumn("tile_count", F.coalesce("tile_count", F.lit(0).cast("long")))
-    return own.select("scene_id", "tile_count", (F.col("nx") * F.col("ny") - F.col("tile_count")).alias("skipped_count"))
+    own = _sized(scenes, window, stride).join(n, "scene_id", "left").withColumn(
+        "tile_count", F.coalesce("tile_count", F.lit(0).cast("long"))
+    )
+    return own.select(
+        "scene_id", "tile_count", (F.col("nx") * F.col("ny") - F.col("tile_count")).alias("skipped_count")
+    )

@@ -15,9 +15,17 @@ from segjobs.sources import catalog, sinks
 BANDS = ["b1", "b2", "b3"]
 
 
-def clipped_tiles(pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, window: int, stride: int, burn: int = 255, bands: list[str] | None = None) -> DataFrame:
-    """scene_id, tile_idx, tile_name, size, bands, mask, gt of the windows with a covered pixel. Masks come first: windows
-    without one never pull pixels."""
+def clipped_tiles(
+    pixels: DataFrame,
+    scenes: DataFrame,
+    polygons: DataFrame,
+    window: int,
+    stride: int,
+    burn: int = 255,
+    bands: list[str] | None = None,
+) -> DataFrame:
+    """scene_id, tile_idx, tile_name, size, bands, mask, gt of the windows with a covered pixel. Masks come first:
+    windows without one never pull pixels."""
     validate.check_not_empty(polygons, "polygons")
     runs = stored(clip.burned_runs(polygons, scenes))
     masks = stored(clip.tile_masks(runs, scenes, window, stride, burn))
@@ -26,24 +34,42 @@ def clipped_tiles(pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, win
     block = blocks.block_for(window, stride)
     under = small(stored(blocks.blocks_under(places, block, window)))
     of = lambda c: F.floor(F.col(c) / block).cast("long")
-    near = pixels.withColumns({"by": of("y"), "bx": of("x")}).join(under, ["scene_id", "by", "bx"], "left_semi").drop("by", "bx")
+    near = pixels.withColumns({"by": of("y"), "bx": of("x")}).join(under, ["scene_id", "by", "bx"], "left_semi").drop(
+        "by", "bx"
+    )
     made = blocks.blocks_of(near, scenes, block, bands or BANDS)
     tiles = blocks.training_tiles(made, scenes, block, window, stride, places)
-    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(places.drop("col0", "row0"), ["scene_id", "tile_idx"])
-
-
-def clipped_from_blocks(spark: SparkSession, path: str, scenes: DataFrame, polygons: DataFrame, block: int, window: int, stride: int, burn: int = 255) -> DataFrame:
-    """clipped_tiles() of scenes in blocks (blocks.write_blocks()): only files of rows of blocks under kept windows are read."""
+    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(
+        places.drop("col0", "row0"), ["scene_id", "tile_idx"]
+    )
+
+
+def clipped_from_blocks(
+    spark: SparkSession,
+    path: str,
+    scenes: DataFrame,
+    polygons: DataFrame,
+    block: int,
+    window: int,
+    stride: int,
+    burn: int = 255,
+) -> DataFrame:
+    """clipped_tiles() of scenes in blocks (blocks.write_blocks()): only files of rows of blocks under kept windows are
+    read."""
     runs = stored(clip.burned_runs(polygons, scenes))
     masks = stored(clip.tile_masks(runs, scenes, window, stride, burn))
     places = grid.training_grid(scenes, window, stride).select("scene_id", "tile_idx", "col0", "row0", "gt")
     places = stored(places.join(masks.select("scene_id", "tile_idx"), ["scene_id", "tile_idx"], "left_semi"))
     found = blocks.read_blocks(spark, path, stored(blocks.blocks_under(places, block, window)))
     tiles = blocks.training_tiles(found, scenes, block, window, stride, places)
-    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(places.drop("col0", "row0"), ["scene_id", "tile_idx"])
+    return tiles.join(masks.drop("tile_name"), ["scene_id", "tile_idx"]).join(
+        places.drop("col0", "row0"), ["scene_id", "tile_idx"]
+    )
 
 
-def check_clipping(scenes: DataFrame, polygons: DataFrame, window: int, stride: int, budget: int | None = None) -> dict[str, int]:
+def check_clipping(scenes: DataFrame, polygons: DataFrame, window: int, stride: int, budget: int | None = None) -> dict[
+    str, int
+]:
     """Errors for what cannot be clipped; else counts to warn of. ``budget``: bytes that the tiles may need.
 
     Square pixels are needed, since windows have as many rows as columns of the same size.
@@ -51,7 +77,9 @@ def check_clipping(scenes: DataFrame, polygons: DataFrame, window: int, stride:
     checks = {
         "polygons of a wrong type": validate.wrong_types(polygons),
         "polygons in another reference system than their scene": validate.crs_mismatches(scenes, polygons),
-        "scenes without polygons in their extent": validate.without_overlap(scenes, polygons.where("parts IS NOT NULL")),
+        "scenes without polygons in their extent": validate.without_overlap(
+            scenes, polygons.where("parts IS NOT NULL")
+        ),
         "scenes whose pixels are not square": validate.uneven_pixels(scenes),
     }
     for what, rows in checks.items():
@@ -61,7 +89,11 @@ def check_clipping(scenes: DataFrame, polygons: DataFrame, window: int, stride:
     if budget is not None and need > budget:
         raise ValueError(f"the tiles may need {need} bytes, more than {budget}")
     empty = validate.scenes_without_polygons(scenes, polygons).count()
-    return {"estimated_bytes": need, "invalid_polygons": validate.invalid(polygons).count(), "scenes_without_polygons": empty}
+    return {
+        "estimated_bytes": need,
+        "invalid_polygons": validate.invalid(polygons).count(),
+        "scenes_without_polygons": empty,
+    }
 
 
 def run_clipping(
@@ -78,15 +110,32 @@ def run_clipping(
     return catalog.write_version(made, root, prefix, "clipping", info)
 
 
-def run_splitting(spark: SparkSession, root: str, prefix: str, clipping: int, train: int = 80, valid: int = 10, test: int = 10) -> int:
+def run_splitting(
+    spark: SparkSession, root: str, prefix: str, clipping: int, train: int = 80, valid: int = 10, test: int = 10
+) -> int:
     """A new splitting version of a clipping version. Only names are shuffled by rank; the tiles join their subsets."""
     tiles = catalog.read_version(spark, root, prefix, "clipping", clipping)
     names = stored(split.split(tiles.select("tile_name"), train, valid, test).select("tile_name", "subset"))
     counts = {f"n_{r['subset']}": r["n"] for r in split.subset_counts(names).collect()}
-    return catalog.write_version(tiles.join(names, "tile_name"), root, prefix, "splitting", {"based_on_clipping_version": clipping, "train_percent": train, "valid_percent": valid, "test_percent": test, **counts}, "subset")
-
-
-def run_augmentation(spark: SparkSession, root: str, prefix: str, splitting: int, methods: Iterable[str], clipping: int) -> int:
+    return catalog.write_version(
+        tiles.join(names, "tile_name"),
+        root,
+        prefix,
+        "splitting",
+        {
+            "based_on_clipping_version": clipping,
+            "train_percent": train,
+            "valid_percent": valid,
+            "test_percent": test,
+            **counts,
+        },
+        "subset",
+    )
+
+
+def run_augmentation(
+    spark: SparkSession, root: str, prefix: str, splitting: int, methods: Iterable[str], clipping: int
+) -> int:
     """A new augmented version of a splitting version; all subsets are augmented."""
     methods = [m for m in methods if m in augment.METHODS]
     if not methods:
@@ -95,10 +144,33 @@ def run_augmentation(spark: SparkSession, root: str, prefix: str, splitting: int
     validate.check_not_empty(tiles, "split tiles")
     made = stored(augment.augmented(tiles, methods))
     counts = {f"n_{r['subset']}": r["n"] for r in split.subset_counts(made).collect()}
-    return catalog.write_version(made, root, prefix, "augmented", {"based_on_splitting_version": splitting, "based_on_clipping_version": clipping, "methods": ",".join(methods), **counts}, "subset")
-
-
-def run_all(spark: SparkSession, root: str, prefix: str, pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, window: int, stride: int, methods: Iterable[str], bands: list[str] | None = None) -> tuple[int, int, int]:
+    return catalog.write_version(
+        made,
+        root,
+        prefix,
+        "augmented",
+        {
+            "based_on_splitting_version": splitting,
+            "based_on_clipping_version": clipping,
+            "methods": ",".join(methods),
+            **counts,
+        },
+        "subset",
+    )
+
+
+def run_all(
+    spark: SparkSession,
+    root: str,
+    prefix: str,
+    pixels: DataFrame,
+    scenes: DataFrame,
+    polygons: DataFrame,
+    window: int,
+    stride: int,
+    methods: Iterable[str],
+    bands: list[str] | None = None,
+) -> tuple[int, int, int]:
     """All three stages, each from the version just written."""
     clipping = run_clipping(spark, root, prefix, pixels, scenes, polygons, window, stride, bands=bands)
     splitting = run_splitting(spark, root, prefix, clipping)
@@ -112,9 +184,11 @@ def evaluate(images: DataFrame, masks: DataFrame, logits: DataFrame) -> DataFram
     return metrics.tile_and_overall(counts)
 
 
-def run_evaluation(images: DataFrame, masks: DataFrame, make_scorer: Callable[[], score.Scorer], path: str, n_samples: int = 8) -> DataFrame:
-    """evaluate() with logits from a model, on bands scaled by tile, written below path: metrics by tile as CSV (metrics),
-    predicted masks (masks), and evenly spaced tiles with image, truth, prediction and IoU (samples).
+def run_evaluation(
+    images: DataFrame, masks: DataFrame, make_scorer: Callable[[], score.Scorer], path: str, n_samples: int = 8
+) -> DataFrame:
+    """evaluate() with logits from a model, on bands scaled by tile, written below path: metrics by tile as CSV
+    (metrics), predicted masks (masks), and evenly spaced tiles with image, truth, prediction and IoU (samples).
 
     images: tile_name, size, bands, gt, crs; masks: tile_name, mask. Tiles are scored once, and written before use.
     """
@@ -122,19 +196,34 @@ def run_evaluation(images: DataFrame, masks: DataFrame, make_scorer: Callable[[]
     chances = score.scored(prepare.normalized(tiles.select("tile_name", "size", "bands")), make_scorer)
     logit = F.transform("prob", lambda p: F.log(p / (1 - p)))
     scored = stored(tiles.join(chances.select("tile_name", logit.alias("z")), "tile_name"))
-    counts = stored(metrics.tile_confusion(scored).select(F.lit("test").alias("split"), "tile_name", "tp", "fp", "tn", "fn"))
+    counts = stored(
+        metrics.tile_confusion(scored).select(F.lit("test").alias("split"), "tile_name", "tp", "fp", "tn", "fn")
+    )
     out = stored(metrics.tile_and_overall(counts))
     sinks.write_metrics(out.where("tile_name IS NOT NULL"), f"{path}/metrics")
     predicted = scored.select("tile_name", F.transform("z", metrics.predicted).alias("predicted"))
     sinks.tile_masks(predicted, images).write.parquet(f"{path}/masks")
     chosen = metrics.evenly_spaced(scored.select("tile_name"), n_samples).select("tile_name")
-    samples = scored.select("tile_name", "bands", "mask").join(predicted, "tile_name").join(out.select("tile_name", "iou"), "tile_name")
+    samples = scored.select("tile_name", "bands", "mask").join(predicted, "tile_name").join(
+        out.select("tile_name", "iou"), "tile_name"
+    )
     samples.join(chosen, "tile_name", "left_semi").write.parquet(f"{path}/samples")
     return out
 
 
-def predict(pixels: DataFrame, scenes: DataFrame, size: int, overlap: float, weights: list[float], bias: float, threshold: float = 0.5, bands: list[str] | None = None, sizes: tuple[int, ...] = validate.TILE_SIZES) -> DataFrame:
-    """scene_id, y, x, mean, mask of every pixel, from a linear scorer on bands scaled by tile, blended where tiles overlap."""
+def predict(
+    pixels: DataFrame,
+    scenes: DataFrame,
+    size: int,
+    overlap: float,
+    weights: list[float],
+    bias: float,
+    threshold: float = 0.5,
+    bands: list[str] | None = None,
+    sizes: tuple[int, ...] = validate.TILE_SIZES,
+) -> DataFrame:
+    """scene_id, y, x, mean, mask of every pixel, from a linear scorer on bands scaled by tile, blended where tiles
+    overlap."""
     bands = bands or BANDS
     if not validate.unfit_scenes(scenes, len(bands), size, sizes).isEmpty():
         raise ValueError("the tile size is not supported, or a scene has another number of bands than the scorer")
@@ -142,7 +231,9 @@ def predict(pixels: DataFrame, scenes: DataFrame, size: int, overlap: float, wei
     cut = blocks.prediction_tiles(blocks.blocks_of(pixels, scenes, side, bands), scenes, side, size, overlap)
     tiles = prepare.normalized_padded(cut)
     block = size if overlap == 0 else max(size // 2, grid.prediction_stride(size, overlap) // 2, 1)
-    return score.positive(score.blended_pixels(score.blended(score.linear_scores(tiles, weights, bias), block), block), threshold)
+    return score.positive(
+        score.blended_pixels(score.blended(score.linear_scores(tiles, weights, bias), block), block), threshold
+    )
 
 
 def predict_polygons(mask: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -150,7 +241,17 @@ def predict_polygons(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     return polygonize.polygons_of(stored(polygonize.regions(mask.where("mask = 1"))), scenes)
 
 
-def run_prediction(pixels: DataFrame, scenes: DataFrame, path: str, size: int, overlap: float, weights: list[float], bias: float, outputs: str = "both", **options) -> DataFrame:
+def run_prediction(
+    pixels: DataFrame,
+    scenes: DataFrame,
+    path: str,
+    size: int,
+    overlap: float,
+    weights: list[float],
+    bias: float,
+    outputs: str = "both",
+    **options,
+) -> DataFrame:
     """predict() written below path as raster, vector or both; a summary by scene. options: as for predict()."""
     mask = stored(predict(pixels, scenes, size, overlap, weights, bias, **options))
     polygons = predict_polygons(mask, scenes) if outputs != "raster" else None
@@ -159,14 +260,24 @@ def run_prediction(pixels: DataFrame, scenes: DataFrame, path: str, size: int, o
 
 
 def postprocess(polygons: DataFrame, steps: Steps, path: str | None = None) -> tuple[DataFrame, int, int]:
-    """The cleaned polygons, written as multipolygons if there is a path, and the counts of usable ones before and after."""
+    """The cleaned polygons, written as multipolygons if there is a path, and the counts of usable ones before and
+    after."""
     made = stored(cleaned(polygons, steps))
     if path is not None:
         sinks.multipolygons(made.select("scene_id", "parts")).write.parquet(path)
     return made, usable(polygons).count(), made.count()
 
 
-def validation_epoch(images: DataFrame, masks: DataFrame, logits: DataFrame, batch_size: int, log_path: str | None = None, run_id: int = 0, epoch: int = 0, train_loss: float | None = None) -> DataFrame:
+def validation_epoch(
+    images: DataFrame,
+    masks: DataFrame,
+    logits: DataFrame,
+    batch_size: int,
+    log_path: str | None = None,
+    run_id: int = 0,
+    epoch: int = 0,
+    train_loss: float | None = None,
+) -> DataFrame:
     """val_loss, val_iou, val_f1 and n_batches: plain means over batches of tiles by name. With a log_path they are
     appended to the epoch log there."""
     tiles = prepare.paired(images, masks).join(logits.select("tile_name", "z"), "tile_name")
@@ -175,6 +286,13 @@ def validation_epoch(images: DataFrame, masks: DataFrame, logits: DataFrame, bat
     out = loss.crossJoin(metrics.batch_means(sums))  # one row and one row
     if log_path is not None:
         out = stored(out)
-        line = out.select(F.lit(run_id).alias("run_id"), F.lit(epoch).alias("epoch"), F.lit(train_loss).cast("double").alias("train_loss"), "val_loss", "val_iou", "val_f1")
+        line = out.select(
+            F.lit(run_id).alias("run_id"),
+            F.lit(epoch).alias("epoch"),
+            F.lit(train_loss).cast("double").alias("train_loss"),
+            "val_loss",
+            "val_iou",
+            "val_f1",
+        )
         sinks.append_epochs(line, log_path)
     return out

@@ -22,7 +22,12 @@ def cross_entropy(z: Column, t: Column) -> Column:
 def batch_losses(pixels: DataFrame, *keys: str) -> DataFrame:
     """keys, bce, dice and bce_dice. One aggregate: sums are combined before the shuffle."""
     p, t = sigmoid(F.col("z")), F.col("t").cast("double")
-    sums = pixels.groupBy(*keys).agg(F.avg(cross_entropy(F.col("z"), t)).alias("bce"), F.sum(p * t).alias("_pt"), F.sum(p).alias("_p"), F.sum(t).alias("_t"))
+    sums = pixels.groupBy(*keys).agg(
+        F.avg(cross_entropy(F.col("z"), t)).alias("bce"),
+        F.sum(p * t).alias("_pt"),
+        F.sum(p).alias("_p"),
+        F.sum(t).alias("_t"),
+    )
     dice = 1 - (2 * F.col("_pt") + SMOOTH) / (F.col("_p") + F.col("_t") + SMOOTH)
     return sums.select(*keys, "bce", dice.alias("dice"), (0.5 * F.col("bce") + 0.5 * dice).alias("bce_dice"))
 
@@ -40,7 +45,9 @@ def tile_sums(tiles: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             z, mask = (batch.column(k) for k in (1, 2))
-            size, other = (np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for x in (z, mask))
+            size, other = (
+                np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for x in (z, mask)
+            )
             if (size != other).any():
                 raise ValueError("a tile's logits and mask differ in length")
             tile = np.repeat(np.arange(len(size)), size)
@@ -48,10 +55,29 @@ def tile_sums(tiles: DataFrame) -> DataFrame:
             t = (mask.flatten().to_numpy(zero_copy_only=False) > 0).astype(np.float64)
             p = 1 / (1 + np.exp(-v))
             on = p > 0.5
-            each = (np.ones(len(v)), np.maximum(v, 0) - v * t + np.log1p(np.exp(-np.abs(v))), p * t, p, t, on & (t > 0), on & (t == 0), ~on & (t == 0), ~on & (t > 0))
+            each = (
+                np.ones(len(v)),
+                np.maximum(v, 0) - v * t + np.log1p(np.exp(-np.abs(v))),
+                p * t,
+                p,
+                t,
+                on & (t > 0),
+                on & (t == 0),
+                ~on & (t == 0),
+                ~on & (t > 0),
+            )
             total = [np.bincount(tile, x, len(size)) for x in each]
             types = [pa.int64(), *[pa.float64()] * 4, *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(np.int64) if k == pa.int64() else x, k) for x, k in zip(total, types, strict=True))], ["tile_name", *SUMS])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(
+                        pa.array(x.astype(np.int64) if k == pa.int64() else x, k)
+                        for x, k in zip(total, types, strict=True)
+                    ),
+                ],
+                ["tile_name", *SUMS],
+            )
 
     schema = "tile_name string, n bigint, ce double, pt double, p double, t double, tp bigint, fp bigint, tn bigint, fn bigint"
     return tiles.select("tile_name", "z", "mask").mapInArrow(rows, schema)

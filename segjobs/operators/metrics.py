@@ -20,7 +20,9 @@ def predicted(z: Column) -> Column:
 def confusion(pixels: DataFrame, *keys: str) -> DataFrame:
     """keys, tp, fp, tn, fn of rows (p: predicted, t: true, both 0 or 1)."""
     count = lambda p, t: F.count_if((F.col("p") == p) & (F.col("t") == t))
-    return pixels.groupBy(*keys).agg(count(1, 1).alias("tp"), count(1, 0).alias("fp"), count(0, 0).alias("tn"), count(0, 1).alias("fn"))
+    return pixels.groupBy(*keys).agg(
+        count(1, 1).alias("tp"), count(1, 0).alias("fp"), count(0, 0).alias("tn"), count(0, 1).alias("fn")
+    )
 
 
 def tile_confusion(tiles: DataFrame) -> DataFrame:
@@ -34,12 +36,22 @@ def tile_confusion(tiles: DataFrame) -> DataFrame:
 def rates(counts: DataFrame) -> DataFrame:
     """counts (tp, fp, tn, fn) with METRICS; every divisor has EPS added, so an empty tile that is right has IoU 0."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    return counts.withColumns({"iou": tp / (tp + fp + fn + EPS), "f1": 2 * tp / (2 * tp + fp + fn + EPS), "precision": tp / (tp + fp + EPS), "recall": tp / (tp + fn + EPS), "pixel_accuracy": (tp + tn) / (tp + tn + fp + fn + EPS)})
+    return counts.withColumns(
+        {
+            "iou": tp / (tp + fp + fn + EPS),
+            "f1": 2 * tp / (2 * tp + fp + fn + EPS),
+            "precision": tp / (tp + fp + EPS),
+            "recall": tp / (tp + fn + EPS),
+            "pixel_accuracy": (tp + tn) / (tp + tn + fp + fn + EPS),
+        }
+    )
 
 
 def tile_and_overall(counts: DataFrame, split: str = "split", tile: str = "tile_name") -> DataFrame:
     """Rates of each tile and, with a null tile, of each split from its summed counts: one pass with grouping sets."""
-    sums = counts.groupingSets([[split, tile], [split]], split, tile).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")], F.count("*").alias("n_tiles"))
+    sums = counts.groupingSets([[split, tile], [split]], split, tile).agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")], F.count("*").alias("n_tiles")
+    )
     return rates(sums)
 
 
@@ -60,8 +72,15 @@ def display(bands: Column) -> Column:
 
     A NaN is shown as 255; numpy gives its cast to a byte no value.
     """
-    byte = lambda band: F.transform(band, lambda v: F.when(F.isnan(v), F.lit(255)).otherwise(F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")))
-    return F.when(F.size(bands) >= 3, F.array(*[byte(bands[k]) for k in range(3)])).otherwise(F.array(*[byte(bands[0])] * 3))
+    byte = lambda band: F.transform(
+        band,
+        lambda v: F.when(F.isnan(v), F.lit(255)).otherwise(
+            F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
+        ),
+    )
+    return F.when(F.size(bands) >= 3, F.array(*[byte(bands[k]) for k in range(3)])).otherwise(
+        F.array(*[byte(bands[0])] * 3)
+    )
 
 
 def quality_class(rate: Column) -> Column:
@@ -71,13 +90,21 @@ def quality_class(rate: Column) -> Column:
 def best_so_far(log: DataFrame, initial_best: float = -1.0) -> DataFrame:
     """log (run_id, epoch, val_iou) with is_best: over all earlier values of the run."""
     before = Window.partitionBy("run_id").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("is_best", F.col("val_iou") > F.greatest(F.coalesce(F.max("val_iou").over(before), F.lit(initial_best)), F.lit(initial_best)))
+    return log.withColumn(
+        "is_best",
+        F.col("val_iou") > F.greatest(
+            F.coalesce(F.max("val_iou").over(before), F.lit(initial_best)), F.lit(initial_best)
+        ),
+    )
 
 
 def best_epoch(log: DataFrame) -> DataFrame:
-    """The first epoch of each run with its highest IoU to four decimals. Combined before the shuffle, unlike a window."""
+    """The first epoch of each run with its highest IoU to four decimals. Combined before the shuffle, unlike a
+    window."""
     key = F.struct((-F.round("val_iou", 4)).alias("k"), "epoch")
-    return log.groupBy("run_id").agg(F.min(key).alias("m")).select("run_id", F.col("m.epoch").alias("epoch"), (-F.col("m.k")).alias("val_iou"))
+    return log.groupBy("run_id").agg(F.min(key).alias("m")).select(
+        "run_id", F.col("m.epoch").alias("epoch"), (-F.col("m.k")).alias("val_iou")
+    )
 
 
 def checkpoints(log: DataFrame, strategy: str = "best", every: int = 5) -> DataFrame:

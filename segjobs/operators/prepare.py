@@ -16,10 +16,21 @@ def paired(images: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def _scaled(band: Column, valid: Column) -> Column:
-    """band over the range of valid. Its ends are bound to a lambda's variable, so they are found once a band, not once a value."""
-    ends = F.struct(F.array_min(valid).alias("low"), F.array_max(valid).alias("high"), F.exists(valid, lambda v: F.isnan(v)).alias("odd"), band.alias("band"))
+    """band over the range of valid. Its ends are bound to a lambda's variable, so they are found once a band, not once
+    a value."""
+    ends = F.struct(
+        F.array_min(valid).alias("low"),
+        F.array_max(valid).alias("high"),
+        F.exists(valid, lambda v: F.isnan(v)).alias("odd"),
+        band.alias("band"),
+    )
     good = lambda e: (e["high"] > e["low"]) & ~e["odd"]
-    return F.transform(F.array(ends), lambda e: F.transform(e["band"], lambda v: F.when(good(e), (v - e["low"]) / (e["high"] - e["low"])).otherwise(0.0)))[0]
+    return F.transform(
+        F.array(ends),
+        lambda e: F.transform(
+            e["band"], lambda v: F.when(good(e), (v - e["low"]) / (e["high"] - e["low"])).otherwise(0.0)
+        ),
+    )[0]
 
 
 def scaled(band: Column) -> Column:
@@ -34,11 +45,17 @@ def normalized(tiles: DataFrame) -> DataFrame:
 
 def normalized_pixels(pixels: DataFrame, key: str, bands: list[str]) -> DataFrame:
     """The same in the long layout: one aggregate a tile, joined back."""
-    ranges = pixels.groupBy(key).agg(*[F.min(b).alias(f"low_{b}") for b in bands], *[F.max(b).alias(f"high_{b}") for b in bands], *[F.bool_or(F.isnan(b)).alias(f"nan_{b}") for b in bands])
+    ranges = pixels.groupBy(key).agg(
+        *[F.min(b).alias(f"low_{b}") for b in bands],
+        *[F.max(b).alias(f"high_{b}") for b in bands],
+        *[F.bool_or(F.isnan(b)).alias(f"nan_{b}") for b in bands],
+    )
     joined = pixels.join(ranges, key)
     for b in bands:
         good = (F.col(f"high_{b}") > F.col(f"low_{b}")) & ~F.col(f"nan_{b}")
-        joined = joined.withColumn(b, F.when(good, (F.col(b) - F.col(f"low_{b}")) / (F.col(f"high_{b}") - F.col(f"low_{b}"))).otherwise(0.0))
+        joined = joined.withColumn(
+            b, F.when(good, (F.col(b) - F.col(f"low_{b}")) / (F.col(f"high_{b}") - F.col(f"low_{b}"))).otherwise(0.0)
+        )
     return joined.select(pixels.columns)
 
 
@@ -47,7 +64,9 @@ def normalized_padded(tiles: DataFrame) -> DataFrame:
 
     The padding is scaled along, so it is (0 - low) / (high - low) then, not 0.
     """
-    valid = lambda band: F.filter(band, lambda v, p: (p % F.col("size") < F.col("read_w")) & (F.floor(p / F.col("size")) < F.col("read_h")))
+    valid = lambda band: F.filter(
+        band, lambda v, p: (p % F.col("size") < F.col("read_w")) & (F.floor(p / F.col("size")) < F.col("read_h"))
+    )
     return tiles.withColumn("bands", F.transform("bands", lambda band: _scaled(band, valid(band))))
 
 

@@ -34,7 +34,9 @@ def shuffled_as_list(spark: SparkSession, tiles: DataFrame, seed: int = SEED) ->
         raise ValueError(f"{n} tiles; this order is for at most {MAX_COMPAT}")
     order = list(range(n))
     random.Random(seed).shuffle(order)
-    places = spark.createDataFrame([(name + 1, place + 1) for place, name in enumerate(order)], "by_name bigint, rank bigint")
+    places = spark.createDataFrame(
+        [(name + 1, place + 1) for place, name in enumerate(order)], "by_name bigint, rank bigint"
+    )
     return ranked(tiles, "tile_name", name="by_name").join(places, "by_name").drop("by_name")
 
 
@@ -45,7 +47,9 @@ def split(tiles: DataFrame, train: int = 80, valid: int = 10, test: int = 10, se
     if not n:
         raise ValueError("there are no tiles to split")
     n_train, n_valid = round(n * train / 100), round(n * valid / 100)
-    subset = F.when(F.col("rank") <= n_train, "train").when(F.col("rank") <= n_train + n_valid, "valid").otherwise("test")
+    subset = F.when(F.col("rank") <= n_train, "train").when(F.col("rank") <= n_train + n_valid, "valid").otherwise(
+        "test"
+    )
     return shuffled(tiles, seed).withColumn("subset", subset)
 
 
@@ -62,6 +66,7 @@ def subset_counts(split_tiles: DataFrame) -> DataFrame:
 
 
 def batches(tiles: DataFrame, batch_size: int, shuffle_seed: str | None = None) -> DataFrame:
-    """tiles with batch, from 0: runs of ``batch_size`` by name, or shuffled by seed (and epoch); the last is shorter."""
+    """tiles with batch, from 0: runs of ``batch_size`` by name, or shuffled by seed (and epoch); the last is
+    shorter."""
     placed = ranked(tiles, "tile_name") if shuffle_seed is None else shuffled(tiles, shuffle_seed)
     return placed.withColumn("batch", F.floor((F.col("rank") - 1) / batch_size).cast("long"))

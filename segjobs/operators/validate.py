@@ -15,7 +15,9 @@ MAX_BANDS = 40
 
 
 def wrong_types(polygons: DataFrame) -> DataFrame:
-    return polygons.where(~F.col("geom_type").isin("Polygon", "MultiPolygon")).groupBy("geom_type").agg(F.count("*").alias("n"))
+    return polygons.where(~F.col("geom_type").isin("Polygon", "MultiPolygon")).groupBy("geom_type").agg(
+        F.count("*").alias("n")
+    )
 
 
 def scenes_without_polygons(scenes: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -31,23 +33,42 @@ def crs_mismatches(scenes: DataFrame, polygons: DataFrame) -> DataFrame:
 def bounds(polygons: DataFrame) -> DataFrame:
     """polygons with min_x, min_y, max_x, max_y over all vertices."""
     points = F.flatten(F.flatten("parts"))
-    return polygons.withColumns({"min_x": F.array_min(F.transform(points, lambda p: p["x"])), "min_y": F.array_min(F.transform(points, lambda p: p["y"])), "max_x": F.array_max(F.transform(points, lambda p: p["x"])), "max_y": F.array_max(F.transform(points, lambda p: p["y"]))})
+    return polygons.withColumns(
+        {
+            "min_x": F.array_min(F.transform(points, lambda p: p["x"])),
+            "min_y": F.array_min(F.transform(points, lambda p: p["y"])),
+            "max_x": F.array_max(F.transform(points, lambda p: p["x"])),
+            "max_y": F.array_max(F.transform(points, lambda p: p["y"])),
+        }
+    )
 
 
 def scene_bounds(scenes: DataFrame) -> DataFrame:
     """scene_id, west, south, east, north."""
-    return scenes.select("scene_id", F.col("gt.x0").alias("west"), (F.col("gt.y0") + F.col("height") * F.col("gt.ph")).alias("south"), (F.col("gt.x0") + F.col("width") * F.col("gt.pw")).alias("east"), F.col("gt.y0").alias("north"))
+    return scenes.select(
+        "scene_id",
+        F.col("gt.x0").alias("west"),
+        (F.col("gt.y0") + F.col("height") * F.col("gt.ph")).alias("south"),
+        (F.col("gt.x0") + F.col("width") * F.col("gt.pw")).alias("east"),
+        F.col("gt.y0").alias("north"),
+    )
 
 
 def without_overlap(scenes: DataFrame, polygons: DataFrame) -> DataFrame:
     """Scenes whose polygons' joint extent does not meet their own."""
-    extent = bounds(polygons).groupBy("scene_id").agg(F.min("min_x").alias("x0"), F.min("min_y").alias("y0"), F.max("max_x").alias("x1"), F.max("max_y").alias("y1"))
-    return scene_bounds(scenes).join(extent, "scene_id").where("x1 < west OR x0 > east OR y1 < south OR y0 > north").select("scene_id")
+    extent = bounds(polygons).groupBy("scene_id").agg(
+        F.min("min_x").alias("x0"), F.min("min_y").alias("y0"), F.max("max_x").alias("x1"), F.max("max_y").alias("y1")
+    )
+    return scene_bounds(scenes).join(extent, "scene_id").where(
+        "x1 < west OR x0 > east OR y1 < south OR y0 > north"
+    ).select("scene_id")
 
 
 def uneven_pixels(scenes: DataFrame) -> DataFrame:
     """Scenes whose pixels are not square, or turned."""
-    square = (F.abs("gt.pw") == F.abs("gt.ph")) & (F.coalesce("gt.rx", F.lit(0.0)) == 0) & (F.coalesce("gt.ry", F.lit(0.0)) == 0)
+    square = (F.abs("gt.pw") == F.abs("gt.ph")) & (F.coalesce("gt.rx", F.lit(0.0)) == 0) & (
+        F.coalesce("gt.ry", F.lit(0.0)) == 0
+    )
     return scenes.where(~square).select("scene_id")
 
 
@@ -58,9 +79,9 @@ def _first(found: list[str | None], rows: np.ndarray, what: str) -> None:
 
 def problems(parts: pa.Array) -> list[str | None]:
     """What is wrong with each polygon of a list array of parts: null, empty, short (a ring of under four points), open,
-    not finite, crossing (rings that meet other than at points, or themselves anywhere), hole outside, holes overlap or parts
-    overlap; None if nothing. Points that repeat their predecessor do not matter. The segments of all polygons of an
-    array are indexed together; every test is exact.
+    not finite, crossing (rings that meet other than at points, or themselves anywhere), hole outside, holes overlap or
+    parts overlap; None if nothing. Points that repeat their predecessor do not matter. The segments of all polygons of
+    an array are indexed together; every test is exact.
     """
     found: list[str | None] = [None if v else "null" for v in parts.is_valid().to_pylist()]
     n_parts = nested.sizes(parts)
@@ -82,7 +103,9 @@ def problems(parts: pa.Array) -> list[str | None]:
     some = np.flatnonzero(size > 0)
     _first(found, row[some[(xy[begin[some]] != xy[begin[some] + size[some] - 1]).any(axis=1)]], "open")
     good = np.array([f is None for f in found], bool)
-    inner = np.flatnonzero((ring[1:] == ring[:-1]) & (xy[1:] != xy[:-1]).any(axis=1) & good[row[ring[1:]]]) if len(ring) else np.empty(0, np.int64)
+    inner = np.flatnonzero((ring[1:] == ring[:-1]) & (xy[1:] != xy[:-1]).any(axis=1) & good[row[ring[1:]]]) if len(
+        ring
+    ) else np.empty(0, np.int64)
     e, ring = np.concatenate([xy[inner], xy[inner + 1]], axis=1), ring[inner + 1] if len(inner) else ring[:0]
     if not len(e):
         _first(found, row[good[row]], "short")
@@ -103,8 +126,11 @@ def problems(parts: pa.Array) -> list[str | None]:
     return found
 
 
-def _nesting(found: list[str | None], e: np.ndarray, ring: np.ndarray, row: np.ndarray, part: np.ndarray, shell: np.ndarray) -> None:
-    """Whether holes lie in their shell and in no other hole, and parts in no other part: by their points that no other ring holds."""
+def _nesting(
+    found: list[str | None], e: np.ndarray, ring: np.ndarray, row: np.ndarray, part: np.ndarray, shell: np.ndarray
+) -> None:
+    """Whether holes lie in their shell and in no other hole, and parts in no other part: by their points that no other
+    ring holds."""
     owner = row[ring]
     several = np.bincount(row, minlength=len(found))[owner] > 1
     good = np.array([f is None for f in found], bool)
@@ -156,14 +182,19 @@ def problem(parts: list | None) -> str | None:
 
 
 def invalid(polygons: DataFrame) -> DataFrame:
-    """poly_id, scene_id and problem of null, empty and invalid polygons; a warning, since they are burned all the same."""
+    """poly_id, scene_id and problem of null, empty and invalid polygons; a warning, since they are burned all the
+    same."""
 
     def rows(batches):
         for batch in batches:
             found = pa.array(problems(batch.column(2)), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["poly_id", "scene_id", "problem"]).filter(found.is_valid())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), found], ["poly_id", "scene_id", "problem"]
+            ).filter(found.is_valid())
 
-    return polygons.select(F.col("poly_id").cast("long"), F.col("scene_id").cast("long"), "parts").mapInArrow(rows, "poly_id bigint, scene_id bigint, problem string")
+    return polygons.select(F.col("poly_id").cast("long"), F.col("scene_id").cast("long"), "parts").mapInArrow(
+        rows, "poly_id bigint, scene_id bigint, problem string"
+    )
 
 
 def check_percentages(train: int, valid: int, test: int) -> None:
@@ -178,7 +209,9 @@ def check_not_empty(df: DataFrame, what: str) -> None:
 
 def unfit_scenes(scenes: DataFrame, bands: int, tile_size: int, sizes: tuple[int, ...] = TILE_SIZES) -> DataFrame:
     """scene_id and what keeps a scorer for so many bands from it; all scenes if the tile size is not supported."""
-    what = F.when(F.lit(tile_size not in sizes), "tile size").when(~F.col("band_count").between(1, MAX_BANDS), "band count").when(F.col("band_count") != bands, "bands differ")
+    what = F.when(F.lit(tile_size not in sizes), "tile size").when(
+        ~F.col("band_count").between(1, MAX_BANDS), "band count"
+    ).when(F.col("band_count") != bands, "bands differ")
     return scenes.select("scene_id", what.alias("problem")).where("problem IS NOT NULL")
 
 

@@ -56,12 +56,24 @@ SELECT scene_id, tile_idx::BIGINT AS tile_idx, count(*)::BIGINT AS n, round(sum(
 def io1(spark, sf):
     tiles = clip.tiles_of(clip.clip_pixels(fx.pixels(spark, sf), fx.scenes(spark, sf), WINDOW, STRIDE), WINDOW, BANDS)
     back = clip.pixels_of(tiles, BANDS, ("scene_id", "tile_idx"))
-    return back.groupBy("scene_id", "tile_idx").agg(F.count("*").alias("n"), F.round(F.sum("b1") * 1000).cast("long").alias("b1_milli"), F.sum(F.col("b3") * (F.col("y") * WINDOW + F.col("x"))).cast("long").alias("weighted"))
+    return back.groupBy("scene_id", "tile_idx").agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("b1") * 1000).cast("long").alias("b1_milli"),
+        F.sum(F.col("b3") * (F.col("y") * WINDOW + F.col("x"))).cast("long").alias("weighted"),
+    )
 
 
-@query("io2_read_polygons", "SELECT count(*) FILTER (s_suppkey % 10 <> 3 AND s_suppkey % 10 <> 7)::BIGINT AS input_count FROM supplier")
+@query(
+    "io2_read_polygons",
+    "SELECT count(*) FILTER (s_suppkey % 10 <> 3 AND s_suppkey % 10 <> 7)::BIGINT AS input_count FROM supplier",
+)
 def io2(spark, sf):
-    odd = fx.polygons(spark, sf).withColumn("parts", F.when(F.col("poly_id") % 10 == 3, F.lit(None)).when(F.col("poly_id") % 10 == 7, F.array().cast(clean.PARTS)).otherwise(F.col("parts")))
+    odd = fx.polygons(spark, sf).withColumn(
+        "parts",
+        F.when(F.col("poly_id") % 10 == 3, F.lit(None)).when(
+            F.col("poly_id") % 10 == 7, F.array().cast(clean.PARTS)
+        ).otherwise(F.col("parts")),
+    )
     return clean.usable(odd).agg(F.count("*").alias("input_count"))
 
 
@@ -71,16 +83,26 @@ SELECT (SELECT count(*) FROM k)::BIGINT AS total_tiles, (SELECT count(*) FROM g)
 def io4(spark, sf):
     s = fx.scenes(spark, sf)
     kept = clip.kept_tiles(clip.burned_runs(fx.polygons(spark, sf), s), s, WINDOW, STRIDE)
-    return clip.clip_counts(s, kept, WINDOW, STRIDE).agg(F.sum("tile_count").alias("total_tiles"), F.sum("skipped_count").alias("skipped_tiles"))
+    return clip.clip_counts(s, kept, WINDOW, STRIDE).agg(
+        F.sum("tile_count").alias("total_tiles"), F.sum("skipped_count").alias("skipped_tiles")
+    )
 
 
 @query("io6_dataset_summary", """SELECT a.n AS version, a.n % 5 AS based_on_clipping_version, CASE WHEN a.n % 5 <> 3 THEN 64 * (a.n % 5 + 1) END AS window_size, CASE WHEN a.n % 5 <> 3 THEN 3 END AS band_count,
   count(*) FILTER (o_orderkey % 10 < 8)::BIGINT AS n_train, count(*) FILTER (o_orderkey % 10 = 8)::BIGINT AS n_valid, count(*) FILTER (o_orderkey % 10 = 9)::BIGINT AS n_test
 FROM (SELECT *, o_custkey % 23 AS n FROM orders) a GROUP BY ALL""")
 def io6(spark, sf):
-    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 23).alias("version"), (F.col("o_orderkey") % 10).alias("d"))
-    info = rows.groupBy("version").agg(F.count_if(F.col("d") < 8).alias("n_train"), F.count_if(F.col("d") == 8).alias("n_valid"), F.count_if(F.col("d") == 9).alias("n_test")).withColumn("based_on_clipping_version", F.col("version") % 5)
-    clipping = info.select(F.col("based_on_clipping_version").alias("version")).distinct().where("version <> 3").select("version", (64 * (F.col("version") + 1)).alias("window_size"), F.lit(3).alias("band_count"))
+    rows = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 23).alias("version"), (F.col("o_orderkey") % 10).alias("d")
+    )
+    info = rows.groupBy("version").agg(
+        F.count_if(F.col("d") < 8).alias("n_train"),
+        F.count_if(F.col("d") == 8).alias("n_valid"),
+        F.count_if(F.col("d") == 9).alias("n_test"),
+    ).withColumn("based_on_clipping_version", F.col("version") % 5)
+    clipping = info.select(F.col("based_on_clipping_version").alias("version")).distinct().where("version <> 3").select(
+        "version", (64 * (F.col("version") + 1)).alias("window_size"), F.lit(3).alias("band_count")
+    )
     return catalog.dataset_summary(info, clipping)
 
 
@@ -89,12 +111,20 @@ _COUNTS = """c AS (SELECT tile_name, sum((z > 0 AND t = 1)::INT)::BIGINT AS tp,
 
 
 def _tiles(spark, sf):
-    return prepare.paired(fx.images(spark, sf), fx.masks(spark, sf)).join(fx.logits(spark, sf).select("tile_name", "z"), "tile_name")
+    return prepare.paired(fx.images(spark, sf), fx.masks(spark, sf)).join(
+        fx.logits(spark, sf).select("tile_name", "z"), "tile_name"
+    )
 
 
 def _tile_pixels(spark, sf):
     rows = _tiles(spark, sf).select("vec_id", "tile_name", F.posexplode(F.arrays_zip("z", "mask")).alias("p", "v"))
-    return rows.select("vec_id", "tile_name", F.col("v.z").alias("z"), (F.col("v.mask") > 0).cast("int").alias("t"), metrics.predicted(F.col("v.z")).alias("p"))
+    return rows.select(
+        "vec_id",
+        "tile_name",
+        F.col("v.z").alias("z"),
+        (F.col("v.mask") > 0).cast("int").alias("t"),
+        metrics.predicted(F.col("v.z")).alias("p"),
+    )
 
 
 @query("io7_metric_lines", sql("tilepx", _COUNTS + f""", r AS (SELECT tile_name, {_RATES} FROM c)
@@ -103,95 +133,204 @@ def io7(spark, sf):
     return sinks.metric_lines(metrics.rates(metrics.confusion(_tile_pixels(spark, sf), "tile_name")))
 
 
-@query("io8_epoch_lines", sql("epoch_log", """SELECT run_id, epoch AS "Epoch", printf('%.6f', round(1 / (epoch + 1.0::DOUBLE) + 1e-12, 6)) AS "Train Loss", printf('%.6f', 1 - val_iou) AS "Val Loss", printf('%.6f', val_iou) AS "Val IoU", printf('%.6f', 2 * val_iou / (1 + val_iou)) AS "Val F1" FROM epoch_log"""))
+@query(
+    "io8_epoch_lines",
+    sql(
+        "epoch_log",
+        """SELECT run_id, epoch AS "Epoch", printf('%.6f', round(1 / (epoch + 1.0::DOUBLE) + 1e-12, 6)) AS "Train Loss", printf('%.6f', 1 - val_iou) AS "Val Loss", printf('%.6f', val_iou) AS "Val IoU", printf('%.6f', 2 * val_iou / (1 + val_iou)) AS "Val F1" FROM epoch_log""",
+    ),
+)
 def io8(spark, sf):
     return sinks.epoch_lines(fx.epoch_log(spark, sf))
 
 
-@query("io9_prediction_raster", sql("pixels", "SELECT scene_id, y, x, CASE WHEN b2 > 50 THEN 255 ELSE 0 END::SMALLINT AS value FROM pixels"))
+@query(
+    "io9_prediction_raster",
+    sql("pixels", "SELECT scene_id, y, x, CASE WHEN b2 > 50 THEN 255 ELSE 0 END::SMALLINT AS value FROM pixels"),
+)
 def io9(spark, sf):
     return sinks.raster(fx.pixels(spark, sf).withColumn("mask", (F.col("b2") > 50).cast("int")))
 
 
-@query("io10_tile_masks", sql("tilepx", """SELECT tile_name, sum((z > 0)::INT * 255)::BIGINT AS total, sum((z > 0)::INT * 255 * p)::BIGINT AS weighted, 1000.0 + vec_id AS x0, 'EPSG:32611' AS crs FROM tilepx GROUP BY tile_name, vec_id"""))
+@query(
+    "io10_tile_masks",
+    sql(
+        "tilepx",
+        """SELECT tile_name, sum((z > 0)::INT * 255)::BIGINT AS total, sum((z > 0)::INT * 255 * p)::BIGINT AS weighted, 1000.0 + vec_id AS x0, 'EPSG:32611' AS crs FROM tilepx GROUP BY tile_name, vec_id""",
+    ),
+)
 def io10(spark, sf):
-    gt = F.struct((1000.0 + F.col("vec_id")).alias("x0"), F.lit(0.5).alias("pw"), F.lit(0.0).alias("rx"), F.lit(5000.0).alias("y0"), F.lit(0.0).alias("ry"), F.lit(-0.5).alias("ph"))
-    made = sinks.tile_masks(fx.logits(spark, sf).select("tile_name", F.transform("z", metrics.predicted).alias("predicted")), fx.images(spark, sf).select("tile_name", gt.alias("gt"), F.lit(fx.CRS).alias("crs")))
+    gt = F.struct(
+        (1000.0 + F.col("vec_id")).alias("x0"),
+        F.lit(0.5).alias("pw"),
+        F.lit(0.0).alias("rx"),
+        F.lit(5000.0).alias("y0"),
+        F.lit(0.0).alias("ry"),
+        F.lit(-0.5).alias("ph"),
+    )
+    made = sinks.tile_masks(
+        fx.logits(spark, sf).select("tile_name", F.transform("z", metrics.predicted).alias("predicted")),
+        fx.images(spark, sf).select("tile_name", gt.alias("gt"), F.lit(fx.CRS).alias("crs")),
+    )
     total = lambda f: F.aggregate(F.transform("mask", f), F.lit(0).cast("long"), lambda a, v: a + v)
-    return made.select("tile_name", total(lambda v: v.cast("long")).alias("total"), total(lambda v, p: v.cast("long") * p).alias("weighted"), F.col("gt.x0").alias("x0"), "crs")
+    return made.select(
+        "tile_name",
+        total(lambda v: v.cast("long")).alias("total"),
+        total(lambda v, p: v.cast("long") * p).alias("weighted"),
+        F.col("gt.x0").alias("x0"),
+        "crs",
+    )
 
 
 _RECT_AREA = "(CASE WHEN two THEN 2 ELSE 1 END * w * h - hole::INT)"
 
 
-@query("io11_multipolygons", sql("rects", f"SELECT poly_id, scene_id, 'MultiPolygon' AS geom_type, CASE WHEN two THEN 2 ELSE 1 END AS n_parts, (2 * {_RECT_AREA})::BIGINT AS double_area FROM rects"))
+@query(
+    "io11_multipolygons",
+    sql(
+        "rects",
+        f"SELECT poly_id, scene_id, 'MultiPolygon' AS geom_type, CASE WHEN two THEN 2 ELSE 1 END AS n_parts, (2 * {_RECT_AREA})::BIGINT AS double_area FROM rects",
+    ),
+)
 def io11(spark, sf):
-    return sinks.multipolygons(fx.predicted_polygons(spark, sf)).select("poly_id", "scene_id", "geom_type", F.size("parts").alias("n_parts"), _area_half())
+    return sinks.multipolygons(fx.predicted_polygons(spark, sf)).select(
+        "poly_id", "scene_id", "geom_type", F.size("parts").alias("n_parts"), _area_half()
+    )
 
 
 # Validation ------------------------------------------------------------------------------------------------------
 
 
-@query("v1_wrong_types", "SELECT CASE s_suppkey % 7 WHEN 1 THEN 'Point' ELSE 'LineString' END AS geom_type, count(*)::BIGINT AS n FROM supplier WHERE s_suppkey % 7 IN (1, 2) GROUP BY ALL")
+@query(
+    "v1_wrong_types",
+    "SELECT CASE s_suppkey % 7 WHEN 1 THEN 'Point' ELSE 'LineString' END AS geom_type, count(*)::BIGINT AS n FROM supplier WHERE s_suppkey % 7 IN (1, 2) GROUP BY ALL",
+)
 def v1(spark, sf):
-    kind = F.when(F.col("poly_id") % 7 == 1, "Point").when(F.col("poly_id") % 7 == 2, "LineString").when(F.col("poly_id") % 7 == 3, "MultiPolygon").otherwise("Polygon")
+    kind = F.when(F.col("poly_id") % 7 == 1, "Point").when(F.col("poly_id") % 7 == 2, "LineString").when(
+        F.col("poly_id") % 7 == 3, "MultiPolygon"
+    ).otherwise("Polygon")
     return validate.wrong_types(fx.polygons(spark, sf).withColumn("geom_type", kind))
 
 
 @query("v2_scenes_without_polygons", sql("scenes", "SELECT scene_id FROM scenes WHERE scene_id % 2 = 0"))
 def v2(spark, sf):
-    return validate.scenes_without_polygons(fx.scenes(spark, sf), fx.polygons(spark, sf).where("scene_id % 2 = 1").unionByName(fx.polygons(spark, sf).withColumn("scene_id", F.col("scene_id") * 2 + 1))).select("scene_id")
-
-
-@query("v3_crs_mismatches", sql("scenes shapes", "SELECT poly_id, scene_id, 'EPSG:4326' AS crs, 'EPSG:32611' AS scene_crs FROM shapes JOIN scenes USING (scene_id) WHERE poly_id % 50 = 49"))
+    return validate.scenes_without_polygons(
+        fx.scenes(spark, sf),
+        fx.polygons(spark, sf).where("scene_id % 2 = 1").unionByName(
+            fx.polygons(spark, sf).withColumn("scene_id", F.col("scene_id") * 2 + 1)
+        ),
+    ).select("scene_id")
+
+
+@query(
+    "v3_crs_mismatches",
+    sql(
+        "scenes shapes",
+        "SELECT poly_id, scene_id, 'EPSG:4326' AS crs, 'EPSG:32611' AS scene_crs FROM shapes JOIN scenes USING (scene_id) WHERE poly_id % 50 = 49",
+    ),
+)
 def v3(spark, sf):
-    return validate.crs_mismatches(fx.scenes(spark, sf), fx.polygons(spark, sf).withColumn("crs", F.when(F.col("poly_id") % 50 == 49, "EPSG:4326").otherwise(F.col("crs"))))
-
-
-@query("v4_without_overlap", sql("scenes shapes", "SELECT DISTINCT scene_id FROM scenes JOIN shapes USING (scene_id) WHERE scene_id % 2 = 0"))
+    return validate.crs_mismatches(
+        fx.scenes(spark, sf),
+        fx.polygons(spark, sf).withColumn(
+            "crs", F.when(F.col("poly_id") % 50 == 49, "EPSG:4326").otherwise(F.col("crs"))
+        ),
+    )
+
+
+@query(
+    "v4_without_overlap",
+    sql("scenes shapes", "SELECT DISTINCT scene_id FROM scenes JOIN shapes USING (scene_id) WHERE scene_id % 2 = 0"),
+)
 def v4(spark, sf):
     # The polygons of every other scene are moved far to the east.
-    far = F.transform("parts", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] + F.when(F.col("scene_id") % 2 == 0, 1e6).otherwise(0.0)).alias("x"), p["y"].alias("y")))))
+    far = F.transform(
+        "parts",
+        lambda rings: F.transform(
+            rings,
+            lambda r: F.transform(
+                r,
+                lambda p: F.struct(
+                    (p["x"] + F.when(F.col("scene_id") % 2 == 0, 1e6).otherwise(0.0)).alias("x"), p["y"].alias("y")
+                ),
+            ),
+        ),
+    )
     return validate.without_overlap(fx.scenes(spark, sf), fx.polygons(spark, sf).withColumn("parts", far))
 
 
-@query("v5_storage_estimate", sql("scenes", "SELECT scene_id, (greatest(1, (width - 8) // 4 + 1) * greatest(1, (height - 8) // 4 + 1) * (8 * 8 * 3 * 4 + 8 * 8) * 13 // 10)::BIGINT AS bytes FROM scenes"))
+@query(
+    "v5_storage_estimate",
+    sql(
+        "scenes",
+        "SELECT scene_id, (greatest(1, (width - 8) // 4 + 1) * greatest(1, (height - 8) // 4 + 1) * (8 * 8 * 3 * 4 + 8 * 8) * 13 // 10)::BIGINT AS bytes FROM scenes",
+    ),
+)
 def v5(spark, sf):
     return grid.storage_estimate(fx.scenes(spark, sf), WINDOW, STRIDE)
 
 
-@query("v6_invalid_polygons", """SELECT s_suppkey AS poly_id, CASE s_suppkey % 10 WHEN 3 THEN 'null' WHEN 7 THEN 'empty' ELSE 'short' END AS problem FROM supplier WHERE s_suppkey % 10 IN (3, 7, 9)""")
+@query(
+    "v6_invalid_polygons",
+    """SELECT s_suppkey AS poly_id, CASE s_suppkey % 10 WHEN 3 THEN 'null' WHEN 7 THEN 'empty' ELSE 'short' END AS problem FROM supplier WHERE s_suppkey % 10 IN (3, 7, 9)""",
+)
 def v6(spark, sf):
     short = F.transform("parts", lambda rings: F.transform(rings, lambda r: F.slice(r, 1, 3)))
-    odd = F.when(F.col("poly_id") % 10 == 3, F.lit(None)).when(F.col("poly_id") % 10 == 7, F.array().cast(clean.PARTS)).when(F.col("poly_id") % 10 == 9, short).otherwise(F.col("parts"))
+    odd = F.when(F.col("poly_id") % 10 == 3, F.lit(None)).when(
+        F.col("poly_id") % 10 == 7, F.array().cast(clean.PARTS)
+    ).when(F.col("poly_id") % 10 == 9, short).otherwise(F.col("parts"))
     return validate.invalid(fx.polygons(spark, sf).withColumn("parts", odd)).select("poly_id", "problem")
 
 
-# Two rings cross if their sides cross or share a stretch: squares that meet in more than a corner, unless one lies within the other.
+# Two rings cross if their sides cross or share a stretch: squares that meet in more than a corner, unless one lies
+# within the other.
 _HOLES = """m AS (SELECT *, x >= 0 AND x + w <= 12 AND y + w <= 12 AND (x = 0 OR x + w = 12 OR y = 0 OR y + w = 12) OR (x < 0 AND x + w >= 0) OR (x + w > 12 AND x < 12) OR (y + w > 12 AND y < 12 AND x < 12 AND x + w > 0) AS first_cuts,
   x >= 12 OR x + w < 0 AS first_out, u = 0 OR v = 0 OR u + s >= 12 OR v + s >= 12 AS second_cuts,
   x < u + s AND u < x + w AND y < v + s AND v < y + w AS overlap, (x <= u + s AND u <= x + w AND y < v + s AND v < y + w) OR (x < u + s AND u < x + w AND y <= v + s AND v <= y + w) AS meet,
   (x < u AND u + s < x + w AND y < v AND v + s < y + w) OR (u < x AND x + w < u + s AND v < y AND y + w < v + s) AS nested FROM holed)"""
 
 
-@query("v6_holes", sql("holed", _HOLES + " SELECT poly_id, CASE WHEN first_cuts OR second_cuts OR (meet AND NOT nested) THEN 'crossing' WHEN first_out THEN 'hole outside' ELSE 'holes overlap' END AS problem FROM m WHERE first_cuts OR second_cuts OR meet OR first_out"))
+@query(
+    "v6_holes",
+    sql(
+        "holed",
+        _HOLES + " SELECT poly_id, CASE WHEN first_cuts OR second_cuts OR (meet AND NOT nested) THEN 'crossing' WHEN first_out THEN 'hole outside' ELSE 'holes overlap' END AS problem FROM m WHERE first_cuts OR second_cuts OR meet OR first_out",
+    ),
+)
 def v6_holes(spark, sf):
     return validate.invalid(fx.holed_polygons(spark, sf)).select("poly_id", "problem")
 
 
-@query("v9_unfit_scenes", sql("scenes", "SELECT scene_id, CASE scene_id % 3 WHEN 0 THEN 'bands differ' ELSE 'band count' END AS problem FROM scenes WHERE scene_id % 3 <> 1"))
+@query(
+    "v9_unfit_scenes",
+    sql(
+        "scenes",
+        "SELECT scene_id, CASE scene_id % 3 WHEN 0 THEN 'bands differ' ELSE 'band count' END AS problem FROM scenes WHERE scene_id % 3 <> 1",
+    ),
+)
 def v9(spark, sf):
     bands = F.when(F.col("scene_id") % 3 == 0, 4).when(F.col("scene_id") % 3 == 2, 41).otherwise(3)
     return validate.unfit_scenes(fx.scenes(spark, sf).withColumn("band_count", bands), 3, 256)
 
 
-@query("v10_clean_names", r"""SELECT s_suppkey, CASE WHEN n = '' THEN 'dataset' ELSE n END AS clean FROM (SELECT s_suppkey, trim(regexp_replace(CASE WHEN s_suppkey % 9 = 4 THEN '_!?_' ELSE '!' || s_name || ' (' || s_suppkey || ')' END, '[^\p{L}\p{N}_-]', '_', 'g'), '_') AS n FROM supplier)""")
+@query(
+    "v10_clean_names",
+    r"""SELECT s_suppkey, CASE WHEN n = '' THEN 'dataset' ELSE n END AS clean FROM (SELECT s_suppkey, trim(regexp_replace(CASE WHEN s_suppkey % 9 = 4 THEN '_!?_' ELSE '!' || s_name || ' (' || s_suppkey || ')' END, '[^\p{L}\p{N}_-]', '_', 'g'), '_') AS n FROM supplier)""",
+)
 def v10(spark, sf):
-    name = F.when(F.col("s_suppkey") % 9 == 4, "_!?_").otherwise(F.concat(F.lit("!"), "s_name", F.lit(" ("), F.col("s_suppkey").cast("string"), F.lit(")")))
+    name = F.when(F.col("s_suppkey") % 9 == 4, "_!?_").otherwise(
+        F.concat(F.lit("!"), "s_name", F.lit(" ("), F.col("s_suppkey").cast("string"), F.lit(")"))
+    )
     return table(spark, sf, "supplier").select("s_suppkey", grid.clean_name(name).alias("clean"))
 
 
-@query("v11_scene_summary", sql("scenes", "SELECT scene_id, width::INT AS width, height::INT AS height, band_count, 'EPSG:32611' AS crs, 0.5::DOUBLE AS pixel_size FROM scenes"))
+@query(
+    "v11_scene_summary",
+    sql(
+        "scenes",
+        "SELECT scene_id, width::INT AS width, height::INT AS height, band_count, 'EPSG:32611' AS crs, 0.5::DOUBLE AS pixel_size FROM scenes",
+    ),
+)
 def v11(spark, sf):
     return validate.scene_summary(fx.scenes(spark, sf))
 
@@ -199,32 +338,65 @@ def v11(spark, sf):
 _GRID = "g AS (SELECT s.*, i, j, (height - 8) // 4 + 1 AS ny, i * ((height - 8) // 4 + 1) + j + 1 AS tile_idx FROM scenes s JOIN range(0, 200) a(i) ON i * 4 + 8 <= width JOIN range(0, 200) b(j) ON j * 4 + 8 <= height)"
 
 
-@query("v12_tile_transforms", sql("scenes", _GRID + " SELECT scene_id, tile_idx::BIGINT AS tile_idx, (x0 + i * 4 * pw)::DOUBLE AS x0, (y0 - j * 4 * pw)::DOUBLE AS y0, pw::DOUBLE AS pw, (-pw)::DOUBLE AS ph FROM g"))
+@query(
+    "v12_tile_transforms",
+    sql(
+        "scenes",
+        _GRID + " SELECT scene_id, tile_idx::BIGINT AS tile_idx, (x0 + i * 4 * pw)::DOUBLE AS x0, (y0 - j * 4 * pw)::DOUBLE AS y0, pw::DOUBLE AS pw, (-pw)::DOUBLE AS ph FROM g",
+    ),
+)
 def v12(spark, sf):
-    return grid.training_grid(fx.scenes(spark, sf), WINDOW, STRIDE).select("scene_id", "tile_idx", "gt.x0", "gt.y0", "gt.pw", "gt.ph")
+    return grid.training_grid(fx.scenes(spark, sf), WINDOW, STRIDE).select(
+        "scene_id", "tile_idx", "gt.x0", "gt.y0", "gt.pw", "gt.ph"
+    )
 
 
 # Grids and clipping ----------------------------------------------------------------------------------------------
 
 
-@query("g1_g4_training_grid", sql("scenes", _GRID + " SELECT scene_id, (i * 4)::BIGINT AS col0, (j * 4)::BIGINT AS row0, tile_idx::BIGINT AS tile_idx, 'scene_' || scene_id || '_' || lpad(tile_idx::VARCHAR, 5, '0') AS tile_name FROM g"))
+@query(
+    "g1_g4_training_grid",
+    sql(
+        "scenes",
+        _GRID + " SELECT scene_id, (i * 4)::BIGINT AS col0, (j * 4)::BIGINT AS row0, tile_idx::BIGINT AS tile_idx, 'scene_' || scene_id || '_' || lpad(tile_idx::VARCHAR, 5, '0') AS tile_name FROM g",
+    ),
+)
 def g1(spark, sf):
-    return grid.training_grid(fx.scenes(spark, sf), WINDOW, STRIDE).select("scene_id", "col0", "row0", "tile_idx", "tile_name")
-
-
-@query("g2_prediction_grid", sql("scenes", "SELECT scene_id, (i * 12)::BIGINT AS col0, (j * 12)::BIGINT AS row0, least(16, width - i * 12)::BIGINT AS read_w, least(16, height - j * 12)::BIGINT AS read_h FROM scenes JOIN range(0, 200) a(i) ON i * 12 < width JOIN range(0, 200) b(j) ON j * 12 < height"))
+    return grid.training_grid(fx.scenes(spark, sf), WINDOW, STRIDE).select(
+        "scene_id", "col0", "row0", "tile_idx", "tile_name"
+    )
+
+
+@query(
+    "g2_prediction_grid",
+    sql(
+        "scenes",
+        "SELECT scene_id, (i * 12)::BIGINT AS col0, (j * 12)::BIGINT AS row0, least(16, width - i * 12)::BIGINT AS read_w, least(16, height - j * 12)::BIGINT AS read_h FROM scenes JOIN range(0, 200) a(i) ON i * 12 < width JOIN range(0, 200) b(j) ON j * 12 < height",
+    ),
+)
 def g2(spark, sf):
     return grid.prediction_grid(fx.scenes(spark, sf), SIZE, 0.25)
 
 
-@query("g3_prediction_tile_count", sql("scenes", "SELECT scene_id, (((width + 11) // 12) * ((height + 11) // 12))::BIGINT AS n_tiles FROM scenes"))
+@query(
+    "g3_prediction_tile_count",
+    sql("scenes", "SELECT scene_id, (((width + 11) // 12) * ((height + 11) // 12))::BIGINT AS n_tiles FROM scenes"),
+)
 def g3(spark, sf):
     return grid.prediction_tile_count(fx.scenes(spark, sf), SIZE, 0.25)
 
 
-@query("c1_clip_pixels", sql("pixels scenes", _GRID + " SELECT g.scene_id, tile_idx::BIGINT AS tile_idx, (y - j * 4)::BIGINT AS ty, (x - i * 4)::BIGINT AS tx, b1, b2, b3 FROM g JOIN pixels p ON p.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8"))
+@query(
+    "c1_clip_pixels",
+    sql(
+        "pixels scenes",
+        _GRID + " SELECT g.scene_id, tile_idx::BIGINT AS tile_idx, (y - j * 4)::BIGINT AS ty, (x - i * 4)::BIGINT AS tx, b1, b2, b3 FROM g JOIN pixels p ON p.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8",
+    ),
+)
 def c1(spark, sf):
-    return clip.clip_pixels(fx.pixels(spark, sf), fx.scenes(spark, sf), WINDOW, STRIDE).select("scene_id", "tile_idx", "ty", "tx", "b1", "b2", "b3")
+    return clip.clip_pixels(fx.pixels(spark, sf), fx.scenes(spark, sf), WINDOW, STRIDE).select(
+        "scene_id", "tile_idx", "ty", "tx", "b1", "b2", "b3"
+    )
 
 
 @query("c1_block_tiles", sql("pixels scenes", _GRID + """ SELECT g.scene_id, tile_idx::BIGINT AS tile_idx, round(sum(b1 * ((y - j * 4) * 8 + x - i * 4 + 1)) * 1000)::BIGINT AS b1_milli, sum(b3 * ((y - j * 4) * 8 + x - i * 4 + 1))::BIGINT AS b3_weighted, count(*)::BIGINT AS n
@@ -233,13 +405,29 @@ def c1_blocks(spark, sf):
     """Windows from blocks, by an exchange of block edges."""
     s, block = fx.scenes(spark, sf), blocks.block_for(WINDOW, STRIDE)
     made = blocks.training_tiles(blocks.blocks_of(fx.pixels(spark, sf), s, block, BANDS), s, block, WINDOW, STRIDE)
-    weighted = lambda k: F.aggregate(F.transform(F.col("bands")[k], lambda v, p: v * (p + 1)), F.lit(0.0), lambda a, v: a + v)
-    return made.select("scene_id", "tile_idx", F.round(weighted(0) * 1000).cast("long").alias("b1_milli"), weighted(2).cast("long").alias("b3_weighted"), F.size(F.col("bands")[0]).cast("long").alias("n"))
-
-
-@query("c2_candidates", sql("scenes shapes", _GRID + " SELECT poly_id, g.scene_id, tile_idx::BIGINT AS tile_idx FROM g JOIN shapes s ON s.scene_id = g.scene_id AND px <= i * 4 + 8 AND px + w >= i * 4 AND py <= j * 4 + 8 AND py + CASE shape WHEN 1 THEN h + 0.125 ELSE h END >= j * 4"))
+    weighted = lambda k: F.aggregate(
+        F.transform(F.col("bands")[k], lambda v, p: v * (p + 1)), F.lit(0.0), lambda a, v: a + v
+    )
+    return made.select(
+        "scene_id",
+        "tile_idx",
+        F.round(weighted(0) * 1000).cast("long").alias("b1_milli"),
+        weighted(2).cast("long").alias("b3_weighted"),
+        F.size(F.col("bands")[0]).cast("long").alias("n"),
+    )
+
+
+@query(
+    "c2_candidates",
+    sql(
+        "scenes shapes",
+        _GRID + " SELECT poly_id, g.scene_id, tile_idx::BIGINT AS tile_idx FROM g JOIN shapes s ON s.scene_id = g.scene_id AND px <= i * 4 + 8 AND px + w >= i * 4 AND py <= j * 4 + 8 AND py + CASE shape WHEN 1 THEN h + 0.125 ELSE h END >= j * 4",
+    ),
+)
 def c2(spark, sf):
-    return clip.candidates(fx.polygons(spark, sf), fx.scenes(spark, sf), WINDOW, STRIDE).select("poly_id", "scene_id", "tile_idx")
+    return clip.candidates(fx.polygons(spark, sf), fx.scenes(spark, sf), WINDOW, STRIDE).select(
+        "poly_id", "scene_id", "tile_idx"
+    )
 
 
 @query("c3_burned_pixels", sql("pixels shapes inside", "SELECT DISTINCT scene_id, y, x FROM inside"))
@@ -247,18 +435,37 @@ def c3(spark, sf):
     return clip.burned_pixels(clip.burned_runs(fx.polygons(spark, sf), fx.scenes(spark, sf)))
 
 
-@query("c3_tile_masks", sql("pixels scenes shapes inside", _GRID + ", u AS (SELECT DISTINCT scene_id, y, x FROM inside) SELECT g.scene_id, tile_idx::BIGINT AS tile_idx, (count(*) * 255)::BIGINT AS total, sum(255 * ((y - j * 4) * 8 + x - i * 4))::BIGINT AS weighted FROM g JOIN u ON u.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8 GROUP BY ALL"))
+@query(
+    "c3_tile_masks",
+    sql(
+        "pixels scenes shapes inside",
+        _GRID + ", u AS (SELECT DISTINCT scene_id, y, x FROM inside) SELECT g.scene_id, tile_idx::BIGINT AS tile_idx, (count(*) * 255)::BIGINT AS total, sum(255 * ((y - j * 4) * 8 + x - i * 4))::BIGINT AS weighted FROM g JOIN u ON u.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8 GROUP BY ALL",
+    ),
+)
 def c3_masks(spark, sf):
     s = fx.scenes(spark, sf)
     made = clip.tile_masks(clip.burned_runs(fx.polygons(spark, sf), s), s, WINDOW, STRIDE)
     total = lambda f: F.aggregate(F.transform("mask", f), F.lit(0).cast("long"), lambda a, v: a + v)
-    return made.select("scene_id", "tile_idx", total(lambda v: v.cast("long")).alias("total"), total(lambda v, p: v.cast("long") * p).alias("weighted"))
-
-
-@query("c4_kept_tiles", sql("pixels scenes shapes inside", _GRID + " SELECT DISTINCT g.scene_id, tile_idx::BIGINT AS tile_idx FROM g JOIN inside n ON n.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8"))
+    return made.select(
+        "scene_id",
+        "tile_idx",
+        total(lambda v: v.cast("long")).alias("total"),
+        total(lambda v, p: v.cast("long") * p).alias("weighted"),
+    )
+
+
+@query(
+    "c4_kept_tiles",
+    sql(
+        "pixels scenes shapes inside",
+        _GRID + " SELECT DISTINCT g.scene_id, tile_idx::BIGINT AS tile_idx FROM g JOIN inside n ON n.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8",
+    ),
+)
 def c4(spark, sf):
     s = fx.scenes(spark, sf)
-    return clip.kept_tiles(clip.burned_runs(fx.polygons(spark, sf), s), s, WINDOW, STRIDE).select("scene_id", "tile_idx")
+    return clip.kept_tiles(clip.burned_runs(fx.polygons(spark, sf), s), s, WINDOW, STRIDE).select(
+        "scene_id", "tile_idx"
+    )
 
 
 # Split, augmentation, batches ------------------------------------------------------------------------------------
@@ -284,26 +491,58 @@ def p2(spark, sf):
     return split.split(fx.images(spark, sf).select("tile_name"), 75, 15, 10).select("tile_name", "subset")
 
 
-@query("p3_split_counts", sql("tilepx", _SHUFFLED + f", s AS (SELECT vec_id, {_SUBSET} AS subset FROM o) SELECT subset, count(*)::BIGINT AS n, count(*) FILTER (vec_id % 10 <> 9)::BIGINT AS n_with_mask FROM s GROUP BY subset"))
+@query(
+    "p3_split_counts",
+    sql(
+        "tilepx",
+        _SHUFFLED + f", s AS (SELECT vec_id, {_SUBSET} AS subset FROM o) SELECT subset, count(*)::BIGINT AS n, count(*) FILTER (vec_id % 10 <> 9)::BIGINT AS n_with_mask FROM s GROUP BY subset",
+    ),
+)
 def p3(spark, sf):
-    made = split.with_masks(split.split(fx.images(spark, sf).select("tile_name"), 75, 15, 10), fx.masks(spark, sf).select("tile_name", "mask"))
-    return split.subset_counts(made).join(made.groupBy("subset").agg(F.count("mask").alias("n_with_mask")), "subset", "left").select("subset", "n", "n_with_mask")
-
-
-_TURNED = {"original": ("y", "x"), "rot90": ("7 - x", "y"), "rot180": ("7 - y", "7 - x"), "rot270": ("x", "7 - y"), "mirror": ("x", "y"), "fliph": ("y", "7 - x"), "flipv": ("7 - y", "x")}
+    made = split.with_masks(
+        split.split(fx.images(spark, sf).select("tile_name"), 75, 15, 10),
+        fx.masks(spark, sf).select("tile_name", "mask"),
+    )
+    return split.subset_counts(made).join(
+        made.groupBy("subset").agg(F.count("mask").alias("n_with_mask")), "subset", "left"
+    ).select("subset", "n", "n_with_mask")
+
+
+_TURNED = {
+    "original": ("y", "x"),
+    "rot90": ("7 - x", "y"),
+    "rot180": ("7 - y", "7 - x"),
+    "rot270": ("x", "7 - y"),
+    "mirror": ("x", "y"),
+    "fliph": ("y", "7 - x"),
+    "flipv": ("7 - y", "x"),
+}
 
 
 def _augment_sql() -> str:
     # Where a source pixel (y, x) goes; the inverse of the survey's formulas of what a target pixel reads.
-    parts = [f"SELECT vec_id, tile_name, '{s}' AS suffix, ({a}) * 8 + ({b}) AS q, v, t FROM tilepx WHERE has_mask" for s, (a, b) in _TURNED.items()]
-    return "m AS (" + "\nUNION ALL ".join(parts) + ") SELECT replace(tile_name, '.tif', '') || '_' || suffix AS tile_name, round(sum(CASE WHEN isnan(v) THEN 0 ELSE v * (q + 1) END) * 10000)::BIGINT AS image_sum, sum(255 * t * (q + 1))::BIGINT AS mask_sum FROM m GROUP BY ALL"
+    parts = [
+        f"SELECT vec_id, tile_name, '{s}' AS suffix, ({a}) * 8 + ({b}) AS q, v, t FROM tilepx WHERE has_mask"
+        for s, (a, b) in _TURNED.items()
+    ]
+    return "m AS (" + "\nUNION ALL ".join(
+        parts
+    ) + ") SELECT replace(tile_name, '.tif', '') || '_' || suffix AS tile_name, round(sum(CASE WHEN isnan(v) THEN 0 ELSE v * (q + 1) END) * 10000)::BIGINT AS image_sum, sum(255 * t * (q + 1))::BIGINT AS mask_sum FROM m GROUP BY ALL"
 
 
 @query("a1_a9_augmentation", sql("tilepx", _augment_sql()))
 def a9(spark, sf):
-    made = augment.augmented(prepare.paired(fx.images(spark, sf), fx.masks(spark, sf)), [*augment.METHODS, "no such method"])
-    image = F.aggregate(F.transform(F.col("bands")[0], lambda v, p: F.when(F.isnan(v), 0.0).otherwise(v) * (p + 1)), F.lit(0.0), lambda a, v: a + v)
-    mask = F.aggregate(F.transform("mask", lambda v, p: v.cast("long") * (p + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    made = augment.augmented(
+        prepare.paired(fx.images(spark, sf), fx.masks(spark, sf)), [*augment.METHODS, "no such method"]
+    )
+    image = F.aggregate(
+        F.transform(F.col("bands")[0], lambda v, p: F.when(F.isnan(v), 0.0).otherwise(v) * (p + 1)),
+        F.lit(0.0),
+        lambda a, v: a + v,
+    )
+    mask = F.aggregate(
+        F.transform("mask", lambda v, p: v.cast("long") * (p + 1)), F.lit(0).cast("long"), lambda a, v: a + v
+    )
     return made.select("tile_name", F.round(image * 10000).cast("long").alias("image_sum"), mask.alias("mask_sum"))
 
 
@@ -311,13 +550,28 @@ def a9(spark, sf):
 SELECT scene_id, tile_idx::BIGINT AS tile_idx, method, (x0 + i * 4 * pw + CASE WHEN method = 'Flip H' THEN 8 * pw ELSE 0 END)::DOUBLE AS x0, (CASE WHEN method = 'Flip H' THEN -pw ELSE pw END)::DOUBLE AS pw,
   (y0 - j * 4 * pw - CASE WHEN method = 'Flip V' THEN 8 * pw ELSE 0 END)::DOUBLE AS y0, (CASE WHEN method = 'Flip V' THEN pw ELSE -pw END)::DOUBLE AS ph FROM g CROSS JOIN m"""))
 def a8(spark, sf):
-    tiles = grid.training_grid(fx.scenes(spark, sf), WINDOW, STRIDE).select("scene_id", "tile_idx", "gt", F.explode(F.array(*map(F.lit, ("Original", "Rotate 90", "Mirror", "Flip H", "Flip V")))).alias("method"))
-    return tiles.withColumn("gt", augment.flipped_transform(F.col("gt"), F.lit(WINDOW), F.col("method"))).select("scene_id", "tile_idx", "method", "gt.x0", "gt.pw", "gt.y0", "gt.ph")
-
-
-@query("a9_subset_counts", sql("tilepx", _SHUFFLED + f" SELECT {_SUBSET} AS subset, (7 * count(*))::BIGINT AS n FROM o WHERE vec_id % 10 <> 9 GROUP BY 1"))
+    tiles = grid.training_grid(fx.scenes(spark, sf), WINDOW, STRIDE).select(
+        "scene_id",
+        "tile_idx",
+        "gt",
+        F.explode(F.array(*map(F.lit, ("Original", "Rotate 90", "Mirror", "Flip H", "Flip V")))).alias("method"),
+    )
+    return tiles.withColumn("gt", augment.flipped_transform(F.col("gt"), F.lit(WINDOW), F.col("method"))).select(
+        "scene_id", "tile_idx", "method", "gt.x0", "gt.pw", "gt.y0", "gt.ph"
+    )
+
+
+@query(
+    "a9_subset_counts",
+    sql(
+        "tilepx",
+        _SHUFFLED + f" SELECT {_SUBSET} AS subset, (7 * count(*))::BIGINT AS n FROM o WHERE vec_id % 10 <> 9 GROUP BY 1",
+    ),
+)
 def a9_counts(spark, sf):
-    tiles = fx.images(spark, sf).join(fx.masks(spark, sf).select("tile_name", "mask"), "tile_name").join(split.split(fx.images(spark, sf).select("tile_name"), 75, 15, 10).select("tile_name", "subset"), "tile_name")
+    tiles = fx.images(spark, sf).join(fx.masks(spark, sf).select("tile_name", "mask"), "tile_name").join(
+        split.split(fx.images(spark, sf).select("tile_name"), 75, 15, 10).select("tile_name", "subset"), "tile_name"
+    )
     return split.subset_counts(augment.augmented(tiles, augment.METHODS)).where("n > 0")
 
 
@@ -339,7 +593,9 @@ def n2(spark, sf):
 @query("n2_minmax_pixels", sql("tilepx", _SCALED))
 def n2_pixels(spark, sf):
     rows = fx.images(spark, sf).select("tile_name", F.posexplode(F.col("bands")[0]).alias("p", "v"))
-    return prepare.normalized_pixels(rows, "tile_name", ["v"]).select("tile_name", F.col("p").cast("long").alias("p"), _milli("v", "scaled"))
+    return prepare.normalized_pixels(rows, "tile_name", ["v"]).select(
+        "tile_name", F.col("p").cast("long").alias("p"), _milli("v", "scaled")
+    )
 
 
 _SCORED = """v AS (SELECT t.*, y, x, b1, b2, b3, min(b1) OVER w AS l1, max(b1) OVER w AS h1, min(b2) OVER w AS l2, max(b2) OVER w AS h2, min(b3) OVER w AS l3, max(b3) OVER w AS h3
@@ -364,19 +620,40 @@ def _prediction(spark, sf, overlap=OVERLAP):
 @query("n3_padded_minmax", sql("pixels scenes", _PTILES + """, e AS (SELECT scene_id, col0, row0, any_value(rw) AS rw, any_value(rh) AS rh, any_value(l1) AS l1, any_value(h1) AS h1, sum(n1) AS inner_sum FROM n GROUP BY ALL)
 SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, round((inner_sum + CASE WHEN h1 > l1 THEN (256 - rw * rh) * (0 - l1) / (h1 - l1) ELSE 0 END) * 10000)::BIGINT AS total FROM e"""))
 def n3(spark, sf):
-    tiles = prepare.normalized_padded(score.prediction_tiles(fx.pixels(spark, sf), fx.scenes(spark, sf), SIZE, OVERLAP, BANDS))
-    return tiles.select("scene_id", "col0", "row0", F.round(F.aggregate(F.col("bands")[0], F.lit(0.0), lambda a, v: a + v) * 10000).cast("long").alias("total"))
-
-
-@query("n4_binary_masks", sql("tilepx", "SELECT tile_name, sum(t)::BIGINT AS positive FROM tilepx WHERE has_mask GROUP BY ALL"))
+    tiles = prepare.normalized_padded(
+        score.prediction_tiles(fx.pixels(spark, sf), fx.scenes(spark, sf), SIZE, OVERLAP, BANDS)
+    )
+    return tiles.select(
+        "scene_id",
+        "col0",
+        "row0",
+        F.round(F.aggregate(F.col("bands")[0], F.lit(0.0), lambda a, v: a + v) * 10000).cast("long").alias("total"),
+    )
+
+
+@query(
+    "n4_binary_masks",
+    sql("tilepx", "SELECT tile_name, sum(t)::BIGINT AS positive FROM tilepx WHERE has_mask GROUP BY ALL"),
+)
 def n4(spark, sf):
-    return fx.masks(spark, sf).select("tile_name", F.aggregate(prepare.binary(F.col("mask")), F.lit(0).cast("long"), lambda a, v: a + v).alias("positive"))
-
-
-@query("n5_batches", sql("tilepx", "SELECT tile_name, ((row_number() OVER (ORDER BY tile_name) - 1) // 8)::BIGINT AS batch, ((row_number() OVER (ORDER BY md5('42:3:' || tile_name), tile_name) - 1) // 8)::BIGINT AS train_batch FROM (SELECT DISTINCT tile_name FROM tilepx WHERE has_mask)"))
+    return fx.masks(spark, sf).select(
+        "tile_name",
+        F.aggregate(prepare.binary(F.col("mask")), F.lit(0).cast("long"), lambda a, v: a + v).alias("positive"),
+    )
+
+
+@query(
+    "n5_batches",
+    sql(
+        "tilepx",
+        "SELECT tile_name, ((row_number() OVER (ORDER BY tile_name) - 1) // 8)::BIGINT AS batch, ((row_number() OVER (ORDER BY md5('42:3:' || tile_name), tile_name) - 1) // 8)::BIGINT AS train_batch FROM (SELECT DISTINCT tile_name FROM tilepx WHERE has_mask)",
+    ),
+)
 def n5(spark, sf):
     names = n1(spark, sf)
-    return split.batches(names, 8).select("tile_name", "batch").join(split.batches(names, 8, "42:3").select("tile_name", F.col("batch").alias("train_batch")), "tile_name")
+    return split.batches(names, 8).select("tile_name", "batch").join(
+        split.batches(names, 8, "42:3").select("tile_name", F.col("batch").alias("train_batch")), "tile_name"
+    )
 
 
 # Losses and metrics ----------------------------------------------------------------------------------------------
@@ -390,40 +667,81 @@ def _batched(spark, sf):
     return _tile_pixels(spark, sf).join(names, "tile_name")
 
 
-@query("l1_l3_batch_losses", sql("tilepx", _LOSSES + " SELECT batch::BIGINT AS batch, round(bce * 1000000)::BIGINT AS bce, round(dice * 1000000)::BIGINT AS dice, round((0.5 * bce + 0.5 * dice) * 1000000)::BIGINT AS bce_dice FROM s"))
+@query(
+    "l1_l3_batch_losses",
+    sql(
+        "tilepx",
+        _LOSSES + " SELECT batch::BIGINT AS batch, round(bce * 1000000)::BIGINT AS bce, round(dice * 1000000)::BIGINT AS dice, round((0.5 * bce + 0.5 * dice) * 1000000)::BIGINT AS bce_dice FROM s",
+    ),
+)
 def l1(spark, sf):
-    return losses.batch_losses(_batched(spark, sf), "batch").select("batch", _milli("bce", "bce"), _milli("dice", "dice"), _milli("bce_dice", "bce_dice"))
-
-
-@query("l1_l3_tile_sums", sql("tilepx", _LOSSES + " SELECT batch::BIGINT AS batch, round(bce * 1000000)::BIGINT AS bce, round(dice * 1000000)::BIGINT AS dice, round((0.5 * bce + 0.5 * dice) * 1000000)::BIGINT AS bce_dice FROM s"))
+    return losses.batch_losses(_batched(spark, sf), "batch").select(
+        "batch", _milli("bce", "bce"), _milli("dice", "dice"), _milli("bce_dice", "bce_dice")
+    )
+
+
+@query(
+    "l1_l3_tile_sums",
+    sql(
+        "tilepx",
+        _LOSSES + " SELECT batch::BIGINT AS batch, round(bce * 1000000)::BIGINT AS bce, round(dice * 1000000)::BIGINT AS dice, round((0.5 * bce + 0.5 * dice) * 1000000)::BIGINT AS bce_dice FROM s",
+    ),
+)
 def l1_sums(spark, sf):
     """The same from sums of whole arrays, without a row a pixel."""
     sums = split.batches(losses.tile_sums(_tiles(spark, sf)), 8)
-    return losses.summed_losses(sums, "batch").select("batch", _milli("bce", "bce"), _milli("dice", "dice"), _milli("bce_dice", "bce_dice"))
+    return losses.summed_losses(sums, "batch").select(
+        "batch", _milli("bce", "bce"), _milli("dice", "dice"), _milli("bce_dice", "bce_dice")
+    )
 
 
-@query("io5_version_infos", """SELECT s_suppkey % 7 + 1 AS version, count(*)::BIGINT AS total_tiles, min(s_suppkey)::BIGINT AS first_key FROM supplier GROUP BY ALL""")
+@query(
+    "io5_version_infos",
+    """SELECT s_suppkey % 7 + 1 AS version, count(*)::BIGINT AS total_tiles, min(s_suppkey)::BIGINT AS first_key FROM supplier GROUP BY ALL""",
+)
 def io5(spark, sf):
     """Versions written one after another, found again with their infos in one read."""
     from segjobs.functions.shared import shared_folder
 
     root, own = shared_folder(spark), table(spark, sf, "supplier").withColumn("v", F.col("s_suppkey") % 7)
-    counts = {r["v"]: r for r in own.groupBy("v").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first")).collect()}  # a row a version
+    counts = {  # a row a version
+        r["v"]: r for r in own.groupBy("v").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first")).collect()
+    }
     for v in sorted(counts):
-        catalog.write_version(own.where(F.col("v") == v), root, "p", "clipping", {"total_tiles": counts[v]["n"], "first_key": counts[v]["first"]})
+        catalog.write_version(
+            own.where(F.col("v") == v),
+            root,
+            "p",
+            "clipping",
+            {"total_tiles": counts[v]["n"], "first_key": counts[v]["first"]},
+        )
     found = catalog.scan_versions(spark, root, "p", "clipping")
     number = lambda k: F.get_json_object("info", f"$.{k}").cast("long").alias(k)
     return found.select(F.col("version").cast("long").alias("version"), number("total_tiles"), number("first_key"))
 
 
-@query("l4_epoch_loss", sql("tilepx", _LOSSES + " SELECT round(avg(0.5 * bce + 0.5 * dice) * 1000000)::BIGINT AS loss, count(*)::BIGINT AS n_batches FROM s"))
+@query(
+    "l4_epoch_loss",
+    sql(
+        "tilepx",
+        _LOSSES + " SELECT round(avg(0.5 * bce + 0.5 * dice) * 1000000)::BIGINT AS loss, count(*)::BIGINT AS n_batches FROM s",
+    ),
+)
 def l4(spark, sf):
-    return losses.epoch_loss(losses.batch_losses(_batched(spark, sf), "batch")).select(_milli("loss", "loss"), "n_batches")
+    return losses.epoch_loss(losses.batch_losses(_batched(spark, sf), "batch")).select(
+        _milli("loss", "loss"), "n_batches"
+    )
 
 
-@query("m1_predicted_masks", sql("tilepx", "SELECT tile_name, sum((z > 0)::INT)::BIGINT AS positive FROM tilepx GROUP BY ALL"))
+@query(
+    "m1_predicted_masks",
+    sql("tilepx", "SELECT tile_name, sum((z > 0)::INT)::BIGINT AS positive FROM tilepx GROUP BY ALL"),
+)
 def m1(spark, sf):
-    return fx.logits(spark, sf).select("tile_name", F.aggregate(F.transform("z", metrics.predicted), F.lit(0).cast("long"), lambda a, v: a + v).alias("positive"))
+    return fx.logits(spark, sf).select(
+        "tile_name",
+        F.aggregate(F.transform("z", metrics.predicted), F.lit(0).cast("long"), lambda a, v: a + v).alias("positive"),
+    )
 
 
 @query("m2_confusion_pixels", sql("tilepx", _COUNTS + " SELECT * FROM c"))
@@ -439,9 +757,14 @@ def m2_tiles(spark, sf):
 _MILLI = ", ".join(f"round({m} * 1000000)::BIGINT AS {m}" for m in metrics.METRICS)
 
 
-@query("m3_tile_rates", sql("tilepx", _COUNTS + f", r AS (SELECT tile_name, {_RATES} FROM c) SELECT tile_name, {_MILLI} FROM r"))
+@query(
+    "m3_tile_rates",
+    sql("tilepx", _COUNTS + f", r AS (SELECT tile_name, {_RATES} FROM c) SELECT tile_name, {_MILLI} FROM r"),
+)
 def m3(spark, sf):
-    return metrics.rates(metrics.tile_confusion(_tiles(spark, sf))).select("tile_name", *[_milli(m, m) for m in metrics.METRICS])
+    return metrics.rates(metrics.tile_confusion(_tiles(spark, sf))).select(
+        "tile_name", *[_milli(m, m) for m in metrics.METRICS]
+    )
 
 
 _OVERALL = _COUNTS + ", g AS (SELECT tile_name, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn, count(*) AS n_tiles FROM c GROUP BY GROUPING SETS ((tile_name), ()))" + f", r AS (SELECT *, {_RATES} FROM g) SELECT tile_name, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, n_tiles::BIGINT AS n_tiles, {_MILLI} FROM r"
@@ -450,30 +773,58 @@ _OVERALL = _COUNTS + ", g AS (SELECT tile_name, sum(tp) AS tp, sum(fp) AS fp, su
 @query("m4_tile_and_overall", sql("tilepx", _OVERALL))
 def m4(spark, sf):
     counts = metrics.confusion(_tile_pixels(spark, sf), "tile_name").withColumn("split", F.lit("test"))
-    return metrics.tile_and_overall(counts).select("tile_name", "tp", "fp", "tn", "fn", "n_tiles", *[_milli(m, m) for m in metrics.METRICS])
+    return metrics.tile_and_overall(counts).select(
+        "tile_name", "tp", "fp", "tn", "fn", "n_tiles", *[_milli(m, m) for m in metrics.METRICS]
+    )
 
 
 _BATCH_RATES = _BATCHED + ", c AS (SELECT batch, sum((z > 0 AND t = 1)::INT) AS tp, sum((z > 0 AND t = 0)::INT) AS fp, sum((z <= 0 AND t = 1)::INT) AS fn FROM b GROUP BY batch)"
 
 
-@query("m5_batch_means", sql("tilepx", _BATCH_RATES + " SELECT round(avg(tp / (tp + fp + fn + 1e-7)) * 1000000)::BIGINT AS val_iou, round(avg(2 * tp / (2 * tp + fp + fn + 1e-7)) * 1000000)::BIGINT AS val_f1, count(*)::BIGINT AS n_batches FROM c"))
+@query(
+    "m5_batch_means",
+    sql(
+        "tilepx",
+        _BATCH_RATES + " SELECT round(avg(tp / (tp + fp + fn + 1e-7)) * 1000000)::BIGINT AS val_iou, round(avg(2 * tp / (2 * tp + fp + fn + 1e-7)) * 1000000)::BIGINT AS val_f1, count(*)::BIGINT AS n_batches FROM c",
+    ),
+)
 def m5(spark, sf):
     names = split.batches(n1(spark, sf), 8).select("tile_name", "batch")
-    return metrics.batch_means(metrics.tile_confusion(_tiles(spark, sf)).join(names, "tile_name")).select(_milli("val_iou", "val_iou"), _milli("val_f1", "val_f1"), "n_batches")
-
-
-@query("m6_evenly_spaced", sql("tilepx", "o AS (SELECT tile_name, row_number() OVER (ORDER BY tile_name) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT tile_name FROM tilepx WHERE has_mask)) SELECT tile_name FROM o WHERE k % greatest(1, n // 8) = 0"))
+    return metrics.batch_means(metrics.tile_confusion(_tiles(spark, sf)).join(names, "tile_name")).select(
+        _milli("val_iou", "val_iou"), _milli("val_f1", "val_f1"), "n_batches"
+    )
+
+
+@query(
+    "m6_evenly_spaced",
+    sql(
+        "tilepx",
+        "o AS (SELECT tile_name, row_number() OVER (ORDER BY tile_name) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT tile_name FROM tilepx WHERE has_mask)) SELECT tile_name FROM o WHERE k % greatest(1, n // 8) = 0",
+    ),
+)
 def m6(spark, sf):
     return metrics.evenly_spaced(n1(spark, sf), 8)
 
 
-@query("m7_display", sql("tilepx", "SELECT tile_name, (3 * sum(CASE WHEN isnan(v) THEN 255 ELSE floor(least(greatest(v, 0), 1) * 255) END))::BIGINT AS total FROM tilepx GROUP BY ALL"))
+@query(
+    "m7_display",
+    sql(
+        "tilepx",
+        "SELECT tile_name, (3 * sum(CASE WHEN isnan(v) THEN 255 ELSE floor(least(greatest(v, 0), 1) * 255) END))::BIGINT AS total FROM tilepx GROUP BY ALL",
+    ),
+)
 def m7(spark, sf):
     shown = fx.images(spark, sf).select("tile_name", F.flatten(metrics.display(F.col("bands"))).alias("v"))
     return shown.select("tile_name", F.aggregate("v", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-@query("m8_quality_class", sql("epoch_log", "SELECT run_id, epoch, CASE WHEN val_iou >= 0.7 THEN 'good' WHEN val_iou >= 0.5 THEN 'fair' ELSE 'poor' END AS quality FROM epoch_log"))
+@query(
+    "m8_quality_class",
+    sql(
+        "epoch_log",
+        "SELECT run_id, epoch, CASE WHEN val_iou >= 0.7 THEN 'good' WHEN val_iou >= 0.5 THEN 'fair' ELSE 'poor' END AS quality FROM epoch_log",
+    ),
+)
 def m8(spark, sf):
     return fx.epoch_log(spark, sf).select("run_id", "epoch", metrics.quality_class(F.col("val_iou")).alias("quality"))
 
@@ -486,12 +837,24 @@ def m9(spark, sf):
     return metrics.best_so_far(fx.epoch_log(spark, sf)).select("run_id", "epoch", "is_best")
 
 
-@query("m10_best_epoch", sql("epoch_log", "SELECT run_id, epoch FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(val_iou, 4) DESC, epoch) AS k FROM epoch_log) WHERE k = 1"))
+@query(
+    "m10_best_epoch",
+    sql(
+        "epoch_log",
+        "SELECT run_id, epoch FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(val_iou, 4) DESC, epoch) AS k FROM epoch_log) WHERE k = 1",
+    ),
+)
 def m10(spark, sf):
     return metrics.best_epoch(fx.epoch_log(spark, sf)).select("run_id", "epoch")
 
 
-@query("m11_checkpoints", sql("epoch_log", _BEST + " SELECT run_id, epoch, 'best' AS strategy FROM f WHERE is_best UNION ALL SELECT run_id, epoch, 'every_n' FROM epoch_log WHERE epoch % 5 = 0"))
+@query(
+    "m11_checkpoints",
+    sql(
+        "epoch_log",
+        _BEST + " SELECT run_id, epoch, 'best' AS strategy FROM f WHERE is_best UNION ALL SELECT run_id, epoch, 'every_n' FROM epoch_log WHERE epoch % 5 = 0",
+    ),
+)
 def m11(spark, sf):
     log = fx.epoch_log(spark, sf)
     kept = lambda s: metrics.checkpoints(log, s, 5).select("run_id", "epoch", F.lit(s).alias("strategy"))
@@ -501,18 +864,50 @@ def m11(spark, sf):
 # Prediction ------------------------------------------------------------------------------------------------------
 
 
-@query("s1_prediction_tiles", sql("pixels scenes", _PTILES + " SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, rw::BIGINT AS read_w, rh::BIGINT AS read_h, sum(b3 * ((y - row0) * 16 + x - col0))::BIGINT AS weighted FROM n GROUP BY ALL"))
+@query(
+    "s1_prediction_tiles",
+    sql(
+        "pixels scenes",
+        _PTILES + " SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, rw::BIGINT AS read_w, rh::BIGINT AS read_h, sum(b3 * ((y - row0) * 16 + x - col0))::BIGINT AS weighted FROM n GROUP BY ALL",
+    ),
+)
 def s1(spark, sf):
     tiles = score.prediction_tiles(fx.pixels(spark, sf), fx.scenes(spark, sf), SIZE, OVERLAP, BANDS)
-    return tiles.select("scene_id", "col0", "row0", "read_w", "read_h", F.aggregate(F.transform(F.col("bands")[2], lambda v, p: v * p), F.lit(0.0), lambda a, v: a + v).cast("long").alias("weighted"))
-
-
-@query("s1_block_tiles", sql("pixels scenes", _tiles_sql(9) + " SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, rw::BIGINT AS read_w, rh::BIGINT AS read_h, sum(b3 * ((y - row0) * 16 + x - col0))::BIGINT AS weighted FROM n GROUP BY ALL"))
+    return tiles.select(
+        "scene_id",
+        "col0",
+        "row0",
+        "read_w",
+        "read_h",
+        F.aggregate(F.transform(F.col("bands")[2], lambda v, p: v * p), F.lit(0.0), lambda a, v: a + v).cast(
+            "long"
+        ).alias("weighted"),
+    )
+
+
+@query(
+    "s1_block_tiles",
+    sql(
+        "pixels scenes",
+        _tiles_sql(
+            9
+        ) + " SELECT scene_id, col0::BIGINT AS col0, row0::BIGINT AS row0, rw::BIGINT AS read_w, rh::BIGINT AS read_h, sum(b3 * ((y - row0) * 16 + x - col0))::BIGINT AS weighted FROM n GROUP BY ALL",
+    ),
+)
 def s1_blocks(spark, sf):
     """Prediction windows from blocks, at a stride that does not divide their size."""
     s, block = fx.scenes(spark, sf), blocks.block_for(SIZE, grid.prediction_stride(SIZE, 0.4))
     tiles = blocks.prediction_tiles(blocks.blocks_of(fx.pixels(spark, sf), s, block, BANDS), s, block, SIZE, 0.4)
-    return tiles.select("scene_id", "col0", "row0", "read_w", "read_h", F.aggregate(F.transform(F.col("bands")[2], lambda v, p: v * p), F.lit(0.0), lambda a, v: a + v).cast("long").alias("weighted"))
+    return tiles.select(
+        "scene_id",
+        "col0",
+        "row0",
+        "read_w",
+        "read_h",
+        F.aggregate(F.transform(F.col("bands")[2], lambda v, p: v * p), F.lit(0.0), lambda a, v: a + v).cast(
+            "long"
+        ).alias("weighted"),
+    )
 
 
 @query("s2_custom_scorer", sql("pixels scenes", _PTILES + """, f AS (SELECT scene_id, col0, row0, sum(1 / (1 + exp(-(2.0 * n1 - 1.0 * n2 + 0.5 * n3 - 0.25)))) AS inside, 256 - any_value(rw * rh) AS padding,
@@ -524,11 +919,24 @@ def s2(spark, sf):
 
         return lambda x: [None, np.tensordot(x, np.array(WEIGHTS), axes=([1], [0])) + BIAS]
 
-    tiles = prepare.normalized_padded(score.prediction_tiles(fx.pixels(spark, sf), fx.scenes(spark, sf), SIZE, OVERLAP, BANDS))
-    return score.scored(tiles, make).select("scene_id", "col0", "row0", F.round(F.aggregate("prob", F.lit(0.0), lambda a, v: a + v) * 1000).cast("long").alias("total"))
-
-
-@query("s3_s4_blended", sql("pixels scenes", _PTILES + " SELECT scene_id, y::BIGINT AS y, x::BIGINT AS x, round(mean * 1000000)::BIGINT AS mean, (mean > 0.5)::INT AS mask FROM q"))
+    tiles = prepare.normalized_padded(
+        score.prediction_tiles(fx.pixels(spark, sf), fx.scenes(spark, sf), SIZE, OVERLAP, BANDS)
+    )
+    return score.scored(tiles, make).select(
+        "scene_id",
+        "col0",
+        "row0",
+        F.round(F.aggregate("prob", F.lit(0.0), lambda a, v: a + v) * 1000).cast("long").alias("total"),
+    )
+
+
+@query(
+    "s3_s4_blended",
+    sql(
+        "pixels scenes",
+        _PTILES + " SELECT scene_id, y::BIGINT AS y, x::BIGINT AS x, round(mean * 1000000)::BIGINT AS mean, (mean > 0.5)::INT AS mask FROM q",
+    ),
+)
 def s3(spark, sf):
     return _prediction(spark, sf).select("scene_id", "y", "x", _milli("mean", "mean"), "mask")
 
@@ -556,18 +964,44 @@ def _regions(spark, sf):
     return polygonize.regions(fx.pixels(spark, sf).where("ref_mask = 1").select("scene_id", "y", "x"), 16)
 
 
-@query("s5_s6_regions", sql("pixels", "pos AS (SELECT scene_id, y, x FROM pixels WHERE ref_mask = 1),\n" + _REGIONS + " SELECT scene_id, count(*)::BIGINT AS n_pixels, count(*) * 0.25::DOUBLE AS area, min(x)::BIGINT AS x0, max(x)::BIGINT AS x1, min(y)::BIGINT AS y0, max(y)::BIGINT AS y1 FROM g GROUP BY scene_id, k", recursive=True))
+@query(
+    "s5_s6_regions",
+    sql(
+        "pixels",
+        "pos AS (SELECT scene_id, y, x FROM pixels WHERE ref_mask = 1),\n" + _REGIONS + " SELECT scene_id, count(*)::BIGINT AS n_pixels, count(*) * 0.25::DOUBLE AS area, min(x)::BIGINT AS x0, max(x)::BIGINT AS x1, min(y)::BIGINT AS y0, max(y)::BIGINT AS y1 FROM g GROUP BY scene_id, k",
+        recursive=True,
+    ),
+)
 def s5(spark, sf):
-    return polygonize.region_summary(_regions(spark, sf), fx.scenes(spark, sf)).select("scene_id", "n_pixels", "area", "x0", "x1", "y0", "y1")
-
-
-@query("s5_region_polygons", sql("pixels", "pos AS (SELECT scene_id, y, x FROM pixels WHERE ref_mask = 1),\n" + _REGIONS + " SELECT scene_id, (min(y) * 1000 + arg_min(x, y * 1000 + x))::BIGINT AS first_pixel, round(count(*) * 0.25 * 4)::BIGINT AS quarters FROM g GROUP BY scene_id, k", recursive=True))
+    return polygonize.region_summary(_regions(spark, sf), fx.scenes(spark, sf)).select(
+        "scene_id", "n_pixels", "area", "x0", "x1", "y0", "y1"
+    )
+
+
+@query(
+    "s5_region_polygons",
+    sql(
+        "pixels",
+        "pos AS (SELECT scene_id, y, x FROM pixels WHERE ref_mask = 1),\n" + _REGIONS + " SELECT scene_id, (min(y) * 1000 + arg_min(x, y * 1000 + x))::BIGINT AS first_pixel, round(count(*) * 0.25 * 4)::BIGINT AS quarters FROM g GROUP BY scene_id, k",
+        recursive=True,
+    ),
+)
 def s5_polygons(spark, sf):
     made = polygonize.polygons_of(stored(_regions(spark, sf)), fx.scenes(spark, sf))
-    return made.select("scene_id", (F.col("first_y") * 1000 + F.col("first_x")).alias("first_pixel"), F.round(clean.area(F.col("parts")) * 4).cast("long").alias("quarters"))
-
-
-@query("s7_prediction_summary", sql("pixels scenes", _PTILES + " SELECT s.scene_id, width::INT AS width, height::INT AS height, (SELECT count(*) FROM t WHERE t.scene_id = s.scene_id)::BIGINT AS n_tiles, 'both' AS outputs FROM scenes s"))
+    return made.select(
+        "scene_id",
+        (F.col("first_y") * 1000 + F.col("first_x")).alias("first_pixel"),
+        F.round(clean.area(F.col("parts")) * 4).cast("long").alias("quarters"),
+    )
+
+
+@query(
+    "s7_prediction_summary",
+    sql(
+        "pixels scenes",
+        _PTILES + " SELECT s.scene_id, width::INT AS width, height::INT AS height, (SELECT count(*) FROM t WHERE t.scene_id = s.scene_id)::BIGINT AS n_tiles, 'both' AS outputs FROM scenes s",
+    ),
+)
 def s7(spark, sf):
     s = fx.scenes(spark, sf)
     return score.prediction_summary(s, grid.prediction_grid(s, SIZE, OVERLAP))
@@ -583,15 +1017,33 @@ def _merged(spark, sf):
     return stored(clean.merged(fx.predicted_polygons(spark, sf)))
 
 
-@query("pp1_merged_area", sql("rects", _CELLS + " SELECT scene_id, count(*)::BIGINT AS area FROM cells GROUP BY scene_id"))
+@query(
+    "pp1_merged_area", sql("rects", _CELLS + " SELECT scene_id, count(*)::BIGINT AS area FROM cells GROUP BY scene_id")
+)
 def pp1(spark, sf):
-    return _merged(spark, sf).groupBy("scene_id").agg(F.round(F.sum(clean.area(F.col("parts")))).cast("long").alias("area"))
-
-
-@query("pp1_merged_polygons", sql("rects", _CELLS + ",\npos AS (SELECT * FROM cells),\n" + _REGIONS.replace("y * 1000 + x", "x * 1000 + y") + " SELECT scene_id, count(*)::BIGINT AS area, min(x)::DOUBLE AS x0, min(y)::DOUBLE AS y0 FROM g GROUP BY scene_id, k", recursive=True))
+    return _merged(spark, sf).groupBy("scene_id").agg(
+        F.round(F.sum(clean.area(F.col("parts")))).cast("long").alias("area")
+    )
+
+
+@query(
+    "pp1_merged_polygons",
+    sql(
+        "rects",
+        _CELLS + ",\npos AS (SELECT * FROM cells),\n" + _REGIONS.replace(
+            "y * 1000 + x", "x * 1000 + y"
+        ) + " SELECT scene_id, count(*)::BIGINT AS area, min(x)::DOUBLE AS x0, min(y)::DOUBLE AS y0 FROM g GROUP BY scene_id, k",
+        recursive=True,
+    ),
+)
 def pp1_polygons(spark, sf):
     made = validate.bounds(_merged(spark, sf))
-    return made.select("scene_id", F.round(clean.area(F.col("parts"))).cast("long").alias("area"), F.col("min_x").alias("x0"), F.col("min_y").alias("y0"))
+    return made.select(
+        "scene_id",
+        F.round(clean.area(F.col("parts"))).cast("long").alias("area"),
+        F.col("min_x").alias("x0"),
+        F.col("min_y").alias("y0"),
+    )
 
 
 # A unit square's diagonals cut it into four triangles, each of which a diamond covers or not: by its middle, in sixths.
@@ -599,7 +1051,10 @@ _TRIANGLES = """quarters AS (SELECT scene_id, cx, cy, t FROM (SELECT scene_id, p
   FROM diamonds JOIN range(0, 20) a(dx) ON dx < 2 * r JOIN range(0, 20) b(dy) ON dy < 2 * r, range(0, 4) c(t)) WHERE away < 6 * r AND NOT (hole AND away < 6 * (r - 2)) GROUP BY ALL)"""
 
 
-@query("pp1_merged_slanted", sql("diamonds", _TRIANGLES + " SELECT scene_id, count(*)::BIGINT AS quarters FROM quarters GROUP BY scene_id"))
+@query(
+    "pp1_merged_slanted",
+    sql("diamonds", _TRIANGLES + " SELECT scene_id, count(*)::BIGINT AS quarters FROM quarters GROUP BY scene_id"),
+)
 def pp1_slanted(spark, sf):
     made = stored(clean.merged(fx.slanted_polygons(spark, sf)))
     return made.groupBy("scene_id").agg(F.round(F.sum(clean.area(F.col("parts"))) * 4).cast("long").alias("quarters"))
@@ -622,29 +1077,80 @@ SELECT scene_id, count(*)::BIGINT AS quarters FROM g GROUP BY scene_id, m"""
 def pp1_slanted_map(spark, sf):
     """Far from the origin and in steps that are no binary fractions, as map coordinates are."""
     made = clean.merged(fx.slanted_polygons(spark, sf, 0.3, 500000.37, 5000000.21))
-    near = F.transform("parts", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] - 500000.37).alias("x"), (p["y"] - 5000000.21).alias("y")))))
+    near = F.transform(
+        "parts",
+        lambda rings: F.transform(
+            rings,
+            lambda r: F.transform(
+                r, lambda p: F.struct((p["x"] - 500000.37).alias("x"), (p["y"] - 5000000.21).alias("y"))
+            ),
+        ),
+    )
     return made.select("scene_id", F.round(clean.area(near) / 0.09 * 4).cast("long").alias("quarters"))
 
 
-@query("pp2_fill_holes", sql("rects", "SELECT poly_id, (2 * CASE WHEN two THEN 2 ELSE 1 END * w * h)::BIGINT AS all_filled, (2 * CASE WHEN two THEN 2 ELSE 1 END * w * h)::BIGINT AS small_filled, (2 * (CASE WHEN two THEN 2 ELSE 1 END * w * h - hole::INT))::BIGINT AS none_filled FROM rects"))
+@query(
+    "pp2_fill_holes",
+    sql(
+        "rects",
+        "SELECT poly_id, (2 * CASE WHEN two THEN 2 ELSE 1 END * w * h)::BIGINT AS all_filled, (2 * CASE WHEN two THEN 2 ELSE 1 END * w * h)::BIGINT AS small_filled, (2 * (CASE WHEN two THEN 2 ELSE 1 END * w * h - hole::INT))::BIGINT AS none_filled FROM rects",
+    ),
+)
 def pp2(spark, sf):
     own = fx.predicted_polygons(spark, sf)
-    filled = lambda a, name: clean.fill_holes(own, a).select("poly_id", F.round(clean.area(F.col("parts")) * 2).cast("long").alias(name))
+    filled = lambda a, name: clean.fill_holes(own, a).select(
+        "poly_id", F.round(clean.area(F.col("parts")) * 2).cast("long").alias(name)
+    )
     return filled(0, "all_filled").join(filled(2, "small_filled"), "poly_id").join(filled(1, "none_filled"), "poly_id")
 
 
-@query("pp3_pp4_area_filters", sql("rects", f"SELECT poly_id, (2 * {_RECT_AREA})::BIGINT AS double_area FROM rects WHERE {_RECT_AREA} >= 10 AND {_RECT_AREA} <= 40"))
+@query(
+    "pp3_pp4_area_filters",
+    sql(
+        "rects",
+        f"SELECT poly_id, (2 * {_RECT_AREA})::BIGINT AS double_area FROM rects WHERE {_RECT_AREA} >= 10 AND {_RECT_AREA} <= 40",
+    ),
+)
 def pp3(spark, sf):
     kept = clean.filter_area(fx.predicted_polygons(spark, sf), 10, 40)
     return kept.select("poly_id", F.round(clean.area(F.col("parts")) * 2).cast("long").alias("double_area"))
 
 
-@query("pp5_simplify", sql("rects", f"SELECT poly_id, (2 * {_RECT_AREA})::BIGINT AS double_area, (5 * (CASE WHEN two THEN 2 ELSE 1 END + hole::INT))::BIGINT AS n_points FROM rects"))
+@query(
+    "pp5_simplify",
+    sql(
+        "rects",
+        f"SELECT poly_id, (2 * {_RECT_AREA})::BIGINT AS double_area, (5 * (CASE WHEN two THEN 2 ELSE 1 END + hole::INT))::BIGINT AS n_points FROM rects",
+    ),
+)
 def pp5(spark, sf):
     # Points half-way along every edge, which simplifying takes out again.
-    halves = F.transform("parts", lambda rings: F.transform(rings, lambda r: F.concat(F.flatten(F.transform(F.slice(r, 1, F.size(r) - 1), lambda p, i: F.array(p, F.struct(((p["x"] + r[i + 1]["x"]) / 2).alias("x"), ((p["y"] + r[i + 1]["y"]) / 2).alias("y"))))), F.slice(r, -1, 1))))
+    halves = F.transform(
+        "parts",
+        lambda rings: F.transform(
+            rings,
+            lambda r: F.concat(
+                F.flatten(
+                    F.transform(
+                        F.slice(r, 1, F.size(r) - 1),
+                        lambda p, i: F.array(
+                            p,
+                            F.struct(
+                                ((p["x"] + r[i + 1]["x"]) / 2).alias("x"), ((p["y"] + r[i + 1]["y"]) / 2).alias("y")
+                            ),
+                        ),
+                    )
+                ),
+                F.slice(r, -1, 1),
+            ),
+        ),
+    )
     made = clean.simplify(fx.predicted_polygons(spark, sf).withColumn("parts", halves), 0.25)
-    return made.select("poly_id", F.round(clean.area(F.col("parts")) * 2).cast("long").alias("double_area"), F.size(F.flatten(F.flatten("parts"))).cast("long").alias("n_points"))
+    return made.select(
+        "poly_id",
+        F.round(clean.area(F.col("parts")) * 2).cast("long").alias("double_area"),
+        F.size(F.flatten(F.flatten("parts"))).cast("long").alias("n_points"),
+    )
 
 
 @query("pp6_smooth", sql("rects", """SELECT poly_id, ((CASE WHEN two THEN 2 ELSE 1 END + hole::INT) * 33)::BIGINT AS n_points,
@@ -652,14 +1158,24 @@ def pp5(spark, sf):
 def pp6(spark, sf):
     made = clean.smooth(fx.predicted_polygons(spark, sf), 3)
     points = F.flatten(F.flatten("parts"))
-    open_x = F.aggregate(F.flatten(F.transform("parts", lambda rings: F.flatten(F.transform(rings, lambda r: F.slice(r, 1, F.size(r) - 1))))), F.lit(0.0), lambda a, p: a + p["x"])
-    return made.select("poly_id", F.size(points).cast("long").alias("n_points"), F.round(open_x).cast("long").alias("sum_x"))
+    open_x = F.aggregate(
+        F.flatten(
+            F.transform("parts", lambda rings: F.flatten(F.transform(rings, lambda r: F.slice(r, 1, F.size(r) - 1))))
+        ),
+        F.lit(0.0),
+        lambda a, p: a + p["x"],
+    )
+    return made.select(
+        "poly_id", F.size(points).cast("long").alias("n_points"), F.round(open_x).cast("long").alias("sum_x")
+    )
 
 
 @query("pp8_counts", sql("rects", """f AS (SELECT CASE WHEN two THEN 2 ELSE 1 END * w * h AS area FROM rects)
 SELECT count(*)::BIGINT AS input_count, count(*) FILTER (area BETWEEN 10 AND 60)::BIGINT AS output_count, (2 * sum(area) FILTER (area BETWEEN 10 AND 60))::BIGINT AS double_area FROM f"""))
 def pp8_counts(spark, sf):
-    made, before, after = jobs.postprocess(fx.predicted_polygons(spark, sf), clean.Steps(min_hole_area=0, min_area=10, max_area=60))
+    made, before, after = jobs.postprocess(
+        fx.predicted_polygons(spark, sf), clean.Steps(min_hole_area=0, min_area=10, max_area=60)
+    )
     counts = [F.lit(n).cast("long").alias(name) for n, name in ((before, "input_count"), (after, "output_count"))]
     return made.agg(F.round(2 * F.sum("area")).cast("long").alias("double_area")).select(*counts, "double_area")
 
@@ -669,13 +1185,20 @@ SELECT scene_id, count(*)::BIGINT AS output_count, (1000 * sum(area))::BIGINT AS
 def pp8_filter(spark, sf):
     """Merged first, so that areas are those of the merged polygons."""
     made = clean.cleaned(fx.predicted_polygons(spark, sf), clean.Steps(merge=True, min_area=10, max_area=400))
-    return made.groupBy("scene_id").agg(F.count("*").alias("output_count"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli"))
+    return made.groupBy("scene_id").agg(
+        F.count("*").alias("output_count"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli")
+    )
 
 
 @query("pp7_pp8_clean_up")
 def pp8(spark, sf):
-    made = clean.cleaned(fx.predicted_polygons(spark, sf), clean.Steps(merge=True, min_hole_area=0, min_area=10, max_area=400, tolerance=0.5, smooth_rounds=1))
-    return made.groupBy("scene_id").agg(F.count("*").alias("output_count"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli"))
+    made = clean.cleaned(
+        fx.predicted_polygons(spark, sf),
+        clean.Steps(merge=True, min_hole_area=0, min_area=10, max_area=400, tolerance=0.5, smooth_rounds=1),
+    )
+    return made.groupBy("scene_id").agg(
+        F.count("*").alias("output_count"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli")
+    )
 
 
 # Jobs ------------------------------------------------------------------------------------------------------------
@@ -686,7 +1209,13 @@ SELECT k.scene_id, tile_idx::BIGINT AS tile_idx, 'scene_' || k.scene_id || '_' |
 FROM k JOIN pixels p ON p.scene_id = k.scene_id AND p.x >= i * 4 AND p.x < i * 4 + 8 AND p.y >= j * 4 AND p.y < j * 4 + 8 GROUP BY k.scene_id, tile_idx, i, j"""))
 def j1(spark, sf):
     made = jobs.clipped_tiles(fx.pixels(spark, sf), fx.scenes(spark, sf), fx.polygons(spark, sf), WINDOW, STRIDE)
-    return made.select("scene_id", "tile_idx", "tile_name", F.aggregate(F.col("bands")[2], F.lit(0.0), lambda a, v: a + v).cast("long").alias("b3_sum"), F.aggregate(prepare.binary(F.col("mask")), F.lit(0).cast("long"), lambda a, v: a + v).alias("positive"))
+    return made.select(
+        "scene_id",
+        "tile_idx",
+        "tile_name",
+        F.aggregate(F.col("bands")[2], F.lit(0.0), lambda a, v: a + v).cast("long").alias("b3_sum"),
+        F.aggregate(prepare.binary(F.col("mask")), F.lit(0).cast("long"), lambda a, v: a + v).alias("positive"),
+    )
 
 
 def _prepared_sql() -> str:
@@ -703,24 +1232,56 @@ def j4(spark, sf):
     from segjobs.functions.shared import shared_folder
 
     root = shared_folder(spark)
-    clipping, splitting, augmented = jobs.run_all(spark, root, "fields", fx.pixels(spark, sf), fx.scenes(spark, sf), fx.polygons(spark, sf), WINDOW, STRIDE, augment.METHODS)
+    clipping, splitting, augmented = jobs.run_all(
+        spark,
+        root,
+        "fields",
+        fx.pixels(spark, sf),
+        fx.scenes(spark, sf),
+        fx.polygons(spark, sf),
+        WINDOW,
+        STRIDE,
+        augment.METHODS,
+    )
     made = catalog.read_version(spark, root, "fields", "augmented", augmented)
-    return made.groupBy("subset", "method").agg(F.count("*").alias("n")).withColumns({"clipping": F.lit(clipping), "splitting": F.lit(splitting), "augmented": F.lit(augmented)})
+    return made.groupBy("subset", "method").agg(F.count("*").alias("n")).withColumns(
+        {"clipping": F.lit(clipping), "splitting": F.lit(splitting), "augmented": F.lit(augmented)}
+    )
 
 
 @query("j5_evaluate", sql("tilepx", _OVERALL))
 def j5(spark, sf):
-    return jobs.evaluate(fx.images(spark, sf), fx.masks(spark, sf), fx.logits(spark, sf)).select("tile_name", "tp", "fp", "tn", "fn", "n_tiles", *[_milli(m, m) for m in metrics.METRICS])
-
-
-@query("j6_predict", sql("pixels scenes", _PTILES + " SELECT scene_id, count(*)::BIGINT AS n_pixels, sum((mean > 0.5)::INT)::BIGINT AS n_positive FROM q GROUP BY ALL"))
+    return jobs.evaluate(fx.images(spark, sf), fx.masks(spark, sf), fx.logits(spark, sf)).select(
+        "tile_name", "tp", "fp", "tn", "fn", "n_tiles", *[_milli(m, m) for m in metrics.METRICS]
+    )
+
+
+@query(
+    "j6_predict",
+    sql(
+        "pixels scenes",
+        _PTILES + " SELECT scene_id, count(*)::BIGINT AS n_pixels, sum((mean > 0.5)::INT)::BIGINT AS n_positive FROM q GROUP BY ALL",
+    ),
+)
 def j6_predict(spark, sf):
-    return _prediction(spark, sf).groupBy("scene_id").agg(F.count("*").alias("n_pixels"), F.sum("mask").alias("n_positive"))
-
-
-@query("j6_predict_uneven_overlap", sql("pixels scenes", _tiles_sql(9) + " SELECT scene_id, count(*)::BIGINT AS n_pixels, sum((mean > 0.5)::INT)::BIGINT AS n_positive FROM q GROUP BY ALL"))
+    return _prediction(spark, sf).groupBy("scene_id").agg(
+        F.count("*").alias("n_pixels"), F.sum("mask").alias("n_positive")
+    )
+
+
+@query(
+    "j6_predict_uneven_overlap",
+    sql(
+        "pixels scenes",
+        _tiles_sql(
+            9
+        ) + " SELECT scene_id, count(*)::BIGINT AS n_pixels, sum((mean > 0.5)::INT)::BIGINT AS n_positive FROM q GROUP BY ALL",
+    ),
+)
 def j6_uneven(spark, sf):
-    return _prediction(spark, sf, 0.4).groupBy("scene_id").agg(F.count("*").alias("n_pixels"), F.sum("mask").alias("n_positive"))
+    return _prediction(spark, sf, 0.4).groupBy("scene_id").agg(
+        F.count("*").alias("n_pixels"), F.sum("mask").alias("n_positive")
+    )
 
 
 @query("j6_j7_predict_and_filter", sql("pixels scenes", _PTILES + ",\npos AS (SELECT scene_id, y, x FROM q WHERE mean > 0.5),\n" + _REGIONS + """, r AS (SELECT scene_id, count(*) * 0.25 AS area FROM g GROUP BY scene_id, k)
@@ -728,17 +1289,33 @@ SELECT scene_id, count(*)::BIGINT AS n_polygons, (1000 * sum(area))::BIGINT AS a
 def j7_filter(spark, sf):
     polygons = jobs.predict_polygons(_prediction(spark, sf), fx.scenes(spark, sf))
     made, _, _ = jobs.postprocess(polygons, clean.Steps(min_area=1.0))
-    return made.groupBy("scene_id").agg(F.count("*").alias("n_polygons"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli"))
+    return made.groupBy("scene_id").agg(
+        F.count("*").alias("n_polygons"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli")
+    )
 
 
 @query("j6_j7_predict_and_clean")
 def j7(spark, sf):
     scenes = fx.scenes(spark, sf)
     polygons = jobs.predict_polygons(_prediction(spark, sf), scenes)
-    made, _, _ = jobs.postprocess(polygons, clean.Steps(min_hole_area=1.0, min_area=1.0, tolerance=0.25, smooth_rounds=1))
-    return made.groupBy("scene_id").agg(F.count("*").alias("n_polygons"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli"))
-
-
-@query("j8_validation_epoch", sql("tilepx", _LOSSES + ", " + _BATCH_RATES.removeprefix(_BATCHED + ", ") + " SELECT (SELECT round(avg(0.5 * bce + 0.5 * dice) * 1000000) FROM s)::BIGINT AS val_loss, round(avg(tp / (tp + fp + fn + 1e-7)) * 1000000)::BIGINT AS val_iou, round(avg(2 * tp / (2 * tp + fp + fn + 1e-7)) * 1000000)::BIGINT AS val_f1, count(*)::BIGINT AS n_batches FROM c"))
+    made, _, _ = jobs.postprocess(
+        polygons, clean.Steps(min_hole_area=1.0, min_area=1.0, tolerance=0.25, smooth_rounds=1)
+    )
+    return made.groupBy("scene_id").agg(
+        F.count("*").alias("n_polygons"), F.round(F.sum("area") * 1000).cast("long").alias("area_milli")
+    )
+
+
+@query(
+    "j8_validation_epoch",
+    sql(
+        "tilepx",
+        _LOSSES + ", " + _BATCH_RATES.removeprefix(
+            _BATCHED + ", "
+        ) + " SELECT (SELECT round(avg(0.5 * bce + 0.5 * dice) * 1000000) FROM s)::BIGINT AS val_loss, round(avg(tp / (tp + fp + fn + 1e-7)) * 1000000)::BIGINT AS val_iou, round(avg(2 * tp / (2 * tp + fp + fn + 1e-7)) * 1000000)::BIGINT AS val_f1, count(*)::BIGINT AS n_batches FROM c",
+    ),
+)
 def j8(spark, sf):
-    return jobs.validation_epoch(fx.images(spark, sf), fx.masks(spark, sf), fx.logits(spark, sf), 8).select(_milli("val_loss", "val_loss"), _milli("val_iou", "val_iou"), _milli("val_f1", "val_f1"), "n_batches")
+    return jobs.validation_epoch(fx.images(spark, sf), fx.masks(spark, sf), fx.logits(spark, sf), 8).select(
+        _milli("val_loss", "val_loss"), _milli("val_iou", "val_iou"), _milli("val_f1", "val_f1"), "n_batches"
+    )

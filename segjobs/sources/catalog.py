@@ -31,7 +31,9 @@ def stage_folder(root: str, prefix: str, stage: str) -> str:
 
 def versions(spark: SparkSession, root: str, prefix: str, stage: str) -> list[int]:
     """Numbers of all ``v<number>`` folders, ascending; other names are ignored."""
-    return sorted(int(m[1]) for name in _listed(spark, stage_folder(root, prefix, stage)) if (m := re.fullmatch(r"v(\d+)", name)))
+    return sorted(
+        int(m[1]) for name in _listed(spark, stage_folder(root, prefix, stage)) if (m := re.fullmatch(r"v(\d+)", name))
+    )
 
 
 def next_version(spark: SparkSession, root: str, prefix: str, stage: str) -> int:
@@ -42,7 +44,8 @@ def next_version(spark: SparkSession, root: str, prefix: str, stage: str) -> int
 def _moved(spark: SparkSession, source: str, target: str, mark: str) -> bool:
     """Whether the folder source, which holds a file of the name mark, became target; False if target was there before.
 
-    Stores rename a folder at once. Where one moves it into a target that is there already, mark tells, and it comes back out.
+    Stores rename a folder at once. Where one moves it into a target that is there already, mark tells, and it comes
+    back out.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
@@ -58,7 +61,9 @@ def _moved(spark: SparkSession, source: str, target: str, mark: str) -> bool:
     return False
 
 
-def write_version(df: DataFrame, root: str, prefix: str, stage: str, info: dict, partition_by: str | None = None) -> int:
+def write_version(
+    df: DataFrame, root: str, prefix: str, stage: str, info: dict, partition_by: str | None = None
+) -> int:
     """Write df and its info (made a row of JSON, with a time stamp) as a new version; its number.
 
     Both are written to a folder of their own first, which then takes the next free number by one rename: a version is
@@ -68,7 +73,9 @@ def write_version(df: DataFrame, root: str, prefix: str, stage: str, info: dict,
     folder = stage_folder(root, prefix, stage)
     own = f"{folder}/_writing{mark}"
     df.write.mode("errorifexists").parquet(f"{own}/table", partitionBy=[partition_by] if partition_by else None)
-    row = spark.range(1).select(F.current_timestamp().cast("string").alias("created"), *[F.lit(v).alias(k) for k, v in info.items()])
+    row = spark.range(1).select(
+        F.current_timestamp().cast("string").alias("created"), *[F.lit(v).alias(k) for k, v in info.items()]
+    )
     row.coalesce(1).write.mode("errorifexists").json(f"{own}/{stage}_info.json")
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(f"{own}/{mark}")
@@ -85,19 +92,28 @@ def read_version(spark: SparkSession, root: str, prefix: str, stage: str, number
 
 
 def scan_versions(spark: SparkSession, root: str, prefix: str, stage: str) -> DataFrame:
-    """version and info (JSON text; null where the info is missing), by number: one read over the infos of all versions."""
+    """version and info (JSON text; null where the info is missing), by number: one read over the infos of all
+    versions."""
     folder = stage_folder(root, prefix, stage)
     numbers = versions(spark, root, prefix, stage)
     listed = spark.createDataFrame([(n,) for n in numbers], "version int")
-    with_info = [f"{folder}/v{n}/{stage}_info.json" for n in numbers if _exists(spark, f"{folder}/v{n}/{stage}_info.json")]
+    with_info = [
+        f"{folder}/v{n}/{stage}_info.json" for n in numbers if _exists(spark, f"{folder}/v{n}/{stage}_info.json")
+    ]
     if not with_info:
         return listed.select("version", F.lit(None).cast("string").alias("info")).orderBy("version")
-    texts = spark.read.text(with_info).select(F.regexp_extract(F.col("_metadata.file_path"), r"/v(\d+)/[^/]*_info\.json/", 1).cast("int").alias("version"), "value")
+    texts = spark.read.text(with_info).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"/v(\d+)/[^/]*_info\.json/", 1).cast("int").alias("version"),
+        "value",
+    )
     infos = texts.groupBy("version").agg(F.first("value").alias("info"))
     return listed.join(infos, "version", "left").orderBy("version")
 
 
 def dataset_summary(augmented: DataFrame, clipping: DataFrame) -> DataFrame:
-    """Augmented versions (version, based_on_clipping_version, n_train, n_valid, n_test) with the tile size and bands of their clipping version."""
+    """Augmented versions (version, based_on_clipping_version, n_train, n_valid, n_test) with the tile size and bands of
+    their clipping version."""
     own = clipping.select(F.col("version").alias("based_on_clipping_version"), "window_size", "band_count")
-    return augmented.join(own, "based_on_clipping_version", "left").select("version", "based_on_clipping_version", "window_size", "band_count", "n_train", "n_valid", "n_test")
+    return augmented.join(own, "based_on_clipping_version", "left").select(
+        "version", "based_on_clipping_version", "window_size", "band_count", "n_train", "n_valid", "n_test"
+    )

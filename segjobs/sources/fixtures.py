@@ -15,17 +15,38 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_id, y, x, b1, b2, b3, ref_mask."""
     at = F.col("event_id") % PIXELS_A_SCENE
     return table(spark, sf_dir, "events").select(
-        F.floor(F.col("event_id") / PIXELS_A_SCENE).alias("scene_id"), F.floor(at / 100).alias("y"), (F.col("event_id") % 100).alias("x"),
-        F.col("value").cast("double").alias("b1"), F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("b2"), F.col("user_id").cast("double").alias("b3"),
+        F.floor(F.col("event_id") / PIXELS_A_SCENE).alias("scene_id"), F.floor(at / 100).alias("y"), (
+            F.col("event_id") % 100
+        ).alias("x"),
+        F.col("value").cast("double").alias("b1"), F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias(
+            "b2"
+        ), F.col("user_id").cast("double").alias("b3"),
         (F.col("event_type") == "error").cast("int").alias("ref_mask"),
     )
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_id, name, width, height, band_count, crs, gt."""
-    size = pixels(spark, sf_dir).groupBy("scene_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
-    gt = F.struct((1000 + 100 * F.col("scene_id")).cast("double").alias("x0"), F.lit(0.5).alias("pw"), F.lit(0.0).alias("rx"), F.lit(5000.0).alias("y0"), F.lit(0.0).alias("ry"), F.lit(-0.5).alias("ph"))
-    return size.select("scene_id", F.concat(F.lit("scene "), F.col("scene_id").cast("string"), F.lit("!")).alias("name"), "width", "height", F.lit(3).alias("band_count"), F.lit(CRS).alias("crs"), gt.alias("gt"))
+    size = pixels(spark, sf_dir).groupBy("scene_id").agg(
+        (F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height")
+    )
+    gt = F.struct(
+        (1000 + 100 * F.col("scene_id")).cast("double").alias("x0"),
+        F.lit(0.5).alias("pw"),
+        F.lit(0.0).alias("rx"),
+        F.lit(5000.0).alias("y0"),
+        F.lit(0.0).alias("ry"),
+        F.lit(-0.5).alias("ph"),
+    )
+    return size.select(
+        "scene_id",
+        F.concat(F.lit("scene "), F.col("scene_id").cast("string"), F.lit("!")).alias("name"),
+        "width",
+        "height",
+        F.lit(3).alias("band_count"),
+        F.lit(CRS).alias("crs"),
+        gt.alias("gt"),
+    )
 
 
 def n_scenes(spark: SparkSession, sf_dir: str) -> int:
@@ -51,43 +72,71 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, py = (k * k * 7 + k * 37) % 101 + 0.25, (k * k * 3 + k * 53) % 103 + 0.25
     w, h = 2 + k % 7, 2 + k % 5
     triangle = F.array(_point(px, py), _point(px + w, py), _point(px, py + h + 0.125), _point(px, py))
-    rings = F.when(k % 3 == 1, F.array(triangle)).when(k % 3 == 2, F.array(_rectangle(px, py, w, h), _rectangle(px + 0.5, py + 0.5, w - 1, h - 1))).otherwise(F.array(_rectangle(px, py, w, h)))
-    own = table(spark, sf_dir, "supplier").select(k.alias("poly_id"), (k % n_scenes(spark, sf_dir)).alias("scene_id"), rings.alias("rings"))
-    return own.select("poly_id", "scene_id", F.lit("Polygon").alias("geom_type"), F.array(F.transform("rings", _placed)).alias("parts"), F.lit(CRS).alias("crs"))
+    rings = F.when(k % 3 == 1, F.array(triangle)).when(
+        k % 3 == 2, F.array(_rectangle(px, py, w, h), _rectangle(px + 0.5, py + 0.5, w - 1, h - 1))
+    ).otherwise(F.array(_rectangle(px, py, w, h)))
+    own = table(spark, sf_dir, "supplier").select(
+        k.alias("poly_id"), (k % n_scenes(spark, sf_dir)).alias("scene_id"), rings.alias("rings")
+    )
+    return own.select(
+        "poly_id",
+        "scene_id",
+        F.lit("Polygon").alias("geom_type"),
+        F.array(F.transform("rings", _placed)).alias("parts"),
+        F.lit(CRS).alias("crs"),
+    )
 
 
 def predicted_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean-up input: grid-aligned rectangles, some with a hole of 1 x 1, some with a second part: poly_id, scene_id, parts."""
+    """Clean-up input: grid-aligned rectangles, some with a hole of 1 x 1, some with a second part: poly_id, scene_id,
+    parts."""
     k = F.col("p_partkey")
     x, y, w, h = (k * k * 7 + k * 37) % 449, (k * k * 3 + k * 53) % 443, 1 + F.col("p_size") % 9, 1 + k % 7
     whole = F.array(_rectangle(x, y, w, h))
-    first = F.when((k % 4 == 0) & (w >= 3) & (h >= 3), F.array(_rectangle(x, y, w, h), _rectangle(x + 1, y + 1, F.lit(1), F.lit(1)))).otherwise(whole)
+    first = F.when(
+        (k % 4 == 0) & (w >= 3) & (h >= 3),
+        F.array(_rectangle(x, y, w, h), _rectangle(x + 1, y + 1, F.lit(1), F.lit(1))),
+    ).otherwise(whole)
     parts = F.when(k % 8 == 0, F.array(first, F.array(_rectangle(x + 20, y, w, h)))).otherwise(F.array(first))
-    return table(spark, sf_dir, "part").select(k.alias("poly_id"), F.floor(k / 2000).alias("scene_id"), parts.alias("parts"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("poly_id"), F.floor(k / 2000).alias("scene_id"), parts.alias("parts")
+    )
 
 
-def slanted_polygons(spark: SparkSession, sf_dir: str, step: float = 1.0, east: float = 0.0, north: float = 0.0) -> DataFrame:
+def slanted_polygons(
+    spark: SparkSession, sf_dir: str, step: float = 1.0, east: float = 0.0, north: float = 0.0
+) -> DataFrame:
     """Clean-up input with slanted edges: diamonds, some with a diamond for a hole, in units of step from (east, north):
     poly_id, scene_id, parts."""
     k = F.col("p_partkey")
     x, y, r = (k * k * 11 + k * 29) % 397, (k * k * 5 + k * 61) % 389, 2 + k % 8
-    at = lambda dx, dy: _point(F.lit(east) + F.lit(step) * (x + dx), F.lit(north) + F.lit(step) * (y + dy))
-    diamond = lambda n: F.array(at(-n, F.lit(0)), at(F.lit(0), -n), at(n, F.lit(0)), at(F.lit(0), n), at(-n, F.lit(0)))
+    at = lambda dx, dy: _point(
+        F.lit(east) + F.lit(step) * (x + dx), F.lit(north) + F.lit(step) * (y + dy)
+    )
+    diamond = lambda n: F.array(
+        at(-n, F.lit(0)), at(F.lit(0), -n), at(n, F.lit(0)), at(F.lit(0), n), at(-n, F.lit(0))
+    )
     rings = F.when((k % 3 == 0) & (r >= 4), F.array(diamond(r), diamond(r - 2))).otherwise(F.array(diamond(r)))
-    return table(spark, sf_dir, "part").select(k.alias("poly_id"), F.floor(k / 1000).alias("scene_id"), F.array(rings).alias("parts"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("poly_id"), F.floor(k / 1000).alias("scene_id"), F.array(rings).alias("parts")
+    )
 
 
 def holed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squares of 12 with two holes of many places: inside, sticking out, outside, overlapping or in each other; or one of each
-    shape of U in the other: poly_id, scene_id, parts."""
+    """Squares of 12 with two holes of many places: inside, sticking out, outside, overlapping or in each other; or one
+    of each shape of U in the other: poly_id, scene_id, parts."""
     k = F.col("p_partkey")
     x, y, w, u, v, s = k % 13 - 1, k % 11, 1 + k % 4, (k * 7) % 12, (k * 5) % 12, 1 + k % 3
-    squares = F.array(_rectangle(F.lit(0), F.lit(0), F.lit(12), F.lit(12)), _rectangle(x, y, w, w), _rectangle(u, v, s, s))
+    squares = F.array(
+        _rectangle(F.lit(0), F.lit(0), F.lit(12), F.lit(12)), _rectangle(x, y, w, w), _rectangle(u, v, s, s)
+    )
     path = lambda *points: F.array(*[_point(F.lit(a), F.lit(b)) for a, b in points])
     outer = path((0, 0), (10, 0), (10, 10), (7, 10), (7, 3), (3, 3), (3, 10), (0, 10), (0, 0))
     inner = path((1, 1), (9, 1), (9, 9), (8, 9), (8, 2), (2, 2), (2, 9), (1, 9), (1, 1))
     rings = F.when(k % 29 == 0, F.array(outer, inner)).otherwise(squares)
-    return table(spark, sf_dir, "part").select(k.alias("poly_id"), F.lit(0).alias("scene_id"), F.array(rings).alias("parts"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("poly_id"), F.lit(0).alias("scene_id"), F.array(rings).alias("parts")
+    )
 
 
 def _tile_name() -> Column:
@@ -96,19 +145,33 @@ def _tile_name() -> Column:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 tiles of one band: tile_name, size, bands. Some are flat, some have one NaN."""
-    band = F.when(F.col("vec_id") % 41 == 0, F.array_repeat(F.lit(1.5), 64)).when(F.col("vec_id") % 43 == 0, F.concat(F.array(F.lit(float("nan"))), F.slice(F.col("embedding").cast("array<double>"), 2, 63))).otherwise(F.col("embedding").cast("array<double>"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", _tile_name().alias("tile_name"), F.lit(8).alias("size"), F.array(band).alias("bands"))
+    band = F.when(F.col("vec_id") % 41 == 0, F.array_repeat(F.lit(1.5), 64)).when(
+        F.col("vec_id") % 43 == 0,
+        F.concat(F.array(F.lit(float("nan"))), F.slice(F.col("embedding").cast("array<double>"), 2, 63)),
+    ).otherwise(F.col("embedding").cast("array<double>"))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", _tile_name().alias("tile_name"), F.lit(8).alias("size"), F.array(band).alias("bands")
+    )
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tile_name, mask of 0 and 255; missing for one tile in ten, empty for one in seventeen."""
-    value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.when((F.col("vec_id") % 17 != 0) & ((p + F.col("label") + F.col("vec_id")) % 3 == 0), 255).otherwise(0).cast("short"))
-    return table(spark, sf_dir, "embeddings").where("vec_id % 10 <> 9").select("vec_id", _tile_name().alias("tile_name"), value.alias("mask"))
+    value = F.transform(
+        F.sequence(F.lit(0), F.lit(63)),
+        lambda p: F.when(
+            (F.col("vec_id") % 17 != 0) & ((p + F.col("label") + F.col("vec_id")) % 3 == 0), 255
+        ).otherwise(0).cast("short"),
+    )
+    return table(spark, sf_dir, "embeddings").where("vec_id % 10 <> 9").select(
+        "vec_id", _tile_name().alias("tile_name"), value.alias("mask")
+    )
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tile_name, z: four times the embedding; all -1 for one tile in 34."""
-    z = F.when(F.col("vec_id") % 34 == 0, F.array_repeat(F.lit(-1.0), 64)).otherwise(F.transform(F.col("embedding").cast("array<double>"), lambda v: 4 * v))
+    z = F.when(F.col("vec_id") % 34 == 0, F.array_repeat(F.lit(-1.0), 64)).otherwise(
+        F.transform(F.col("embedding").cast("array<double>"), lambda v: 4 * v)
+    )
     return table(spark, sf_dir, "embeddings").select("vec_id", _tile_name().alias("tile_name"), z.alias("z"))
 
 
@@ -116,8 +179,17 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, epoch, train_loss, val_loss, val_iou, val_f1."""
     k = F.col("o_orderkey")
     iou = (k * 7919 % 1000) / 1000.0
-    rows = table(spark, sf_dir, "orders").select((k % 20).alias("run_id"), (F.floor(k / 20) + 1).alias("epoch"), iou.alias("val_iou"))
-    return rows.select("run_id", "epoch", (1 / (F.col("epoch") + 1.0)).alias("train_loss"), (1 - F.col("val_iou")).alias("val_loss"), "val_iou", (2 * F.col("val_iou") / (1 + F.col("val_iou"))).alias("val_f1"))
+    rows = table(spark, sf_dir, "orders").select(
+        (k % 20).alias("run_id"), (F.floor(k / 20) + 1).alias("epoch"), iou.alias("val_iou")
+    )
+    return rows.select(
+        "run_id",
+        "epoch",
+        (1 / (F.col("epoch") + 1.0)).alias("train_loss"),
+        (1 - F.col("val_iou")).alias("val_loss"),
+        "val_iou",
+        (2 * F.col("val_iou") / (1 + F.col("val_iou"))).alias("val_f1"),
+    )
 
 
 #: The same tables for DuckDB, as named subqueries.
@@ -148,4 +220,6 @@ SQL = {
 
 def sql(names: str, query: str, recursive: bool = False) -> str:
     """A statement over the named subqueries (space-separated) and others that the query defines itself."""
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(SQL[n] for n in names.split()) + (",\n" if not query.lstrip().startswith("SELECT") else "\n") + query
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(SQL[n] for n in names.split()) + (
+        ",\n" if not query.lstrip().startswith("SELECT") else "\n"
+    ) + query

@@ -25,7 +25,16 @@ def write_metrics(rates: DataFrame, path: str) -> None:
 
 def epoch_lines(log: DataFrame) -> DataFrame:
     """The epoch log's columns as they are written: six decimals."""
-    return log.select("run_id", F.col("epoch").alias("Epoch"), *[_six(F.col(c)).alias(name) for c, name in (("train_loss", "Train Loss"), ("val_loss", "Val Loss"), ("val_iou", "Val IoU"), ("val_f1", "Val F1"))])
+    return log.select(
+        "run_id",
+        F.col("epoch").alias("Epoch"),
+        *[
+            _six(F.col(c)).alias(name)
+            for c, name in (
+                ("train_loss", "Train Loss"), ("val_loss", "Val Loss"), ("val_iou", "Val IoU"), ("val_f1", "Val F1")
+            )
+        ],
+    )
 
 
 def append_epochs(log: DataFrame, path: str) -> None:
@@ -40,13 +49,17 @@ def raster(mask: DataFrame) -> DataFrame:
 def raster_blocks(mask: DataFrame, block: int) -> DataFrame:
     """The raster in blocks: scene_id, block_y, block_x and values by place."""
     keyed = raster(mask).withColumns({"block_y": F.floor(F.col("y") / block), "block_x": F.floor(F.col("x") / block)})
-    return keyed.groupBy("scene_id", "block_y", "block_x").agg(F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("v")).select("scene_id", "block_y", "block_x", F.col("v.value").alias("values"))
+    return keyed.groupBy("scene_id", "block_y", "block_x").agg(
+        F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("v")
+    ).select("scene_id", "block_y", "block_x", F.col("v.value").alias("values"))
 
 
 def tile_masks(predictions: DataFrame, tiles: DataFrame) -> DataFrame:
     """Predicted masks (0 and 255) with the geotransform and CRS of the image tile of the same name."""
     values = F.transform("predicted", lambda v: F.when(v == 1, 255).otherwise(0).cast("short"))
-    return predictions.join(tiles.select("tile_name", "gt", "crs"), "tile_name").select("tile_name", values.alias("mask"), "gt", "crs")
+    return predictions.join(tiles.select("tile_name", "gt", "crs"), "tile_name").select(
+        "tile_name", values.alias("mask"), "gt", "crs"
+    )
 
 
 def multipolygons(polygons: DataFrame) -> DataFrame:
@@ -56,7 +69,9 @@ def multipolygons(polygons: DataFrame) -> DataFrame:
     return own.withColumns({"geom_type": F.lit("MultiPolygon"), "area": area(F.col("parts"))})
 
 
-def write_prediction(mask: DataFrame, polygons: DataFrame | None, path: str, outputs: str = "both", block: int = 256) -> None:
+def write_prediction(
+    mask: DataFrame, polygons: DataFrame | None, path: str, outputs: str = "both", block: int = 256
+) -> None:
     """The raster, the polygons or both, below path."""
     if outputs not in ("raster", "vector", "both"):
         raise ValueError(f"no such output: {outputs}")

@@ -23,9 +23,17 @@ def scene(spark):
         values[:, gone] = np.nan
         values[1, -1, -1] = np.nan
         image[s] = values
-        rows += [(s, y, x, float(values[0, y, x]), None if np.isnan(values[1, y, x]) else float(values[1, y, x]), 1) for y in range(h) for x in range(w) if not gone[y, x] and not np.isnan(values[0, y, x])]
+        rows += [
+            (s, y, x, float(values[0, y, x]), None if np.isnan(values[1, y, x]) else float(values[1, y, x]), 1)
+            for y in range(h)
+            for x in range(w)
+            if not gone[y, x] and not np.isnan(values[0, y, x])
+        ]
     rows.append((1, 0, 99, 1.0, 1.0, 1))
-    scenes = spark.createDataFrame([(s, f"scene {s}", w, h, 2) for s, (w, h) in sizes.items()], "scene_id bigint, name string, width int, height int, band_count int")
+    scenes = spark.createDataFrame(
+        [(s, f"scene {s}", w, h, 2) for s, (w, h) in sizes.items()],
+        "scene_id bigint, name string, width int, height int, band_count int",
+    )
     return spark.createDataFrame(rows, PIXELS).repartition(5), scenes, image, sizes
 
 
@@ -38,9 +46,18 @@ def filled(bands):
 def test_training_windows(scene, window, stride, block):
     pixels, scenes, image, sizes = scene
     side = blocks.block_for(window, stride) if block is None else stride * -(-max(window, stride) // stride)
-    made = blocks.training_tiles(blocks.blocks_of(pixels, scenes, side, ["b1", "b2"]), scenes, side, window, stride).collect()
+    made = blocks.training_tiles(
+        blocks.blocks_of(pixels, scenes, side, ["b1", "b2"]), scenes, side, window, stride
+    ).collect()
     got = {(r["scene_id"], r["tile_name"]): filled(r["bands"]) for r in made}
-    named = {(r["scene_id"], r["tile_name"]): (r["row0"], r["col0"]) for r in grid.training_grid(scenes.withColumn("gt", F.struct(*[F.lit(1.0).alias(k) for k in ("x0", "pw", "rx", "y0", "ry", "ph")])), window, stride).collect()}
+    named = {
+        (r["scene_id"], r["tile_name"]): (r["row0"], r["col0"])
+        for r in grid.training_grid(
+            scenes.withColumn("gt", F.struct(*[F.lit(1.0).alias(k) for k in ("x0", "pw", "rx", "y0", "ry", "ph")])),
+            window,
+            stride,
+        ).collect()
+    }
     wanted = {k: image[k[0]][:, y : y + window, x : x + window].reshape(2, -1) for k, (y, x) in named.items()}
     # A window for which no block has anything at all has no row.
     assert set(got) <= set(wanted) and all(np.isnan(v).all() for k, v in wanted.items() if k not in got)
@@ -51,7 +68,9 @@ def test_training_windows(scene, window, stride, block):
 def test_prediction_windows_of_both_layouts(scene, size, overlap):
     pixels, scenes, image, sizes = scene
     side = blocks.block_for(size, grid.prediction_stride(size, overlap))
-    from_blocks = blocks.prediction_tiles(blocks.blocks_of(pixels, scenes, side, ["b1", "b2"]), scenes, side, size, overlap).collect()
+    from_blocks = blocks.prediction_tiles(
+        blocks.blocks_of(pixels, scenes, side, ["b1", "b2"]), scenes, side, size, overlap
+    ).collect()
     from_pixels = score.prediction_tiles(pixels, scenes, size, overlap, ["b1", "b2"]).collect()
     for made in (from_blocks, from_pixels):
         assert made
@@ -66,16 +85,26 @@ def test_prediction_windows_of_both_layouts(scene, size, overlap):
 
 
 def test_missing_and_repeated_pixels(spark, scene):
-    scenes = spark.createDataFrame([(1, "s", 4, 4, 1)], "scene_id bigint, name string, width int, height int, band_count int")
+    scenes = spark.createDataFrame(
+        [(1, "s", 4, 4, 1)], "scene_id bigint, name string, width int, height int, band_count int"
+    )
     rows = [(1, y, x, float(4 * y + x), 0.0, 1) for y in range(4) for x in range(4) if (y, x) != (1, 1)]
     pixels = spark.createDataFrame(rows, PIXELS)
     wanted = [None if k == 5 else float(k) for k in range(16)]
     assert clip.tiles_of(clip.clip_pixels(pixels, scenes, 4, 4), 4, ["b1"]).collect()[0]["bands"] == [wanted]
-    assert clip.tiles_of(clip.clip_pixels(pixels, scenes, 4, 4), 4, ["b1"], nodata=-1.0).collect()[0]["bands"] == [[-1.0 if v is None else v for v in wanted]]
+    assert clip.tiles_of(clip.clip_pixels(pixels, scenes, 4, 4), 4, ["b1"], nodata=-1.0).collect()[0]["bands"] == [
+        [-1.0 if v is None else v for v in wanted]
+    ]
     assert score.prediction_tiles(pixels, scenes, 4, 0.0, ["b1"]).collect()[0]["bands"] == [wanted]
-    assert blocks.blocks_of(pixels, scenes, 8, ["b1"], nodata=9.0).collect()[0]["bands"] == [[9.0 if v is None else v for v in wanted]]
+    assert blocks.blocks_of(pixels, scenes, 8, ["b1"], nodata=9.0).collect()[0]["bands"] == [
+        [9.0 if v is None else v for v in wanted]
+    ]
     twice = pixels.unionByName(pixels.where("y = 2 AND x = 2"))
-    for made in (clip.tiles_of(clip.clip_pixels(twice, scenes, 4, 4), 4, ["b1"]), score.prediction_tiles(twice, scenes, 4, 0.0, ["b1"]), blocks.blocks_of(twice, scenes, 8, ["b1"])):
+    for made in (
+        clip.tiles_of(clip.clip_pixels(twice, scenes, 4, 4), 4, ["b1"]),
+        score.prediction_tiles(twice, scenes, 4, 0.0, ["b1"]),
+        blocks.blocks_of(twice, scenes, 8, ["b1"]),
+    ):
         with pytest.raises(Exception, match="same pixel"):
             made.collect()
     assert blocks.blocks_of(pixels.where("false"), scenes, 8, ["b1"]).count() == 0
@@ -85,7 +114,10 @@ def test_missing_and_repeated_pixels(spark, scene):
 
 def test_clipping_from_written_blocks_reads_few_of_them(spark, sf_dir):
     pixels, scenes, polygons = fx.pixels(spark, sf_dir), fx.scenes(spark, sf_dir), fx.polygons(spark, sf_dir)
-    wanted = {(r["scene_id"], r["tile_idx"]): (r["bands"], r["mask"]) for r in jobs.clipped_tiles(pixels, scenes, polygons, 8, 4).collect()}
+    wanted = {
+        (r["scene_id"], r["tile_idx"]): (r["bands"], r["mask"])
+        for r in jobs.clipped_tiles(pixels, scenes, polygons, 8, 4).collect()
+    }
     block = 8
     path = shared_folder(spark)
     blocks.write_blocks(blocks.blocks_of(pixels, scenes, block, jobs.BANDS), path)
@@ -93,7 +125,9 @@ def test_clipping_from_written_blocks_reads_few_of_them(spark, sf_dir):
     assert {(r["scene_id"], r["tile_idx"]): (r["bands"], r["mask"]) for r in got.collect()} == wanted
     few = spark.createDataFrame([(0, 1, 1), (0, 1, 2)], "scene_id bigint, by bigint, bx bigint")
     read = blocks.read_blocks(spark, path, few)
-    assert {(r["by"], r["bx"]) for r in read.collect()} == {(1, 1), (1, 2)} & {(r["by"], r["bx"]) for r in blocks.read_blocks(spark, path).collect()}
+    assert {(r["by"], r["bx"]) for r in read.collect()} == {(1, 1), (1, 2)} & {
+        (r["by"], r["bx"]) for r in blocks.read_blocks(spark, path).collect()
+    }
     assert "dynamicpruning" in read._jdf.queryExecution().executedPlan().toString().lower()
 
 

@@ -59,7 +59,15 @@ def test_dissolve_of_slanted_shapes():
     assert union_area([[triangle], [triangle.copy()]]) == pytest.approx(8)
 
 
-@pytest.mark.parametrize("mask", ["11111 10001 10101 10001 11111", "11000 11000 00110 00110 00000", "10101 10101 11111 00000 00000", "11111 11111 11111 11111 11111"])
+@pytest.mark.parametrize(
+    "mask",
+    [
+        "11111 10001 10101 10001 11111",
+        "11000 11000 00110 00110 00000",
+        "10101 10101 11111 00000 00000",
+        "11111 11111 11111 11111 11111",
+    ],
+)
 def test_labels_and_rings_of_small_masks(mask):
     m = np.array([[int(c) for c in row] for row in mask.split()])
     y, x = np.nonzero(m)
@@ -68,7 +76,12 @@ def test_labels_and_rings_of_small_masks(mask):
         mine = set(zip(y[label == k].tolist(), x[label == k].tolist(), strict=True))
         edges = []
         for r, c in mine:
-            for near, a, b in (((r - 1, c), (c, r), (c + 1, r)), ((r, c + 1), (c + 1, r), (c + 1, r + 1)), ((r + 1, c), (c + 1, r + 1), (c, r + 1)), ((r, c - 1), (c, r + 1), (c, r))):
+            for near, a, b in (
+                ((r - 1, c), (c, r), (c + 1, r)),
+                ((r, c + 1), (c + 1, r), (c + 1, r + 1)),
+                ((r + 1, c), (c + 1, r + 1), (c, r + 1)),
+                ((r, c - 1), (c, r + 1), (c, r)),
+            ):
                 if near not in mine:
                     edges.append((a, b))
         e = np.array([(*p, *q) for p, q in edges])
@@ -88,8 +101,12 @@ def test_augmentations_on_a_small_array():
     m = np.array([[1, 2, 3], [4, 5, 6]])
     h, w = m.shape
     wanted = {
-        "Rotate 90": lambda i, j: m[j, w - 1 - i], "Rotate 180": lambda i, j: m[h - 1 - i, w - 1 - j], "Rotate 270": lambda i, j: m[h - 1 - j, i],
-        "Mirror": lambda i, j: m[j, i], "Flip H": lambda i, j: m[i, w - 1 - j], "Flip V": lambda i, j: m[h - 1 - i, j], "Original": lambda i, j: m[i, j],
+        "Rotate 90": lambda i, j: m[j, w - 1 - i], "Rotate 180": lambda i, j: m[
+            h - 1 - i, w - 1 - j
+        ], "Rotate 270": lambda i, j: m[h - 1 - j, i],
+        "Mirror": lambda i, j: m[j, i], "Flip H": lambda i, j: m[i, w - 1 - j], "Flip V": lambda i, j: m[
+            h - 1 - i, j
+        ], "Original": lambda i, j: m[i, j],
     }
     for name, f in wanted.items():
         out = METHODS[name][1](m)

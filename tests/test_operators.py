@@ -11,7 +11,16 @@ from segjobs.sources import catalog, sinks
 from segjobs.sources import fixtures as fx
 
 
-@pytest.mark.parametrize(("n", "shares", "wanted"), [(1, (50, 50, 0), (0, 0, 1)), (2, (80, 10, 10), (2, 0, 0)), (3, (50, 50, 0), (2, 2, 0)), (5, (50, 50, 0), (2, 2, 1)), (15, (80, 10, 10), (12, 2, 1))])
+@pytest.mark.parametrize(
+    ("n", "shares", "wanted"),
+    [
+        (1, (50, 50, 0), (0, 0, 1)),
+        (2, (80, 10, 10), (2, 0, 0)),
+        (3, (50, 50, 0), (2, 2, 0)),
+        (5, (50, 50, 0), (2, 2, 1)),
+        (15, (80, 10, 10), (12, 2, 1)),
+    ],
+)
 def test_exact_split(spark, n, shares, wanted):
     tiles = spark.range(n).select(F.format_string("t%03d", "id").alias("tile_name"))
     got = {r["subset"]: r["n"] for r in split.subset_counts(split.split(tiles, *shares)).collect()}
@@ -48,7 +57,10 @@ def test_ranks_are_exact(spark):
 def test_components_of_chains_stars_and_nothing(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, k) for k in range(101, 160)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain + star + [(5, 5), (3, 4)], "a bigint, b bigint")).collect()}
+    got = {
+        r["node"]: r["root"]
+        for r in components(spark.createDataFrame(chain + star + [(5, 5), (3, 4)], "a bigint, b bigint")).collect()
+    }
     assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in range(100, 160))
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
@@ -57,7 +69,12 @@ def test_prediction_grid_covers_every_pixel(spark, sf_dir):
     scenes = fx.scenes(spark, sf_dir)
     for overlap in (0.0, 0.25, 0.5):
         tiles = grid.prediction_grid(scenes, 16, overlap).collect()
-        covered = {(r["scene_id"], y, x) for r in tiles for y in range(r["row0"], r["row0"] + r["read_h"]) for x in range(r["col0"], r["col0"] + r["read_w"])}
+        covered = {
+            (r["scene_id"], y, x)
+            for r in tiles
+            for y in range(r["row0"], r["row0"] + r["read_h"])
+            for x in range(r["col0"], r["col0"] + r["read_w"])
+        }
         assert len(covered) == scenes.agg(F.sum(F.col("width") * F.col("height"))).first()[0]
 
 
@@ -66,7 +83,9 @@ def test_small_scene_has_no_training_window(spark, sf_dir):
 
 
 def test_confusion_adds_up(spark, sf_dir):
-    rows = metrics.tile_confusion(fx.masks(spark, sf_dir).join(fx.logits(spark, sf_dir).select("tile_name", "z"), "tile_name"))
+    rows = metrics.tile_confusion(
+        fx.masks(spark, sf_dir).join(fx.logits(spark, sf_dir).select("tile_name", "z"), "tile_name")
+    )
     assert rows.where("tp + fp + tn + fn <> 64").isEmpty()
 
 
@@ -94,9 +113,13 @@ def test_augmentation_of_mixed_sizes_and_missing_masks(spark):
     for k in range(60):
         size = 2 + k // 7 % 3
         bands = [[float(100 * b + p + k) for p in range(size * size)] for b in range(1 + k % 2)]
-        mask = None if k % 5 == 0 else [None if k % 4 == 0 and p == 1 else (p + k) % 2 * 255 for p in range(size * size)]
+        mask = None if k % 5 == 0 else [
+            None if k % 4 == 0 and p == 1 else (p + k) % 2 * 255 for p in range(size * size)
+        ]
         rows.append((f"t{k}.tif", size, bands, mask, k))
-    tiles = spark.createDataFrame(rows, "tile_name string, size int, bands array<array<double>>, mask array<smallint>, own int").coalesce(1)
+    tiles = spark.createDataFrame(
+        rows, "tile_name string, size int, bands array<array<double>>, mask array<smallint>, own int"
+    ).coalesce(1)
     made = {(r["tile_name"], r["method"]): r for r in augment.augmented(tiles, augment.METHODS).collect()}
     assert len(made) == 7 * len(rows)
     for name, size, bands, mask, own in rows:
@@ -119,13 +142,19 @@ def test_versions(spark, tmp_path):
     assert catalog.versions(spark, root, "p", "clipping") == [1, 2, 4]
     assert catalog.next_version(spark, root, "p", "clipping") == 5
     found = catalog.scan_versions(spark, root, "p", "clipping").collect()
-    assert [r["version"] for r in found] == [1, 2, 4] and found[2]["info"] is None and '"window_size":8' in found[0]["info"]
+    assert [r["version"] for r in found] == [1, 2, 4] and found[2]["info"] is None and '"window_size":8' in found[0][
+        "info"
+    ]
 
 
 def test_writers_at_once_get_different_versions(spark, tmp_path):
     root = f"file://{tmp_path}"
     with ThreadPoolExecutor(6) as pool:
-        made = list(pool.map(lambda k: (catalog.write_version(spark.range(k), root, "p", "splitting", {"n": k}), k), range(1, 7)))
+        made = list(
+            pool.map(
+                lambda k: (catalog.write_version(spark.range(k), root, "p", "splitting", {"n": k}), k), range(1, 7)
+            )
+        )
     assert sorted(n for n, _ in made) == [1, 2, 3, 4, 5, 6]
     for number, k in made:
         assert catalog.read_version(spark, root, "p", "splitting", number).count() == k
@@ -136,7 +165,9 @@ def test_writers_at_once_get_different_versions(spark, tmp_path):
 def test_a_writer_that_fails_leaves_no_version(spark, tmp_path):
     root = f"file://{tmp_path}"
     with pytest.raises(Exception, match="no such"):
-        catalog.write_version(spark.range(3).select(F.raise_error(F.lit("no such row")).alias("x")), root, "p", "clipping", {})
+        catalog.write_version(
+            spark.range(3).select(F.raise_error(F.lit("no such row")).alias("x")), root, "p", "clipping", {}
+        )
     assert catalog.versions(spark, root, "p", "clipping") == []
     assert catalog.write_version(spark.range(3), root, "p", "clipping", {}) == 1
 
@@ -152,19 +183,36 @@ def test_a_folder_that_is_there_is_not_written_into(spark, tmp_path):
 
 def test_tile_sums(spark):
     rows = [("a", [0.0, 2.0, -1.5], [0, 255, 1], 1), ("b", [], [], 1), ("c", None, None, 1)]
-    made = {r["tile_name"]: r.asDict() for r in losses.tile_sums(spark.createDataFrame(rows, "tile_name string, z array<double>, mask array<int>, p int")).collect()}
+    made = {
+        r["tile_name"]: r.asDict()
+        for r in losses.tile_sums(
+            spark.createDataFrame(rows, "tile_name string, z array<double>, mask array<int>, p int")
+        ).collect()
+    }
     assert (made["a"]["n"], made["a"]["tp"], made["a"]["fp"], made["a"]["tn"], made["a"]["fn"]) == (3, 1, 0, 1, 1)
     z, t = np.array([0.0, 2.0, -1.5]), np.array([0, 1, 1])
     p = 1 / (1 + np.exp(-z))
     assert made["a"]["ce"] == pytest.approx(-(t * np.log(p) + (1 - t) * np.log(1 - p)).sum())
     assert made["b"]["n"] == made["c"]["n"] == 0
     with pytest.raises(Exception, match="length"):
-        losses.tile_sums(spark.createDataFrame([("a", [0.0], [0, 1])], "tile_name string, z array<double>, mask array<int>")).collect()
+        losses.tile_sums(
+            spark.createDataFrame([("a", [0.0], [0, 1])], "tile_name string, z array<double>, mask array<int>")
+        ).collect()
 
 
 def test_prepare_all_stages(spark, sf_dir, tmp_path):
     root = f"file://{tmp_path}"
-    numbers = jobs.run_all(spark, root, "fields", fx.pixels(spark, sf_dir), fx.scenes(spark, sf_dir), fx.polygons(spark, sf_dir), 8, 4, ["Flip H", "Mirror"])
+    numbers = jobs.run_all(
+        spark,
+        root,
+        "fields",
+        fx.pixels(spark, sf_dir),
+        fx.scenes(spark, sf_dir),
+        fx.polygons(spark, sf_dir),
+        8,
+        4,
+        ["Flip H", "Mirror"],
+    )
     assert numbers == (1, 1, 1)
     tiles = catalog.read_version(spark, root, "fields", "clipping", 1).count()
     made = catalog.read_version(spark, root, "fields", "augmented", 1)
@@ -172,8 +220,16 @@ def test_prepare_all_stages(spark, sf_dir, tmp_path):
 
 
 def test_merge_keeps_area_and_is_idempotent(spark):
-    ring = lambda x, y, w, h: [{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w, "y": y + h}, {"x": x, "y": y + h}, {"x": x, "y": y}]
-    rows = [(1, 0, [[ring(0.0, 0.0, 4.0, 4.0)]]), (2, 0, [[ring(3.0, 3.0, 4.0, 4.0)]]), (3, 0, [[ring(40.0, 0.0, 2.0, 2.0)]]), (4, 0, [[ring(42.0, 2.0, 2.0, 2.0)]]), (5, 0, None)]
+    ring = lambda x, y, w, h: [
+        {"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w, "y": y + h}, {"x": x, "y": y + h}, {"x": x, "y": y}
+    ]
+    rows = [
+        (1, 0, [[ring(0.0, 0.0, 4.0, 4.0)]]),
+        (2, 0, [[ring(3.0, 3.0, 4.0, 4.0)]]),
+        (3, 0, [[ring(40.0, 0.0, 2.0, 2.0)]]),
+        (4, 0, [[ring(42.0, 2.0, 2.0, 2.0)]]),
+        (5, 0, None),
+    ]
     polygons = spark.createDataFrame(rows, f"poly_id bigint, scene_id bigint, parts {clean.PARTS}")
     once = clean.merged(polygons).withColumn("poly_id", F.monotonically_increasing_id())
     areas = sorted(r[0] for r in once.select(clean.area(F.col("parts"))).collect())
@@ -187,10 +243,19 @@ def ring(x, y, w, h):
 
 def test_merge_of_a_long_chain_and_of_a_large_one_over_many_small_ones(spark):
     rows = [(k, 0, [[ring(k, 0, 1, 1 + k % 2)]]) for k in range(1500)]
-    rows += [(5000 + k, 1, [[ring(7 * k, 7 * k, 1, 1)]]) for k in range(60)] + [(6000, 1, [[ring(-0.5, -0.5, 430, 430), ring(100.25, 20.25, 3, 3)]])]
+    rows += [(5000 + k, 1, [[ring(7 * k, 7 * k, 1, 1)]]) for k in range(60)] + [
+        (6000, 1, [[ring(-0.5, -0.5, 430, 430), ring(100.25, 20.25, 3, 3)]])
+    ]
     polygons = spark.createDataFrame(rows, f"poly_id bigint, scene_id bigint, parts {clean.PARTS}")
-    made = {r["scene_id"]: r for r in clean.merged(polygons).select("scene_id", clean.area(F.col("parts")).alias("area"), F.size(F.col("parts")[0]).alias("rings")).collect()}
-    assert made[0]["area"] == pytest.approx(1500 * 1.5) and made[1]["area"] == pytest.approx(430 * 430 - 9) and made[1]["rings"] == 2
+    made = {
+        r["scene_id"]: r
+        for r in clean.merged(polygons).select(
+            "scene_id", clean.area(F.col("parts")).alias("area"), F.size(F.col("parts")[0]).alias("rings")
+        ).collect()
+    }
+    assert made[0]["area"] == pytest.approx(1500 * 1.5) and made[1]["area"] == pytest.approx(430 * 430 - 9) and made[1][
+        "rings"
+    ] == 2
 
 
 def test_regions_of_scenes_of_any_number(spark):
@@ -211,13 +276,19 @@ def test_prediction_returns_every_pixel(spark, sf_dir, overlap):
 def test_burning_of_parts_that_overlap():
     parts = [[ring(0, -4, 4, 4)], [ring(2, -6, 4, 4)]]
     runs = clip.burn_rows(parts, 0, 0, 1, 10, 10)
-    assert {(y, x) for y, a, b in runs for x in range(a, b + 1)} == {(y, x) for y in range(4) for x in range(4)} | {(y, x) for y in range(2, 6) for x in range(2, 6)}
+    assert {(y, x) for y, a, b in runs for x in range(a, b + 1)} == {(y, x) for y in range(4) for x in range(4)} | {
+        (y, x) for y in range(2, 6) for x in range(2, 6)
+    }
 
 
 def test_mask_of_one_large_tile(spark):
     scenes = spark.createDataFrame([(0, "s", 1024, 1024)], "scene_id bigint, name string, width int, height int")
-    runs = spark.createDataFrame([(0, y, 0, 1023) for y in range(1024)] + [(0, 5, 3, 9)], "scene_id bigint, y bigint, x0 bigint, x1 bigint")
-    got = clip.tile_masks(runs, scenes, 1024, 1024, 7).select(F.size("mask").alias("n"), F.expr("aggregate(mask, 0L, (a, v) -> a + v)").alias("total")).collect()
+    runs = spark.createDataFrame(
+        [(0, y, 0, 1023) for y in range(1024)] + [(0, 5, 3, 9)], "scene_id bigint, y bigint, x0 bigint, x1 bigint"
+    )
+    got = clip.tile_masks(runs, scenes, 1024, 1024, 7).select(
+        F.size("mask").alias("n"), F.expr("aggregate(mask, 0L, (a, v) -> a + v)").alias("total")
+    ).collect()
     assert [(r["n"], r["total"]) for r in got] == [(1 << 20, 7 << 20)]
 
 
@@ -225,14 +296,28 @@ def test_clipping_is_checked_first(spark, sf_dir):
     scenes, polygons = fx.scenes(spark, sf_dir), fx.polygons(spark, sf_dir)
     assert jobs.check_clipping(scenes, polygons, 8, 4)["estimated_bytes"] > 0
     wide = scenes.withColumn("gt", F.col("gt").withField("ph", F.lit(-0.25)))
-    away = polygons.withColumn("parts", F.transform("parts", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] + 1e6).alias("x"), p["y"].alias("y"))))))
-    for what, args in (("square", (wide, polygons, 8, 4)), ("extent", (scenes, away, 8, 4)), ("bytes", (scenes, polygons, 8, 4, 10)), ("type", (scenes, polygons.withColumn("geom_type", F.lit("Point")), 8, 4))):
+    away = polygons.withColumn(
+        "parts",
+        F.transform(
+            "parts",
+            lambda rings: F.transform(
+                rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] + 1e6).alias("x"), p["y"].alias("y")))
+            ),
+        ),
+    )
+    for what, args in (
+        ("square", (wide, polygons, 8, 4)),
+        ("extent", (scenes, away, 8, 4)),
+        ("bytes", (scenes, polygons, 8, 4, 10)),
+        ("type", (scenes, polygons.withColumn("geom_type", F.lit("Point")), 8, 4)),
+    ):
         with pytest.raises(ValueError, match=what):
             jobs.check_clipping(*args)
 
 
 def test_values_of_job_outputs(spark, sf_dir, tmp_path):
-    """What evaluation and prediction write, against numpy: metric lines, masks and samples; raster blocks and polygons."""
+    """What evaluation and prediction write, against numpy: metric lines, masks and samples; raster blocks and
+    polygons."""
     root = f"file://{tmp_path}"
     gt = F.struct(F.col("vec_id").cast("double").alias("x0"))
     images = fx.images(spark, sf_dir).withColumns({"gt": gt, "crs": F.lit("c")})
@@ -245,22 +330,36 @@ def test_values_of_job_outputs(spark, sf_dir, tmp_path):
             v = np.zeros(64) if np.isnan(v).any() or v.max() <= v.min() else (v - v.min()) / (v.max() - v.min())
             on, t = v * 4 - 2 > 0, truth[r["tile_name"]]
             tp, fp, fn, tn = (on & t).sum(), (on & ~t).sum(), (~on & t).sum(), (~on & ~t).sum()
-            rates = tp / (tp + fp + fn + 1e-7), 2 * tp / (2 * tp + fp + fn + 1e-7), tp / (tp + fp + 1e-7), tp / (tp + fn + 1e-7), (tp + tn) / (64 + 1e-7)
+            rates = tp / (tp + fp + fn + 1e-7), 2 * tp / (2 * tp + fp + fn + 1e-7), tp / (tp + fp + 1e-7), tp / (
+                tp + fn + 1e-7
+            ), (tp + tn) / (64 + 1e-7)
             wanted[r["tile_name"]] = (on, rates, r["vec_id"])
     lines = spark.read.option("header", True).csv(f"{root}/e/metrics").collect()
     assert {x["filename"] for x in lines} == set(wanted)
     for x in lines:
-        assert [x[c] for c in ("iou", "f1", "precision", "recall", "pixel_accuracy")] == [f"{v:.6f}" for v in wanted[x["filename"]][1]]
+        assert [x[c] for c in ("iou", "f1", "precision", "recall", "pixel_accuracy")] == [
+            f"{v:.6f}" for v in wanted[x["filename"]][1]
+        ]
     for x in spark.read.parquet(f"{root}/e/masks").collect():
-        assert (np.array(x["mask"]) == 255 * wanted[x["tile_name"]][0]).all() and x["gt"]["x0"] == wanted[x["tile_name"]][2] and x["crs"] == "c"
+        assert (np.array(x["mask"]) == 255 * wanted[x["tile_name"]][0]).all() and x["gt"]["x0"] == wanted[
+            x["tile_name"]
+        ][2] and x["crs"] == "c"
     samples = spark.read.parquet(f"{root}/e/samples").collect()
     names = sorted(wanted)
     assert {x["tile_name"] for x in samples} == set(names[:: max(1, len(names) // 4)])
-    assert all((np.array(x["predicted"]) == wanted[x["tile_name"]][0]).all() and x["iou"] == pytest.approx(wanted[x["tile_name"]][1][0]) for x in samples)
+    assert all(
+        (np.array(x["predicted"]) == wanted[x["tile_name"]][0]).all() and x["iou"] == pytest.approx(
+            wanted[x["tile_name"]][1][0]
+        )
+        for x in samples
+    )
 
     pixels, scenes = fx.pixels(spark, sf_dir), fx.scenes(spark, sf_dir)
     jobs.run_prediction(pixels, scenes, f"{root}/p", 16, 0.25, [2.0, -1.0, 0.5], -0.25, "both", sizes=(16,))
-    mask = {(r["scene_id"], r["y"], r["x"]): r["mask"] for r in jobs.predict(pixels, scenes, 16, 0.25, [2.0, -1.0, 0.5], -0.25, sizes=(16,)).collect()}
+    mask = {
+        (r["scene_id"], r["y"], r["x"]): r["mask"]
+        for r in jobs.predict(pixels, scenes, 16, 0.25, [2.0, -1.0, 0.5], -0.25, sizes=(16,)).collect()
+    }
     width = {r["scene_id"]: r["width"] for r in scenes.collect()}
     seen = 0
     for b in spark.read.parquet(f"{root}/p/raster").collect():
@@ -278,17 +377,31 @@ def test_outputs_of_jobs(spark, sf_dir, tmp_path):
     images = fx.images(spark, sf_dir).withColumns({"gt": F.lit(1), "crs": F.lit("c")})
     out = jobs.run_evaluation(images, fx.masks(spark, sf_dir), lambda: lambda x: x[:, 0] * 4 - 2, f"{root}/e", 4)
     n = out.where("tile_name IS NOT NULL").count()
-    assert spark.read.option("header", True).csv(f"{root}/e/metrics").count() == n == spark.read.parquet(f"{root}/e/masks").count()
+    assert spark.read.option("header", True).csv(f"{root}/e/metrics").count() == n == spark.read.parquet(
+        f"{root}/e/masks"
+    ).count()
     assert 4 <= spark.read.parquet(f"{root}/e/samples").where("iou IS NOT NULL").count() < n
     pixels, scenes = fx.pixels(spark, sf_dir), fx.scenes(spark, sf_dir)
     for outputs in ("raster", "vector", "both"):
-        made = jobs.run_prediction(pixels, scenes, f"{root}/{outputs}", 16, 0.25, [2.0, -1.0, 0.5], -0.25, outputs, sizes=(16,)).collect()
+        made = jobs.run_prediction(
+            pixels, scenes, f"{root}/{outputs}", 16, 0.25, [2.0, -1.0, 0.5], -0.25, outputs, sizes=(16,)
+        ).collect()
         assert {r["outputs"] for r in made} == {outputs}
-        assert {x.name for x in (tmp_path / outputs).iterdir()} == ({"raster", "vector"} if outputs == "both" else {outputs})
+        assert {x.name for x in (tmp_path / outputs).iterdir()} == (
+            {"raster", "vector"} if outputs == "both" else {outputs}
+        )
     with pytest.raises(ValueError, match="output"):
         sinks.write_prediction(pixels, None, f"{root}/none", "neither")
-    cleaned, before, after = jobs.postprocess(fx.predicted_polygons(spark, sf_dir), clean.Steps(min_hole_area=0, min_area=10), f"{root}/clean")
-    assert before > after == cleaned.count() == spark.read.parquet(f"{root}/clean").where("geom_type = 'MultiPolygon'").count()
+    cleaned, before, after = jobs.postprocess(
+        fx.predicted_polygons(spark, sf_dir), clean.Steps(min_hole_area=0, min_area=10), f"{root}/clean"
+    )
+    assert before > after == cleaned.count() == spark.read.parquet(f"{root}/clean").where(
+        "geom_type = 'MultiPolygon'"
+    ).count()
     for epoch in (1, 2):
-        jobs.validation_epoch(fx.images(spark, sf_dir), fx.masks(spark, sf_dir), fx.logits(spark, sf_dir), 8, f"{root}/log", 3, epoch, 0.5)
-    assert [r["Epoch"] for r in spark.read.option("header", True).csv(f"{root}/log").orderBy("Epoch").collect()] == ["1", "2"]
+        jobs.validation_epoch(
+            fx.images(spark, sf_dir), fx.masks(spark, sf_dir), fx.logits(spark, sf_dir), 8, f"{root}/log", 3, epoch, 0.5
+        )
+    assert [r["Epoch"] for r in spark.read.option("header", True).csv(f"{root}/log").orderBy("Epoch").collect()] == [
+        "1", "2"
+    ]

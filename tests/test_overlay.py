@@ -51,7 +51,9 @@ def test_union_covers_what_its_polygons_cover(seed):
     origin, scale = PLACES[seed % 3]
     polygons = [[star(r, r.random(2) * 40, 8) * scale + origin] for _ in range(int(r.integers(2, 30)))]
     made = overlay.dissolved(polygons)
-    grid = np.stack(np.meshgrid(np.linspace(-8, 48, 70), np.linspace(-8, 48, 70)), axis=-1).reshape(-1, 2) + r.random(2) / 10
+    grid = np.stack(np.meshgrid(np.linspace(-8, 48, 70), np.linspace(-8, 48, 70)), axis=-1).reshape(-1, 2) + r.random(
+        2
+    ) / 10
     assert (inside(polygons, grid * scale + origin) == inside(made, grid * scale + origin)).all()
     near = [[(ring - origin) / scale for ring in rings] for rings in made]
     assert all(signed_area(rings[0]) > 0 and all(signed_area(h) < 0 for h in rings[1:]) for rings in near)
@@ -94,8 +96,8 @@ def test_flat_and_repeated_shapes():
 @pytest.mark.parametrize(("whole", "outline"), [(64, 1000), (1, 1000), (1, 0)])
 @pytest.mark.parametrize("place", range(3))
 def test_merged_equals_union(spark, monkeypatch, whole, outline, place):
-    """Many slanted polygons; with clusters united at once, and all of them cut into cells with few pieces a task, whose outlines are
-    stitched in a task or from chains."""
+    """Many slanted polygons; with clusters united at once, and all of them cut into cells with few pieces a task, whose
+    outlines are stitched in a task or from chains."""
     monkeypatch.setattr(clean, "WHOLE", whole)
     monkeypatch.setattr(clean, "WHOLE_OUTLINE", outline)
     monkeypatch.setattr(clean, "CELL_PIECES", 512 if whole > 1 else 3)
@@ -103,16 +105,24 @@ def test_merged_equals_union(spark, monkeypatch, whole, outline, place):
     origin, scale = PLACES[place]
     polygons = [[star(r, r.random(2) * 300, 12) * scale + origin] for _ in range(250)]
     polygons += [[box(350, 350, 9, 9) * scale + origin, box(351, 351, 3, 3)[::-1] * scale + origin]] * 2
-    polygons += [[np.array([(400, 400), (402, 402), (402, 400), (400, 402), (400, 400)]) * scale + origin]]  # crosses itself
+    # crosses itself
+    polygons += [[np.array([(400, 400), (402, 402), (402, 400), (400, 402), (400, 400)]) * scale + origin]]
     wanted = overlay.dissolved(polygons)
-    rows = [(k, 1, rows_of([p])) for k, p in enumerate(polygons)] + [(900, 1, None), (901, 1, []), (902, 2, [rows_of([[box(0, 0, 1, 1)]])[0], rows_of([[box(1, 0, 1, 1)]])[0]])]
+    rows = [(k, 1, rows_of([p])) for k, p in enumerate(polygons)] + [
+        (900, 1, None), (901, 1, []), (902, 2, [rows_of([[box(0, 0, 1, 1)]])[0], rows_of([[box(1, 0, 1, 1)]])[0]])
+    ]
     table = spark.createDataFrame(rows, f"poly_id bigint, scene_id bigint, parts {clean.PARTS}")
     got = clean.merged(table).collect()
-    area = lambda rings: sum(signed_area((np.array([(p["x"], p["y"]) for p in ring]) - origin) / scale) * (1 if k == 0 else 1) for k, ring in enumerate(rings))
+    area = lambda rings: sum(
+        signed_area((np.array([(p["x"], p["y"]) for p in ring]) - origin) / scale) * (1 if k == 0 else 1)
+        for k, ring in enumerate(rings)
+    )
     mine = sorted(abs(area(g["parts"][0])) for g in got if g["scene_id"] == 1)
     other = sorted(sum(signed_area((ring - origin) / scale) for ring in rings) for rings in wanted)
     assert len(mine) == len(other) and np.allclose(mine, other, atol=1e-4)
-    assert [abs(signed_area(np.array([(p["x"], p["y"]) for p in g["parts"][0][0]]))) for g in got if g["scene_id"] == 2] == [2.0]
+    assert [
+        abs(signed_area(np.array([(p["x"], p["y"]) for p in g["parts"][0][0]]))) for g in got if g["scene_id"] == 2
+    ] == [2.0]
     assert problems(pa.array([g["parts"] for g in got if g["scene_id"] == 2], nested.PARTS)) == [None]
 
 
@@ -131,17 +141,33 @@ def test_chains_are_ranked_into_circles(spark):
     assert rings.ranked_circles(spark.createDataFrame([], "id bigint, next bigint")).count() == 0
 
 
-@pytest.mark.parametrize("mask", ["111111111 100000001 101101101 101100001 100001111 111111000", "110110110 111111111 010101010 111111111 110110110", "101010101 111111111 100010001 111111111 101010101"])
+@pytest.mark.parametrize(
+    "mask",
+    [
+        "111111111 100000001 101101101 101100001 100001111 111111000",
+        "110110110 111111111 010101010 111111111 110110110",
+        "101010101 111111111 100010001 111111111 101010101",
+    ],
+)
 def test_regions_from_chains(spark, monkeypatch, mask):
     """Regions over many blocks, with holes that meet the shell or each other in corners."""
     pixels = [(s, y, x) for s in (1, 2) for y, row in enumerate(mask.split()) for x, c in enumerate(row) if c == "1"]
     found = polygonize.regions(spark.createDataFrame(pixels, "scene_id bigint, y bigint, x bigint"), 2)
-    scenes = spark.createDataFrame([(s, (10.0, 0.5, 0.0, 20.0, 0.0, -0.5)) for s in (1, 2)], "scene_id bigint, gt struct<x0:double,pw:double,rx:double,y0:double,ry:double,ph:double>")
+    scenes = spark.createDataFrame(
+        [(s, (10.0, 0.5, 0.0, 20.0, 0.0, -0.5)) for s in (1, 2)],
+        "scene_id bigint, gt struct<x0:double,pw:double,rx:double,y0:double,ry:double,ph:double>",
+    )
     whole = {r["poly_id"]: r for r in polygonize.polygons_of(found, scenes).collect()}
     monkeypatch.setattr(polygonize, "WHOLE_BOUNDARY", 0)
     monkeypatch.setattr(polygonize, "BLOCK", 2)
     chained = {r["poly_id"]: r for r in polygonize.polygons_of(found, scenes).collect()}
-    shape = lambda r: (r["scene_id"], r["area"], r["first_y"], r["first_x"], sorted(tuple((p["x"], p["y"]) for p in ring) for ring in r["parts"][0]))
+    shape = lambda r: (
+        r["scene_id"],
+        r["area"],
+        r["first_y"],
+        r["first_x"],
+        sorted(tuple((p["x"], p["y"]) for p in ring) for ring in r["parts"][0]),
+    )
     assert {k: shape(r) for k, r in whole.items()} == {k: shape(r) for k, r in chained.items()} and len(whole) >= 2
 
 
@@ -199,7 +225,9 @@ CASES = {
     "a hole elsewhere": ([[box(0, 0, 4, 4), box(9, 9, 1, 1)]], "hole outside"),
     "a hole that touches the shell": ([[box(0, 0, 4, 4), [(0, 2), (1, 1), (1, 3), (0, 2)]]], None),
     "a hole along the shell": ([[box(0, 0, 4, 4), box(0, 1, 1, 1)]], "crossing"),
-    "a hole through a corner": ([[[(0, 0), (4, 0), (4, 4), (2, 2), (0, 4), (0, 0)], [(2, 1), (3, 2), (2, 3), (1, 2), (2, 1)]]], "crossing"),
+    "a hole through a corner": (
+        [[[(0, 0), (4, 0), (4, 4), (2, 2), (0, 4), (0, 0)], [(2, 1), (3, 2), (2, 3), (1, 2), (2, 1)]]], "crossing"
+    ),
     "a bow": ([[[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]]], "crossing"),
     "a spike": ([[[(0, 0), (4, 0), (4, 4), (4, 8), (4, 4), (0, 4), (0, 0)]]], "crossing"),
     "an hourglass": ([[[(0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2), (0, 0)]]], "crossing"),
@@ -267,7 +295,12 @@ def test_a_shortcut_does_not_jump_over_a_hole():
 
 
 def test_simplify_and_smooth_keep_shapes_of_tables(spark):
-    rows = [(1, None, "a"), (2, [], "b"), (3, [[]], "c"), (4, rows_of([[box(0, 0, 4, 4), box(1, 1, 1, 1)], [box(9, 9, 1, 1)]]), "d")]
+    rows = [
+        (1, None, "a"),
+        (2, [], "b"),
+        (3, [[]], "c"),
+        (4, rows_of([[box(0, 0, 4, 4), box(1, 1, 1, 1)], [box(9, 9, 1, 1)]]), "d"),
+    ]
     table = spark.createDataFrame(rows, f"poly_id bigint, parts {clean.PARTS}, points string")
     assert [r["poly_id"] for r in clean.simplify(table, 0.5).collect()] == [4]
     smooth = {r["poly_id"]: r["parts"] for r in clean.smooth(table, 2).collect()}

@@ -27,7 +27,9 @@ def database(sf_dir):
 @pytest.mark.parametrize("name", QUICK)
 def test_query_equals_sql(spark, sf_dir, database, name, tmp_path):
     __spark_entry__.queries()[name](spark, sf_dir).write.parquet(f"{tmp_path}/out")
-    columns = ", ".join(f'"{c[0]}"' for c in database.execute(f"DESCRIBE SELECT * FROM '{tmp_path}/out/*.parquet'").fetchall())
+    columns = ", ".join(
+        f'"{c[0]}"' for c in database.execute(f"DESCRIBE SELECT * FROM '{tmp_path}/out/*.parquet'").fetchall()
+    )
     own, sql = f"SELECT {columns} FROM '{tmp_path}/out/*.parquet'", f"SELECT {columns} FROM ({catalogue.SQL[name]})"
     for a, b in ((own, sql), (sql, own)):
         assert database.execute(f"SELECT count(*) FROM ({a} EXCEPT ALL {b})").fetchall() == [(0,)]
@@ -36,9 +38,13 @@ def test_query_equals_sql(spark, sf_dir, database, name, tmp_path):
 def test_display_shows_tiles_with_nan(spark, sf_dir, database):
     """All tiles, by the SQL without its filter of those with a NaN."""
     wanted = dict(database.execute(catalogue.SQL["m7_display"].replace(" WHERE vec_id % 43 <> 0", "")).fetchall())
-    odd = {r["tile_name"] for r in catalogue.fx.images(spark, sf_dir).where("exists(bands[0], v -> isnan(v))").collect()}
+    odd = {
+        r["tile_name"] for r in catalogue.fx.images(spark, sf_dir).where("exists(bands[0], v -> isnan(v))").collect()
+    }
     assert odd and odd <= set(wanted)
-    assert {r["tile_name"]: r["total"] for r in __spark_entry__.queries()["m7_display"](spark, sf_dir).collect()} == wanted
+    assert {
+        r["tile_name"]: r["total"] for r in __spark_entry__.queries()["m7_display"](spark, sf_dir).collect()
+    } == wanted
 
 
 def test_custom_scorer_scores_padded_tiles(spark, sf_dir):
@@ -57,7 +63,10 @@ def test_custom_scorer_scores_padded_tiles(spark, sf_dir):
             tile = np.where(high > low, (tile - low) / np.where(high > low, high - low, 1), 0)
             z = np.tensordot([2.0, -1.0, 0.5], tile, 1) - 0.25
             wanted[scene, col, row] = (1 / (1 + np.exp(-z))).sum() * 1000
-    got = {(r["scene_id"], r["col0"], r["row0"]): r["total"] for r in __spark_entry__.queries()["s2_custom_scorer"](spark, sf_dir).collect()}
+    got = {
+        (r["scene_id"], r["col0"], r["row0"]): r["total"]
+        for r in __spark_entry__.queries()["s2_custom_scorer"](spark, sf_dir).collect()
+    }
     assert wanted and set(got) == set(wanted)
     assert all(abs(got[k] - v) <= 0.501 for k, v in wanted.items())
 
@@ -99,7 +108,10 @@ def plainly_simplified(ring, tolerance):
 
 
 def plainly_smoothed(ring):
-    corners = [((3 * a[0] + b[0]) / 4, (3 * a[1] + b[1]) / 4, (a[0] + 3 * b[0]) / 4, (a[1] + 3 * b[1]) / 4) for a, b in itertools.pairwise(ring)]
+    corners = [
+        ((3 * a[0] + b[0]) / 4, (3 * a[1] + b[1]) / 4, (a[0] + 3 * b[0]) / 4, (a[1] + 3 * b[1]) / 4)
+        for a, b in itertools.pairwise(ring)
+    ]
     points = [p for c in corners for p in (c[:2], c[2:])]
     return [*points, points[0]]
 
@@ -107,13 +119,16 @@ def plainly_smoothed(ring):
 def plainly_cleaned(parts, min_hole, low, high, tolerance):
     """The area of one polygon after the steps, one after another, or None if a filter leaves it out."""
     parts = [[[(p["x"], p["y"]) for p in ring] for ring in rings] for rings in parts]
-    parts = [[rings[0], *[r for r in rings[1:] if min_hole > 0 and plain_area(r) >= min_hole]] for rings in parts if rings]
+    parts = [
+        [rings[0], *[r for r in rings[1:] if min_hole > 0 and plain_area(r) >= min_hole]] for rings in parts if rings
+    ]
     area = lambda: sum(plain_area(rings[0]) - sum(map(plain_area, rings[1:])) for rings in parts)
     if not low <= area() <= high:
         return None
     made = [[plainly_simplified(r, tolerance) for r in rings] for rings in parts]
     as_rows = lambda some: [[[{"x": x, "y": y} for x, y in r] for r in rings] for rings in some]
-    if validate.problem(as_rows(parts)) is None and validate.problem(as_rows(made)) is not None:  # some shortcuts are taken back
+    # some shortcuts are taken back
+    if validate.problem(as_rows(parts)) is None and validate.problem(as_rows(made)) is not None:
         rings = [np.array(r) for own in parts for r in own]
         points, ring = np.concatenate(rings), np.repeat(np.arange(len(rings)), [len(r) for r in rings])
         keep = simplified_together(points, ring, np.zeros(len(rings), np.int64), tolerance)
@@ -126,10 +141,13 @@ def plainly_cleaned(parts, min_hole, low, high, tolerance):
 
 
 def test_clean_up_equals_plain_steps(spark, sf_dir):
-    """The queries with simplifying and smoothing, which have no SQL. What they start from has: pp1 and s5 compare it."""
+    """The queries with simplifying and smoothing, which have no SQL. What they start from has: pp1 and s5 compare
+    it."""
     regions = jobs.predict_polygons(catalogue._prediction(spark, sf_dir), catalogue.fx.scenes(spark, sf_dir))
     merged = clean.merged(catalogue.fx.predicted_polygons(spark, sf_dir))
-    cases = {"pp7_pp8_clean_up": (merged, 0, 10, 400, 0.5), "j6_j7_predict_and_clean": (regions, 1.0, 1.0, math.inf, 0.25)}
+    cases = {
+        "pp7_pp8_clean_up": (merged, 0, 10, 400, 0.5), "j6_j7_predict_and_clean": (regions, 1.0, 1.0, math.inf, 0.25)
+    }
     for name, (polygons, *steps) in cases.items():
         wanted = {}
         for r in polygons.select("scene_id", "parts").collect():
