@@ -15,9 +15,9 @@ from segjobs.llm import base, decontamination, minhash, packing, quality_rules,
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose lines are content for the most part.
 
-    A null, empty or wordless text has no words and goes, as any document of under 20 words does. Rows without a doc_id and
-    repeated rows are judged each for itself, by their texts. Columns keep their values, whatever their names. An empty
-    table stays empty; without labels, lines are told by the rules alone.
+    A null, empty or wordless text has no words and goes, as any document of under 20 words does. Rows without a doc_id
+    and repeated rows are judged each for itself, by their texts. Columns keep their values, whatever their names. An
+    empty table stays empty; without labels, lines are told by the rules alone.
     """
     model = quality_rules.fit(docs, base.table(spark, sf_dir, "labels"))
     return quality_rules.rated(docs, model).where("kept").select(*docs.columns)
@@ -40,15 +40,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark.
 
-    Texts decide, not ids: rows without a doc_id and repeated rows stay or go by their texts. Null, empty and wordless texts
-    stay, as does everything if the benchmark is empty. Columns keep their values, whatever their names.
+    Texts decide, not ids: rows without a doc_id and repeated rows stay or go by their texts. Null, empty and wordless
+    texts stay, as does everything if the benchmark is empty. Columns keep their values, whatever their names.
     """
     return decontamination.clean(docs, base.table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in text and n_chars as it is then. Null texts stay null, other columns as they are; an
-    empty table stays empty."""
+    """All documents, with secrets masked in text and n_chars as it is then. Null texts stay null, other columns as they
+    are; an empty table stays empty."""
     import public_tokenizers
 
     masked = secrets.masked(docs, secrets.known_words(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -59,15 +59,17 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' token ids as pieces of sequences of at most 4,096 tokens. A null text is an empty one; rows without a doc_id
-    and repeated rows are packed each for itself; an empty table gives no rows."""
+    """All documents' token ids as pieces of sequences of at most 4,096 tokens. A null text is an empty one; rows
+    without a doc_id and repeated rows are packed each for itself; an empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
-    ("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mask_secrets", mask_secrets),
+    ("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), (
+        "mask_secrets", mask_secrets
+    ),
     ("pack", pack),
 ]
 

@@ -3,12 +3,12 @@
 A turn is ``### role\\n`` + text + ``\\n</turn>\\n``. In texts and roles a backslash goes before every backslash,
 ``###`` and ``</turn>``, so that no text holds a control string, and unescaping gives the text back.
 
-Prefix sums of turn tokens cut a conversation into windows: turns whose sums end in one stretch of ``span`` tokens are new in
-one window. A span is what the budget leaves beside history, system turn and longest turn, or half of the former if turns
-are long. A window starts with the conversation's system turn and up to ``HISTORY_TURNS`` turns from before
+Prefix sums of turn tokens cut a conversation into windows: turns whose sums end in one stretch of ``span`` tokens are
+new in one window. A span is what the budget leaves beside history, system turn and longest turn, or half of the former
+if turns are long. A window starts with the conversation's system turn and up to ``HISTORY_TURNS`` turns from before
 it, within ``history`` tokens and what the system turn and the new turns leave of the budget; both are context. A long
-system turn makes its conversation's spans shorter. Only texts of new assistant turns are under the loss mask, so each is
-a target once. A turn is never cut: a window is over the budget only if a turn is longer than a span.
+system turn makes its conversation's spans shorter. Only texts of new assistant turns are under the loss mask, so each
+is a target once. A turn is never cut: a window is over the budget only if a turn is longer than a span.
 """
 
 from __future__ import annotations
@@ -52,77 +52,174 @@ def tokens(x):
     return F.regexp_count(x, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"))
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
-    """conv_id, window (a number, ascending), formatted, n_context (turns before the new ones), loss_spans (start, end), n_tokens.
+def windows(
+    conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS
+) -> DataFrame:
+    """conv_id, window (a number, ascending), formatted, n_context (turns before the new ones), loss_spans (start, end),
+    n_tokens.
 
-    conversations: conv_id, turn, role, text; rows are ordered by turn, equal turns by role and text. A null text or role
-    is an empty one; a null turn comes first; rows of null conv_id are one conversation. Repeated rows are turns of their
-    own. An empty table gives no rows. Spans are code points of formatted, end exclusive. One shuffle by conversation
-    and one by window; a conversation's turns are sorted in one task, as its windows follow from their order.
+    conversations: conv_id, turn, role, text; rows are ordered by turn, equal turns by role and text. A null text or
+    role is an empty one; a null turn comes first; rows of null conv_id are one conversation. Repeated rows are turns of
+    their own. An empty table gives no rows. Spans are code points of formatted, end exclusive. One shuffle by
+    conversation and one by window; a conversation's turns are sorted in one task, as its windows follow from their
+    order.
     """
     span = max(1, (budget - history) // 2)
-    turns = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.select(
+        "conv_id",
+        "turn",
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     turns = turns.withColumn("tokens", (tokens(F.col("text")) + tokens(F.col("role")) + TURN_TOKENS).cast("long"))
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "tokens")
-    turns = turns.withColumns({"at": F.row_number().over(by).cast("long"), "upto": F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    turns = turns.withColumns(
+        {
+            "at": F.row_number().over(by).cast("long"),
+            "upto": F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
     first = Window.partitionBy("conv_id").orderBy("at")
     is_system = (F.col("at") == 1) & (F.col("role") == "system")
-    turns = turns.withColumn("system_tokens", F.first(F.when(is_system, F.col("tokens")).otherwise(0)).over(first.rowsBetween(Window.unboundedPreceding, 0)))
-    # The turn that a stretch begins within reaches into it by less than the longest turn: with that taken off, the new turns
-    # and all that the history can take fit. If turns are long, two half spans do instead, since turns of at most one stay under both.
+    turns = turns.withColumn(
+        "system_tokens",
+        F.first(F.when(is_system, F.col("tokens")).otherwise(0)).over(first.rowsBetween(Window.unboundedPreceding, 0)),
+    )
+    # The turn that a stretch begins within reaches into it by less than the longest turn: with that taken off, the new
+    # turns
+    # and all that the history can take fit. If turns are long, two half spans do instead, since turns of at most one
+    # stay under both.
     whole = Window.partitionBy("conv_id")
     longest = F.coalesce(F.max(F.when(~is_system, F.col("tokens"))).over(whole), F.lit(0))
     half = F.least(F.lit(span), F.floor((budget - F.col("system_tokens") + 1) / 2))
-    own_span = F.greatest(F.lit(1), half, budget - F.least(F.lit(history), history_turns * longest) - F.col("system_tokens") - longest + 1)
+    own_span = F.greatest(
+        F.lit(1), half, budget - F.least(F.lit(history), history_turns * longest) - F.col("system_tokens") - longest + 1
+    )
     turns = turns.withColumn("window", F.floor((F.col("upto") - 1) / own_span))
-    turns = turns.withColumn("room", F.least(F.lit(history), budget - F.col("system_tokens") - F.sum("tokens").over(Window.partitionBy("conv_id", "window"))))
-    turns = turns.withColumn("head", F.concat(F.lit(HEAD), role_line(F.col("role")), F.lit("\n"))).withColumn("body", escaped(F.col("text")))
-    turns = turns.withColumns({"starts": F.col("window") != F.coalesce(F.lag("window").over(first), F.lit(-1)), "system": F.first(F.when(is_system, F.struct("at", "head", "body", "role", "tokens"))).over(first.rowsBetween(Window.unboundedPreceding, 0))})
+    turns = turns.withColumn(
+        "room",
+        F.least(
+            F.lit(history),
+            budget - F.col("system_tokens") - F.sum("tokens").over(Window.partitionBy("conv_id", "window")),
+        ),
+    )
+    turns = turns.withColumn("head", F.concat(F.lit(HEAD), role_line(F.col("role")), F.lit("\n"))).withColumn(
+        "body", escaped(F.col("text"))
+    )
+    turns = turns.withColumns(
+        {
+            "starts": F.col("window") != F.coalesce(F.lag("window").over(first), F.lit(-1)),
+            "system": F.first(F.when(is_system, F.struct("at", "head", "body", "role", "tokens"))).over(
+                first.rowsBetween(Window.unboundedPreceding, 0)
+            ),
+        }
+    )
     # A turn goes to its own window as new, and as history to each window that starts within the next turns.
     later = [
-        F.when(F.coalesce(F.lead("starts", k).over(first), F.lit(False)) & (F.lead(F.col("upto") - F.col("tokens"), k).over(first) - F.col("upto") + F.col("tokens") <= F.lead("room", k).over(first)) & ~is_system, F.lead("window", k).over(first))
+        F.when(
+            F.coalesce(F.lead("starts", k).over(first), F.lit(False)) & (
+                F.lead(F.col("upto") - F.col("tokens"), k).over(first)
+                - F.col("upto")
+                + F.col("tokens") <= F.lead("room", k).over(first)
+            ) & ~is_system,
+            F.lead("window", k).over(first),
+        )
         for k in range(1, history_turns + 1)
     ]
     turns = turns.withColumn("later", F.array_compact(F.array(*later)))
-    entry = lambda window, at, new, of: F.struct(window.alias("window"), at.alias("at"), F.lit(new).alias("new"), of("head").alias("head"), of("body").alias("body"), of("role").alias("role"), of("tokens").alias("tokens"))
+    entry = lambda window, at, new, of: F.struct(
+        window.alias("window"),
+        at.alias("at"),
+        F.lit(new).alias("new"),
+        of("head").alias("head"),
+        of("body").alias("body"),
+        of("role").alias("role"),
+        of("tokens").alias("tokens"),
+    )
     own = F.col
     entries = F.concat(
         F.array(entry(F.col("window"), F.col("at"), True, own)),
         F.transform("later", lambda w: entry(w, F.col("at"), False, own)),
-        F.when(F.col("starts") & (F.col("at") > 1) & F.col("system").isNotNull(), F.array(entry(F.col("window"), F.lit(0).cast("long"), False, lambda x: F.col("system")[x]))).otherwise(F.array()),
+        F.when(
+            F.col("starts") & (F.col("at") > 1) & F.col("system").isNotNull(),
+            F.array(entry(F.col("window"), F.lit(0).cast("long"), False, lambda x: F.col("system")[x])),
+        ).otherwise(F.array()),
     )
     rows = turns.select("conv_id", F.explode(entries).alias("e")).select("conv_id", "e.*")
     rows = rows.withColumn("length", F.length("head") + F.length("body") + len(END))
     in_window = Window.partitionBy("conv_id", "window").orderBy("at")
-    rows = rows.withColumn("start", F.sum("length").over(in_window.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length") + F.length("head"))
-    made = F.struct("at", "new", F.concat("head", "body", F.lit(END)).alias("s"), F.when(F.col("new") & (F.col("role") == "assistant"), F.struct(F.col("start").alias("start"), (F.col("start") + F.length("body")).alias("end"))).alias("loss"))
-    grouped = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(made)).alias("t"), F.sum("tokens").alias("n_tokens"))
+    rows = rows.withColumn(
+        "start",
+        F.sum("length").over(in_window.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length") + F.length("head"),
+    )
+    made = F.struct(
+        "at",
+        "new",
+        F.concat("head", "body", F.lit(END)).alias("s"),
+        F.when(
+            F.col("new") & (F.col("role") == "assistant"),
+            F.struct(F.col("start").alias("start"), (F.col("start") + F.length("body")).alias("end")),
+        ).alias("loss"),
+    )
+    grouped = rows.groupBy("conv_id", "window").agg(
+        F.array_sort(F.collect_list(made)).alias("t"), F.sum("tokens").alias("n_tokens")
+    )
     return grouped.select(
-        "conv_id", "window", F.array_join(F.col("t.s"), "").alias("formatted"), F.size(F.filter("t", lambda x: ~x["new"])).alias("n_context"),
+        "conv_id", "window", F.array_join(F.col("t.s"), "").alias("formatted"), F.size(
+            F.filter("t", lambda x: ~x["new"])
+        ).alias("n_context"),
         F.array_compact(F.col("t.loss")).alias("loss_spans"), "n_tokens",
     )
 
 
 def read_back(made: DataFrame) -> DataFrame:
-    """conv_id, window, turns (role, text) that are new in the window, and targets (the texts under its loss mask), unescaped."""
-    pieces = F.transform(F.filter(F.split("formatted", END, -1), lambda x: x != ""), lambda x: F.substring(x, len(HEAD) + 1, 2**31 - 1))
-    turn = lambda x: F.struct(role_of(F.regexp_extract(x, r"^[^\n]*", 0)).alias("role"), plain(F.regexp_extract(x, r"(?s)^[^\n]*\n(.*)$", 1)).alias("text"))
-    new = F.slice(F.transform(pieces, turn), F.col("n_context") + 1, F.greatest(F.size(pieces) - F.col("n_context"), F.lit(0)))
-    targets = F.transform("loss_spans", lambda s: plain(F.substring("formatted", s["start"] + 1, s["end"] - s["start"])))
-    return made.select("conv_id", "window", new.alias("turns"), targets.alias("targets"), F.length("formatted").cast("long").alias("chars"))
+    """conv_id, window, turns (role, text) that are new in the window, and targets (the texts under its loss mask),
+    unescaped."""
+    pieces = F.transform(
+        F.filter(F.split("formatted", END, -1), lambda x: x != ""), lambda x: F.substring(x, len(HEAD) + 1, 2**31 - 1)
+    )
+    turn = lambda x: F.struct(
+        role_of(F.regexp_extract(x, r"^[^\n]*", 0)).alias("role"),
+        plain(F.regexp_extract(x, r"(?s)^[^\n]*\n(.*)$", 1)).alias("text"),
+    )
+    new = F.slice(
+        F.transform(pieces, turn), F.col("n_context") + 1, F.greatest(F.size(pieces) - F.col("n_context"), F.lit(0))
+    )
+    targets = F.transform(
+        "loss_spans", lambda s: plain(F.substring("formatted", s["start"] + 1, s["end"] - s["start"]))
+    )
+    return made.select(
+        "conv_id",
+        "window",
+        new.alias("turns"),
+        targets.alias("targets"),
+        F.length("formatted").cast("long").alias("chars"),
+    )
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = base.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = r"\### Assistant: </turn> ok"
-    chats = chats.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string"))
+    chats = chats.unionByName(
+        spark.createDataFrame(
+            [(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string"
+        )
+    )
     back = read_back(base.stored(windows(chats)))
-    whole = back.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"), F.sum("chars").alias("formatted_chars"))
+    whole = back.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"),
+        F.sum("chars").alias("formatted_chars"),
+    )
     turns, targets = F.flatten(F.col("w.turns")), F.array_join(F.flatten(F.col("w.targets")), "")
     return whole.select(
         "conv_id", F.size(turns).cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(targets).cast("long").alias("loss_chars"), F.sha2(targets, 256).alias("loss_sha256"), "formatted_chars",
+        F.sha2(
+            F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""),
+            256,
+        ).alias("turns_sha256"),
+        F.length(targets).cast("long").alias("loss_chars"), F.sha2(targets, 256).alias(
+            "loss_sha256"
+        ), "formatted_chars",
     )
 
 

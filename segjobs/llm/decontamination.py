@@ -2,16 +2,17 @@
 
 Texts are lower-cased words of letters and digits. A document's window as long as a benchmark item, in words, is
 compared with it, at every start, over SimHash fingerprints: those within ``RADIUS`` bits are found by ``BLOCKS`` blocks
-of the fingerprint. Of two within the radius, one block differs in at most ``RADIUS // BLOCKS`` bits, so each item is listed
-under all such values of each block and no pair is missed. A window looks up its blocks among the items of its length: at
-these sizes it meets an unlike item in 1.16 rows (eight blocks, each of which lists an item under 37 of 256 values), and one in 60
-of them is within the radius. Pairs within it are verified by the exact weighted similarity of their
-shingles, each weighted by its letters.
+of the fingerprint. Of two within the radius, one block differs in at most ``RADIUS // BLOCKS`` bits, so each item is
+listed under all such values of each block and no pair is missed. A window looks up its blocks among the items of its
+length: at these sizes it meets an unlike item in 1.16 rows (eight blocks, each of which lists an item under 37 of 256
+values), and one in 60 of them is within the radius. Pairs within it are verified by the exact weighted similarity of
+their shingles, each weighted by its letters.
 
 Windows that cannot be similar to any item are left out first. Of an item, the shingles that fewest items have and
-that weigh more than ``1 - SIMILARITY`` of it together are looked for in all texts; a text without any of them has no similar window.
-In texts that have one, running sums over what they share with the item leave those windows whose share is too small. Both
-leave out windows only, and none that is similar, whatever the order of the passage: which item a window is like is found by the blocks alone.
+that weigh more than ``1 - SIMILARITY`` of it together are looked for in all texts; a text without any of them has no
+similar window. In texts that have one, running sums over what they share with the item leave those windows whose share
+is too small. Both leave out windows only, and none that is similar, whatever the order of the passage: which item a
+window is like is found by the blocks alone.
 
 An item of fewer than ``SHINGLE`` words is one shingle, and could be found in any text; it is found only in documents
 that have no other words.
@@ -39,7 +40,11 @@ def _bound(value: str, name: str, of: str) -> str:
 
 def _shingles(words: str) -> str:
     """SQL for the shingles (h: hash, s: text, w: weight) of an array of words; of fewer words the whole is one."""
-    each = _bound(f"slice({words}, i + 1, {SHINGLE})", "g", "named_struct('s', array_join(g, ' '), 'w', CAST(length(array_join(g, '')) AS BIGINT))")
+    each = _bound(
+        f"slice({words}, i + 1, {SHINGLE})",
+        "g",
+        "named_struct('s', array_join(g, ' '), 'w', CAST(length(array_join(g, '')) AS BIGINT))",
+    )
     marked = f"transform(sequence(0, greatest(size({words}) - {SHINGLE}, 0)), i -> {_bound(each, 'x', _HASHED)})"
     return f"IF(size({words}) = 0, array(), {marked})"
 
@@ -63,7 +68,8 @@ _NEAR = f"explode(filter(sequence(0L, {2**_BITS - 1}L), m -> bit_count(m) <= {RA
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """item (a key of its id and words), item_id, n_words, ws, item_sh, item_weight and item_fp of the items with a word."""
+    """item (a key of its id and words), item_id, n_words, ws, item_sh, item_weight and item_fp of the items with a
+    word."""
     out = benchmark.select("item_id", F.expr(WORDS).alias("ws")).where(F.size("ws") > 0).distinct()
     out = out.withColumn("sh", F.expr(_shingles("ws")))
     item = F.xxhash64("item_id", F.col("item_id").isNull(), "ws")
@@ -75,28 +81,56 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def hashes_of(wanted: DataFrame) -> DataFrame:
-    """item, n_words, item_weight, hash, w and rare of the distinct shingles of items. Rare ones are had by the fewest items, and
-    just enough to weigh more than what a similar window may lack."""
-    rows = wanted.select("item", "n_words", "item_weight", F.expr(f"inline(zip_with({KEYS}, item_sh, (k, x) -> named_struct('hash', k, 'w', x.w)))"))
+    """item, n_words, item_weight, hash, w and rare of the distinct shingles of items. Rare ones are had by the fewest
+    items, and just enough to weigh more than what a similar window may lack."""
+    rows = wanted.select(
+        "item",
+        "n_words",
+        "item_weight",
+        F.expr(f"inline(zip_with({KEYS}, item_sh, (k, x) -> named_struct('hash', k, 'w', x.w)))"),
+    )
     own = rows.groupBy("item", "n_words", "item_weight", "hash").agg(F.max("w").alias("w"), F.sum("w").alias("all"))
     own = own.withColumn("n_items", F.count("*").over(Window.partitionBy("hash")))
     before = F.sum("all").over(Window.partitionBy("item").orderBy("n_items", "hash")) - F.col("all")
     num, den = SIMILARITY
-    return own.select("item", "n_words", "item_weight", "hash", "w", (den * before <= (den - num) * F.col("item_weight")).alias("rare"))
+    return own.select(
+        "item",
+        "n_words",
+        "item_weight",
+        "hash",
+        "w",
+        (den * before <= (den - num) * F.col("item_weight")).alias("rare"),
+    )
 
 
 def candidates(words: DataFrame, hashes: DataFrame) -> DataFrame:
     """(key, item) of texts (key, ws) that have one of the item's rare shingles."""
     rare = hashes.where("rare").select("item", "hash")
-    return words.select("key", F.explode(F.array_distinct(F.expr(KEYS))).alias("hash")).join(base.small(rare), "hash").select("key", "item").distinct()
+    return words.select("key", F.explode(F.array_distinct(F.expr(KEYS))).alias("hash")).join(
+        base.small(rare), "hash"
+    ).select("key", "item").distinct()
 
 
 def windows(texts: DataFrame, likely: DataFrame, hashes: DataFrame) -> DataFrame:
-    """key, start and n_words of the windows of texts (key, ws; each key once) that may be similar to an item of their length."""
-    items_of = hashes.groupBy("item", "n_words", "item_weight").agg(F.map_from_entries(F.collect_list(F.struct("hash", "w"))).alias("weights"))
-    own = texts.select("key", F.size("ws").alias("n"), F.expr(KEYS).alias("hashes")).join(likely, "key").join(base.small(items_of), "item")
+    """key, start and n_words of the windows of texts (key, ws; each key once) that may be similar to an item of their
+    length."""
+    items_of = hashes.groupBy("item", "n_words", "item_weight").agg(
+        F.map_from_entries(F.collect_list(F.struct("hash", "w"))).alias("weights")
+    )
+    own = texts.select("key", F.size("ws").alias("n"), F.expr(KEYS).alias("hashes")).join(likely, "key").join(
+        base.small(items_of), "item"
+    )
     # A shared shingle counts in the windows from its first start to its own place.
-    found = own.select("key", "n", "item", "n_words", "item_weight", F.expr("inline(filter(transform(hashes, (h, i) -> named_struct('at', i, 'w', weights[h])), x -> x.w IS NOT NULL))"))
+    found = own.select(
+        "key",
+        "n",
+        "item",
+        "n_words",
+        "item_weight",
+        F.expr(
+            "inline(filter(transform(hashes, (h, i) -> named_struct('at', i, 'w', weights[h])), x -> x.w IS NOT NULL))"
+        ),
+    )
     first = f"greatest(0, at + least({SHINGLE}, n_words) - n_words)"
     ends = f"inline(array(named_struct('start', {first}, 'w', w), named_struct('start', at + 1, 'w', -w)))"
     marks = found.select("key", "n", "item", "n_words", "item_weight", F.expr(ends))
@@ -112,16 +146,28 @@ def all_windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """windows() with none left out: every start, for the length of every item."""
     own = texts.select("key", F.size("ws").alias("n")).join(base.small(wanted.select("n_words").distinct()))
     own = own.where(f"n > 0 AND (n_words >= {SHINGLE} OR n < {SHINGLE})")
-    return own.select("key", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - F.col("n_words")))).alias("start"), "n_words")
+    return own.select(
+        "key",
+        F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - F.col("n_words")))).alias("start"),
+        "n_words",
+    )
 
 
 def near_items(prints: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, start, n_words, item) of windows (with fp) and items of their length within RADIUS bits, over blocks."""
-    index = wanted.select("item", "n_words", "item_fp", F.expr(_BLOCK.format("item_fp")).alias("x")).select("*", F.expr(_NEAR).alias("m"))
-    index = index.select("item", "n_words", "item_fp", F.col("x.b").alias("b"), F.col("x.v").bitwiseXOR(F.col("m")).alias("v"))
-    looked = prints.select("key", "start", "n_words", "fp", F.expr(_BLOCK.format("fp")).alias("x")).select("key", "start", "n_words", "fp", "x.b", "x.v")
+    index = wanted.select("item", "n_words", "item_fp", F.expr(_BLOCK.format("item_fp")).alias("x")).select(
+        "*", F.expr(_NEAR).alias("m")
+    )
+    index = index.select(
+        "item", "n_words", "item_fp", F.col("x.b").alias("b"), F.col("x.v").bitwiseXOR(F.col("m")).alias("v")
+    )
+    looked = prints.select("key", "start", "n_words", "fp", F.expr(_BLOCK.format("fp")).alias("x")).select(
+        "key", "start", "n_words", "fp", "x.b", "x.v"
+    )
     within = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    return looked.join(base.small(index), ["n_words", "b", "v"]).where(within).select("key", "start", "n_words", "item").distinct()
+    return looked.join(base.small(index), ["n_words", "b", "v"]).where(within).select(
+        "key", "start", "n_words", "item"
+    ).distinct()
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, all_starts: bool = False) -> DataFrame:
@@ -148,7 +194,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, all_starts: bool = False) -> D
     sure = sure.withColumn("common", F.expr(COMMON))
     sure = sure.withColumn("union", F.expr("item_weight + aggregate(sh, 0L, (a, x) -> a + x.w) - common"))
     ppm = F.max(F.floor(F.expr("1000000 * common / union"))).cast("bigint")
-    best = sure.where(den * F.col("common") >= num * F.col("union")).groupBy("key", "item_id").agg(ppm.alias("similarity_ppm"))
+    best = sure.where(den * F.col("common") >= num * F.col("union")).groupBy("key", "item_id").agg(
+        ppm.alias("similarity_ppm")
+    )
     return texts.select("doc_id", "key").distinct().join(base.small(base.stored(best)), "key")
 
 
@@ -156,9 +204,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and similarity_ppm of each document that has a window similar to an item; the best window's.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. Null, empty and wordless texts match
-    nothing. A document of fewer words than an item is one window. Rows are looked at one by one; those of equal doc_id give one row
-    with the best similarity, and so do those without a doc_id, whose doc_id is null here. Rows of null item_id are
-    items too. Repeated rows change nothing; very long texts are read whole; an empty table gives no rows.
+    nothing. A document of fewer words than an item is one window. Rows are looked at one by one; those of equal doc_id
+    give one row with the best similarity, and so do those without a doc_id, whose doc_id is null here. Rows of null
+    item_id are items too. Repeated rows change nothing; very long texts are read whole; an empty table gives no rows.
     """
     best = _leaks(docs, benchmark).groupBy("doc_id", "item_id")
     return best.agg(F.max("similarity_ppm").alias("similarity_ppm"))
@@ -168,7 +216,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text has a leak, whatever their doc_id; other rows, and all columns, stay."""
     found = base.stored(_leaks(docs, benchmark).select(F.col("key").alias("leaked")).distinct())
     marked = docs.withColumn("leaked_key_of_text", F.xxhash64("text"))
-    return marked.join(base.small(found), F.col("leaked_key_of_text") == F.col("leaked"), "left_anti").select(*docs.columns)
+    return marked.join(base.small(found), F.col("leaked_key_of_text") == F.col("leaked"), "left_anti").select(
+        *docs.columns
+    )
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

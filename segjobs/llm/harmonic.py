@@ -1,10 +1,10 @@
 """Harmonic packing of token sequences: each task fills classes of reciprocal capacity on its own.
 
-A piece of length ``s`` belongs to class ``k = capacity // s``, and each sequence of class ``k`` holds exactly ``k`` pieces
-of that class. How full that is depends on ``s`` alone, and documents may be cut. So a document longer than a sequence
-gives whole sequences (class 1), and the rest of it is cut, longest piece first, into lengths that leave no more than
-a share ``slack`` of their class's sequences empty: 1,024 (two a sequence), 682 (three), 512, 409 and so on. What is left
-of a rest shrinks about as its square does, so a few pieces do.
+A piece of length ``s`` belongs to class ``k = capacity // s``, and each sequence of class ``k`` holds exactly ``k``
+pieces of that class. How full that is depends on ``s`` alone, and documents may be cut. So a document longer than a
+sequence gives whole sequences (class 1), and the rest of it is cut, longest piece first, into lengths that leave no
+more than a share ``slack`` of their class's sequences empty: 1,024 (two a sequence), 682 (three), 512, 409 and so on.
+What is left of a rest shrinks about as its square does, so a few pieces do.
 """
 
 from __future__ import annotations
@@ -58,21 +58,30 @@ def laid_out(left: list[Piece], capacity: int) -> list[list[Piece]]:
 
 
 _SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
+    ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), (
+        "doc_tokens", pa.int64()
+    ), ("sequence_id", pa.int64()), ("offset", pa.int64()),
 ])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, slack: float = SLACK, spaces_count: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int = 1,
+    capacity: int = CAPACITY,
+    slack: float = SLACK,
+    spaces_count: bool = False,
+) -> DataFrame:
     """Pieces of all documents with their places: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     docs: doc_id, text (other columns are not read). ids are little-endian 32-bit numbers; a piece's ids begin at
-    ``start`` of its document's, of which there are ``doc_tokens`` with the end id. A null text is an empty one: its end id
-    alone. Rows without a doc_id and repeated rows are packed each for itself. An empty table gives no rows.
+    ``start`` of its document's, of which there are ``doc_tokens`` with the end id. A null text is an empty one: its end
+    id alone. Rows without a doc_id and repeated rows are packed each for itself. An empty table gives no rows.
 
-    Nothing is shuffled and tasks know nothing of each other. A task holds at most one incomplete sequence of each class;
-    when its rows end, it lays these out by laid_out(). Sequences are gapless from offset 0. A task's sequences come
-    together, so a task that runs again replaces all of them; write the result before it is shuffled further, if the order
-    of rows in docs is not fixed.
+    Nothing is shuffled and tasks know nothing of each other. A task holds at most one incomplete sequence of each
+    class; when its rows end, it lays these out by laid_out(). Sequences are gapless from offset 0. A task's sequences
+    come together, so a task that runs again replaces all of them; write the result before it is shuffled further, if
+    the order of rows in docs is not fixed.
     """
     if capacity < 2 or not 0 <= slack < 1:
         raise ValueError(f"capacity {capacity} or slack {slack} is out of range")
@@ -92,10 +101,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
             size = np.array(columns[2], np.int64)
             first = np.cumsum(count) - count
             before = np.cumsum(size) - size
-            columns += [np.repeat(np.arange(number, number + len(ready)), count), before - np.repeat(before[first], count)]
+            columns += [
+                np.repeat(np.arange(number, number + len(ready)), count), before - np.repeat(before[first], count)
+            ]
             number += len(ready)
             ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA
+            )
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -121,14 +134,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
         if ready:
             yield made()
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return docs.select("doc_id", "text").mapInArrow(
+        rows,
+        "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint",
+    )
 
 
 def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     packed = pack(base.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
 
 
 QUERIES = {"op13_harmonic_packing": op13_harmonic_packing}

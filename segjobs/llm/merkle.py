@@ -7,7 +7,8 @@ run has fewer) until one is left, the subroot; the subroots by source are the le
 Leaves lie in blocks of ``WIDTH``, a whole subtree each, so that most nodes are made inside one task, ``LEVELS`` levels
 at a time. To prove leaves, a block computes the minimal union of the coordinates that its leaves do not derive
 themselves (an octopus multiproof: siblings that several leaves lack are there once, and those that it can derive not at
-all), fetches their digests in one join, derives the interiors that its leaves share, and expands one proof for each leaf.
+all), fetches their digests in one join, derives the interiors that its leaves share, and expands one proof for each
+leaf.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ def parents(digests: list[str]) -> list[str]:
 
 
 def missing(present: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
-    """(level, i) of the nodes that, with the leaves at the places ``present``, are enough to derive a root of ``n`` leaves."""
+    """(level, i) of the nodes that, with the leaves at the places ``present``, are enough to derive a root of ``n``
+    leaves."""
     out, level, known = [], 0, np.unique(present)
     while n > 1:
         runs = np.unique(known // ARITY)
@@ -68,7 +70,8 @@ def missing(present: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
 
 def derived(known: dict[tuple[int, int], str], present: np.ndarray, n: int) -> tuple[str, list[list[tuple[str, str]]]]:
     """The root from known digests by (level, i), and for each leaf of ``present`` its steps: what is hashed before and
-    after it, level by level. Interiors and the steps above them are made once for all leaves below. known is added to."""
+    after it, level by level. Interiors and the steps above them are made once for all leaves below. known is added
+    to."""
     levels, places, count = [], np.unique(present), n
     while count > 1:
         levels.append((places, count))
@@ -115,7 +118,9 @@ def _nodes(blocks: DataFrame, level: int) -> DataFrame:
                     digests, at, count = parents(digests), at // ARITY, -(-count // ARITY)
                     out += [(tree, level + up, at + k, d, count == 1) for k, d in enumerate(digests)]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["tree", "level", "i", "digest", "top"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["tree", "level", "i", "digest", "top"]
+            )
 
     return blocks.select("tree", "block", "n", "items").mapInArrow(rows, _NODES)
 
@@ -148,7 +153,8 @@ def grown(blocks: DataFrame, most: int) -> DataFrame:
 @dataclass(frozen=True)
 class Manifest:
     """leaves: tree, block, n (leaves of the tree), items (i, doc_id, digest and extra fields); nodes: those above them.
-    sources: tree, source, n, subroot. top: nodes of the tree of subroots, those themselves as level 0. root: None without rows."""
+    sources: tree, source, n, subroot. top: nodes of the tree of subroots, those themselves as level 0. root: None
+    without rows."""
 
     leaves: DataFrame
     nodes: DataFrame
@@ -170,16 +176,26 @@ def manifest(docs: DataFrame, **extra: Column) -> Manifest:
     order = [F.col(c).asc_nulls_first() for c in ("source", "doc_id", "digest")]
     placed = ranked(rows, *order, name="place")
     by_source = placed.groupBy("source").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    sources = base.stored(ranked(by_source, F.col("source").asc_nulls_first(), name="k").withColumn("tree", F.col("k") - 1).drop("k"))
+    sources = base.stored(
+        ranked(by_source, F.col("source").asc_nulls_first(), name="k").withColumn("tree", F.col("k") - 1).drop("k")
+    )
     n_sources, most = sources.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     named = sources.withColumnRenamed("source", "known")
-    own = placed.join(base.small(named), F.col("source").eqNullSafe(F.col("known"))).withColumn("i", F.col("place") - F.col("first"))
+    own = placed.join(base.small(named), F.col("source").eqNullSafe(F.col("known"))).withColumn(
+        "i", F.col("place") - F.col("first")
+    )
     leaves = base.stored(_blocks(own, "i", "doc_id", "digest", *extra))
     nodes = grown(leaves, most)
     single = leaves.where("n = 1").select("tree", F.col("items")[0]["digest"].alias("subroot"))
     subroots = nodes.where("top").select("tree", F.col("digest").alias("subroot")).unionByName(single)
     sources = base.stored(sources.select("tree", "source", "n").join(base.small(subroots), "tree"))
-    lowest = sources.select(F.lit(TOP).cast("long").alias("tree"), F.lit(0).alias("level"), F.col("tree").alias("i"), F.col("subroot").alias("digest"), F.lit(n_sources == 1).alias("top"))
+    lowest = sources.select(
+        F.lit(TOP).cast("long").alias("tree"),
+        F.lit(0).alias("level"),
+        F.col("tree").alias("i"),
+        F.col("subroot").alias("digest"),
+        F.lit(n_sources == 1).alias("top"),
+    )
     above = grown(_blocks(lowest.withColumn("n", F.lit(n_sources)), "i", "digest"), n_sources)
     top = base.stored(lowest.unionByName(above))
     found = top.where("top").select("digest").head()
@@ -197,19 +213,30 @@ def _wanted(blocks: DataFrame, n_sources: int) -> DataFrame:
                 found += [(TOP, level, at) for level, at in missing(np.array([tree]), n_sources)]
                 out += [(tree, block, t, level, i) for t, level, at in found for i in at.tolist()]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["tree", "block", "at_tree", "at_level", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
+                ["tree", "block", "at_tree", "at_level", "at"],
+            )
 
-    return blocks.select("tree", "block", "n", "items.i").mapInArrow(rows, "tree bigint, block bigint, at_tree bigint, at_level int, at bigint")
+    return blocks.select("tree", "block", "n", "items.i").mapInArrow(
+        rows, "tree bigint, block bigint, at_tree bigint, at_level int, at bigint"
+    )
 
 
 def _fetched(m: Manifest, wanted: DataFrame) -> DataFrame:
-    """wanted with digests. The few nodes near roots, for which many blocks ask, are broadcast; of others, a node is asked
-    for by few blocks."""
+    """wanted with digests. The few nodes near roots, for which many blocks ask, are broadcast; of others, a node is
+    asked for by few blocks."""
     nodes = m.nodes.unionByName(m.top)
     low = wanted.where(f"at_level = 0 AND at_tree <> {TOP}")
     if not low.isEmpty():  # some leaves of a run are proved without the others
-        nodes = nodes.unionByName(m.leaves.select("tree", F.explode("items").alias("x")).select("tree", F.lit(0).alias("level"), "x.i", "x.digest", F.lit(False).alias("top")))
-    nodes = nodes.select(F.col("tree").alias("at_tree"), F.col("level").alias("at_level"), F.col("i").alias("at"), "digest")
+        nodes = nodes.unionByName(
+            m.leaves.select("tree", F.explode("items").alias("x")).select(
+                "tree", F.lit(0).alias("level"), "x.i", "x.digest", F.lit(False).alias("top")
+            )
+        )
+    nodes = nodes.select(
+        F.col("tree").alias("at_tree"), F.col("level").alias("at_level"), F.col("i").alias("at"), "digest"
+    )
     is_top = F.col("at_tree") == TOP
     sizes = nodes.groupBy(is_top.alias("is_top"), "at_level").count().orderBy("count").collect()  # a row a level
     near, total = [], 0
@@ -224,14 +251,17 @@ def _fetched(m: Manifest, wanted: DataFrame) -> DataFrame:
 
 
 def proofs(m: Manifest, only: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The fields of m's leaves (i, doc_id, digest, extra ones), tree, subroot, root and steps (before, after): a proof of
-    each leaf, or of those for whose item ``only`` holds. fold() gives the root again; siblings are what before and after hold.
+    """The fields of m's leaves (i, doc_id, digest, extra ones), tree, subroot, root and steps (before, after): a proof
+    of each leaf, or of those for whose item ``only`` holds. fold() gives the root again; siblings are what before and
+    after hold.
     """
     blocks = m.leaves
     if only is not None:
         blocks = base.stored(blocks.withColumn("items", F.filter("items", only)).where("size(items) > 0"))
     wanted = base.stored(_wanted(blocks, m.n_sources))
-    got = _fetched(m, wanted).groupBy("tree", "block").agg(F.collect_list(F.struct("at_tree", "at_level", "at", "digest")).alias("got"))
+    got = _fetched(m, wanted).groupBy("tree", "block").agg(
+        F.collect_list(F.struct("at_tree", "at_level", "at", "digest")).alias("got")
+    )
     joined = blocks.join(base.small(base.stored(got)), ["tree", "block"], "left").select("tree", "n", "items", "got")
     item = blocks.schema["items"].dataType.elementType
     n_sources = m.n_sources
@@ -253,22 +283,41 @@ def proofs(m: Manifest, only: Callable[[Column], Column] | None = None) -> DataF
                 upper = upper[0]
                 size = [len(s) + len(upper) for s in steps]
                 flat = [x for s in steps for x in (*s, *upper)]
-                pairs = pa.StructArray.from_arrays([pa.array([x[j] for x in flat], pa.string()) for j in (0, 1)], fields=list(pair))
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array([x[j] for x in flat], pa.string()) for j in (0, 1)], fields=list(pair)
+                )
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pairs)
-                same = [pa.array([v] * len(items), t) for v, t in ((tree, pa.int64()), (subroot, pa.string()), (root, pa.string()))]
+                same = [
+                    pa.array([v] * len(items), t)
+                    for v, t in ((tree, pa.int64()), (subroot, pa.string()), (root, pa.string()))
+                ]
                 fields = [items.field(j) for j in range(items.type.num_fields)]
-                yield pa.RecordBatch.from_arrays([*fields, *same, lists], [*(f.name for f in items.type), "tree", "subroot", "root", "steps"])
+                yield pa.RecordBatch.from_arrays(
+                    [*fields, *same, lists], [*(f.name for f in items.type), "tree", "subroot", "root", "steps"]
+                )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in item.fields)
-    return joined.mapInArrow(rows, f"{schema}, tree bigint, subroot string, root string, steps array<struct<before:string,after:string>>")
+    return joined.mapInArrow(
+        rows, f"{schema}, tree bigint, subroot string, root string, steps array<struct<before:string,after:string>>"
+    )
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
-    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    tampered = F.when(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))
+    ).otherwise(F.col("text"))
     proved = proofs(manifest(docs, claimed=leaf(text=tampered)))
     folded = proved.withColumn("folded_root", fold(F.col("claimed"), F.col("steps")))
-    return folded.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    return folded.select(
+        "doc_id",
+        F.col("digest").alias("leaf"),
+        "subroot",
+        "root",
+        proof_digest(F.col("steps")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
 
 
 QUERIES = {"op12_merkle_manifest": op12_merkle_manifest}

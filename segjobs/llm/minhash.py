@@ -37,7 +37,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_STEPS = np.random.Generator(np.random.PCG64(9)).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = np.random.Generator(np.random.PCG64(9)).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(
+    2
+) + np.uint64(1)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -56,7 +58,9 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(np.concatenate([[0], upto[:-1]]).tolist(), upto.tolist(), strict=True):
         n = b - a
-        out.append(np.unique(runs[a : b - words + 1]) if n >= words else base.run_hashes(hashes[a:b], n) if n else hashes[:0])
+        out.append(
+            np.unique(runs[a : b - words + 1]) if n >= words else base.run_hashes(hashes[a:b], n) if n else hashes[:0]
+        )
     return out
 
 
@@ -65,7 +69,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(COORDINATES, 2**64 - 1, np.uint64)
     for i in range(0, len(shingles), 1024):
         np.minimum(least, (_STEPS[:, None] * shingles[i : i + 1024]).min(axis=1), out=least)
-    return base.mixed(least ^ (np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+    return base.mixed(least ^ (np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(
+        np.int64
+    )
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -86,11 +92,18 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             for i, j in groups(texts):
                 sets = shingle_sets(texts[i:j], words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    [
+                        pa.array(ids[i:j], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    ],
                     ["doc_id", "n_shingles", "node", "signature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint, signature array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(
+        rows, "doc_id bigint, n_shingles bigint, node bigint, signature array<bigint>"
+    )
 
 
 def enough(similarity: tuple[int, int], common: int, a: int, b: int) -> bool:
@@ -106,8 +119,12 @@ def shingled(texts: DataFrame, words: int) -> DataFrame:
             nodes, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in groups(text):
                 sets = shingle_sets(text[i:j], words)
-                good = [(k, s.tobytes()) for k, s in zip(nodes[i:j], sets, strict=True) if node_of(s) == k]  # else another row's text under the same doc_id
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.binary())], ["node", "set"])
+                # else another row's text under the same doc_id
+                good = [(k, s.tobytes()) for k, s in zip(nodes[i:j], sets, strict=True) if node_of(s) == k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.binary())],
+                    ["node", "set"],
+                )
 
     return texts.mapInArrow(rows, "node bigint, set binary").dropDuplicates(["node"])
 
@@ -123,7 +140,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     """
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
-    head = dealt.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("node")).select("a", "chunk", F.lit(0).alias("role"), "node", "set")
+    head = dealt.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("node")).select(
+        "a", "chunk", F.lit(0).alias("role"), "node", "set"
+    )
     rest = dealt.join(sets, F.col("b") == F.col("node")).select("a", "chunk", F.lit(1).alias("role"), "node", "set")
 
     def rows(batches):
@@ -141,11 +160,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
             yield _links(found)
 
     # Rows of a key stream through the task in order; only its first set is held.
-    return head.unionByName(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(rows, "a bigint, b bigint")
+    return head.unionByName(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(
+        rows, "a bigint, b bigint"
+    )
 
 
 def joining(members: list[tuple[int, int, int, np.ndarray]], similarity: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between members (side, node, label, set) of different sides and labels that are enough to join what all such links join.
+    """Links between members (side, node, label, set) of different sides and labels that are enough to join what all
+    such links join.
 
     If all are of one side, every two are compared. Sets are compared as rows of a matrix of their common shingles.
     """
@@ -185,17 +207,34 @@ def joined_in_blocks(members: DataFrame, sets: DataFrame, similarity: tuple[int,
     of blocks are dealt to tasks, so a large group is the work of many.
     """
     num, den = similarity
-    big = members.groupBy("grp", "label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("grp", "label", F.lit(True).alias("big"))
+    big = members.groupBy("grp", "label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(
+        "grp", "label", F.lit(True).alias("big")
+    )
     ratio = math.log(den / num)
-    own = members.join(big, ["grp", "label"], "left").withColumns({"of": F.when(F.col("big"), F.col("label")), "bin": F.floor(F.log("size") / ratio)})
+    own = members.join(big, ["grp", "label"], "left").withColumns(
+        {"of": F.when(F.col("big"), F.col("label")), "bin": F.floor(F.log("size") / ratio)}
+    )
     many = own.groupBy("grp", "of", "bin").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    own = own.join(many.withColumnRenamed("of", "of2").withColumnRenamed("grp", "grp2").withColumnRenamed("bin", "bin2"), (F.col("grp") == F.col("grp2")) & F.col("of").eqNullSafe(F.col("of2")) & (F.col("bin") == F.col("bin2")))
-    own = own.withColumn("block", F.xxhash64("grp", F.coalesce("of", F.lit(0)), F.col("of").isNull(), "bin", F.pmod(F.xxhash64("node"), F.col("parts")))).select("grp", "block", "of", "bin", "node", "label")
+    own = own.join(
+        many.withColumnRenamed("of", "of2").withColumnRenamed("grp", "grp2").withColumnRenamed("bin", "bin2"),
+        (F.col("grp") == F.col("grp2")) & F.col("of").eqNullSafe(F.col("of2")) & (F.col("bin") == F.col("bin2")),
+    )
+    own = own.withColumn(
+        "block",
+        F.xxhash64(
+            "grp", F.coalesce("of", F.lit(0)), F.col("of").isNull(), "bin", F.pmod(F.xxhash64("node"), F.col("parts"))
+        ),
+    ).select("grp", "block", "of", "bin", "node", "label")
     own = base.stored(own)
     blocks = own.select("grp", "block", "of", "bin").distinct()
     other = blocks.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("block", "of", "bin")])
-    pairs = blocks.join(other, "grp").where("block <= block_b AND abs(bin - bin_b) <= 1 AND NOT coalesce(of = of_b, false)")
-    pairs = pairs.select(F.xxhash64("block", "block_b").alias("pair"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
+    pairs = blocks.join(other, "grp").where(
+        "block <= block_b AND abs(bin - bin_b) <= 1 AND NOT coalesce(of = of_b, false)"
+    )
+    pairs = pairs.select(
+        F.xxhash64("block", "block_b").alias("pair"),
+        F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"),
+    )
     dealt = own.join(pairs, "block").join(sets, "node").select("pair", "block", "node", "label", "set")
 
     def rows(batches):
@@ -226,47 +265,92 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     least = least_matches(num / den)
     rows = base.stored(signed(docs, words))
     full = rows.where(F.col("node").isNotNull())
-    nodes = base.stored(full.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")))
+    nodes = base.stored(
+        full.groupBy("node").agg(
+            F.min("doc_id").alias("low"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")
+        )
+    )
     posts = nodes.select("node", F.explode("signature").alias("value"))
     shared = posts.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    by_node = posts.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("rare"), F.sum("n").alias("mass"))  # COORDINATES at most
-    by_node = by_node.where(F.size("rare") >= least).select("node", F.size("rare").alias("many"), "mass", F.explode(F.slice("rare", 1, F.size("rare") - F.lit(least - 1))).alias("x"))
-    lists = base.stored(by_node.select("node", F.struct("many", "mass", "node").alias("weight"), F.col("x.value").alias("value")))
-    signatures = base.stored(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "low", "size", "signature"))
+    by_node = posts.join(shared, "value").groupBy("node").agg(  # COORDINATES at most
+        F.sort_array(F.collect_list(F.struct("n", "value"))).alias("rare"), F.sum("n").alias("mass")
+    )
+    by_node = by_node.where(F.size("rare") >= least).select(
+        "node",
+        F.size("rare").alias("many"),
+        "mass",
+        F.explode(F.slice("rare", 1, F.size("rare") - F.lit(least - 1))).alias("x"),
+    )
+    lists = base.stored(
+        by_node.select("node", F.struct("many", "mass", "node").alias("weight"), F.col("x.value").alias("value"))
+    )
+    signatures = base.stored(
+        nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "low", "size", "signature")
+    )
 
     def enough_matches(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes allow the similarity and that collide often enough."""
-        mark = lambda x: signatures.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"signature_{x}"))
-        near = pairs.join(mark("a"), "a").join(mark("b"), "b").where(den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b"))
-        return base.stored(near.where(F.size(F.array_intersect("signature_a", "signature_b")) >= least).select("a", "b"))
-
-    heads = lists.groupBy("value").agg(F.max("weight").alias("lead"), F.count("*").alias("n")).where("n > 1").select("value", F.col("lead.node").alias("a"))
-    stars = enough_matches(lists.join(heads, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+        mark = lambda x: signatures.select(
+            F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"signature_{x}")
+        )
+        near = pairs.join(mark("a"), "a").join(mark("b"), "b").where(
+            den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b")
+        )
+        return base.stored(
+            near.where(F.size(F.array_intersect("signature_a", "signature_b")) >= least).select("a", "b")
+        )
+
+    heads = lists.groupBy("value").agg(F.max("weight").alias("lead"), F.count("*").alias("n")).where("n > 1").select(
+        "value", F.col("lead.node").alias("a")
+    )
+    stars = enough_matches(
+        lists.join(heads, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    )
 
     wanted = base.small(signatures.select("node", "low"))
-    sets = base.stored(shingled(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("low")).select("node", "text"), words))
+    sets = base.stored(
+        shingled(
+            docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("low")).select("node", "text"), words
+        )
+    )
     linked = base.stored(confirmed(stars, sets, similarity))
 
     label = components(linked)
-    labelled = lists.select("value", "node").join(label, "node", "left").select("value", "node", F.coalesce("root", "node").alias("label"))
-    mixed = labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("value", "n")
+    labelled = lists.select("value", "node").join(label, "node", "left").select(
+        "value", "node", F.coalesce("root", "node").alias("label")
+    )
+    mixed = labelled.groupBy("value").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")
+    ).where("x < y").select("value", "n")
     left = base.stored(labelled.join(mixed, "value"))
     short = left.where(F.col("n") <= SHORT)
-    pairs = short.select("value", F.col("node").alias("a"), F.col("label").alias("x")).join(short.select("value", F.col("node").alias("b"), F.col("label").alias("y")), "value").where("a < b AND x <> y").select("a", "b").distinct()
+    pairs = short.select("value", F.col("node").alias("a"), F.col("label").alias("x")).join(
+        short.select("value", F.col("node").alias("b"), F.col("label").alias("y")), "value"
+    ).where("a < b AND x <> y").select("a", "b").distinct()
     links = linked.unionByName(confirmed(enough_matches(pairs), sets, similarity))
     long = left.where(F.col("n") > SHORT)
     if not long.isEmpty():
-        grp = components(long.select(F.col("value").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("grp"))
-        members = long.select("node", "label").distinct().join(grp, "node").join(signatures.select("node", "size"), "node")
+        grp = components(long.select(F.col("value").alias("a"), F.col("node").alias("b"))).select(
+            "node", F.col("root").alias("grp")
+        )
+        members = long.select("node", "label").distinct().join(grp, "node").join(
+            signatures.select("node", "size"), "node"
+        )
         links = links.unionByName(joined_in_blocks(base.stored(members), sets, similarity))
 
     roots = components(links)
     lows = roots.join(nodes.select("node", "low"), "node")
-    roots = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
-    of_node = nodes.select("node", "low").join(roots, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    roots = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(
+        "node", "component_id"
+    )
+    of_node = nodes.select("node", "low").join(roots, "node", "left").select(
+        "node", F.coalesce("component_id", "low").alias("component_id")
+    )
     out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    )
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,11 @@ CAPACITY = 4096
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Places for ``counts[length]`` pieces of each length: (length, first rank, pieces, pieces in a bin, first bin, offset).
+    """Places for ``counts[length]`` pieces of each length: (length, first rank, pieces, pieces in a bin, first bin,
+    offset).
 
-    Piece ``r`` of a run lies in bin ``first bin + (r - first rank) // per``, at ``offset + length * ((r - first rank) % per)``.
-    Pieces above a third of the capacity go at most two to a bin: the longest left is matched with the longest
+    Piece ``r`` of a run lies in bin ``first bin + (r - first rank) // per``, at ``offset + length * ((r - first rank) %
+    per)``. Pieces above a third of the capacity go at most two to a bin: the longest left is matched with the longest
     that fits beside it. Each shorter length, longest first, then fills the bins with the smallest sufficient gap.
     """
     left = {length: n for length, n in counts.items() if n > 0}
@@ -107,15 +108,37 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, spa
                 for doc_id, n in zip(doc_ids[i:j], (size + 1).tolist(), strict=True):
                     for k, at in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - at)
-                        out.append((doc_id, k, at, length, flat[begin + at : begin + at + length].tobytes(), part, seen[length]))
+                        out.append(
+                            (
+                                doc_id,
+                                k,
+                                at,
+                                length,
+                                flat[begin + at : begin + at + length].tobytes(),
+                                part,
+                                seen[length],
+                            )
+                        )
                         seen[length] += 1
                     begin += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids", "part", "rank_in_part"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(c, t)
+                        for c, t in zip(
+                            zip(*out, strict=True),
+                            (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()),
+                            strict=True,
+                        )
+                    ],
+                    ["doc_id", "piece", "start", "length", "ids", "part", "rank_in_part"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(rows, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, spaces_count: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, spaces_count: bool = False
+) -> DataFrame:
     """Pieces of all documents with their places: doc_id, piece, start, length, ids, sequence_id, offset.
 
     docs: doc_id, text (other columns are not read). A null text is an empty one: its end id alone. Repeated rows
@@ -127,17 +150,28 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     spark = docs.sparkSession
     cut = base.stored(pieces(docs, tokenizer_path, end_id, capacity, spaces_count))
     by_part = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    before = by_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    # at most ``capacity`` rows
+    counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    before = by_part.select(
+        "length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")
+    )
     # One row a length; its runs are few, since each ends with a length or a gap used up.
     runs: dict[int, list] = defaultdict(list)
     for length, *run in plan(counts, capacity):
         runs[length].append(tuple(run))
     fields = [StructField(x, LongType()) for x in ("from_rank", "n", "per", "first_bin", "at")]
-    planned = spark.createDataFrame(list(runs.items()), StructType([StructField("length", IntegerType()), StructField("runs", ArrayType(StructType(fields)))]))
+    planned = spark.createDataFrame(
+        list(runs.items()),
+        StructType([StructField("length", IntegerType()), StructField("runs", ArrayType(StructType(fields)))]),
+    )
     rank = F.col("rank_in_part") + F.col("before")
-    placed = cut.join(base.small(before), ["length", "part"]).withColumn("rank", rank).join(F.broadcast(planned), "length")
-    placed = placed.withColumn("run", F.filter("runs", lambda r: (r["from_rank"] <= F.col("rank")) & (F.col("rank") < r["from_rank"] + r["n"]))[0])
+    placed = cut.join(base.small(before), ["length", "part"]).withColumn("rank", rank).join(
+        F.broadcast(planned), "length"
+    )
+    placed = placed.withColumn(
+        "run",
+        F.filter("runs", lambda r: (r["from_rank"] <= F.col("rank")) & (F.col("rank") < r["from_rank"] + r["n"]))[0],
+    )
     nth = F.col("rank") - F.col("run.from_rank")
     return placed.select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids",
@@ -150,7 +184,9 @@ def op4_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     packed = pack(base.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
 
 
 QUERIES = {"op4_bestfit_packing": op4_bestfit_packing}

@@ -32,7 +32,9 @@ def _table(chars: str) -> np.ndarray:
 
 
 _SYMBOL = _table("#*$%&|<>")
-_UPPER, _LETTER, _DIGIT, _SHOUT, _STOP = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table("0123456789"), _table("!"), _table(".!?:;")
+_UPPER, _LETTER, _DIGIT, _SHOUT, _STOP = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table(
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+), _table("0123456789"), _table("!"), _table(".!?:;")
 N_FEATURES = 17
 
 
@@ -61,7 +63,11 @@ def measured(texts: list[str | None]) -> dict[str, np.ndarray]:
     from_, to = np.flatnonzero(first), np.flatnonzero(last) + 1
     words = segment_hashes(data, from_, to)
     char = (data & 0xC0) != 0x80
-    out = {"n_words": _sums(first, begin, end), "word_chars": _sums(solid & char, begin, end), "n_symbols": _sums(_SYMBOL[data], begin, end)}
+    out = {
+        "n_words": _sums(first, begin, end),
+        "word_chars": _sums(solid & char, begin, end),
+        "n_symbols": _sums(_SYMBOL[data], begin, end),
+    }
 
     text_of = np.searchsorted(end, from_, "right").astype(np.uint64)
     out["n_repeat_words"] = np.zeros(len(texts), np.int64)
@@ -102,7 +108,9 @@ def measured(texts: list[str | None]) -> dict[str, np.ndarray]:
     f = (
         np.ones(len(n), bool), n <= 2, (n > 2) & (n <= 5), n > 15,
         symbols > 0, symbols > 0.3 * n, symbols > 0.8 * n, upper > 0.5 * letters, shouts > 0.3 * n, digits > 0.3 * size,
-        _STOP[data[ends]] if len(ends) else np.zeros(0, bool), repeated, distinct < 0.6 * n, letters_a_word < 3, letters_a_word > 14,
+        _STOP[data[ends]] if len(ends) else np.zeros(
+            0, bool
+        ), repeated, distinct < 0.6 * n, letters_a_word < 3, letters_a_word > 14,
         (n > 5) & (symbols == 0) & (upper <= 0.2 * letters), distinct < 0.3 * n,
     )
     out["features"] = np.stack(f, axis=1).astype(np.uint8).reshape(len(n), N_FEATURES)
@@ -125,7 +133,15 @@ class LineLabels:
         many = np.searchsorted(-n_lines[order], -np.arange(1, int(n_lines.max(initial=0)) + 1), "right")
         return begin[order], many
 
-    def fit(self, features: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.3, shrink: float = 1e-3) -> LineLabels:
+    def fit(
+        self,
+        features: np.ndarray,
+        n_lines: np.ndarray,
+        labels: np.ndarray,
+        rounds: int = 80,
+        rate: float = 0.3,
+        shrink: float = 1e-3,
+    ) -> LineLabels:
         """Maximise the regularised conditional likelihood by gradient steps of adapted size."""
         x, y = features.astype(np.float64), labels.astype(np.int64)
         if not len(y):
@@ -143,14 +159,18 @@ class LineLabels:
             ahead, back = np.empty_like(score), np.zeros_like(score)
             for t, m in enumerate(many):
                 i = begin[:m] + t
-                ahead[i] = score[i] if t == 0 else score[i] + np.logaddexp(ahead[i - 1, :1] + self.change[0], ahead[i - 1, 1:] + self.change[1])
+                ahead[i] = score[i] if t == 0 else score[i] + np.logaddexp(
+                    ahead[i - 1, :1] + self.change[0], ahead[i - 1, 1:] + self.change[1]
+                )
             for t in range(len(many) - 1, 0, -1):
                 i = begin[: many[t]] + t
                 v = score[i] + back[i]
                 back[i - 1] = np.logaddexp(v[:, :1] + self.change[:, 0], v[:, 1:] + self.change[:, 1])
             whole = np.logaddexp(ahead[:, 0] + back[:, 0], ahead[:, 1] + back[:, 1])
             chance = np.exp(ahead + back - whole[:, None])
-            pair = np.exp(ahead[at - 1][:, :, None] + self.change + (score[at] + back[at])[:, None, :] - whole[at][:, None, None])
+            pair = np.exp(
+                ahead[at - 1][:, :, None] + self.change + (score[at] + back[at])[:, None, :] - whole[at][:, None, None]
+            )
             slope_s = (want_state - x.T @ chance) / len(y) - shrink * self.state
             slope_c = (want_change - pair.sum(axis=0)) / len(y) - shrink * self.change
             speed_s, speed_c = 0.95 * speed_s + 0.05 * slope_s**2, 0.95 * speed_c + 0.05 * slope_c**2
@@ -185,7 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> LineLabel
     """
     some = None
     for quality in (0, 1):
-        of = labels.where(F.col("quality") == quality).select(F.col("doc_id").alias("labelled_id"), "quality").dropna().distinct()
+        of = labels.where(F.col("quality") == quality).select(
+            F.col("doc_id").alias("labelled_id"), "quality"
+        ).dropna().distinct()
         of = of.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_fit)
         some = of if some is None else some.unionByName(of)
 
@@ -196,13 +218,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> LineLabel
                 m = measured(texts[i:j])
                 ends = np.cumsum(m["n_lines"])
                 pieces = [slice(a, b) for a, b in zip(ends - m["n_lines"], ends, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[i:j], pa.int64()), "quality": pa.array(quality[i:j], pa.int32()), "features": [m["features"][p].tobytes() for p in pieces], "hashes": [m["line_hash"][p].tobytes() for p in pieces]})
-
-    found = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "quality").mapInArrow(rows, "doc_id bigint, quality int, features binary, hashes binary")
-    sample = sorted(found.toLocalIterator(), key=lambda r: (r["doc_id"], r["quality"], r["hashes"]))  # at most 2 * max_fit documents
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array(doc_ids[i:j], pa.int64()),
+                        "quality": pa.array(quality[i:j], pa.int32()),
+                        "features": [m["features"][p].tobytes() for p in pieces],
+                        "hashes": [m["line_hash"][p].tobytes() for p in pieces],
+                    }
+                )
+
+    found = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select(
+        "doc_id", "text", "quality"
+    ).mapInArrow(rows, "doc_id bigint, quality int, features binary, hashes binary")
+    # at most 2 * max_fit documents
+    sample = sorted(found.toLocalIterator(), key=lambda r: (r["doc_id"], r["quality"], r["hashes"]))
     good = {h for r in sample if r["quality"] == 1 for h in np.frombuffer(r["hashes"], np.uint64).tolist()}
     features = [np.frombuffer(r["features"], np.uint8).reshape(-1, N_FEATURES) for r in sample]
-    marks = [np.array([r["quality"] == 0 and h not in good for h in np.frombuffer(r["hashes"], np.uint64).tolist()], bool) for r in sample]
+    marks = [
+        np.array([r["quality"] == 0 and h not in good for h in np.frombuffer(r["hashes"], np.uint64).tolist()], bool)
+        for r in sample
+    ]
     if not sample:
         return LineLabels()
     return LineLabels().fit(np.concatenate(features), np.array([len(f) for f in features]), np.concatenate(marks))
@@ -234,17 +269,33 @@ def rated(docs: DataFrame, model: LineLabels) -> DataFrame:
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_PERCENT * m["n_words"])
                 kept = ~failed & (counts["n_content_words"] >= MIN_CONTENT * m["n_words"])
                 part = batch.slice(i, j - i)
-                arrays = [*part.columns, *(pa.array(counts[k], pa.int64()) for k in new), pa.array(failed), pa.array(kept)]
+                arrays = [
+                    *part.columns, *(pa.array(counts[k], pa.int64()) for k in new), pa.array(failed), pa.array(kept)
+                ]
                 yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, *new, "base_failed", "kept"])
 
-    added = [*(StructField(k, LongType()) for k in new), StructField("base_failed", BooleanType()), StructField("kept", BooleanType())]
+    added = [
+        *(StructField(k, LongType()) for k in new),
+        StructField("base_failed", BooleanType()),
+        StructField("kept", BooleanType()),
+    ]
     return docs.mapInArrow(rows, StructType([*docs.schema.fields, *added]))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = rated(docs, fit(docs, base.table(spark, sf_dir, "labels")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_content_words")
+    return out.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "n_content_words",
+    )
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}

@@ -52,7 +52,9 @@ def log_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_fi
     Raw counts are over all texts. The target's are over at most ``max_fit`` documents labelled good, chosen by a
     hash of their ids; without any, every ratio is 0. Each task sends its sums, one row a bucket at most.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("good_id")).dropna().distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(max_fit)
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("good_id")).dropna().distinct().orderBy(
+        F.xxhash64("good_id"), "good_id"
+    ).limit(max_fit)
 
     def rows(batches):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -63,10 +65,16 @@ def log_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_fi
                 raw += np.bincount(bucket, minlength=buckets)
                 target += np.bincount(bucket[is_good[i:j][of]], minlength=buckets)
         some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
-
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
-    sums = marked.mapInArrow(rows, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most ``buckets`` rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"]
+        )
+
+    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select(
+        "text", F.col("good_id").isNotNull().alias("good")
+    )
+    sums = marked.mapInArrow(rows, "bucket bigint, raw bigint, target bigint").groupBy(  # at most ``buckets`` rows
+        "bucket"
+    ).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(buckets), np.ones(buckets)
     for r in sums:
         raw[r["bucket"]] += r["raw"]
@@ -87,24 +95,41 @@ def weighted(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in groups(texts):
                 of, bucket = grams(texts[i:j], buckets)
-                weight = np.bincount(of, of_bucket[bucket], minlength=j - i).astype(np.float64)  # without n-grams: whole numbers
-                mixed = base.mixed(base.mixed(np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in ids[i:j]], np.uint64)) + np.uint64(seed))
+                # without n-grams: whole numbers
+                weight = np.bincount(of, of_bucket[bucket], minlength=j - i).astype(np.float64)
+                mixed = base.mixed(
+                    base.mixed(np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in ids[i:j]], np.uint64)) + np.uint64(seed)
+                )
                 u = ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
                 key = np.floor((weight - np.log(-np.log(u))) * SCALE).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(np.bincount(of, minlength=j - i)), pa.array(weight), pa.array(key)], ["doc_id", "n_grams", "log_weight", "gumbel_key"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[i:j], pa.int64()),
+                        pa.array(np.bincount(of, minlength=j - i)),
+                        pa.array(weight),
+                        pa.array(key),
+                    ],
+                    ["doc_id", "n_grams", "log_weight", "gumbel_key"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_grams bigint, log_weight double, gumbel_key bigint")
+    return docs.select("doc_id", "text").mapInArrow(
+        rows, "doc_id bigint, n_grams bigint, log_weight double, gumbel_key bigint"
+    )
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
-    """The k-th largest value of a bigint column, exactly: 16 bits of it at a time, with counts of 65,536 rows at most."""
+    """The k-th largest value of a bigint column, exactly: 16 bits of it at a time, with counts of 65,536 rows at
+    most."""
     if k < 1:
         return None
     prefix = 0
-    rows = df.where(F.col(column).isNotNull()).select(F.col(column).bitwiseXOR(F.lit(-(2**63))).alias("v"))  # as unsigned numbers, order kept
+    # as unsigned numbers, order kept
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).bitwiseXOR(F.lit(-(2**63))).alias("v"))
     for shift in (48, 32, 16, 0):
         digits = rows if shift == 48 else rows.where(F.shiftrightunsigned("v", shift + 16) == F.lit(prefix))
-        counts = digits.groupBy(F.shiftrightunsigned("v", shift).bitwiseAND(F.lit(0xFFFF)).alias("digit")).count().collect()
+        counts = digits.groupBy(
+            F.shiftrightunsigned("v", shift).bitwiseAND(F.lit(0xFFFF)).alias("digit")
+        ).count().collect()
         for r in sorted(counts, key=lambda r: -r["digit"]):
             if k <= r["count"]:
                 prefix = (prefix << 16) | r["digit"]

@@ -23,7 +23,9 @@ from segjobs.functions.ranking import ranked
 from segjobs.llm import base
 
 # The base patterns, the fewest characters, and the order of kinds.
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
+)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX_16 = re.compile(r"[0-9a-f]{16,}")  # the same matches as of [0-9a-f]+ with 16 characters or more
 KINDS = ("assign", "access", "hex", "guess")
@@ -51,7 +53,8 @@ _DATE = re.compile(
     r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?"
     r"|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)"
 )
-#: Words of the corpus and of the vocabulary that are known, by their ranks; longest word, repeat and walk that count as one part.
+#: Words of the corpus and of the vocabulary that are known, by their ranks; longest word, repeat and walk that count as
+#: one part.
 MAX_WORDS = 20_000
 #: A word of the corpus is in so many different texts, and in one of so many.
 MIN_TEXTS, ONE_IN = 5, 100_000
@@ -96,7 +99,9 @@ def parts_from(value: str, lower: str, plain: str, i: int, words: Mapping[str, i
             times += 1
             if times * size >= 3:
                 rank = words.get(unit.lower())
-                yield i + times * size, min(float(size), math.log10(rank + 1) + 0.3 if rank else math.inf) + math.log10(times)
+                yield i + times * size, min(float(size), math.log10(rank + 1) + 0.3 if rank else math.inf) + math.log10(
+                    times
+                )
     for step_of in (key_step, letter_step):
         way, turns = None, 0
         for j in range(i + 1, min(n, i + LONGEST)):
@@ -134,23 +139,29 @@ def vocabulary_words(path: str, most: int = MAX_WORDS) -> dict[str, int]:
     return {w: r for w, r in ranks.items() if r <= most}
 
 
-def corpus_words(docs: DataFrame, most: int = MAX_WORDS, min_texts: int = MIN_TEXTS, one_in: int = ONE_IN) -> dict[str, int]:
+def corpus_words(docs: DataFrame, most: int = MAX_WORDS, min_texts: int = MIN_TEXTS, one_in: int = ONE_IN) -> dict[
+    str, int
+]:
     """Ranks of the ``most`` words of letters alone that the most texts have, ties by the word.
 
     What stands in a credential's place is no evidence of a word, so it is cut out first; a text counts once, however
-    often it has the word and however many copies it has; and a word is known if ``min_texts`` texts and one in ``one_in`` have it. So a
-    secret that leaked often is not taken for a word, and repeated rows change nothing.
+    often it has the word and however many copies it has; and a word is known if ``min_texts`` texts and one in
+    ``one_in`` have it. So a secret that leaked often is not taken for a word, and repeated rows change nothing.
 
-    Words are counted in tasks before the shuffle, and ranked over ranges of their counts, so that only the ``most`` words
-    themselves, a bounded number, come to the driver.
+    Words are counted in tasks before the shuffle, and ranked over ranges of their counts, so that only the ``most``
+    words themselves, a bounded number, come to the driver.
     """
-    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").withColumn("key", F.xxhash64("text"))
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").withColumn(
+        "key", F.xxhash64("text")
+    )
     copies = keyed.groupBy("key").agg(F.count("*").alias("n"))
     n_texts = copies.count()
     repeated = base.small(base.stored(copies.where("n > 1").select("key")))
     once = keyed.join(repeated, "key", "left_anti").select("text")
     again = keyed.join(repeated, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("text")
-    text = F.when(F.col("text").rlike(CONTEXT_HINT), F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")).otherwise(F.col("text"))
+    text = F.when(F.col("text").rlike(CONTEXT_HINT), F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")).otherwise(
+        F.col("text")
+    )
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![^\s\p{P}])\p{L}{3,32}(?![^\s\p{P}])"), 0))
     counts = once.unionByName(again).select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = counts.where((F.col("n") >= min_texts) & (F.col("n") * one_in >= n_texts))
@@ -161,7 +172,9 @@ def corpus_words(docs: DataFrame, most: int = MAX_WORDS, min_texts: int = MIN_TE
 def known_words(docs: DataFrame | None = None, vocabulary: str | None = None, most: int = MAX_WORDS) -> dict[str, int]:
     """Each word's best rank among the frequent words of passwords, of the vocabulary and of the corpus."""
     out = {w: k for k, w in enumerate(WORDS, 1)}
-    for more in (vocabulary_words(vocabulary, most) if vocabulary else {}, corpus_words(docs, most) if docs is not None else {}):
+    for more in (
+        vocabulary_words(vocabulary, most) if vocabulary else {}, corpus_words(docs, most) if docs is not None else {}
+    ):
         for word, rank in more.items():
             out[word] = min(rank, out.get(word, rank))
     return out
@@ -206,10 +219,12 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 def scanned(docs: DataFrame, words: Mapping[str, int] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans of each row's whole text; row by row.
 
-    words: known_words(), by default those of docs without a vocabulary file. A null text is an empty one, without spans.
-    Repeated rows are scanned alike and change no other row's spans; columns besides doc_id and text are not read. Spans are ``kind:start:end``, by start and then by kind, comma-joined.
+    words: known_words(), by default those of docs without a vocabulary file. A null text is an empty one, without
+    spans. Repeated rows are scanned alike and change no other row's spans; columns besides doc_id and text are not
+    read. Spans are ``kind:start:end``, by start and then by kind, comma-joined.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(dict(known_words(docs) if words is None else words))  # three times MAX_WORDS entries at most
+    # three times MAX_WORDS entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(dict(known_words(docs) if words is None else words))
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
     types = [*[pa.int64()] * 5, pa.string(), pa.string()]
 
@@ -223,15 +238,17 @@ def scanned(docs: DataFrame, words: Mapping[str, int] | None = None) -> DataFram
                 digest = hashlib.sha256(_joined(found).encode()).hexdigest()
                 out.append((doc_id, *(kinds.count(k) for k in range(3)), len(added), digest, _joined(found + added)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names
+                )
 
     schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string"
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
 def masked(docs: DataFrame, words: Mapping[str, int] | None = None, mask: str = "[secret]") -> DataFrame:
-    """docs with every span of text replaced by the mask; overlapping spans share one. Null texts stay null, other columns
-    and all rows as they are. words: as for scanned()."""
+    """docs with every span of text replaced by the mask; overlapping spans share one. Null texts stay null, other
+    columns and all rows as they are. words: as for scanned()."""
     sent = docs.sparkSession.sparkContext.broadcast(dict(known_words(docs) if words is None else words))
 
     def rows(batches):
@@ -258,7 +275,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = base.table(spark, sf_dir, "documents")
     words = known_words(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return scanned(docs, words).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.col("n_guess"))
+    return scanned(docs, words).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.col("n_guess")
+    )
 
 
 QUERIES = {"op6_secret_scan": op6_secret_scan}

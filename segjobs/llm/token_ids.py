@@ -1,10 +1,10 @@
 """Token-id files in Simple-8b words, and the query over them.
 
 Format: rows of a Parquet table, ordered by (shard, row). A row holds whole documents: their doc_ids, the number
-of ids of each, how many ids of its shard come before it, and all their ids as 64-bit words. A word's top 4 bits are a selector, which says how many ids of
-how many bits fill the other 60; selector 15 is an escape: the id needs more than 60 bits and is the next of
-``escapes``. Ids are coded in blocks of BLOCK, each of which begins with a new word (``block_words`` has its
-place), so blocks are coded and decoded side by side and any block can be read alone.
+of ids of each, how many ids of its shard come before it, and all their ids as 64-bit words. A word's top 4 bits are a
+selector, which says how many ids of how many bits fill the other 60; selector 15 is an escape: the id needs more than
+60 bits and is the next of ``escapes``. Ids are coded in blocks of BLOCK, each of which begins with a new word
+(``block_words`` has its place), so blocks are coded and decoded side by side and any block can be read alone.
 """
 
 from __future__ import annotations
@@ -100,11 +100,20 @@ def decoded(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
             out[begin[rows]] = escapes
         elif BITS[s]:
             n, bits = int(COUNTS[s]), np.uint64(BITS[s])
-            out[begin[rows][:, None] + np.arange(n)] = (words[rows][:, None] >> (np.arange(n, dtype=np.uint64) * bits)) & ((np.uint64(1) << bits) - np.uint64(1))
+            out[begin[rows][:, None] + np.arange(n)] = (
+                words[rows][:, None] >> (np.arange(n, dtype=np.uint64) * bits)
+            ) & ((np.uint64(1) << bits) - np.uint64(1))
     return out
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, spaces_count: bool = True, partitions: int | None = None) -> None:
+def write(
+    docs: DataFrame,
+    path: str,
+    tokenizer_path: str,
+    end_id: int = 2,
+    spaces_count: bool = True,
+    partitions: int | None = None,
+) -> None:
     """Write the ids of all texts of ``docs`` (doc_id, text; other columns are not read) to ``path``.
 
     One range shuffle by doc_id; a task sorts its range and encodes it. A null text has the end id only, as an
@@ -118,7 +127,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, spac
         number = place = 0
         encode = encoder(tokenizer_path, spaces_count).encode
         schema = pa.schema([
-            ("row", pa.int32()), ("row_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())),
+            ("row", pa.int32()), ("row_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), (
+                "n_tokens", pa.list_(pa.int64())
+            ),
             ("n_ids", pa.int64()), ("words", pa.binary()), ("block_words", pa.binary()), ("escapes", pa.binary()),
         ])
         for batch in batches:
@@ -127,9 +138,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, spac
                 flat, size = encode(texts[i:j])
                 flat = np.insert(flat, np.cumsum(size), end_id)
                 words, blocks, escapes = coded(flat)
-                packed = [words.astype("<u8").tobytes(), blocks.astype("<u4").tobytes(), escapes.astype("<u8").tobytes()]
+                packed = [
+                    words.astype("<u8").tobytes(), blocks.astype("<u4").tobytes(), escapes.astype("<u8").tobytes()
+                ]
                 values = [number, place, ids[i:j], (size + 1).tolist(), len(flat), *packed]
-                yield pa.RecordBatch.from_pydict({name: [v] for name, v in zip(schema.names, values, strict=True)}, schema=schema)
+                yield pa.RecordBatch.from_pydict(
+                    {name: [v] for name, v in zip(schema.names, values, strict=True)}, schema=schema
+                )
                 number, place = number + 1, place + len(flat)
 
     out = ranges.sortWithinPartitions("doc_id").mapInArrow(rows, _ROW)
@@ -154,11 +169,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(r["n_tokens"])
                 begins = ends - r["n_tokens"]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": r["doc_ids"], "start": r["start"] + begins, "n_tokens": r["n_tokens"], "ids": [ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]),
+                    {
+                        "doc_id": r["doc_ids"],
+                        "start": r["start"] + begins,
+                        "n_tokens": r["n_tokens"],
+                        "ids": [ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)],
+                    },
+                    schema=pa.schema(
+                        [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
+                    ),
                 )
 
-    return placed.select("start", "doc_ids", "n_tokens", "words", "escapes").mapInArrow(rows, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return placed.select("start", "doc_ids", "n_tokens", "words", "escapes").mapInArrow(
+        rows, "doc_id bigint, start bigint, n_tokens bigint, ids binary"
+    )
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ def _classes() -> np.ndarray:
     table = np.zeros(256, np.uint8)
     for b in range(128):
         c = chr(b)
-        table[b] = _LETTER if c.isalpha() else _SPACE if c.isspace() else 0 if c.isdigit() or c == "'" or not c.isprintable() else _MARK
+        table[
+            b
+        ] = _LETTER if c.isalpha() else _SPACE if c.isspace() else 0 if c.isdigit() or c == "'" or not c.isprintable() else _MARK
     return table
 
 
@@ -104,12 +106,15 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = control_as_text
         self.spaces_count, self.keep = spaces_count, keep
         added = () if control_as_text else self.tokenizer.get_added_tokens_decoder().values()
-        #: In lower case, as a vocabulary may match some of them in any case: a text too many goes to the library at worst.
+        #: In lower case, as a vocabulary may match some of them in any case: a text too many goes to the library at
+        #: worst.
         self.control = tuple(t.content.lower().encode() for t in added)
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that begin a word (byte-level: those with the space before it) or, without spaces, end one.
         self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edges[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaces_count else t.endswith("</w>"))]] = True
+        self.edges[
+            [i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaces_count else t.endswith("</w>"))]
+        ] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -185,7 +190,11 @@ class UnitEncoder:
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             found = [e.ids for e in encode([units[k] for k in part], add_special_tokens=False)]
-            self._grown(hashes[part], np.array([x for f in found for x in f], np.uint32), np.array([len(f) for f in found], np.int64))
+            self._grown(
+                hashes[part],
+                np.array([x for f in found for x in f], np.uint32),
+                np.array([len(f) for f in found], np.int64),
+            )
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         coded = [(t or "").encode() for t in texts]
@@ -221,7 +230,9 @@ class UnitEncoder:
         if len(new):
             distinct, first = np.unique(hashes[new], return_index=True)
             at = new[first]
-            self._learn([raw[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], distinct)
+            self._learn(
+                [raw[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], distinct
+            )
             number[new] = self._find(hashes[new])
         to = self.ends[number]
         size = to - np.where(number > 0, self.ends[number - 1], 0)

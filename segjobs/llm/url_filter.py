@@ -2,9 +2,9 @@
 
 Only DataFrame operations and Spark's own trees. The trees are fitted on at most ``MAX_FIT`` labelled URLs: a page's URL
 ends its path with the number of its document, and is bad if that document is labelled toxic or of poor quality. A
-URL's suffix statistics, its host's last two labels' share of bad ones, come from other labelled URLs than those the trees
-see it with: each of ``FOLDS`` parts has those of the other parts, and URLs to be judged those of all. A URL is blocked by the trees if
-they hold bad for likelier.
+URL's suffix statistics, its host's last two labels' share of bad ones, come from other labelled URLs than those the
+trees see it with: each of ``FOLDS`` parts has those of the other parts, and URLs to be judged those of all. A URL is
+blocked by the trees if they hold bad for likelier.
 """
 
 from __future__ import annotations
@@ -18,17 +18,36 @@ from pyspark.sql import functions as F
 from segjobs.llm import base
 
 # The rules of the query.
-RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
 MAX_FIT, FOLDS = 20_000, 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("url_length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "suffix_bad", "suffix_count")
+FEATURES = (
+    "url_length",
+    "host_length",
+    "depth",
+    "digit_ratio",
+    "entropy",
+    "n_params",
+    "n_labels",
+    "n_hyphens",
+    "suffix_bad",
+    "suffix_count",
+)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """pages with host (A-Z lower-cased) and path; both empty for null URLs and those without ``://``."""
     rest = F.when(F.instr("url", "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise("")
-    pages = pages.drop("host", "path").withColumn("host", F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER))
+    pages = pages.drop("host", "path").withColumn(
+        "host", F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER)
+    )
     return pages.withColumn("path", F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
 
 
@@ -44,7 +63,8 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """pages (url, host, path) with the features that depend on the URL alone, and suffix, the host's last two labels."""
+    """pages (url, host, path) with the features that depend on the URL alone, and suffix, the host's last two
+    labels."""
     url, n = F.coalesce("url", F.lit("")), F.greatest(F.length("host"), F.lit(1))
     letters = "array_remove(split(host, ''), '')"
     entropy = f"aggregate(array_distinct({letters}), 0D, (a, c) -> a - (length(host) - length(replace(host, c, ''))) / length(host) * log2((length(host) - length(replace(host, c, ''))) / length(host)))"
@@ -71,18 +91,24 @@ def labelled(pages: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Dat
     own = pages.where("url IS NOT NULL").select("url", "host", "path")
     own = own.withColumn("of", F.expr("try_cast(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT)"))
     poor = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
-    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.max(poor.cast("double")).alias("bad"))
+    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(
+        F.max(poor.cast("double")).alias("bad")
+    )
     found = own.join(base.small(known), "of").select("url", "host", "path", "bad").distinct()  # of labelled URLs alone
     rows = found.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
     return rows.orderBy(F.xxhash64("url"), "url", "bad").limit(max_fit)
 
 
 def with_suffixes(pages: DataFrame, sums: DataFrame, on: list[str]) -> DataFrame:
-    """pages with the suffix statistics: share of bad ones, drawn towards that of all by two rows, and how many. ``sums`` has
-    at most ``FOLDS`` rows for each suffix among the labelled URLs, so it can be broadcast."""
+    """pages with the suffix statistics: share of bad ones, drawn towards that of all by two rows, and how many.
+    ``sums`` has at most ``FOLDS`` rows for each suffix among the labelled URLs, so it can be broadcast."""
     joined = pages.join(base.small(sums), on, "left")
-    share = (F.coalesce("bad_sum", F.lit(0.0)) + 2 * F.coalesce("prior", F.lit(0.5))) / (F.coalesce("many", F.lit(0)) + 2)
-    return joined.withColumns({"suffix_bad": share, "suffix_count": F.log1p(F.coalesce("many", F.lit(0)).cast("double"))})
+    share = (F.coalesce("bad_sum", F.lit(0.0)) + 2 * F.coalesce("prior", F.lit(0.5))) / (
+        F.coalesce("many", F.lit(0)) + 2
+    )
+    return joined.withColumns(
+        {"suffix_bad": share, "suffix_count": F.log1p(F.coalesce("many", F.lit(0)).cast("double"))}
+    )
 
 
 class UrlTrees:
@@ -92,7 +118,9 @@ class UrlTrees:
         self.model, self.sums = model, sums
 
     @classmethod
-    def fit(cls, pages: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, rounds: int = 12, depth: int = 4) -> UrlTrees:
+    def fit(
+        cls, pages: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, rounds: int = 12, depth: int = 4
+    ) -> UrlTrees:
         sample = base.stored(lexical(labelled(pages, labels, max_fit)))
         prior = sample.agg(F.min("bad"), F.max("bad"), F.avg("bad")).first()
         if prior[0] is None or prior[0] == prior[1]:
@@ -101,10 +129,14 @@ class UrlTrees:
         totals = base.stored(totals.withColumn("prior", F.lit(prior[2])))
         by_fold = sample.groupBy("suffix", "fold").agg(F.sum("bad").alias("own_bad"), F.count("*").alias("own_many"))
         others = by_fold.join(totals, "suffix").select(
-            "suffix", "fold", (F.col("bad_sum") - F.col("own_bad")).alias("bad_sum"), (F.col("many") - F.col("own_many")).alias("many"), "prior",
+            "suffix", "fold", (F.col("bad_sum") - F.col("own_bad")).alias("bad_sum"), (
+                F.col("many") - F.col("own_many")
+            ).alias("many"), "prior",
         )
         rows = with_suffixes(sample, base.stored(others), ["suffix", "fold"])
-        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", F.col("bad").alias("label"))
+        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select(
+            "features", F.col("bad").alias("label")
+        )
         return cls(GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, seed=7).fit(ready), totals)
 
     def bad(self, pages: DataFrame) -> DataFrame:
@@ -134,5 +166,6 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_url_filter": op7_url_filter}
-#: No SQL: DuckDB has no boosted trees; tests compare hosts, paths and rules with brute force and measure held-out accuracy.
+#: No SQL: DuckDB has no boosted trees; tests compare hosts, paths and rules with brute force and measure held-out
+#: accuracy.
 SQL: dict[str, str] = {}

@@ -1,9 +1,10 @@
 """Whitening directions of embeddings by a bidiagonal qd solver.
 
 The centred rows X of the fit list are reduced by QR factorisations, block after block in each task and then over tasks
-in a tree, to one triangle R with R'R = X'X; X'X itself, which squares the spread of scales, is never formed. Householder
-reflections make R bidiagonal. The differential qd algorithm with shifts (dqds) finds the singular values to high relative
-accuracy, and twisted factorisations of the bidiagonal's square, shifted by each value, give the directions.
+in a tree, to one triangle R with R'R = X'X; X'X itself, which squares the spread of scales, is never formed.
+Householder reflections make R bidiagonal. The differential qd algorithm with shifts (dqds) finds the singular values to
+high relative accuracy, and twisted factorisations of the bidiagonal's square, shifted by each value, give the
+directions.
 """
 
 from __future__ import annotations
@@ -51,15 +52,22 @@ def bidiagonal(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def squared_values(diagonal: np.ndarray, above: np.ndarray) -> np.ndarray:
     """Squares of the singular values of a bidiagonal, descending, by dqds: each sweep factors anew with a shift below
-    the least value left. One over the sum of all reciprocal values is a lower bound of it, which nears it quadratically; a
-    shift just below an upper bound is tried first, as values in a cluster need, and given up if a pivot is negative."""
+    the least value left. One over the sum of all reciprocal values is a lower bound of it, which nears it
+    quadratically; a shift just below an upper bound is tried first, as values in a cluster need, and given up if a
+    pivot is negative."""
     found: list[float] = []
     todo = [((diagonal**2).tolist(), (above**2).tolist(), 0.0)]
     while todo:
         q, e, sigma = todo.pop()
         for _ in range(200 + 20 * len(q)):
             n = len(q)
-            small = [k for k in range(n - 1) if e[k] <= EPS**2 * (sigma + min(q[k], q[k + 1])) or e[k] * q[k] <= (2 * EPS * (sigma + min(q[k], q[k + 1]))) ** 2]
+            small = [
+                k
+                for k in range(n - 1)
+                if e[k] <= EPS**2 * (sigma + min(q[k], q[k + 1])) or e[k] * q[k] <= (
+                    2 * EPS * (sigma + min(q[k], q[k + 1]))
+                ) ** 2
+            ]
             if small or n == 1:  # the parts have nothing to do with each other
                 for a, b in pairwise([0, *(k + 1 for k in small), n]):
                     if b - a == 1:
@@ -81,7 +89,8 @@ def squared_values(diagonal: np.ndarray, above: np.ndarray) -> np.ndarray:
 
 
 def _least(q: list[float], e: list[float]) -> tuple[float, float]:
-    """Bounds of the least squared singular value from the diagonal of the square's inverse: its sum, and its largest entry."""
+    """Bounds of the least squared singular value from the diagonal of the square's inverse: its sum, and its largest
+    entry."""
     total = last = most = 0.0
     for k, x in enumerate(q):
         if x <= 0:
@@ -108,7 +117,8 @@ def _sweep(q: list[float], e: list[float], shift: float) -> tuple[list[float], l
 
 @dataclass
 class Twisted:
-    """A twisted factorisation of B'B - value for a bidiagonal B: from the top down to row ``at``, and from the bottom up."""
+    """A twisted factorisation of B'B - value for a bidiagonal B: from the top down to row ``at``, and from the bottom
+    up."""
 
     down: np.ndarray
     lower: np.ndarray
@@ -197,11 +207,17 @@ def principal(r: np.ndarray, n: int, components: int) -> tuple[np.ndarray, np.nd
 
 
 def whole(embeddings: DataFrame) -> DataFrame:
-    """embeddings (vec_id, embedding) with x, the entries times SCALE rounded down; without vectors that are null, empty or
-    hold an entry that is null, not finite or so large that x would not be exact."""
-    fine = lambda v: F.coalesce(F.abs(v.cast("double")) < float(1 << 53) / SCALE, F.lit(False))  # noqa: E731  NaN is above all
-    kept = embeddings.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(F.forall("embedding", fine))
-    return kept.select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * SCALE).cast("long")).alias("x"))
+    """embeddings (vec_id, embedding) with x, the entries times SCALE rounded down; without vectors that are null, empty
+    or hold an entry that is null, not finite or so large that x would not be exact."""
+    fine = lambda v: F.coalesce(  # noqa: E731  NaN is above all
+        F.abs(v.cast("double")) < float(1 << 53) / SCALE, F.lit(False)
+    )
+    kept = embeddings.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(
+        F.forall("embedding", fine)
+    )
+    return kept.select(
+        "vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * SCALE).cast("long")).alias("x")
+    )
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -253,7 +269,9 @@ def _in_tasks(fit_list: DataFrame, d: int, of_task, schema: str) -> DataFrame:
     """of_task(matrices of whole numbers) gives the columns of a task's rows."""
 
     def rows(batches):
-        out = of_task(_matrix(b.column(0), d)[i : i + BLOCK] for b in batches if b.num_rows for i in range(0, b.num_rows, BLOCK))
+        out = of_task(
+            _matrix(b.column(0), d)[i : i + BLOCK] for b in batches if b.num_rows for i in range(0, b.num_rows, BLOCK)
+        )
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], list(out))
 
     return fit_list.mapInArrow(rows, schema)
@@ -286,7 +304,12 @@ def triangle(fit_list: DataFrame, centre: Whitening) -> np.ndarray:
         r = np.zeros((d, d))
         for one in group.sort_by("task").column("r"):
             r = reduced(r, np.frombuffer(one.as_py()).reshape(d, d))
-        return pa.table({"task": pa.array([group.column("task")[0].as_py() // fan], pa.int64()), "r": pa.array([r.tobytes()], pa.binary())})
+        return pa.table(
+            {
+                "task": pa.array([group.column("task")[0].as_py() // fan], pa.int64()),
+                "r": pa.array([r.tobytes()], pa.binary()),
+            }
+        )
 
     made = base.stored(_in_tasks(fit_list, d, of_task, "task bigint, r binary"))
     most = made.agg(F.max("task")).first()[0] or 0
@@ -303,8 +326,8 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     """The whitening of the distinct x of vectors (vec_id, x, from whole()); None if there are none.
 
     The fit list is written once; a vector's copies are merged before they are shuffled. The most frequent dimension
-    counts (of equally frequent ones the largest); vectors of another one are left out. What reaches the driver is d sums, one
-    d x d triangle and a few products, for dimension d; nothing grows with rows.
+    counts (of equally frequent ones the largest); vectors of another one are left out. What reaches the driver is d
+    sums, one d x d triangle and a few products, for dimension d; nothing grows with rows.
     """
     distinct = base.stored(vectors.select("x").dropDuplicates(["x"]))
     first = distinct.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -319,7 +342,12 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
             total += x.sum(axis=0)
         return {"k": np.arange(d), "v": total}
 
-    total = [int(v) for v in _summed(_in_tasks(own, d, sums, "k bigint, v bigint").withColumn("v", F.col("v").cast("decimal(38,0)")))]
+    total = [
+        int(v)
+        for v in _summed(
+            _in_tasks(own, d, sums, "k bigint, v bigint").withColumn("v", F.col("v").cast("decimal(38,0)"))
+        )
+    ]
     values, found = principal(triangle(own, Whitening(n, total, np.zeros(0), np.zeros((d, 0)))), n, min(components, d))
     made = Whitening(n, total, values, found)
     live = np.flatnonzero(made.spread())
@@ -352,7 +380,10 @@ def whitened(vectors: DataFrame, model: Whitening) -> DataFrame:
             w = model.projected(x)
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * w.shape[1])
             values = pa.array(w.ravel(), mask=np.isnan(w.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.deviations(x), pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["vec_id", "deviation", "whitened"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(model.deviations(x), pa.int64()), pa.ListArray.from_arrays(offsets, values)],
+                ["vec_id", "deviation", "whitened"],
+            )
 
     own = vectors.where(F.size("x") == d).select(F.col("vec_id").cast("long").alias("vec_id"), "x")
     return own.mapInArrow(rows, "vec_id bigint, deviation bigint, whitened array<double>")
@@ -364,16 +395,19 @@ _OUT = "vec_id bigint, component int, n bigint, deviation bigint, whitened doubl
 def report(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     """A row for each usable vector and component: vec_id, component, n, deviation, whitened, explained, identity_error.
 
-    Repeated rows and rows without a vec_id give rows of their own. A component without variance (copies of one vector, fewer
-    vectors than dimensions) has a null whitened and, if there is no variance at all, a null explained and identity_error; the
-    latter is over the others. No usable vector, no rows. Vectors of another dimension than the most frequent are left out.
+    Repeated rows and rows without a vec_id give rows of their own. A component without variance (copies of one vector,
+    fewer vectors than dimensions) has a null whitened and, if there is no variance at all, a null explained and
+    identity_error; the latter is over the others. No usable vector, no rows. Vectors of another dimension than the most
+    frequent are left out.
     """
     vectors = whole(embeddings)
     model = fit(vectors, components)
     if model is None:
         return embeddings.sparkSession.createDataFrame([], _OUT)
     trace = float(model.values.sum())
-    shares = F.array(*[F.lit(float(v) / trace if trace else None).cast("double") for v in model.values[: model.directions.shape[1]]])
+    shares = F.array(
+        *[F.lit(float(v) / trace if trace else None).cast("double") for v in model.values[: model.directions.shape[1]]]
+    )
     rows = whitened(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
     return rows.select(
         "vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
@@ -386,5 +420,6 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_embedding_whitening": op11_embedding_whitening}
-#: No SQL: it has no eigenvectors; tests compare with a dense eigenvalue solver and, for n and deviation, with plain sums.
+#: No SQL: it has no eigenvectors; tests compare with a dense eigenvalue solver and, for n and deviation, with plain
+#: sums.
 SQL: dict[str, str] = {}

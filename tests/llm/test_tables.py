@@ -32,10 +32,21 @@ def prose(n, seed):
 LEAK = prose(30, 99)
 LONG = prose(9000, 1)
 TEXTS = [
-    (1, prose(80, 2)), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (6, prose(80, 2)), (7, prose(80, 2).replace(VOCABULARY[3], "zzz")), (8, "one two"), (8, "one two"), (9, "One TWO"),
-    (10, prose(40, 3) + "\n" + LEAK.upper() + "!!\n" + prose(40, 4)), (11, LEAK[:60]), (12, prose(60, 5) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ' + prose(60, 6)),
-    (13, prose(60, 7) + " mail Ann.Lee@corp.example.org or +1 (415) 555-2671, card 4111 1111 1111 1111, host 10.20.30.40, Mrs Jane Doe met Mr John Smith and Mrs Smith. ann.lee@corp.example.org"),
-    (14, " | ".join(VOCABULARY[:120])), (15, ("same line again and again here now\n") * 30), (None, prose(50, 8)), (16, "x" * 20000), (17, prose(80, 9) + " " + prose(3, 10)), (18, prose(80, 9)),
+    (1, prose(80, 2)), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (6, prose(80, 2)), (
+        7, prose(80, 2).replace(VOCABULARY[3], "zzz")
+    ), (8, "one two"), (8, "one two"), (9, "One TWO"),
+    (10, prose(40, 3) + "\n" + LEAK.upper() + "!!\n" + prose(40, 4)), (11, LEAK[:60]), (
+        12, prose(60, 5) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ' + prose(60, 6)
+    ),
+    (
+        13,
+        prose(
+            60, 7
+        ) + " mail Ann.Lee@corp.example.org or +1 (415) 555-2671, card 4111 1111 1111 1111, host 10.20.30.40, Mrs Jane Doe met Mr John Smith and Mrs Smith. ann.lee@corp.example.org",
+    ),
+    (14, " | ".join(VOCABULARY[:120])), (15, ("same line again and again here now\n") * 30), (None, prose(50, 8)), (
+        16, "x" * 20000
+    ), (17, prose(80, 9) + " " + prose(3, 10)), (18, prose(80, 9)),
     (19, "<|endoftext|>"), (20, "ends here<|endoftext|> and <|startoftext|>starts"),
 ]
 LABELS = [(1, 1, 0), (5, 1, 0), (14, 0, 0), (17, 1, 0), (18, 1, 0), (12, 1, 1), (None, 1, 0)]
@@ -45,7 +56,10 @@ LABELS = [(1, 1, 0), (5, 1, 0), (14, 0, 0), (17, 1, 0), (18, 1, 0), (12, 1, 1),
 def docs(spark):
     """With extra columns whose names the operators use themselves."""
     rows = [(i, t, "en", "s", len(t or ""), "x", 5, True) for i, t in TEXTS]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, n_words int, kept boolean").repartition(3).cache()
+    return spark.createDataFrame(
+        rows,
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, n_words int, kept boolean",
+    ).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +78,9 @@ def test_token_files(spark, docs, empty, tmp_path):
     token_ids.write(docs, f"file://{tmp_path}/ids", path, partitions=3)
     rows = token_ids.read(spark, f"file://{tmp_path}/ids").orderBy("start").collect()
     wanted = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in TEXTS]
-    assert sorted((r["doc_id"] or -1, np.frombuffer(r["ids"], "<u4").tolist()) for r in rows) == sorted((i or -1, ids) for i, ids in wanted)
+    assert sorted((r["doc_id"] or -1, np.frombuffer(r["ids"], "<u4").tolist()) for r in rows) == sorted(
+        (i or -1, ids) for i, ids in wanted
+    )
     start = 0
     for r in rows:
         assert r["start"] == start
@@ -83,7 +99,9 @@ def test_packing(docs, empty):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         for k, at in enumerate(range(0, len(ids), 256)):
             wanted[i, k, at, tuple(ids[at : at + 256])] += 1
-    assert Counter((r["doc_id"], r["piece"], r["start"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in rows) == wanted
+    assert Counter(
+        (r["doc_id"], r["piece"], r["start"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in rows
+    ) == wanted
     bins = defaultdict(list)
     for r in rows:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -119,15 +137,26 @@ def test_secrets(docs, empty):
 def test_secrets_outside_the_base_patterns(spark):
     """Credential contexts that the base patterns lack; values of words, of the corpus or of a vocabulary, are none."""
     rows = [
-        (1, "pwd: hG7$kd02Vb!pQ", ["hG7$kd02Vb!pQ"]), (2, "Authorization: Bearer kq8Zr0vQm-WxTbK", ["kq8Zr0vQm-WxTbK"]), (3, "private_key => 'vR8!nd#2kQz0'", ["vR8!nd#2kQz0"]),
-        (4, "password: environment", []), (5, "passphrase = ththandre", []), (6, "pwd=qazwsxedc client-key: 19991231", []), (7, None, []), (8, "pwd: " + "Zk4$" + "x" * 9000, ["Zk4$" + "x" * 9000]),
+        (1, "pwd: hG7$kd02Vb!pQ", ["hG7$kd02Vb!pQ"]), (
+            2, "Authorization: Bearer kq8Zr0vQm-WxTbK", ["kq8Zr0vQm-WxTbK"]
+        ), (3, "private_key => 'vR8!nd#2kQz0'", ["vR8!nd#2kQz0"]),
+        (4, "password: environment", []), (5, "passphrase = ththandre", []), (
+            6, "pwd=qazwsxedc client-key: 19991231", []
+        ), (7, None, []), (8, "pwd: " + "Zk4$" + "x" * 9000, ["Zk4$" + "x" * 9000]),
     ]
-    docs = spark.createDataFrame([(i, t, "w") for i, t, _ in rows] + [(k, f"ththandre, ththandre {k}", "w") for k in range(20, 25)], "doc_id bigint, text string, spans string")
+    docs = spark.createDataFrame(
+        [(i, t, "w") for i, t, _ in rows] + [(k, f"ththandre, ththandre {k}", "w") for k in range(20, 25)],
+        "doc_id bigint, text string, spans string",
+    )
     words = secrets.known_words(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    assert secrets.corpus_words(docs) == {"ththandre": 1} and secrets.corpus_words(docs, min_texts=6) == {} and secrets.corpus_words(docs.where("false")) == {}
+    assert secrets.corpus_words(docs) == {"ththandre": 1} and secrets.corpus_words(
+        docs, min_texts=6
+    ) == {} and secrets.corpus_words(docs.where("false")) == {}
     got = {r["doc_id"]: r for r in secrets.scanned(docs, words).collect()}
     for i, text, wanted in rows:
-        assert [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i]["spans"].split(",") if s) if k == "guess"] == wanted
+        assert [
+            text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i]["spans"].split(",") if s) if k == "guess"
+        ] == wanted
         assert got[i]["n_guess"] == len(wanted)
     masked = {r["doc_id"]: r["text"] for r in secrets.masked(docs, words).collect()}
     assert masked[1] == "pwd: [secret]" and masked[4] == rows[3][1] and masked[7] is None
@@ -142,7 +171,10 @@ def test_persons_in_all_their_forms(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["text"] for r in surrogates.replaced(rows, "k").collect()}
     words = lambda t: re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", t)
-    first = re.fullmatch(r"Mr (\S+) (\S+) wrote\. (\S+) said hi\. Later (\S+) (\S+) and (\S+) left; (\S+)'s hat stayed, blacksmith too\.", got[0]).groups()
+    first = re.fullmatch(
+        r"Mr (\S+) (\S+) wrote\. (\S+) said hi\. Later (\S+) (\S+) and (\S+) left; (\S+)'s hat stayed, blacksmith too\.",
+        got[0],
+    ).groups()
     assert first[0] == first[2] == first[3] != "John" and first[1] == first[4] == first[5] == first[6] != "Smith"
     second = re.fullmatch(r"Prof Dr (\S+) (\S+) and Herr Dr\. (\S+) (\S+)-(\S+) met\.", got[1]).groups()
     assert second[0] == second[2] and not {"Eva", "Braun", "Keller"} & set(second)
@@ -157,18 +189,25 @@ def test_persons_in_all_their_forms(spark):
 
 
 def test_secrets_that_leaked_often_are_secrets(spark):
-    """Repetition, in copies or in other texts, does not make a credential's value a word; nor does it change other rows."""
+    """Repetition, in copies or in other texts, does not make a credential's value a word; nor does it change other
+    rows."""
     schema = "doc_id bigint, text string"
-    spans = lambda rows: {r["doc_id"]: r["spans"] for r in secrets.scanned(spark.createDataFrame(rows, schema)).collect()}
+    spans = lambda rows: {
+        r["doc_id"]: r["spans"] for r in secrets.scanned(spark.createDataFrame(rows, schema)).collect()
+    }
     text = "passphrase := xqzvkwjbtrm"
     assert spans([(1, text)]) == {1: "guess:14:25"}
     assert spans([(k, text) for k in range(30)]) == {k: "guess:14:25" for k in range(30)}
-    assert set(spans([(k, f"note {k}\n{text}") for k in range(30)]).values()) == {f"guess:{14 + n}:{25 + n}" for n in (7, 8)}
+    assert set(spans([(k, f"note {k}\n{text}") for k in range(30)]).values()) == {
+        f"guess:{14 + n}:{25 + n}" for n in (7, 8)
+    }
     prose_rows = [(k, f"text {k} of gorbandel") for k in range(8)] + [(90, "pwd: gorbandel")]
     known = secrets.corpus_words(spark.createDataFrame(prose_rows, schema))
     assert known["gorbandel"] == secrets.corpus_words(spark.createDataFrame(prose_rows * 3, schema))["gorbandel"]
     assert spans(prose_rows)[90] == spans(prose_rows * 3)[90] == ""
-    assert "gorbandel" not in secrets.corpus_words(spark.createDataFrame([(k, "the same gorbandel text") for k in range(50)], schema))
+    assert "gorbandel" not in secrets.corpus_words(
+        spark.createDataFrame([(k, "the same gorbandel text") for k in range(50)], schema)
+    )
 
 
 def test_decontamination_without_its_filter(spark, docs):
@@ -187,14 +226,20 @@ def test_decontamination_without_its_filter(spark, docs):
     texts += [(50, " ".join(passages[-1])), (51, None), (52, ""), (53, " ".join(passages[0][:11])), (54, texts[0][1])]
     own = spark.createDataFrame(texts, "doc_id bigint, text string")
     bench = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id bigint, text string")
-    found = [sorted(decontamination._leaks(own, bench, every).select("doc_id", "item_id", "similarity_ppm").collect()) for every in (False, True)]
+    found = [
+        sorted(decontamination._leaks(own, bench, every).select("doc_id", "item_id", "similarity_ppm").collect())
+        for every in (False, True)
+    ]
     assert found[0] == found[1] and len(found[0]) >= 10
 
 
 def test_rare_shingles_weigh_enough(spark):
-    """Shingles that many items have are not looked up in texts, as far as others weigh more than a similar window may lack."""
+    """Shingles that many items have are not looked up in texts, as far as others weigh more than a similar window may
+    lack."""
     common = "which of the following is the best answer to this"
-    bench = spark.createDataFrame([(k, f"{common} {prose(12, 100 + k)}") for k in range(30)], "item_id bigint, text string")
+    bench = spark.createDataFrame(
+        [(k, f"{common} {prose(12, 100 + k)}") for k in range(30)], "item_id bigint, text string"
+    )
     rows = decontamination.hashes_of(decontamination.items(bench)).collect()
     often = Counter(r["hash"] for r in rows)
     by_item = defaultdict(list)
@@ -238,10 +283,21 @@ def exact_components(rows, words, num, den):
     sets = []
     for i, t in rows:
         w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
-        sets.append((i, {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()))
+        sets.append(
+            (
+                i,
+                {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {
+                    tuple(w)
+                } if w else set(),
+            )
+        )
     least = {k: i for k, (i, _) in enumerate(sets)}
     changed = True
-    pairs = [(a, b) for (a, (_, x)), (b, (_, y)) in itertools.combinations(enumerate(sets), 2) if x and y and den * len(x & y) >= num * len(x | y)]
+    pairs = [
+        (a, b)
+        for (a, (_, x)), (b, (_, y)) in itertools.combinations(enumerate(sets), 2)
+        if x and y and den * len(x & y) >= num * len(x | y)
+    ]
     while changed:
         changed = False
         for a, b in pairs:
@@ -263,7 +319,12 @@ def test_near_duplicates(spark, docs, empty, words, num, copies):
                 mine[at] = f"w{r.integers(1000)}"
             rows.append((100 + k, " ".join(mine)))
     table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, node string")
-    got = Counter(tuple(r) for r in minhash.near_duplicates(table, words, (num, 100)).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    got = Counter(
+        tuple(r)
+        for r in minhash.near_duplicates(table, words, (num, 100)).select(
+            "doc_id", "n_shingles", "component_id", "kept"
+        ).collect()
+    )
     assert got == exact_components(rows, words, num, 100)
     if not copies:
         assert minhash.near_duplicates(empty, words, (num, 100)).count() == 0
@@ -273,7 +334,9 @@ def brute_leaks(rows, items):
     """Every window of every text; an item of under five words is looked for in texts of no other words alone."""
     out = {}
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 5 else Counter([tuple(w)]) if w else Counter()
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 5 else Counter(
+        [tuple(w)]
+    ) if w else Counter()
     weigh = lambda c: sum(len("".join(g)) * n for g, n in c.items())
     for (i, t), (item, q) in itertools.product(rows, items):
         w, own = split(t), split(q)
@@ -288,15 +351,27 @@ def brute_leaks(rows, items):
 
 
 def test_decontamination(spark, docs, empty):
-    items = [(1, LEAK), (2, None), (3, ""), (4, prose(20, 123)), (5, "one two"), (6, prose(12, 4).replace(".", ";")), (7, LEAK)]
+    items = [
+        (1, LEAK),
+        (2, None),
+        (3, ""),
+        (4, prose(20, 123)),
+        (5, "one two"),
+        (6, prose(12, 4).replace(".", ";")),
+        (7, LEAK),
+    ]
     benchmark = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id bigint, text string, start int")
     got = {(r["doc_id"], r["item_id"]): r["similarity_ppm"] for r in decontamination.leaks(docs, benchmark).collect()}
     wanted = brute_leaks(TEXTS, items)
     assert got == wanted
     assert {(10, 1), (10, 7), (8, 5), (9, 5)} <= set(wanted)
     left = decontamination.clean(docs, benchmark)
-    assert left.columns == docs.columns and 10 not in {r["doc_id"] for r in left.collect()} and left.where("doc_id IS NULL").count() == 1
-    assert decontamination.leaks(empty, benchmark).count() == 0 and decontamination.clean(docs, benchmark.where("false")).count() == docs.count()
+    assert left.columns == docs.columns and 10 not in {r["doc_id"] for r in left.collect()} and left.where(
+        "doc_id IS NULL"
+    ).count() == 1
+    assert decontamination.leaks(empty, benchmark).count() == 0 and decontamination.clean(
+        docs, benchmark.where("false")
+    ).count() == docs.count()
 
 
 def test_decontamination_slides_over_all_starts(spark):
@@ -304,12 +379,21 @@ def test_decontamination_slides_over_all_starts(spark):
     w = [f"{x}{k}" for k, x in enumerate(VOCABULARY[:60])]
     around, more = prose(50, 31).split(), prose(9, 32).split()
     passages = {
-        1: w[30:] + w[:30], 2: w[40:] + w[20:40] + w[:20], 3: w[:30] + more[:2] + w[30:], 4: w[:30] + more[:5] + w[30:], 5: w[:20] + w[23:], 6: w[:12] + more[:3] + w[12:55],
-        7: w[50:] + w[:50], 8: w + w[:30], 9: w[:30] * 4, 10: w[5:58], 11: w[:15] + more + w[15:], 12: w[30:] + more[:1] + w[:30],
+        1: w[30:] + w[:30], 2: w[40:] + w[20:40] + w[:20], 3: w[:30] + more[:2] + w[30:], 4: w[:30] + more[:5] + w[
+            30:
+        ], 5: w[:20] + w[23:], 6: w[:12] + more[:3] + w[12:55],
+        7: w[50:] + w[:50], 8: w + w[:30], 9: w[:30] * 4, 10: w[5:58], 11: w[:15] + more + w[15:], 12: w[30:] + more[
+            :1
+        ] + w[:30],
     }
-    rows = [(i, " ".join(around[: 4 * i] + p + around[4 * i :])) for i, p in passages.items()] + [(20, " ".join(w[30:] + w[:30])), (21, " ".join(w[8:]))]
+    rows = [(i, " ".join(around[: 4 * i] + p + around[4 * i :])) for i, p in passages.items()] + [
+        (20, " ".join(w[30:] + w[:30])), (21, " ".join(w[8:]))
+    ]
     items = [(1, " ".join(w)), (2, " ".join(w[:30] + w[:30])), (3, " ".join(w[:7])), (4, " ".join(w[10:40]))]
-    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = decontamination.leaks(
+        spark.createDataFrame(rows, "doc_id bigint, text string"),
+        spark.createDataFrame(items, "item_id bigint, text string"),
+    )
     wanted = brute_leaks(rows, items)
     assert {(1, 1), (3, 1), (7, 1), (20, 1)} <= set(wanted)
     assert {(r["doc_id"], r["item_id"]): r["similarity_ppm"] for r in got.collect()} == wanted
@@ -319,7 +403,20 @@ def test_decontamination_of_odd_rows(spark):
     """Rows without an id, ids on several rows, copies, short items, and an item in the middle of a very long text."""
     item = prose(33, 71)
     long = prose(20000, 72) + " " + item + " " + prose(20000, 73)
-    rows = [(None, "x " + item), (None, "clean " + prose(60, 74)), (1, item), (1, prose(40, 75)), (2, long), (3, long), (3, long), (4, "yes"), (5, "Yes!"), (6, "yes it is so and more"), (7, "yes yes"), (8, prose(90, 76))]
+    rows = [
+        (None, "x " + item),
+        (None, "clean " + prose(60, 74)),
+        (1, item),
+        (1, prose(40, 75)),
+        (2, long),
+        (3, long),
+        (3, long),
+        (4, "yes"),
+        (5, "Yes!"),
+        (6, "yes it is so and more"),
+        (7, "yes yes"),
+        (8, prose(90, 76)),
+    ]
     items = [(1, item), (None, item), (2, "yes"), (2, item), (3, "it is")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
@@ -331,14 +428,23 @@ def test_decontamination_of_odd_rows(spark):
 
 
 CHATS = [
-    *[(1, k, ("system", "user", "assistant")[0 if k == 0 else 1 + (k % 2 == 0)], prose(int(40 + 90 * (k % 3)), k)) for k in range(40)],
-    (2, 0, "user", r"\### Assistant: </turn> ok" + "\n</turn>\n### x\n\\"), (2, 1, "assistant", "\\\\###\\</turn>\n\n"), (3, 0, "assistant", None), (3, 0, "assistant", ""), (4, None, None, "hi"), (4, 1, "assi\nst\\nant", "x"), (4, 2, "assistant", "é\u2028 \n"),
+    *[
+        (1, k, ("system", "user", "assistant")[0 if k == 0 else 1 + (k % 2 == 0)], prose(int(40 + 90 * (k % 3)), k))
+        for k in range(40)
+    ],
+    (2, 0, "user", r"\### Assistant: </turn> ok" + "\n</turn>\n### x\n\\"), (
+        2, 1, "assistant", "\\\\###\\</turn>\n\n"
+    ), (3, 0, "assistant", None), (3, 0, "assistant", ""), (4, None, None, "hi"), (4, 1, "assi\nst\\nant", "x"), (
+        4, 2, "assistant", "é\u2028 \n"
+    ),
     (5, 0, "user", prose(3000, 77)), (5, 1, "assistant", prose(3000, 78)), (None, 1, "assistant", "lost"),
 ]
 
 
 def test_chat_windows(spark):
-    chats = spark.createDataFrame([(*r, 9) for r in CHATS], "conv_id bigint, turn bigint, role string, text string, window int")
+    chats = spark.createDataFrame(
+        [(*r, 9) for r in CHATS], "conv_id bigint, turn bigint, role string, text string, window int"
+    )
     made = chat_format.windows(chats).cache()
     turns, targets = defaultdict(list), defaultdict(str)
     for r in chat_format.read_back(made).orderBy("conv_id", "window").collect():
@@ -349,7 +455,9 @@ def test_chat_windows(spark):
         assert turns[conv] == [(role, text) for _, role, text in mine]
         assert targets[conv] == "".join(text for _, role, text in mine if role == "assistant")
     first = made.where("conv_id = 1").orderBy("window").collect()
-    assert len(first) > 3 and all(r["formatted"].startswith("### system\n") for r in first) and all(r["n_tokens"] <= chat_format.BUDGET for r in first)
+    assert len(first) > 3 and all(r["formatted"].startswith("### system\n") for r in first) and all(
+        r["n_tokens"] <= chat_format.BUDGET for r in first
+    )
     assert any(r["n_context"] > 1 for r in first)
     assert chat_format.windows(chats.where("false")).count() == 0
 
@@ -357,9 +465,20 @@ def test_chat_windows(spark):
 def test_chat_windows_with_a_long_system_turn(spark):
     r = np.random.default_rng(5)
     system = {1: 270, 2: 630, 3: 1080}
-    chats = [(c, k, "user" if k % 2 else "assistant", prose(int(r.integers(5, 360 if c == 3 else 680)) if k % 3 else 40, 100 * c + k)) for c in system for k in range(1, 50)]
+    chats = [
+        (
+            c,
+            k,
+            "user" if k % 2 else "assistant",
+            prose(int(r.integers(5, 360 if c == 3 else 680)) if k % 3 else 40, 100 * c + k),
+        )
+        for c in system
+        for k in range(1, 50)
+    ]
     chats += [(c, 0, "system", prose(n, c)) for c, n in system.items()]
-    made = chat_format.windows(spark.createDataFrame(chats, "conv_id bigint, turn bigint, role string, text string")).cache()
+    made = chat_format.windows(
+        spark.createDataFrame(chats, "conv_id bigint, turn bigint, role string, text string")
+    ).cache()
     rows, turns = made.collect(), defaultdict(list)
     assert all(x["n_tokens"] <= chat_format.BUDGET and x["formatted"].startswith("### system\n") for x in rows)
     assert all(any(x["n_context"] > 2 for x in rows if x["conv_id"] == c) for c in system)
@@ -369,18 +488,41 @@ def test_chat_windows_with_a_long_system_turn(spark):
 
 
 def test_chat_windows_use_the_budget(spark):
-    """Windows of short turns are nearly full, apart from the first and last of a conversation; none is over the budget."""
+    """Windows of short turns are nearly full, apart from the first and last of a conversation; none is over the
+    budget."""
     r = np.random.default_rng(6)
-    chats = [(c, k, "user" if k % 2 else "assistant", prose(int(r.integers(1, most)), 1000 * c + k)) for c, most in ((1, 60), (2, 200), (3, 690)) for k in range(1, 200)]
+    chats = [
+        (c, k, "user" if k % 2 else "assistant", prose(int(r.integers(1, most)), 1000 * c + k))
+        for c, most in ((1, 60), (2, 200), (3, 690))
+        for k in range(1, 200)
+    ]
     chats += [(c, 0, "system", prose(30, c)) for c in (1, 2)]
-    rows = chat_format.windows(spark.createDataFrame(chats, "conv_id bigint, turn bigint, role string, text string")).select("conv_id", "window", "n_tokens").collect()
+    rows = chat_format.windows(
+        spark.createDataFrame(chats, "conv_id bigint, turn bigint, role string, text string")
+    ).select("conv_id", "window", "n_tokens").collect()
     for c, share in ((1, 0.85), (2, 0.8), (3, 0.4)):
         mine = [x["n_tokens"] for x in sorted(rows, key=lambda x: x["window"]) if x["conv_id"] == c]
         assert max(mine) <= chat_format.BUDGET
         assert np.mean(mine[1:-1]) >= share * chat_format.BUDGET, (c, mine)
 
 
-URLS = [None, "", "no scheme", "http://Example.ORG/es/1?q=1#x", "https://m.example.org/en/12", "https://example.org/en/2", "http://org/", "http://org", "http://a.com/fr/7", "http://a.com/de/7", "http://notcom/de/", "x://A.b://c/d#e?f", "http://spam-farm.example.net/a/b?x=1&y=2", "http://h?p#q", "http://éX.net/É"]
+URLS = [
+    None,
+    "",
+    "no scheme",
+    "http://Example.ORG/es/1?q=1#x",
+    "https://m.example.org/en/12",
+    "https://example.org/en/2",
+    "http://org/",
+    "http://org",
+    "http://a.com/fr/7",
+    "http://a.com/de/7",
+    "http://notcom/de/",
+    "x://A.b://c/d#e?f",
+    "http://spam-farm.example.net/a/b?x=1&y=2",
+    "http://h?p#q",
+    "http://éX.net/É",
+]
 
 
 def brute_rule(url):
@@ -391,16 +533,30 @@ def brute_rule(url):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-    best = max((r for r in url_filter.RULES if (host == r[1].split("/")[0] or host.endswith("." + r[1].split("/")[0])) and path.startswith("/" + r[1].split("/", 1)[1])), key=lambda r: len(r[1]), default=(None, None))
+    best = max(
+        (
+            r
+            for r in url_filter.RULES
+            if (host == r[1].split("/")[0] or host.endswith("." + r[1].split("/")[0])) and path.startswith(
+                "/" + r[1].split("/", 1)[1]
+            )
+        ),
+        key=lambda r: len(r[1]),
+        default=(None, None),
+    )
     return host, path, best[1], best[0]
 
 
 def test_urls(spark, labels):
-    pages = spark.createDataFrame([(k, u, "own") for k, u in enumerate(URLS)], "page_id bigint, url string, host string")
+    pages = spark.createDataFrame(
+        [(k, u, "own") for k, u in enumerate(URLS)], "page_id bigint, url string, host string"
+    )
     rows = {r["page_id"]: r for r in url_filter.judged(pages, url_filter.UrlTrees()).collect()}
     for k, url in enumerate(URLS):
         host, path, rule, verdict = brute_rule(url)
-        assert (rows[k]["host"], rows[k]["path"], rows[k]["rule"], rows[k]["verdict"]) == (host, path, rule, verdict or "allow"), url
+        assert (rows[k]["host"], rows[k]["path"], rows[k]["rule"], rows[k]["verdict"]) == (
+            host, path, rule, verdict or "allow"
+        ), url
     assert url_filter.judged(pages.where("false"), url_filter.UrlTrees()).count() == 0
 
 
@@ -415,7 +571,8 @@ def auc(scores, truth):
 
 
 def test_url_trees_on_rows_held_out(spark):
-    """Bad URLs have many hyphens, digits and parameters, or a bad suffix. Even documents are labelled, odd ones judged."""
+    """Bad URLs have many hyphens, digits and parameters, or a bad suffix. Even documents are labelled, odd ones
+    judged."""
     r = np.random.default_rng(8)
     urls, truth = [], []
     for k in range(1200):
@@ -426,7 +583,9 @@ def test_url_trees_on_rows_held_out(spark):
         truth.append(bad)
     truth = np.array(truth)
     pages = url_filter.parsed(spark.createDataFrame(urls, "page_id bigint, url string"))
-    labels = spark.createDataFrame([(k, int(not truth[k]), 0) for k in range(0, 1200, 2)], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(k, int(not truth[k]), 0) for k in range(0, 1200, 2)], "doc_id bigint, quality int, toxic int"
+    )
     trees = url_filter.UrlTrees.fit(pages, labels, rounds=5)
     rows = {x["page_id"]: x for x in url_filter.judged(pages, trees, rules=()).collect()}
     odd = np.arange(1, 1200, 2)
@@ -436,22 +595,38 @@ def test_url_trees_on_rows_held_out(spark):
     print(f"held out: AUC {area:.3f}, accuracy {right:.3f}")
     assert area > 0.95 and right > 0.9
     # Labels that have nothing to do with URLs teach nothing: by chance on rows held out.
-    labels = spark.createDataFrame([(k, int(r.random() < 0.5), 0) for k in range(0, 1200, 2)], "doc_id bigint, quality int, toxic int")
-    rows = {x["page_id"]: x for x in url_filter.judged(pages, url_filter.UrlTrees.fit(pages, labels, rounds=5), rules=()).collect()}
+    labels = spark.createDataFrame(
+        [(k, int(r.random() < 0.5), 0) for k in range(0, 1200, 2)], "doc_id bigint, quality int, toxic int"
+    )
+    rows = {
+        x["page_id"]: x
+        for x in url_filter.judged(pages, url_filter.UrlTrees.fit(pages, labels, rounds=5), rules=()).collect()
+    }
     assert 0.4 < auc(np.array([rows[k]["p_bad"] for k in odd]), r.random(600) < 0.5) < 0.6
 
 
 def test_url_fitting_of_odd_tables(spark, labels):
     """Null and empty URLs and labels, columns named as the new ones, empty tables."""
-    pages = spark.createDataFrame([(k, u, "r", "v", 2.0, "s") for k, u in enumerate(URLS)] + [(50, "http://x.y/1", *["r", "v", 2.0, "s"])], "page_id bigint, url string, rule string, verdict string, p_bad double, suffix string")
-    odd = spark.createDataFrame([(1, None, None), (None, 0, 1), (7, 0, 0), (7, 1, 0), (12, 1, 0)], "doc_id bigint, quality int, toxic int")
+    pages = spark.createDataFrame(
+        [(k, u, "r", "v", 2.0, "s") for k, u in enumerate(URLS)] + [(50, "http://x.y/1", *["r", "v", 2.0, "s"])],
+        "page_id bigint, url string, rule string, verdict string, p_bad double, suffix string",
+    )
+    odd = spark.createDataFrame(
+        [(1, None, None), (None, 0, 1), (7, 0, 0), (7, 1, 0), (12, 1, 0)], "doc_id bigint, quality int, toxic int"
+    )
     for known in (odd, odd.where("false"), labels):
         for some in (pages, pages.where("false"), pages.unionByName(pages)):
             rows = url_filter.judged(some, url_filter.UrlTrees.fit(url_filter.parsed(some), known, rounds=1))
             assert rows.count() == some.count() and {"rule", "verdict", "p_bad", "suffix"} <= set(rows.columns)
             assert rows.where("verdict NOT IN ('allow', 'block') OR suffix <> 's'").isEmpty()
     known = url_filter.labelled(url_filter.parsed(pages), odd).collect()
-    assert {(x["url"], x["bad"]) for x in known} == {("http://x.y/1", 0.0), ("https://m.example.org/en/12", 0.0), ("http://a.com/fr/7", 1.0), ("http://a.com/de/7", 1.0), ("http://Example.ORG/es/1?q=1#x", 0.0)}
+    assert {(x["url"], x["bad"]) for x in known} == {
+        ("http://x.y/1", 0.0),
+        ("https://m.example.org/en/12", 0.0),
+        ("http://a.com/fr/7", 1.0),
+        ("http://a.com/de/7", 1.0),
+        ("http://Example.ORG/es/1?q=1#x", 0.0),
+    }
 
 
 def test_surrogates(docs, empty):
@@ -465,7 +640,9 @@ def test_surrogates(docs, empty):
     mails = re.findall(r"[\w.]+@[\w.]+\w", text)
     assert len(mails) == 2 and len(set(mails)) == 1
     women = re.search(r"Mrs (\S+) (\S+) met Mr (\S+) (\S+) and Mrs (\S+)\.", text)
-    assert women[4] == women[5] and women[1] in surrogates.GIVEN["f", "latin"] and women[3] in surrogates.GIVEN["m", "latin"]
+    assert women[4] == women[5] and women[1] in surrogates.GIVEN["f", "latin"] and women[3] in surrogates.GIVEN[
+        "m", "latin"
+    ]
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", text)
     assert rows[1]["text"] == prose(80, 2) and rows[2]["text"] is None and rows[3]["text"] == ""
     assert surrogates.replaced(docs, "k1").count() == len(TEXTS) and surrogates.replaced(empty, "k1").count() == 0
@@ -480,12 +657,20 @@ def iban(account):
 
 
 PEOPLE = [
-    (1, "Dr Anna Müller met Frau Anna Müller. Then Prof. Anna Müller left; Mr Sam O'Brien and Mrs Sam Lee-Jones stayed."),
-    (2, "My name is John Smith, mail john.smith@firm.com or J.SMITH77@firm.com, not smith@other.net, john.smith@other.net"),
+    (
+        1,
+        "Dr Anna Müller met Frau Anna Müller. Then Prof. Anna Müller left; Mr Sam O'Brien and Mrs Sam Lee-Jones stayed.",
+    ),
+    (
+        2,
+        "My name is John Smith, mail john.smith@firm.com or J.SMITH77@firm.com, not smith@other.net, john.smith@other.net",
+    ),
     (3, "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, wrong DE12 3704 0044 0532 0130 00"),
     (4, "call 555-123-4567 or (415) 555-2671 or +49 30 1234567, card 4111-1111-1111-1111, not 4111 1111 1111 1112"),
     (5, "hosts 10.0.0.1, 10.0.0.2, fe80:0:0:0:0:0:0:1 and 2001:db8::ff00:42 and again 10.0.0.1; ssn 123-45-6789"),
-    (6, "Господин Иван Петров и Госпожа Мария Петрова, Herr Müller"), (7, "no one here, 12 34, a@b, Mr x"), (8, None), (9, ""),
+    (6, "Господин Иван Петров и Госпожа Мария Петрова, Herr Müller"), (7, "no one here, 12 34, a@b, Mr x"), (8, None), (
+        9, ""
+    ),
     (10, "Mr Sam O'Brien wrote to 10.0.0.1 " * 400), (3, "the same id"), (None, "Frau Anna Müller"),
 ]
 
@@ -493,8 +678,13 @@ PEOPLE = [
 def test_surrogates_against_brute_force(spark):
     """The library's regular expressions find the entities; all else stays; entities and surrogates go one to one."""
     entity = regex.compile(surrogates.ENTITY)
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in PEOPLE], "doc_id bigint, text string, entity string, kind int")
-    got = {r["text"] if r["doc_id"] in (8, 9) else (r["doc_id"], k): r for k, r in enumerate(surrogates.replaced(docs, "k").collect())}
+    docs = spark.createDataFrame(
+        [(i, t, "x", 1) for i, t in PEOPLE], "doc_id bigint, text string, entity string, kind int"
+    )
+    got = {
+        r["text"] if r["doc_id"] in (8, 9) else (r["doc_id"], k): r
+        for k, r in enumerate(surrogates.replaced(docs, "k").collect())
+    }
     rows = sorted(got.values(), key=lambda r: (r["doc_id"] or 0, r["text"] or ""))
     before = {i: [t for j, t in PEOPLE if j == i] for i, _ in PEOPLE}
     pairs, kinds = {}, Counter()
@@ -505,7 +695,10 @@ def test_surrogates_against_brute_force(spark):
             spans = [m.span() for m in entity.finditer(t or "")]
             if len(spans) != r["n_entities"]:
                 continue
-            between = [(t or "")[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t or "")], strict=True)]
+            between = [
+                (t or "")[a:b]
+                for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t or "")], strict=True)
+            ]
             m = regex.fullmatch("(.+?)".join(map(regex.escape, between)), r["text"] or "", regex.DOTALL)
             if m:
                 fits = True
@@ -514,7 +707,9 @@ def test_surrogates_against_brute_force(spark):
                     assert pairs.setdefault(t[a:b], new) == new
                     kinds[t[a:b]] += 1
         assert fits, r
-    assert sum(len(entity.findall(t or "")) for _, t in PEOPLE) == sum(r["n_entities"] for r in rows) == sum(kinds.values())
+    assert sum(len(entity.findall(t or "")) for _, t in PEOPLE) == sum(r["n_entities"] for r in rows) == sum(
+        kinds.values()
+    )
     lowered = defaultdict(set)
     for old, new in pairs.items():
         lowered[new.lower()].add(old.lower())
@@ -523,22 +718,36 @@ def test_surrogates_against_brute_force(spark):
     for old, new in pairs.items():
         if re.match(r"[+(\d]", old) and "." not in old and ":" not in old:
             assert shape(old) == shape(new)
-    assert luhn(re.sub(r"\D", "", pairs["4111-1111-1111-1111"])) and shape(pairs["GB82WEST12345698765432"]) == shape("GB82WEST12345698765432")
-    assert iban(pairs["DE89 3704 0044 0532 0130 00"]) and iban(pairs["GB82WEST12345698765432"]) and pairs["GB82WEST12345698765432"][:2] == "GB"
+    assert luhn(re.sub(r"\D", "", pairs["4111-1111-1111-1111"])) and shape(pairs["GB82WEST12345698765432"]) == shape(
+        "GB82WEST12345698765432"
+    )
+    assert iban(pairs["DE89 3704 0044 0532 0130 00"]) and iban(pairs["GB82WEST12345698765432"]) and pairs[
+        "GB82WEST12345698765432"
+    ][:2] == "GB"
     # One person, whatever the title; gender by all titles; words of addresses that are names go with them.
     anna = {pairs[x].split(" ", 1)[1] for x in pairs if x.endswith("Anna Müller")}
     assert len(anna) == 1 and anna.pop().split(" ")[0].split("-")[0] in surrogates.GIVEN["f", "latin"]
     assert pairs["Herr Müller"].split()[1] == pairs["Dr Anna Müller"].split()[2]
-    assert pairs["Mr Sam O'Brien"].split()[1].split("-")[0] in surrogates.GIVEN["n", "latin"] and regex.fullmatch(r"[\p{IsCyrillic} -]+", pairs["Господин Иван Петров"])
+    assert pairs["Mr Sam O'Brien"].split()[1].split("-")[0] in surrogates.GIVEN["n", "latin"] and regex.fullmatch(
+        r"[\p{IsCyrillic} -]+", pairs["Господин Иван Петров"]
+    )
     first, last = pairs["John Smith"].lower().split()
-    assert pairs["john.smith@firm.com"].split("@")[0] == f"{first}.{last}" and last.upper() in pairs["J.SMITH77@firm.com"]
-    assert pairs["smith@other.net"].split("@")[1] == pairs["john.smith@other.net"].split("@")[1] != pairs["john.smith@firm.com"].split("@")[1]
-    assert "10.0.0.1" not in "".join(r["text"] or "" for r in rows) and ipaddress.IPv6Address(pairs["2001:db8::ff00:42"])
+    assert pairs["john.smith@firm.com"].split("@")[0] == f"{first}.{last}" and last.upper() in pairs[
+        "J.SMITH77@firm.com"
+    ]
+    assert pairs["smith@other.net"].split("@")[1] == pairs["john.smith@other.net"].split("@")[1] != pairs[
+        "john.smith@firm.com"
+    ].split("@")[1]
+    assert "10.0.0.1" not in "".join(r["text"] or "" for r in rows) and ipaddress.IPv6Address(
+        pairs["2001:db8::ff00:42"]
+    )
 
 
 def test_surrogates_depend_on_a_key(spark):
     docs = spark.createDataFrame(PEOPLE[:3], "doc_id bigint, text string")
-    one, two, again = ([r["text"] for r in surrogates.replaced(docs, k).orderBy("doc_id").collect()] for k in ("a", "b", "a"))
+    one, two, again = (
+        [r["text"] for r in surrogates.replaced(docs, k).orderBy("doc_id").collect()] for k in ("a", "b", "a")
+    )
     assert one == again and one != two
     with pytest.raises(ValueError, match="key"):
         surrogates.replaced(docs, "")
@@ -551,9 +760,15 @@ def test_hmac(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    entities = spark.range(3000).select(F.lit("surname").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("norm"), F.lit("n").alias("gender"))
+    entities = spark.range(3000).select(
+        F.lit("surname").alias("kind"),
+        F.concat(F.lit("N"), F.col("id").cast("string")).alias("norm"),
+        F.lit("n").alias("gender"),
+    )
     made = surrogates.mapped(entities, "k").collect()
-    assert len({r["surrogate"] for r in made}) == 3000 and not {r["surrogate"] for r in made} & {r["norm"] for r in made}
+    assert len({r["surrogate"] for r in made}) == 3000 and not {r["surrogate"] for r in made} & {
+        r["norm"] for r in made
+    }
 
 
 def test_surrogates_of_a_dense_type(spark):
@@ -567,7 +782,9 @@ def test_surrogates_of_a_dense_type(spark):
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in TEXTS if i is not None]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
     spark.createDataFrame(LABELS, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, LEAK)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -590,7 +807,9 @@ def test_query_equals_sql(spark, sf_dir, name, tmp_path):
     with duckdb.connect() as database:
         for t in ("documents", "benchmark", "conversations"):
             database.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-        columns = ", ".join(c[0] for c in database.execute(f"DESCRIBE SELECT * FROM '{tmp_path}/out/*.parquet'").fetchall())
+        columns = ", ".join(
+            c[0] for c in database.execute(f"DESCRIBE SELECT * FROM '{tmp_path}/out/*.parquet'").fetchall()
+        )
         own, sql = f"SELECT {columns} FROM '{tmp_path}/out/*.parquet'", f"SELECT {columns} FROM ({queries.SQL[name]})"
         for a, b in ((own, sql), (sql, own)):
             assert database.execute(f"SELECT count(*) FROM ({a} EXCEPT ALL {b})").fetchall() == [(0,)]

@@ -14,9 +14,36 @@ from tokenizers import Tokenizer
 from segjobs.llm import minhash, packing, quality_rules, resampling, secrets, token_ids
 from segjobs.llm.tokens import UnitEncoder
 
-ODD = ["", "  a  b ", "a\t b", "a \tb\n\n c", "a\t \tb", "don't it's a'b  'll", "x y  　z", "<|endoftext|> hi <|startoftext|>", "é ́a", "A\nB.\nC. d", "...", "a.\n b", "1234 12a3 a1.", "\n", "a\n", "\x1c a\x85b", "ΣΑΣ ΟΔΟΣ.", '"q" (a) b?!', "a\r\nb", "İstanbul ǅ ﬁ", "a≠b", "x\x00y", "trail "]
+ODD = [
+    "",
+    "  a  b ",
+    "a\t b",
+    "a \tb\n\n c",
+    "a\t \tb",
+    "don't it's a'b  'll",
+    "x y  　z",
+    "<|endoftext|> hi <|startoftext|>",
+    "é ́a",
+    "A\nB.\nC. d",
+    "...",
+    "a.\n b",
+    "1234 12a3 a1.",
+    "\n",
+    "a\n",
+    "\x1c a\x85b",
+    "ΣΑΣ ΟΔΟΣ.",
+    '"q" (a) b?!',
+    "a\r\nb",
+    "İstanbul ǅ ﬁ",
+    "a≠b",
+    "x\x00y",
+    "trail ",
+]
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
-ENCODERS = {f: (UnitEncoder(public_tokenizers.path(f), spaces), Tokenizer.from_file(public_tokenizers.path(f))) for f, spaces in FILES}
+ENCODERS = {
+    f: (UnitEncoder(public_tokenizers.path(f), spaces), Tokenizer.from_file(public_tokenizers.path(f)))
+    for f, spaces in FILES
+}
 
 
 def check_encoding(texts):
@@ -35,7 +62,14 @@ CONTROL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.sampled_from([*CONTROL, " ", "\n", ".", "word", " Two,", "é", "<|", "|>"]), max_size=8).map("".join), max_size=5))
+@given(
+    st.lists(
+        st.lists(st.sampled_from([*CONTROL, " ", "\n", ".", "word", " Two,", "é", "<|", "|>"]), max_size=8).map(
+            "".join
+        ),
+        max_size=5,
+    )
+)
 def test_control_strings_are_what_the_library_makes_of_them(texts):
     check_encoding([*texts, CONTROL[0], CONTROL[0] * 3, "plain text between", f"a {CONTROL[0]} b.\n{CONTROL[1]}"])
 
@@ -57,7 +91,10 @@ def test_encoding_equals_the_library(texts):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=600), st.sampled_from([7, 64, 1024]))
+@given(
+    st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=600),
+    st.sampled_from([7, 64, 1024]),
+)
 def test_simple8b_round_trip(ids, block):
     ids = np.array(ids, np.uint64)
     words, places, escapes = token_ids.coded(ids, block)
@@ -115,7 +152,15 @@ def brute_rules(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.none() | st.lists(st.sampled_from(["a", "b", "é", " ", " ", "\n", "\t", "#", "a b c d e f g h i\n", "\x0b", "\x85"]), max_size=60).map("".join), max_size=4))
+@given(
+    st.lists(
+        st.none() | st.lists(
+            st.sampled_from(["a", "b", "é", " ", " ", "\n", "\t", "#", "a b c d e f g h i\n", "\x0b", "\x85"]),
+            max_size=60,
+        ).map("".join),
+        max_size=4,
+    )
+)
 def test_rule_counts_equal_brute_force(texts):
     m = quality_rules.measured(texts)
     for k, text in enumerate(texts):
@@ -131,8 +176,12 @@ def test_viterbi_finds_the_best_of_all_sequences():
         got, at = crf.best(features, n_lines), 0
         for n in n_lines.tolist():
             score = features[at : at + n] @ crf.state
-            value = lambda way: sum(score[k, y] for k, y in enumerate(way)) + sum(crf.change[a, b] for a, b in itertools.pairwise(way))  # noqa: B023, E731
-            assert value(got[at : at + n].tolist()) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=n))))
+            value = lambda way: sum(score[k, y] for k, y in enumerate(way)) + sum(  # noqa: B023, E731
+                crf.change[a, b] for a, b in itertools.pairwise(way)
+            )
+            assert value(got[at : at + n].tolist()) == pytest.approx(
+                max(map(value, itertools.product((0, 1), repeat=n)))
+            )
             at += n
 
 
@@ -147,14 +196,49 @@ def test_crf_fit_separates():
 
 
 def brute_base(text):
-    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
+    out = [
+        (m.start(), 0, m.end())
+        for m in re.finditer(
+            r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+            text,
+            re.I | re.A,
+        )
+        if len(m[2]) >= 12
+    ]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(out)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["token", "Api_Key", "PASSWORD", "secret", "=", ":", " ", '"', "'", "abcdef0123456789", "AKIA", "ABCDEFGHIJKLMNOP", "ſecret", "Kelvin", "xyz", "é", "\n", "0", "f"]), max_size=25).map("".join))
+@given(
+    st.lists(
+        st.sampled_from(
+            [
+                "token",
+                "Api_Key",
+                "PASSWORD",
+                "secret",
+                "=",
+                ":",
+                " ",
+                '"',
+                "'",
+                "abcdef0123456789",
+                "AKIA",
+                "ABCDEFGHIJKLMNOP",
+                "ſecret",
+                "Kelvin",
+                "xyz",
+                "é",
+                "\n",
+                "0",
+                "f",
+            ]
+        ),
+        max_size=25,
+    ).map("".join)
+)
 def test_base_spans_equal_brute_force(text):
     found, added = SCANNER.spans(text)
     assert found == brute_base(text)
@@ -196,7 +280,32 @@ SCANNER = secrets.Scanner(RANKS)
 
 
 @settings(max_examples=120, deadline=None)
-@given(st.lists(st.sampled_from(["a", "b", "ab", "qwe", "rf", "tgb", "Pass", "foo", "B4r", "$", "2024", "-01-", "31", "monday", "7", "é", "cde"]), max_size=5).map("".join).filter(lambda x: len(x) <= 11))
+@given(
+    st.lists(
+        st.sampled_from(
+            [
+                "a",
+                "b",
+                "ab",
+                "qwe",
+                "rf",
+                "tgb",
+                "Pass",
+                "foo",
+                "B4r",
+                "$",
+                "2024",
+                "-01-",
+                "31",
+                "monday",
+                "7",
+                "é",
+                "cde",
+            ]
+        ),
+        max_size=5,
+    ).map("".join).filter(lambda x: len(x) <= 11)
+)
 def test_guess_cost_is_the_least_over_all_cuts(value):
     assert secrets.guess_cost(value, RANKS) == pytest.approx(brute_cost(value, RANKS))
 
@@ -204,7 +313,23 @@ def test_guess_cost_is_the_least_over_all_cuts(value):
 def test_guess_costs():
     words = secrets.known_words(vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
     scanner = secrets.Scanner(words)
-    weak = ("password123456", "changeme", "aaaaaaaaaaaaaaaa", "qwertyuiop", "2024-01-31", "Monday2024", "P4ssw0rd", "abcabcabcabc", "environment", "documentation", "correcthorse", "Understanding!", "zaqxswcde", "qazwsxedc", "xabcdefgh")
+    weak = (
+        "password123456",
+        "changeme",
+        "aaaaaaaaaaaaaaaa",
+        "qwertyuiop",
+        "2024-01-31",
+        "Monday2024",
+        "P4ssw0rd",
+        "abcabcabcabc",
+        "environment",
+        "documentation",
+        "correcthorse",
+        "Understanding!",
+        "zaqxswcde",
+        "qazwsxedc",
+        "xabcdefgh",
+    )
     for value in weak:
         assert secrets.guess_cost(value, words) < secrets.MIN_COST, value
     for strong in ("x9Kq2vPz7LmT", "hG7$kd02Vb!pQ", "Zr0vQmWxTbKd", "correct-horse-battery-staple-73"):
@@ -218,11 +343,16 @@ def test_guess_costs():
 
 def brute_sets(text, words):
     w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
-    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {
+        tuple(w)
+    } if w else set()
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.none() | st.text(st.sampled_from("aAbB é\n\t"), max_size=40), min_size=1, max_size=5), st.sampled_from([1, 3, 5]))
+@given(
+    st.lists(st.none() | st.text(st.sampled_from("aAbB é\n\t"), max_size=40), min_size=1, max_size=5),
+    st.sampled_from([1, 3, 5]),
+)
 def test_shingle_sets_have_the_right_sizes(texts, words):
     sets = minhash.shingle_sets(texts, words)
     exact = [brute_sets(t, words) for t in texts]

@@ -23,10 +23,23 @@ DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, t
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    """Nulls in every column, empty and very long texts, copies, equal ids, a hot source, columns that operators use themselves."""
-    rows = [(k, f"text {k}\nline two\n" * (k % 5), "en", "hot" if k % 3 else f"s{k % 7}", k, 1, "x", 2) for k in range(40)]
-    rows += [(40, None, None, None, None, None, None, None), (None, "no id\n", "de", "hot", 6, 1, "x", 2), (None, "no id\n", "de", "hot", 6, 1, "x", 2), (41, "", "", "", 0, 1, "x", 2)]
-    rows += [(7, "other text of the same id", "en", "hot", 25, 1, "x", 2), (5, rows[5][1], "en", "hot", 5, 1, "x", 2), (42, "word " * 9000, "en", "é", 45000, 1, "x", 2), (43, "Ünïcode\n\n\n", "fr", "hot", 10, 1, "x", 2)]
+    """Nulls in every column, empty and very long texts, copies, equal ids, a hot source, columns that operators use
+    themselves."""
+    rows = [
+        (k, f"text {k}\nline two\n" * (k % 5), "en", "hot" if k % 3 else f"s{k % 7}", k, 1, "x", 2) for k in range(40)
+    ]
+    rows += [
+        (40, None, None, None, None, None, None, None),
+        (None, "no id\n", "de", "hot", 6, 1, "x", 2),
+        (None, "no id\n", "de", "hot", 6, 1, "x", 2),
+        (41, "", "", "", 0, 1, "x", 2),
+    ]
+    rows += [
+        (7, "other text of the same id", "en", "hot", 25, 1, "x", 2),
+        (5, rows[5][1], "en", "hot", 5, 1, "x", 2),
+        (42, "word " * 9000, "en", "é", 45000, 1, "x", 2),
+        (43, "Ünïcode\n\n\n", "fr", "hot", 10, 1, "x", 2),
+    ]
     return spark.createDataFrame(rows, DOC).repartition(3)
 
 
@@ -47,7 +60,15 @@ def test_whitening_equals_dense_eigenvectors(spark):
     good = (r.standard_normal((300, 6)) * [1, 0.5, 0.3, 0.2, 0.1, 0.05]).astype(np.float32).tolist()
     good += [good[0]] * 50 + [[v + 1e-9 for v in good[1]]]  # copies, and one that differs from another below a 256th
     ids = [*range(len(good) - 1), None]
-    odd = [None, [], [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf"), *[0.0] * 5], [1e30, *[0.0] * 5], [0.5] * 5]
+    odd = [
+        None,
+        [],
+        [1.0, None, 0.0, 0.0, 0.0, 0.0],
+        [float("nan")] * 6,
+        [float("inf"), *[0.0] * 5],
+        [1e30, *[0.0] * 5],
+        [0.5] * 5,
+    ]
     rows = [(i, v, "a", 1) for i, v in zip(ids, good, strict=True)] + [(1000 + k, v, "a", 1) for k, v in enumerate(odd)]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, x string, component int").repartition(5)
     n, deviation, projected, values = plain_whitening(good)
@@ -70,10 +91,14 @@ def test_whitening_without_variance(spark):
     assert whitening.report(spark.createDataFrame([], schema)).count() == 0
     assert whitening.report(spark.createDataFrame([(1, None), (2, [])], schema)).count() == 0
     same = whitening.report(spark.createDataFrame([(1, [0.5, 1.0]), (2, [0.5, 1.0])], schema)).collect()
-    assert sorted((r["vec_id"], r["component"], r["n"], r["deviation"], r["whitened"], r["explained"]) for r in same) == [(i, c, 1, 0, None, None) for i in (1, 2) for c in (1, 2)]
+    assert sorted(
+        (r["vec_id"], r["component"], r["n"], r["deviation"], r["whitened"], r["explained"]) for r in same
+    ) == [(i, c, 1, 0, None, None) for i in (1, 2) for c in (1, 2)]
     line = whitening.report(spark.createDataFrame([(1, [0.0, 0.0, 1.0]), (2, [1.0, 1.0, 1.0])], schema)).collect()
     assert {(r["component"], r["whitened"] is None) for r in line} == {(1, False), (2, True), (3, True)}
-    assert all(abs(abs(r["whitened"]) - 1) < 1e-12 and abs(r["explained"] - 1) < 1e-12 for r in line if r["component"] == 1)
+    assert all(
+        abs(abs(r["whitened"]) - 1) < 1e-12 and abs(r["explained"] - 1) < 1e-12 for r in line if r["component"] == 1
+    )
 
 
 def test_deviations_beyond_64_bits_are_exact_or_null():
@@ -89,7 +114,15 @@ def test_deviations_beyond_64_bits_are_exact_or_null():
 def test_bidiagonal_solver(kind):
     r = np.random.default_rng(8)
     turn = np.linalg.qr(r.standard_normal((24, 24)))[0]
-    x = {"plain": r.standard_normal((200, 24)), "graded": r.standard_normal((200, 24)) * np.logspace(0, -7, 24), "equal": np.eye(24), "turned": np.eye(24) @ turn, "few": r.standard_normal((5, 24)), "zero": np.zeros((24, 24)), "one": r.standard_normal((9, 1))}[kind]
+    x = {
+        "plain": r.standard_normal((200, 24)),
+        "graded": r.standard_normal((200, 24)) * np.logspace(0, -7, 24),
+        "equal": np.eye(24),
+        "turned": np.eye(24) @ turn,
+        "few": r.standard_normal((5, 24)),
+        "zero": np.zeros((24, 24)),
+        "one": r.standard_normal((9, 1)),
+    }[kind]
     d = x.shape[1]
     r_ = np.linalg.qr(x, mode="r")
     r_ = np.concatenate([r_, np.zeros((d - len(r_), d))])
@@ -98,7 +131,9 @@ def test_bidiagonal_solver(kind):
     assert np.allclose(values, wanted, rtol=1e-11, atol=1e-14 * (wanted[0] or 1))
     k = int((values[: found.shape[1]] > 1e-14 * values[0]).sum()) if values[0] else 0
     assert np.abs(found[:, :k].T @ found[:, :k] - np.eye(k)).max(initial=0) < 1e-12
-    assert np.abs(x.T @ x / len(x) @ found[:, :k] - found[:, :k] * values[:k]).max(initial=0) <= 1e-12 * (values[0] or 1)
+    assert np.abs(x.T @ x / len(x) @ found[:, :k] - found[:, :k] * values[:k]).max(initial=0) <= 1e-12 * (
+        values[0] or 1
+    )
 
 
 # Merkle manifest --------------------------------------------------------------------------------------------------
@@ -121,7 +156,10 @@ def plain_tree(leaves):
 
 
 def plain_path(levels, i):
-    return [(level[i // 3**k // 3 * 3 : i // 3**k], level[i // 3**k + 1 : i // 3**k // 3 * 3 + 3]) for k, level in enumerate(levels[:-1])]
+    return [
+        (level[i // 3**k // 3 * 3 : i // 3**k], level[i // 3**k + 1 : i // 3**k // 3 * 3 + 3])
+        for k, level in enumerate(levels[:-1])
+    ]
 
 
 def plain_manifest(rows):
@@ -143,7 +181,17 @@ def plain_manifest(rows):
             digest = claimed
             for before, after in path:
                 digest = sha(*before, digest, *after)
-            out.append((doc_id, leaf, trees[k][-1][0], top[-1][0], sha(*(d for step in path for side in step for d in side)), digest, digest == top[-1][0]))
+            out.append(
+                (
+                    doc_id,
+                    leaf,
+                    trees[k][-1][0],
+                    top[-1][0],
+                    sha(*(d for step in path for side in step for d in side)),
+                    digest,
+                    digest == top[-1][0],
+                )
+            )
     return out
 
 
@@ -179,8 +227,12 @@ def test_proofs_of_some_leaves(spark, docs, monkeypatch):
     monkeypatch.setattr(merkle, "LEVELS", 2)
     monkeypatch.setattr(merkle, "WIDTH", 9)
     m = merkle.manifest(docs)
-    rows = merkle.proofs(m, lambda x: x["doc_id"] % 6 == 1).withColumn("folded", merkle.fold(F.col("digest"), F.col("steps"))).collect()
-    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] % 6 == 1)
+    rows = merkle.proofs(m, lambda x: x["doc_id"] % 6 == 1).withColumn(
+        "folded", merkle.fold(F.col("digest"), F.col("steps"))
+    ).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(
+        r["doc_id"] for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] % 6 == 1
+    )
     wanted = {(r[0], r[1]): r[2:4] for r in plain_manifest(docs.collect())}
     for r in rows:
         assert r["folded"] == r["root"] == m.root
@@ -255,7 +307,9 @@ def check_packed(rows, wanted, capacity):
 def test_harmonic_packing(docs, capacity):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    wanted = [(r["doc_id"], [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in docs.collect()]
+    wanted = [
+        (r["doc_id"], [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in docs.collect()
+    ]
     assert check_packed(harmonic.pack(docs, path, capacity=capacity).collect(), wanted, capacity) <= 0.02
     assert harmonic.pack(docs.where("false"), path).count() == 0
 
@@ -264,7 +318,9 @@ def test_harmonic_padding_over_documents(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     docs = base.table(spark, sf_dir, "documents").repartition(4)
-    wanted = [(r["doc_id"], [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in docs.collect()]
+    wanted = [
+        (r["doc_id"], [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in docs.collect()
+    ]
     assert check_packed(harmonic.pack(docs, path).collect(), wanted, 2048) <= 0.005
 
 
@@ -310,7 +366,9 @@ def test_resampling_weights_tell_good_from_raw_on_texts_held_out(spark):
     rows = [(i, text(0.7 if i % 3 == 0 else 0.3)) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     labels = spark.createDataFrame([(i, 1) for i in range(0, 600, 6)], "doc_id bigint, quality int")
-    weights = {x["doc_id"]: x["log_weight"] / x["n_grams"] for x in resampling.resampled(docs, labels, keep=0.3).collect()}
+    weights = {
+        x["doc_id"]: x["log_weight"] / x["n_grams"] for x in resampling.resampled(docs, labels, keep=0.3).collect()
+    }
     held_out = [i for i in range(600) if i % 6]
     wanted = np.array([i % 3 == 0 for i in held_out])
     order = np.argsort(np.argsort([weights[i] for i in held_out]))
@@ -321,19 +379,28 @@ def test_resampling_weights_tell_good_from_raw_on_texts_held_out(spark):
 def test_resampling_noise_is_gumbel(spark):
     """The noise of many ids follows the Gumbel distribution, and differs with the seed."""
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
-    noise = [np.array([x["gumbel_key"] for x in resampling.weighted(docs, np.zeros(8), seed).orderBy("doc_id").collect()]) / resampling.SCALE for seed in (1, 2)]
+    noise = [
+        np.array(
+            [x["gumbel_key"] for x in resampling.weighted(docs, np.zeros(8), seed).orderBy("doc_id").collect()]
+        ) / resampling.SCALE
+        for seed in (1, 2)
+    ]
     for x in noise:
         expected = np.exp(-np.exp(-np.sort(x)))
-        assert np.abs(expected - (np.arange(4000) + 0.5) / 4000).max() < 1.63 / np.sqrt(4000)  # Kolmogorov's bound at 1 %
+        # Kolmogorov's bound at 1 %
+        assert np.abs(expected - (np.arange(4000) + 0.5) / 4000).max() < 1.63 / np.sqrt(4000)
     assert abs(np.corrcoef(noise)[0, 1]) < 0.06
 
 
 @pytest.mark.parametrize("rows", ["none", "odd"])
 def test_stages_take_odd_and_empty_tables(spark, docs, tmp_path, rows):
-    """Nulls in every column, copies, equal ids and clashing names; each stage on all of them, not on what others left."""
+    """Nulls in every column, copies, equal ids and clashing names; each stage on all of them, not on what others
+    left."""
     own = docs.where("false") if rows == "none" else docs
     bench = spark.createDataFrame([(1, None), (None, "")] if rows == "odd" else [], "item_id bigint, text string")
-    labels = spark.createDataFrame([(None, None, None), (1, 1, None)] if rows == "odd" else [], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(None, None, None), (1, 1, None)] if rows == "odd" else [], "doc_id bigint, quality int, toxic int"
+    )
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     key = lambda x: tuple((v is not None, v) for v in x)
@@ -351,7 +418,9 @@ def test_stages_take_odd_and_empty_tables(spark, docs, tmp_path, rows):
         elif name == "decontaminate":
             assert after == before
         else:
-            same = lambda x: (*x[:at], *x[at + 1 : own.columns.index("n_chars")], *x[own.columns.index("n_chars") + 1 :])
+            same = lambda x: (
+                *x[:at], *x[at + 1 : own.columns.index("n_chars")], *x[own.columns.index("n_chars") + 1 :]
+            )
             assert sorted(map(same, after), key=key) == sorted(map(same, before), key=key)
     packed = corpus_pipeline.pack(spark, own, str(tmp_path)).collect()
     assert len({(p["doc_id"], p["piece"]) for p in packed}) <= len(packed) and (rows == "none") == (not packed)
