@@ -13,7 +13,7 @@ from segjobs.functions import nested
 from segjobs.functions.geometry import chaikin, simplified_together
 from segjobs.functions.graph import components
 from segjobs.functions.overlay import BITS, cancelled, directed, in_cells, polygons_of, united
-from segjobs.functions.shared import small, stored
+from segjobs.functions.shared import discard, small, stored
 from segjobs.operators import rings
 from segjobs.operators.validate import bounds, check_not_empty, problems
 
@@ -380,6 +380,7 @@ def _merged_in_cells(parts: DataFrame, grids: DataFrame) -> DataFrame:
     border = _borders(edges).join(small(cells), "cluster")
     of = lambda c: F.floor(F.col(c) / F.col("cell")).cast("long")
     outline = stored(inner.unionByName(border.withColumns({"cx": of("ax"), "cy": of("ay")}).select(inner.columns)))
+    discard(pieces, full, edges, cells)
     count = outline.groupBy("scene_id", "cluster").agg(F.count("*").alias("n_edges"))
     large = small(stored(count.where(F.col("n_edges") > WHOLE_OUTLINE).select("cluster")))
     out = _stitched(outline.join(large, "cluster", "left_anti"), grids)

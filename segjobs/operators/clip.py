@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segjobs.functions import nested
 from segjobs.functions.shared import small
 from segjobs.operators.blocks import arrays, parts_of, placed
 from segjobs.operators.grid import clean_name, windows_along
@@ -129,63 +130,80 @@ def candidates(polygons: DataFrame, scenes: DataFrame, window: int, stride: int)
     )
 
 
-def burn_rows(parts: list, x0: float, y0: float, pixel: float, width: int, height: int) -> list[tuple[int, int, int]]:
-    """Runs (y, first x, last x) of the pixels whose centre is inside any part; those of parts that overlap do too.
+def burned(e: np.ndarray, part: np.ndarray, width: np.ndarray, height: np.ndarray) -> list[np.ndarray]:
+    """(part, y, first x, last x) of the runs of pixels whose centre is inside a part, in arrays. e: edges (n x 4) of
+    closed rings in pixels, y downwards; part: of each edge; width and height: of each part's scene.
 
-    Inside a part is decided by the parity of crossings in each row. A centre on an edge belongs to the side towards
-    larger x and y.
+    Inside is decided by the parity of crossings in each row. A centre on an edge belongs to the side towards larger x
+    and y.
     """
-    return [run for rings in parts for run in _burned(rings, x0, y0, pixel, width, height)]
-
-
-def _burned(rings: list, x0: float, y0: float, pixel: float, width: int, height: int) -> list[tuple[int, int, int]]:
-    edges = []
-    for ring in rings:
-        p = np.array([((v["x"] - x0) / pixel, (y0 - v["y"]) / pixel) for v in ring], np.float64)
-        edges.append(np.concatenate([p[:-1], p[1:]], axis=1))
-    e = np.concatenate(edges) if edges else np.empty((0, 4))
-    e = e[e[:, 1] != e[:, 3]]
-    if not len(e):
-        return []
+    level = e[:, 1] == e[:, 3]
+    e, part = e[~level], part[~level]
     low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
-    first, last = np.maximum(np.ceil(low - 0.5), 0).astype(int), np.minimum(np.ceil(high - 0.5) - 1, height - 1).astype(
-        int
-    )
+    first = np.maximum(np.ceil(low - 0.5), 0).astype(np.int64)
+    last = np.minimum(np.ceil(high - 0.5) - 1, height[part] - 1).astype(np.int64)
     n = np.maximum(last - first + 1, 0)
     which = np.repeat(np.arange(len(e)), n)
-    if not len(which):
-        return []
     row = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    f = e[which]
+    f, own = e[which], part[which]
     at = f[:, 0] + (row + 0.5 - f[:, 1]) * (f[:, 2] - f[:, 0]) / (f[:, 3] - f[:, 1])
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    # Crossings of a row come in pairs: in and out.
-    start, stop = np.maximum(np.ceil(at[0::2] - 0.5), 0).astype(int), np.minimum(
-        np.ceil(at[1::2] - 0.5) - 1, width - 1
-    ).astype(int)
+    order = np.lexsort((at, row, own))
+    row, at, own = row[order][0::2], at[order], own[order][0::2]
+    # Crossings of a part's row come in pairs: in and out.
+    start = np.maximum(np.ceil(at[0::2] - 0.5), 0).astype(np.int64)
+    stop = np.minimum(np.ceil(at[1::2] - 0.5) - 1, width[own] - 1).astype(np.int64)
     some = start <= stop
-    return list(zip(row[0::2][some].tolist(), start[some].tolist(), stop[some].tolist(), strict=True))
+    return [own[some], row[some], start[some], stop[some]]
 
 
 def burned_runs(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
-    """scene_id, poly_id, y, x0, x1: the runs of pixels that each polygon covers. One row of polygons at a time."""
-    own = polygons.where("parts IS NOT NULL").join(scenes.select("scene_id", "gt", "width", "height"), "scene_id")
+    """scene_id, poly_id, y, x0, x1: the runs of pixels that each polygon covers; those of parts that overlap do too.
+
+    Whole batches of polygons at a time. Null polygons, and rings of under two points, cover nothing.
+    """
+    gt = [F.col(f"gt.{c}").alias(c) for c in ("x0", "y0", "pw")]
+    own = polygons.where("parts IS NOT NULL").join(scenes.select("scene_id", *gt, "width", "height"), "scene_id")
 
     def rows(batches):
-        for batch in batches:
-            out = [
-                (r["scene_id"], r["poly_id"], *run)
-                for r in batch.to_pylist()
-                for run in burn_rows(r["parts"], r["gt"]["x0"], r["gt"]["y0"], r["gt"]["pw"], r["width"], r["height"])
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], pa.int64()) for k in range(5)], ["scene_id", "poly_id", "y", "x0", "x1"]
-            )
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                scene, poly, x0, y0, pixel, width, height = (
+                    batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5, 6, 7)
+                )
+                parts = batch.column(2)
+                rings = parts.flatten()
+                points = rings.flatten()
+                of_part = np.repeat(np.arange(batch.num_rows), nested.sizes(parts))
+                part = np.repeat(np.arange(len(of_part)), nested.sizes(rings))
+                ring = np.repeat(np.arange(len(part)), nested.sizes(points))
+                xy, at = nested.flat_points(points.flatten()), of_part[part[ring]]
+                px = np.stack([(xy[:, 0] - x0[at]) / pixel[at], (y0[at] - xy[:, 1]) / pixel[at]], axis=1)
+                same = ring[1:] == ring[:-1]
+                e, owner = np.concatenate([px[:-1], px[1:]], axis=1)[same], part[ring[1:]][same]
+                own_part, y, first, last = burned(e, owner, width[of_part], height[of_part])
+                k = of_part[own_part]
+                columns = [scene[k], poly[k], y, first, last]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in columns], ["scene_id", "poly_id", "y", "x0", "x1"]
+                )
 
-    return own.select(
-        "scene_id", F.col("poly_id").cast("long").alias("poly_id"), "parts", "gt", "width", "height"
-    ).mapInArrow(rows, "scene_id bigint, poly_id bigint, y bigint, x0 bigint, x1 bigint")
+    places = ["scene_id", F.col("poly_id").cast("long").alias("poly_id"), "parts", "x0", "y0", "pw", "width", "height"]
+    return own.select(*places).mapInArrow(rows, "scene_id bigint, poly_id bigint, y bigint, x0 bigint, x1 bigint")
+
+
+def burn_rows(
+    parts: list, x0: float, y0: float, pixel: float, width: int, height: int
+) -> list[tuple[int, int, int]]:
+    """Runs (y, first x, last x) of one polygon, part by part."""
+    edges, owner = [np.empty((0, 4))], [np.empty(0, np.int64)]
+    for k, ring in ((k, ring) for k, rings in enumerate(parts) for ring in rings):
+        p = np.array([((v["x"] - x0) / pixel, (y0 - v["y"]) / pixel) for v in ring], np.float64).reshape(-1, 2)
+        edges.append(np.concatenate([p[:-1], p[1:]], axis=1))
+        owner.append(np.full(max(len(p) - 1, 0), k))
+    size = np.full(len(parts), width), np.full(len(parts), height)
+    _, y, first, last = burned(np.concatenate(edges), np.concatenate(owner), *size)
+    return list(zip(y.tolist(), first.tolist(), last.tolist(), strict=True))
 
 
 def burned_pixels(runs: DataFrame) -> DataFrame:
