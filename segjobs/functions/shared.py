@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,7 @@ from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +42,8 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _folders[out] = path
+    if (written := _scratch.get()) is not None:
+        written.append(out)
     return out
 
 
@@ -51,6 +57,30 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that stored() writes within, on leaving, also after an error: for work whose results are
+    written elsewhere by then. Frames that read such a table cannot be used afterwards.
+
+    Gives a function that keeps one table of stored(), for the scratch around this one if there is one.
+    """
+    written: list[DataFrame] = []
+    around = _scratch.get()
+    token = _scratch.set(written)
+
+    def keep(df: DataFrame) -> DataFrame:
+        written[:] = [t for t in written if t is not df]
+        if around is not None:
+            around.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        discard(*written)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows and bytes, else as it is.
 

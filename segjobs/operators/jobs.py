@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segjobs.functions.shared import small, stored
+from segjobs.functions.shared import scratch, small, stored
 from segjobs.operators import augment, blocks, clip, grid, losses, metrics, polygonize, prepare, score, split, validate
 from segjobs.operators.clean import Steps, cleaned, usable
 from segjobs.sources import catalog, sinks
@@ -96,6 +96,7 @@ def check_clipping(scenes: DataFrame, polygons: DataFrame, window: int, stride:
     }
 
 
+@scratch()
 def run_clipping(
     spark: SparkSession, root: str, prefix: str, pixels: DataFrame, scenes: DataFrame, polygons: DataFrame, window: int, stride: int,
     burn: int = 255, bands: list[str] | None = None, budget: int | None = None,
@@ -110,6 +111,7 @@ def run_clipping(
     return catalog.write_version(made, root, prefix, "clipping", info)
 
 
+@scratch()
 def run_splitting(
     spark: SparkSession, root: str, prefix: str, clipping: int, train: int = 80, valid: int = 10, test: int = 10
 ) -> int:
@@ -133,6 +135,7 @@ def run_splitting(
     )
 
 
+@scratch()
 def run_augmentation(
     spark: SparkSession, root: str, prefix: str, splitting: int, methods: Iterable[str], clipping: int
 ) -> int:
@@ -192,23 +195,24 @@ def run_evaluation(
 
     images: tile_name, size, bands, gt, crs; masks: tile_name, mask. Tiles are scored once, and written before use.
     """
-    tiles = prepare.paired(images, masks)
-    chances = score.scored(prepare.normalized(tiles.select("tile_name", "size", "bands")), make_scorer)
-    logit = F.transform("prob", lambda p: F.log(p / (1 - p)))
-    scored = stored(tiles.join(chances.select("tile_name", logit.alias("z")), "tile_name"))
-    counts = stored(
-        metrics.tile_confusion(scored).select(F.lit("test").alias("split"), "tile_name", "tp", "fp", "tn", "fn")
-    )
-    out = stored(metrics.tile_and_overall(counts))
-    sinks.write_metrics(out.where("tile_name IS NOT NULL"), f"{path}/metrics")
-    predicted = scored.select("tile_name", F.transform("z", metrics.predicted).alias("predicted"))
-    sinks.tile_masks(predicted, images).write.parquet(f"{path}/masks")
-    chosen = metrics.evenly_spaced(scored.select("tile_name"), n_samples).select("tile_name")
-    samples = scored.select("tile_name", "bands", "mask").join(predicted, "tile_name").join(
-        out.select("tile_name", "iou"), "tile_name"
-    )
-    samples.join(chosen, "tile_name", "left_semi").write.parquet(f"{path}/samples")
-    return out
+    with scratch() as keep:
+        tiles = prepare.paired(images, masks)
+        chances = score.scored(prepare.normalized(tiles.select("tile_name", "size", "bands")), make_scorer)
+        logit = F.transform("prob", lambda p: F.log(p / (1 - p)))
+        scored = stored(tiles.join(chances.select("tile_name", logit.alias("z")), "tile_name"))
+        counts = stored(
+            metrics.tile_confusion(scored).select(F.lit("test").alias("split"), "tile_name", "tp", "fp", "tn", "fn")
+        )
+        out = stored(metrics.tile_and_overall(counts))
+        sinks.write_metrics(out.where("tile_name IS NOT NULL"), f"{path}/metrics")
+        predicted = scored.select("tile_name", F.transform("z", metrics.predicted).alias("predicted"))
+        sinks.tile_masks(predicted, images).write.parquet(f"{path}/masks")
+        chosen = metrics.evenly_spaced(scored.select("tile_name"), n_samples).select("tile_name")
+        samples = scored.select("tile_name", "bands", "mask").join(predicted, "tile_name").join(
+            out.select("tile_name", "iou"), "tile_name"
+        )
+        samples.join(chosen, "tile_name", "left_semi").write.parquet(f"{path}/samples")
+        return keep(out)
 
 
 def predict(
@@ -241,6 +245,7 @@ def predict_polygons(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     return polygonize.polygons_of(stored(polygonize.regions(mask.where("mask = 1"))), scenes)
 
 
+@scratch()
 def run_prediction(
     pixels: DataFrame,
     scenes: DataFrame,
@@ -262,7 +267,8 @@ def run_prediction(
 def postprocess(polygons: DataFrame, steps: Steps, path: str | None = None) -> tuple[DataFrame, int, int]:
     """The cleaned polygons, written as multipolygons if there is a path, and the counts of usable ones before and
     after."""
-    made = stored(cleaned(polygons, steps))
+    with scratch() as keep:
+        made = keep(stored(cleaned(polygons, steps)))
     if path is not None:
         sinks.multipolygons(made.select("scene_id", "parts")).write.parquet(path)
     return made, usable(polygons).count(), made.count()

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segjobs.functions.ranking import ranked
+from segjobs.functions.ranking import numbered, ranges, ranked
 from segjobs.operators.validate import check_percentages
 
 SEED = 42
@@ -41,16 +41,17 @@ def shuffled_as_list(spark: SparkSession, tiles: DataFrame, seed: int = SEED) ->
 
 
 def split(tiles: DataFrame, train: int = 80, valid: int = 10, test: int = 10, seed: int | str = SEED) -> DataFrame:
-    """tiles with subset; exact counts, halves rounded to even, and the rest to test."""
+    """tiles with subset; exact counts, halves rounded to even, and the rest to test. tiles are read once."""
     check_percentages(train, valid, test)
-    n = tiles.count()
-    if not n:
+    order = "shuffle_key", "tile_name"
+    parts = ranges(tiles.withColumn("shuffle_key", shuffle_key(seed)), *order)
+    if parts.isEmpty():
         raise ValueError("there are no tiles to split")
-    n_train, n_valid = round(n * train / 100), round(n * valid / 100)
-    subset = F.when(F.col("rank") <= n_train, "train").when(F.col("rank") <= n_train + n_valid, "valid").otherwise(
-        "test"
-    )
-    return shuffled(tiles, seed).withColumn("subset", subset)
+    share = lambda percent: F.bround(F.col("_all") * percent / 100)
+    subset = F.when(F.col("rank") <= share(train), "train").when(
+        F.col("rank") <= share(train) + share(valid), "valid"
+    ).otherwise("test")
+    return numbered(parts, *order, total="_all").withColumn("subset", subset).drop("shuffle_key", "_all")
 
 
 def with_masks(split_tiles: DataFrame, masks: DataFrame) -> DataFrame:

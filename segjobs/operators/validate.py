@@ -202,6 +202,17 @@ def check_percentages(train: int, valid: int, test: int) -> None:
         raise ValueError(f"percentages must add up to 100: {train}, {valid}, {test}")
 
 
+def unfit_runs(runs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """run_id and problem of planned splits (run_id, version, train, valid, test) that cannot run: no version,
+    percentages (negative, missing, or not 100 together), or no tiles (rows of tiles) of the version."""
+    fit = F.coalesce(F.expr("train >= 0 AND valid >= 0 AND test >= 0 AND train + valid + test = 100"), F.lit(False))
+    there = tiles.select("version").distinct().withColumn("_there", F.lit(True))
+    what = F.when(F.col("version").isNull(), "no version").when(~fit, "percentages").when(
+        F.col("_there").isNull(), "no tiles"
+    )
+    return runs.join(there, "version", "left").select("run_id", what.alias("problem")).where("problem IS NOT NULL")
+
+
 def check_not_empty(df: DataFrame, what: str) -> None:
     if df.isEmpty():
         raise ValueError(f"there are no {what}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segjobs.functions.shared import stored, table
+from segjobs.functions.shared import shared_folder, stored, table
 from segjobs.operators import augment, blocks, clean, clip, grid, jobs, losses, metrics, polygonize, prepare, score, split, validate
 from segjobs.sources import catalog, sinks
 from segjobs.sources import fixtures as fx
@@ -47,6 +47,11 @@ def entry(spark: SparkSession) -> DataFrame:
     return j6_predict(spark, "/root/testdata/sf0.001")
 
 
+_REGIONS = """e AS (SELECT a.scene_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM pos a JOIN pos b ON a.scene_id = b.scene_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
+reach(scene_id, y, x, k) AS (SELECT scene_id, y, x, y * 1000 + x FROM pos UNION SELECT e.scene_id, y2, x2, min(k) FROM reach r JOIN e ON e.scene_id = r.scene_id AND e.y = r.y AND e.x = r.x GROUP BY ALL),
+g AS (SELECT scene_id, y, x, min(k) AS k FROM reach GROUP BY ALL)"""
+
+
 # Sources, layouts and sinks -------------------------------------------------------------------------------------
 
 
@@ -77,6 +82,23 @@ def io2(spark, sf):
     return clean.usable(odd).agg(F.count("*").alias("input_count"))
 
 
+@query("io3_versions", """SELECT s_suppkey % 3 + 1 AS version, s_suppkey, 4 AS next FROM supplier""")
+def io3(spark, sf):
+    """Versions written one after another and each read again by its number."""
+    root, own = shared_folder(spark), table(spark, sf, "supplier").select("s_suppkey")
+    numbers = [
+        catalog.write_version(own.where(F.col("s_suppkey") % 3 == k), root, "p", "clipping", {"k": k})
+        for k in range(3)
+    ]
+    found = [
+        catalog.read_version(spark, root, "p", "clipping", n).select(F.lit(n).cast("long").alias("version"), "s_suppkey")
+        for n in numbers
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn(
+        "next", F.lit(catalog.next_version(spark, root, "p", "clipping"))
+    )
+
+
 @query("io4_stage_counts", sql("pixels scenes shapes inside", """g AS (SELECT scene_id, i, j FROM scenes JOIN range(0, 200) a(i) ON i * 4 + 8 <= width JOIN range(0, 200) b(j) ON j * 4 + 8 <= height),
 k AS (SELECT DISTINCT g.scene_id, i, j FROM g JOIN inside n ON n.scene_id = g.scene_id AND x >= i * 4 AND x < i * 4 + 8 AND y >= j * 4 AND y < j * 4 + 8)
 SELECT (SELECT count(*) FROM k)::BIGINT AS total_tiles, (SELECT count(*) FROM g)::BIGINT - (SELECT count(*) FROM k)::BIGINT AS skipped_tiles"""))
@@ -182,6 +204,25 @@ def io10(spark, sf):
     )
 
 
+@query("io12_prediction_outputs", sql("pixels", "pos AS (SELECT scene_id, y, x FROM pixels WHERE ref_mask = 1),\n" + _REGIONS + """, r AS (SELECT scene_id, count(DISTINCT k) AS n FROM g GROUP BY scene_id)
+SELECT p.scene_id, count(*)::BIGINT AS n_pixels, (sum(ref_mask * 255))::BIGINT AS total, sum(ref_mask * (y * 101 + x))::BIGINT AS weighted, coalesce(any_value(r.n), 0)::BIGINT AS n_polygons, (sum(ref_mask))::BIGINT AS quarters
+FROM pixels p LEFT JOIN r USING (scene_id) GROUP BY p.scene_id""", recursive=True))
+def io12(spark, sf):
+    """The raster and the polygons of the reference mask, written together and read again."""
+    path, scenes = shared_folder(spark), fx.scenes(spark, sf)
+    mask = fx.pixels(spark, sf).withColumn("mask", F.col("ref_mask"))
+    sinks.write_prediction(mask, jobs.predict_polygons(mask, scenes), path, "both", 16)
+    pixels = sinks.raster_pixels(spark.read.parquet(f"{path}/raster"), 16).groupBy("scene_id").agg(
+        F.count("*").alias("n_pixels"),
+        F.sum("value").alias("total"),
+        F.sum(F.when(F.col("value") > 0, F.col("y") * 101 + F.col("x")).otherwise(0)).alias("weighted"),
+    )
+    polygons = spark.read.parquet(f"{path}/vector").groupBy("scene_id").agg(
+        F.count("*").alias("n_polygons"), F.round(F.sum("area") * 4).cast("long").alias("quarters")
+    )
+    return pixels.join(polygons, "scene_id", "left").fillna(0, ["n_polygons", "quarters"])
+
+
 _RECT_AREA = "(CASE WHEN two THEN 2 ELSE 1 END * w * h - hole::INT)"
 
 
@@ -301,6 +342,21 @@ def v6_holes(spark, sf):
     return validate.invalid(fx.holed_polygons(spark, sf)).select("poly_id", "problem")
 
 
+@query("v7_v8_unfit_runs", """WITH r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 50 END AS version, o_orderkey % 101 AS train, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN -1 ELSE 100 - o_orderkey % 101 END AS valid, CASE o_orderkey % 5 WHEN 4 THEN 1 ELSE 0 END AS test FROM orders),
+p AS (SELECT run_id, CASE WHEN version IS NULL THEN 'no version' WHEN NOT coalesce(valid >= 0 AND train + valid + test = 100, FALSE) THEN 'percentages' WHEN version NOT IN (SELECT s_nationkey FROM supplier) THEN 'no tiles' END AS problem FROM r)
+SELECT run_id, problem FROM p WHERE problem IS NOT NULL""")
+def v7(spark, sf):
+    k = F.col("o_orderkey")
+    runs = table(spark, sf, "orders").select(
+        k.alias("run_id"),
+        F.when(k % 11 != 0, F.col("o_custkey") % 50).alias("version"),
+        (k % 101).alias("train"),
+        F.when(k % 13 == 0, F.lit(None)).when(k % 7 == 0, -1).otherwise(100 - k % 101).alias("valid"),
+        F.when(k % 5 == 4, 1).otherwise(0).alias("test"),
+    )
+    return validate.unfit_runs(runs, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("version")))
+
+
 @query(
     "v9_unfit_scenes",
     sql(
@@ -519,11 +575,11 @@ _TURNED = {
 }
 
 
-def _augment_sql() -> str:
+def _augment_sql(turned: dict[str, tuple[str, str]] = _TURNED) -> str:
     # Where a source pixel (y, x) goes; the inverse of the survey's formulas of what a target pixel reads.
     parts = [
         f"SELECT vec_id, tile_name, '{s}' AS suffix, ({a}) * 8 + ({b}) AS q, v, t FROM tilepx WHERE has_mask"
-        for s, (a, b) in _TURNED.items()
+        for s, (a, b) in turned.items()
     ]
     return "m AS (" + "\nUNION ALL ".join(
         parts
@@ -535,6 +591,11 @@ def a9(spark, sf):
     made = augment.augmented(
         prepare.paired(fx.images(spark, sf), fx.masks(spark, sf)), [*augment.METHODS, "no such method"]
     )
+    return made.select("tile_name", *_weighted_sums())
+
+
+def _weighted_sums():
+    """Sums of a tile's image and mask, weighted by place, as whole numbers."""
     image = F.aggregate(
         F.transform(F.col("bands")[0], lambda v, p: F.when(F.isnan(v), 0.0).otherwise(v) * (p + 1)),
         F.lit(0.0),
@@ -543,7 +604,17 @@ def a9(spark, sf):
     mask = F.aggregate(
         F.transform("mask", lambda v, p: v.cast("long") * (p + 1)), F.lit(0).cast("long"), lambda a, v: a + v
     )
-    return made.select("tile_name", F.round(image * 10000).cast("long").alias("image_sum"), mask.alias("mask_sum"))
+    return F.round(image * 10000).cast("long").alias("image_sum"), mask.alias("mask_sum")
+
+
+@query("a10_own_methods", sql("tilepx", _augment_sql({"anti": ("7 - x", "7 - y"), "original": ("y", "x")})))
+def a10(spark, sf):
+    """A registry with a method of its own: tiles mirrored at the other diagonal."""
+    own = {
+        "Anti": ("anti", lambda m: m[..., ::-1, ::-1].swapaxes(-2, -1)), "Original": augment.METHODS["Original"]
+    }
+    tiles = prepare.paired(fx.images(spark, sf), fx.masks(spark, sf))
+    return augment.augmented(tiles, ["Anti", "Flip H", "Original"], own).select("tile_name", *_weighted_sums())
 
 
 @query("a8_flipped_transforms", sql("scenes", _GRID + """, m(method) AS (VALUES ('Original'), ('Rotate 90'), ('Mirror'), ('Flip H'), ('Flip V'))
@@ -701,8 +772,6 @@ def l1_sums(spark, sf):
 )
 def io5(spark, sf):
     """Versions written one after another, found again with their infos in one read."""
-    from segjobs.functions.shared import shared_folder
-
     root, own = shared_folder(spark), table(spark, sf, "supplier").withColumn("v", F.col("s_suppkey") % 7)
     counts = {  # a row a version
         r["v"]: r for r in own.groupBy("v").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first")).collect()
@@ -954,11 +1023,6 @@ def s3_two_fifths(spark, sf):
     return _prediction(spark, sf, 0.4).select("scene_id", "y", "x", _milli("mean", "mean"), "mask")
 
 
-_REGIONS = """e AS (SELECT a.scene_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM pos a JOIN pos b ON a.scene_id = b.scene_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
-reach(scene_id, y, x, k) AS (SELECT scene_id, y, x, y * 1000 + x FROM pos UNION SELECT e.scene_id, y2, x2, min(k) FROM reach r JOIN e ON e.scene_id = r.scene_id AND e.y = r.y AND e.x = r.x GROUP BY ALL),
-g AS (SELECT scene_id, y, x, min(k) AS k FROM reach GROUP BY ALL)"""
-
-
 def _regions(spark, sf):
     """Regions of the pixels with the reference mask."""
     return polygonize.regions(fx.pixels(spark, sf).where("ref_mask = 1").select("scene_id", "y", "x"), 16)
@@ -1229,8 +1293,6 @@ SELECT subset, method, count(*)::BIGINT AS n, 1 AS clipping, 1 AS splitting, 1 A
 
 @query("j4_prepare_versions", sql("pixels scenes shapes inside", _prepared_sql()))
 def j4(spark, sf):
-    from segjobs.functions.shared import shared_folder
-
     root = shared_folder(spark)
     clipping, splitting, augmented = jobs.run_all(
         spark,
@@ -1249,6 +1311,59 @@ def j4(spark, sf):
     )
 
 
+def _clipped_version(spark, sf, root: str) -> int:
+    tiles = prepare.paired(fx.images(spark, sf), fx.masks(spark, sf)).drop("vec_id")
+    return catalog.write_version(tiles, root, "fields", "clipping", {"window_size": 8})
+
+
+_SPLIT_TILES = "o AS (SELECT tile_name, row_number() OVER (ORDER BY md5('42:' || tile_name), tile_name) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT tile_name FROM tilepx WHERE has_mask))"
+
+
+@query("j2_splitting_version", sql("tilepx", _SPLIT_TILES + f""", s AS (SELECT tile_name, {_subset(70, 25)} AS subset FROM o)
+SELECT subset, tile_name, sum(t)::BIGINT AS positive FROM tilepx JOIN s USING (tile_name) GROUP BY ALL"""))
+def j2(spark, sf):
+    """Tiles and masks of a clipping version, by subset, as the job wrote them."""
+    root = shared_folder(spark)
+    made = jobs.run_splitting(spark, root, "fields", _clipped_version(spark, sf, root), 70, 25, 5)
+    tiles = catalog.read_version(spark, root, "fields", "splitting", made)
+    return tiles.select(
+        "subset",
+        "tile_name",
+        F.aggregate(prepare.binary(F.col("mask")), F.lit(0).cast("long"), lambda a, v: a + v).alias("positive"),
+    )
+
+
+@query("j3_augmented_version", sql("tilepx", _SPLIT_TILES + f""", s AS (SELECT replace(tile_name, '.tif', '') AS stem, {_subset(70, 25)} AS subset FROM o),
+a AS (WITH {_augment_sql({k: _TURNED[k] for k in ("rot90", "flipv")})})
+SELECT subset, a.* FROM a JOIN s ON a.tile_name IN (stem || '_rot90', stem || '_flipv')"""))
+def j3(spark, sf):
+    """Every tile of every subset of a splitting version, turned, as the job wrote them."""
+    root = shared_folder(spark)
+    clipping = _clipped_version(spark, sf, root)
+    splitting = jobs.run_splitting(spark, root, "fields", clipping, 70, 25, 5)
+    made = jobs.run_augmentation(spark, root, "fields", splitting, ["Rotate 90", "Flip V"], clipping)
+    return catalog.read_version(spark, root, "fields", "augmented", made).select(
+        "subset", "tile_name", *_weighted_sums()
+    )
+
+
+@query("j5_evaluation_outputs", sql("tilepx", """s AS (SELECT *, bool_or(isnan(v)) OVER w AS odd, min(CASE WHEN isnan(v) THEN 1e9 ELSE v END) OVER w AS low, max(CASE WHEN isnan(v) THEN -1e9 ELSE v END) OVER w AS high FROM tilepx WHERE has_mask WINDOW w AS (PARTITION BY tile_name)),
+k AS (SELECT tile_name, t, p, (CASE WHEN odd OR high <= low THEN 0 ELSE (v - low) / (high - low) END * 4 - 2 > 0)::INT AS m FROM s),
+c AS (SELECT tile_name, sum(m * t)::BIGINT AS tp, sum(m * (1 - t))::BIGINT AS fp, sum((1 - m) * (1 - t))::BIGINT AS tn, sum((1 - m) * t)::BIGINT AS fn, sum(m * 255 * (p + 1))::BIGINT AS weighted FROM k GROUP BY tile_name),
+r AS (SELECT tile_name, weighted, """ + _RATES + """ FROM c)
+SELECT tile_name AS filename, weighted, printf('%.6f', iou) AS iou, printf('%.6f', f1) AS f1, printf('%.6f', precision) AS precision, printf('%.6f', recall) AS recall, printf('%.6f', pixel_accuracy) AS pixel_accuracy FROM r"""))
+def j5_outputs(spark, sf):
+    """Metric lines and masks from a model, as the job wrote them."""
+    path = shared_folder(spark)
+    images = fx.images(spark, sf).withColumns({"gt": F.lit(1), "crs": F.lit(fx.CRS)})
+    jobs.run_evaluation(images, fx.masks(spark, sf), lambda: lambda x: x[:, 0] * 4 - 2, path)
+    weighted = F.aggregate(
+        F.transform("mask", lambda v, p: v.cast("long") * (p + 1)), F.lit(0).cast("long"), lambda a, v: a + v
+    )
+    masks = spark.read.parquet(f"{path}/masks").select(F.col("tile_name").alias("filename"), weighted.alias("weighted"))
+    return spark.read.option("header", True).csv(f"{path}/metrics").join(masks, "filename")
+
+
 @query("j5_evaluate", sql("tilepx", _OVERALL))
 def j5(spark, sf):
     return jobs.evaluate(fx.images(spark, sf), fx.masks(spark, sf), fx.logits(spark, sf)).select(

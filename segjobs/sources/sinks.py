@@ -47,11 +47,26 @@ def raster(mask: DataFrame) -> DataFrame:
 
 
 def raster_blocks(mask: DataFrame, block: int) -> DataFrame:
-    """The raster in blocks: scene_id, block_y, block_x and values by place."""
+    """The raster in blocks: scene_id, block_y, block_x, places (row * block + column, ascending) and values there.
+
+    A missing pixel has no place and moves no other.
+    """
     keyed = raster(mask).withColumns({"block_y": F.floor(F.col("y") / block), "block_x": F.floor(F.col("x") / block)})
+    place = ((F.col("y") - F.col("block_y") * block) * block + F.col("x") - F.col("block_x") * block).cast("int")
     return keyed.groupBy("scene_id", "block_y", "block_x").agg(
-        F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("v")
-    ).select("scene_id", "block_y", "block_x", F.col("v.value").alias("values"))
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), "value"))).alias("v")
+    ).select("scene_id", "block_y", "block_x", F.col("v.place").alias("places"), F.col("v.value").alias("values"))
+
+
+def raster_pixels(blocks: DataFrame, block: int) -> DataFrame:
+    """The pixels of raster_blocks(): scene_id, y, x, value."""
+    rows = blocks.select("scene_id", "block_y", "block_x", F.explode(F.arrays_zip("places", "values")).alias("v"))
+    return rows.select(
+        "scene_id",
+        (F.col("block_y") * block + F.floor(F.col("v.places") / block)).alias("y"),
+        (F.col("block_x") * block + F.col("v.places") % block).alias("x"),
+        F.col("v.values").alias("value"),
+    )
 
 
 def tile_masks(predictions: DataFrame, tiles: DataFrame) -> DataFrame:

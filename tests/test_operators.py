@@ -1,4 +1,5 @@
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segjobs.functions.graph import components
 from segjobs.functions.ranking import ranked
+from segjobs.functions.shared import scratch, stored
 from segjobs.operators import augment, clean, clip, grid, jobs, losses, metrics, polygonize, score, split, validate
 from segjobs.sources import catalog, sinks
 from segjobs.sources import fixtures as fx
@@ -54,6 +56,47 @@ def test_ranks_are_exact(spark):
     assert got == sorted(got)
 
 
+def test_scratch_deletes_its_tables_but_those_kept(spark):
+    files = lambda df: [f.removeprefix("file:") for f in df.inputFiles()]
+    there = lambda df: all(Path(f.removeprefix("//")).exists() for f in df)
+    with scratch() as keep_outside:
+        with scratch() as keep:
+            gone, kept = stored(spark.range(3)), keep(stored(spark.range(4)))
+            gone_files, kept_files = files(gone), files(kept)
+            assert there(gone_files) and there(kept_files)
+        assert not there(gone_files) and kept.count() == 4
+        stays = keep_outside(stored(spark.range(5)))
+    assert not there(kept_files) and stays.count() == 5
+    with pytest.raises(ZeroDivisionError), scratch():
+        lost = files(stored(spark.range(6)))
+        raise ZeroDivisionError
+    assert lost and not there(lost)
+    before = stored(spark.range(7))
+    with scratch():
+        pass
+    assert before.count() == 7
+
+
+def test_planned_runs_with_nulls_ties_and_nothing(spark):
+    schema = "run_id int, version int, train int, valid int, test int, tile_name string"
+    rows = [(1, 1, 80, 10, 10, "x"), (1, 1, 80, 10, 10, "x"), (2, None, 80, 10, 10, "x"), (3, 1, 80, None, 20, "x"),
+            (4, 1, 110, -10, 0, "x"), (5, 1, 80, 10, 9, "x"), (6, 9, 100, 0, 0, None)]
+    runs = spark.createDataFrame(rows, schema)
+    tiles = spark.createDataFrame([("a", 1), ("b", 1), ("c", None)], "tile_name string, version int")
+    assert sorted(map(tuple, validate.unfit_runs(runs, tiles).collect())) == [
+        (2, "no version"), (3, "percentages"), (4, "percentages"), (5, "percentages"), (6, "no tiles")
+    ]
+    assert validate.unfit_runs(runs.limit(0), tiles).isEmpty()
+    assert validate.unfit_runs(runs, tiles.limit(0)).where("problem = 'no tiles'").count() == 3
+
+
+def test_raster_with_missing_pixels(spark):
+    rows = [(1, y, x, int((y + x) % 3 == 0)) for y in range(5) for x in range(7) if (y, x) not in ((0, 0), (1, 4))]
+    mask = spark.createDataFrame(rows, "scene_id int, y int, x int, mask int")
+    back = sinks.raster_pixels(sinks.raster_blocks(mask, 4), 4).collect()
+    assert sorted(map(tuple, back)) == [(s, y, x, 255 * m) for s, y, x, m in rows]
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, k) for k in range(101, 160)]
