@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,9 +115,10 @@ def run_clipping(
 def run_splitting(
     spark: SparkSession, root: str, prefix: str, clipping: int, train: int = 80, valid: int = 10, test: int = 10
 ) -> int:
-    """A new splitting version of a clipping version. Only names are shuffled by rank; the tiles join their subsets."""
+    """A new splitting version of a clipping version. Only names are shuffled by rank, each once; the tiles join their
+    subsets, so that rows of one name stay together."""
     tiles = catalog.read_version(spark, root, prefix, "clipping", clipping)
-    names = stored(split.split(tiles.select("tile_name"), train, valid, test).select("tile_name", "subset"))
+    names = stored(split.split(tiles.select("tile_name").distinct(), train, valid, test).select("tile_name", "subset"))
     counts = {f"n_{r['subset']}": r["n"] for r in split.subset_counts(names).collect()}
     return catalog.write_version(
         tiles.join(names, "tile_name"),
@@ -180,35 +181,48 @@ def run_all(
     return clipping, splitting, run_augmentation(spark, root, prefix, splitting, methods, clipping)
 
 
-def evaluate(images: DataFrame, masks: DataFrame, logits: DataFrame) -> DataFrame:
-    """tp, fp, tn, fn, n_tiles and rates by tile and, with a null tile, overall."""
-    tiles = prepare.paired(images, masks).join(logits.select("tile_name", "z"), "tile_name")
-    counts = metrics.tile_confusion(tiles).select(F.lit("test").alias("split"), "tile_name", "tp", "fp", "tn", "fn")
-    return metrics.tile_and_overall(counts)
+def evaluate(
+    images: DataFrame, masks: DataFrame, logits: DataFrame, key: Sequence[str] = ("tile_name",)
+) -> DataFrame:
+    """tp, fp, tn, fn, n_tiles and rates by tile and, with a null tile, overall. key: the columns that tell rows apart;
+    rows of one name are one tile."""
+    tiles = prepare.paired(images, masks, key).join(logits.select(*key, "z"), list(key))
+    return metrics.tile_and_overall(_test_counts(tiles))
+
+
+def _test_counts(tiles: DataFrame) -> DataFrame:
+    counts = metrics.tile_confusion(tiles).withColumn("split", F.lit("test"))
+    return metrics.summed(counts, "split", "tile_name")
 
 
 def run_evaluation(
-    images: DataFrame, masks: DataFrame, make_scorer: Callable[[], score.Scorer], path: str, n_samples: int = 8
+    images: DataFrame,
+    masks: DataFrame,
+    make_scorer: Callable[[], score.Scorer],
+    path: str,
+    n_samples: int = 8,
+    key: Sequence[str] = ("tile_name",),
 ) -> DataFrame:
     """evaluate() with logits from a model, on bands scaled by tile, written below path: metrics by tile as CSV
     (metrics), predicted masks (masks), and evenly spaced tiles with image, truth, prediction and IoU (samples).
 
-    images: tile_name, size, bands, gt, crs; masks: tile_name, mask. Tiles are scored once, and written before use.
+    images: tile_name, size, bands, gt, crs; masks: tile_name, mask; both with the columns of key, which tell rows
+    apart. Rows of one name are one tile: they are scaled and counted together. Tiles are scored once, beside their
+    mask and own bands, and written before use.
     """
     with scratch() as keep:
-        tiles = prepare.paired(images, masks)
-        chances = score.scored(prepare.normalized(tiles.select("tile_name", "size", "bands")), make_scorer)
+        tiles = prepare.paired(images, masks, key).select(*key, "size", "bands", "mask")
+        whole = tiles.withColumn("own", F.col("bands"))
+        chances = score.scored(prepare.normalized(whole, "tile_name"), make_scorer)
         logit = F.transform("prob", lambda p: F.log(p / (1 - p)))
-        scored = stored(tiles.join(chances.select("tile_name", logit.alias("z")), "tile_name"))
-        counts = stored(
-            metrics.tile_confusion(scored).select(F.lit("test").alias("split"), "tile_name", "tp", "fp", "tn", "fn")
-        )
-        out = stored(metrics.tile_and_overall(counts))
+        scored = stored(chances.select(*key, F.col("own").alias("bands"), "mask", logit.alias("z")))
+        out = stored(metrics.tile_and_overall(_test_counts(scored)))
         sinks.write_metrics(out.where("tile_name IS NOT NULL"), f"{path}/metrics")
-        predicted = scored.select("tile_name", F.transform("z", metrics.predicted).alias("predicted"))
-        sinks.tile_masks(predicted, images).write.parquet(f"{path}/masks")
-        chosen = metrics.evenly_spaced(scored.select("tile_name"), n_samples).select("tile_name")
-        samples = scored.select("tile_name", "bands", "mask").join(predicted, "tile_name").join(
+        predicted = F.transform("z", metrics.predicted).alias("predicted")
+        sinks.tile_masks(scored.select(*key, predicted), images, key).write.parquet(f"{path}/masks")
+        names = out.where("tile_name IS NOT NULL").select("tile_name")
+        chosen = metrics.evenly_spaced(names, n_samples).select("tile_name")
+        samples = scored.select("tile_name", "bands", "mask", predicted).join(
             out.select("tile_name", "iou"), "tile_name"
         )
         samples.join(chosen, "tile_name", "left_semi").write.parquet(f"{path}/samples")
@@ -283,11 +297,12 @@ def validation_epoch(
     run_id: int = 0,
     epoch: int = 0,
     train_loss: float | None = None,
+    key: Sequence[str] = ("tile_name",),
 ) -> DataFrame:
     """val_loss, val_iou, val_f1 and n_batches: plain means over batches of tiles by name. With a log_path they are
-    appended to the epoch log there."""
-    tiles = prepare.paired(images, masks).join(logits.select("tile_name", "z"), "tile_name")
-    sums = stored(split.batches(losses.tile_sums(tiles), batch_size))  # sums, not arrays, are ranked
+    appended to the epoch log there. key: the columns that tell rows apart; rows of one name are one tile."""
+    tiles = prepare.paired(images, masks, key).join(logits.select(*key, "z"), list(key))
+    sums = stored(split.batches(losses.name_sums(losses.tile_sums(tiles)), batch_size))  # sums, not arrays, are ranked
     loss = losses.epoch_loss(losses.summed_losses(sums, "batch")).select(F.col("loss").alias("val_loss"))
     out = loss.crossJoin(metrics.batch_means(sums))  # one row and one row
     if log_path is not None:

@@ -83,6 +83,11 @@ def tile_sums(tiles: DataFrame) -> DataFrame:
     return tiles.select("tile_name", "z", "mask").mapInArrow(rows, schema)
 
 
+def name_sums(sums: DataFrame) -> DataFrame:
+    """tile_sums() by name: rows that share one are one tile."""
+    return sums.groupBy("tile_name").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def summed_losses(sums: DataFrame, *keys: str) -> DataFrame:
     """batch_losses() from tile_sums() with keys."""
     total = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "ce", "pt", "p", "t")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +55,9 @@ def split(tiles: DataFrame, train: int = 80, valid: int = 10, test: int = 10, se
     return numbered(parts, *order, total="_all").withColumn("subset", subset).drop("shuffle_key", "_all")
 
 
-def with_masks(split_tiles: DataFrame, masks: DataFrame) -> DataFrame:
-    """Split tiles with their masks, null where there is none."""
-    return split_tiles.join(masks, "tile_name", "left")
+def with_masks(split_tiles: DataFrame, masks: DataFrame, key: Sequence[str] = ("tile_name",)) -> DataFrame:
+    """Split tiles with their masks (by the columns that tell rows apart), null where there is none."""
+    return split_tiles.join(masks, list(key), "left")
 
 
 def subset_counts(split_tiles: DataFrame) -> DataFrame:

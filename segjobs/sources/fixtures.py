@@ -139,6 +139,10 @@ def holed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What tells tiles apart: names have five digits of vec_id, so that from 100,000 vectors on several share one.
+TILE_KEY = ("vec_id", "tile_name")
+
+
 def _tile_name() -> Column:
     return F.concat(F.lit("tile_"), F.lpad(F.col("vec_id").cast("string"), 5, "0"), F.lit(".tif"))
 
@@ -154,17 +158,20 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tile_name, mask of 0 and 255; missing for one tile in ten, empty for one in seventeen."""
+def masks(spark: SparkSession, sf_dir: str, by_name: bool = False) -> DataFrame:
+    """tile_name, mask of 0 and 255; missing for one tile in ten, empty for one in seventeen. by_name: missing only
+    where no row of that name has one."""
     value = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda p: F.when(
             (F.col("vec_id") % 17 != 0) & ((p + F.col("label") + F.col("vec_id")) % 3 == 0), 255
         ).otherwise(0).cast("short"),
     )
-    return table(spark, sf_dir, "embeddings").where("vec_id % 10 <> 9").select(
-        "vec_id", _tile_name().alias("tile_name"), value.alias("mask")
-    )
+    own = table(spark, sf_dir, "embeddings")
+    every = own.select("vec_id", _tile_name().alias("tile_name"), value.alias("mask"))
+    if by_name:
+        return every.join(every.where("vec_id % 10 <> 9").select("tile_name"), "tile_name", "left_semi")
+    return every.where("vec_id % 10 <> 9")
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:

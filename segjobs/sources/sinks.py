@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +71,10 @@ def raster_pixels(blocks: DataFrame, block: int) -> DataFrame:
     )
 
 
-def tile_masks(predictions: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Predicted masks (0 and 255) with the geotransform and CRS of the image tile of the same name."""
+def tile_masks(predictions: DataFrame, tiles: DataFrame, key: Sequence[str] = ("tile_name",)) -> DataFrame:
+    """Predicted masks (0 and 255) with the geotransform and CRS of the image tile of the same name, or key."""
     values = F.transform("predicted", lambda v: F.when(v == 1, 255).otherwise(0).cast("short"))
-    return predictions.join(tiles.select("tile_name", "gt", "crs"), "tile_name").select(
+    return predictions.join(tiles.select(*key, "gt", "crs"), list(key)).select(
         "tile_name", values.alias("mask"), "gt", "crs"
     )
 
