@@ -111,8 +111,11 @@ def distinct_points(points: np.ndarray) -> np.ndarray:
 
 
 def noded(e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that meet in their ends alone, with the sums of their ways. A vertex that an edge is led through never
-    leaves it again, and there are finitely many grid points near an edge, so this ends."""
+    """Edges that meet in their ends alone, with the sums of their ways.
+
+    An edge is led through vertices in its box that go on in x and in y alike; what would lead it back waits for the
+    next pass. So its parts' widths and heights add up to its own, the sum of their squares falls, and this ends.
+    """
     e, w = normalized(e, w)
     while len(e):
         i, j, at = crossings(e)
@@ -125,9 +128,12 @@ def noded(e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not inner.any():
             return e, w
         owner, cut, a = owner[inner], cut[inner], a[inner]
-        along = (cut[:, 0] - a[:, 0]) * (a[:, 2] - a[:, 0]) + (cut[:, 1] - a[:, 1]) * (a[:, 3] - a[:, 1])
-        order = np.lexsort((cut[:, 1], cut[:, 0], along, owner))
-        owner, cut = owner[order], cut[order]
+        way = np.abs(cut[:, 1] - a[:, 1])
+        order = np.lexsort((way, cut[:, 0], owner))
+        owner, cut, way = owner[order], cut[order], way[order]
+        reached = owner * (1 << (BITS + 2)) + way
+        onward = reached == np.maximum.accumulate(reached)
+        owner, cut = owner[onward], cut[onward]
         whole = np.ones(len(e), bool)
         whole[owner] = False
         first = np.concatenate([[True], owner[1:] != owner[:-1]])

@@ -307,3 +307,11 @@ def test_simplify_and_smooth_keep_shapes_of_tables(spark):
     assert smooth[1] is None and smooth[2] == [] and smooth[3] == [[]]
     assert [[len(r) for r in rings] for rings in smooth[4]] == [[17, 17], [17]]
     assert clean.smooth(table, 2).where(F.col("points") == "d").count() == 1
+
+
+def test_edges_that_cross_within_one_square_settle():
+    """The diagonals of a unit square lie half a step from each other's ends, and once took turns for ever."""
+    e = np.array([[0, 0, 1, 1], [0, 1, 1, 0]], np.int64)
+    made, _ = overlay.noded(e, np.ones(2, np.int64))
+    assert not len(overlay.crossings(made)[0])
+    assert {tuple(p) for p in made.reshape(-1, 2).tolist()} <= {(0, 0), (0, 1), (1, 0), (1, 1)}
