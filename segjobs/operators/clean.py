@@ -410,6 +410,12 @@ def filter_area(polygons: DataFrame, min_area: float | None = None, max_area: fl
     return out if max_area is None else out.where(area(F.col("parts")) <= max_area)
 
 
+def spread(polygons: DataFrame) -> DataFrame:
+    """polygons over all tasks: rings are slow to work on and small to store, so that a file of a few megabytes, which
+    is one task's, can hold hours of work."""
+    return polygons.repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _changed(polygons: DataFrame, change) -> DataFrame:
     """polygons with parts made anew from flat arrays: change(points, ring of each, polygon of each ring) gives new
     points and the ring of each, ascending; a ring keeps its place, and is gone if it has no points."""
@@ -443,11 +449,12 @@ def simplify(polygons: DataFrame, tolerance: float) -> DataFrame:
         keep = simplified_together(points, ring, polygon, tolerance)
         return points[keep], ring[keep]
 
-    return usable(_changed(polygons, change))
+    return usable(_changed(spread(polygons), change))
 
 
 def smooth(polygons: DataFrame, rounds: int) -> DataFrame:
-    """Chaikin's corner cutting on every ring; a ring of under four points stays."""
+    """Chaikin's corner cutting on every ring; a ring of under four points stays. Polygons are worked on where they lie;
+    spread() them before."""
 
     def change(points, ring, polygon):
         whole = np.split(points, np.searchsorted(ring, np.arange(1, len(polygon)))) if len(polygon) else []
@@ -489,7 +496,7 @@ def cleaned(polygons: DataFrame, steps: Steps) -> DataFrame:
     if steps.tolerance is not None:
         out = simplify(out, steps.tolerance)
     if steps.smooth_rounds is not None:
-        out = smooth(out, steps.smooth_rounds)
+        out = smooth(out if steps.tolerance is not None else spread(out), steps.smooth_rounds)
     return out.withColumn("area", area(F.col("parts")))
 
 

@@ -315,3 +315,13 @@ def test_edges_that_cross_within_one_square_settle():
     made, _ = overlay.noded(e, np.ones(2, np.int64))
     assert not len(overlay.crossings(made)[0])
     assert {tuple(p) for p in made.reshape(-1, 2).tolist()} <= {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
+def test_simplifying_is_shared_by_tasks(spark):
+    """A table of one file, which one task reads, is simplified by several."""
+    ring = [[(float(x), float(y)) for x, y in ((0, 0), (1, 0), (2, 0), (2, 2), (0, 2), (0, 0))]]
+    rows = spark.createDataFrame([(k, [ring]) for k in range(64)], f"poly_id long, parts {clean.PARTS}").coalesce(1)
+    made = clean.simplify(rows, 0.25).select(F.spark_partition_id().alias("task"), F.size(F.col("parts")[0][0]).alias("n"))
+    found = made.collect()
+    assert len({r["task"] for r in found}) > 1
+    assert [r["n"] for r in found] == [5] * 64
