@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,6 +137,16 @@ def _grid_edges(rings: pa.Array, grid: np.ndarray, origin: np.ndarray) -> tuple[
     return e, row[ring]
 
 
+#: So many rows are worked on at a time: what Python holds does not grow with an Arrow batch.
+ROWS_AT_ONCE = 256
+
+
+def _some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)
+
+
 def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
 
@@ -205,7 +216,7 @@ def _cut(parts: DataFrame) -> DataFrame:
     """Parts (scene_id, cluster, cell, rings, grid, ox, oy) cut at the borders of their cluster's cells."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in _some(batches):
             scene, cluster, cell, grid, ox, oy = _numbers(batch, "scene_id", "cluster", "cell", "grid", "ox", "oy")
             e, row = _grid_edges(batch.column(batch.schema.get_field_index("rings")), grid, np.stack([ox, oy], axis=1))
             found = [(k, *piece) for k in np.unique(row).tolist() for piece in in_cells(e[row == k], int(cell[k]))]
@@ -229,7 +240,7 @@ def _united(pieces: DataFrame, *keys: str) -> DataFrame:
     )
 
     def rows(batches):
-        for batch in batches:
+        for batch in _some(batches):
             each = batch.column(batch.schema.get_field_index("each"))
             group = np.repeat(np.arange(len(each)), nested.sizes(each))
             lists = each.flatten()
@@ -253,7 +264,7 @@ def _edge_rows(cells: DataFrame) -> DataFrame:
     """The edges of cells, with axis, at and cell_along of the border on which they lie; axis is null inside a cell."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in _some(batches):
             scene, cluster, cell, cx, cy = _numbers(batch, "scene_id", "cluster", "cell", "cx", "cy")
             lists = batch.column(batch.schema.get_field_index("edges"))
             e = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
