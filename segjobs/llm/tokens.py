@@ -94,12 +94,13 @@ class UnitEncoder:
     """encode(texts) gives the ids of all texts, one after another, and the number of each text's ids.
 
     path: a tokenizers JSON file. spaces_count: a word's ids depend on the space before it (byte-level
-    vocabularies); otherwise white space only separates. At most about ``keep`` units are remembered.
+    vocabularies); otherwise white space only separates. At most about ``keep`` units are remembered; when there are
+    more, those met again since the last time stay, and the others are forgotten.
     control_as_text: added tokens' strings in texts are ordinary text; the library's default, and ours, is that they
     are those tokens.
     """
 
-    def __init__(self, path: str, spaces_count: bool, keep: int = 200_000, control_as_text: bool = False):
+    def __init__(self, path: str, spaces_count: bool, keep: int = 1_000_000, control_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -122,6 +123,18 @@ class UnitEncoder:
         self.keys, self.values = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64)
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.ends, self.n = np.zeros(1 << 16, np.int64), 0  # ends[k]: end of unit k's ids
+        self.again = np.zeros(1 << 16, bool)  # again[k]: unit k was met in a later call, too
+
+    def _thin(self) -> None:
+        slots = np.flatnonzero(self.keys)
+        slots = slots[self.again[self.values[slots]]]
+        hashes, numbers = self.keys[slots], self.values[slots]
+        begin = np.where(numbers > 0, self.ends[numbers - 1], 0)
+        size = self.ends[numbers] - begin
+        ids = self.ids[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        self._forget()
+        if 2 * len(hashes) <= self.keep:
+            self._grown(hashes, ids, size)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each unit, -1 for a new one."""
@@ -156,7 +169,11 @@ class UnitEncoder:
             self.keys, self.values = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64)
             self._put(old[old != 0], numbers[old != 0])
         self._put(hashes, np.arange(self.n, self.n + len(hashes)))
-        for name, used, new in (("ids", self.n_ids, ids), ("ends", self.n, np.cumsum(sizes) + self.n_ids)):
+        for name, used, new in (
+            ("ids", self.n_ids, ids),
+            ("ends", self.n, np.cumsum(sizes) + self.n_ids),
+            ("again", self.n, np.zeros(len(hashes), bool)),
+        ):
             kept = getattr(self, name)
             if used + len(new) > len(kept):
                 kept = np.concatenate([kept[:used], np.zeros(used + 2 * len(new), kept.dtype)])
@@ -215,7 +232,7 @@ class UnitEncoder:
 
     def _by_units(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.n > self.keep:
-            self._forget()
+            self._thin()
         length = np.array([len(c) for c in coded], np.int64)
         raw = b"".join(coded)
         if not raw:
@@ -226,6 +243,7 @@ class UnitEncoder:
         end = np.append(begin[1:], len(data))
         hashes = segment_hashes(data, begin, end)
         number = self._find(hashes)
+        self.again[number[number >= 0]] = True
         new = np.flatnonzero(number < 0)
         if len(new):
             distinct, first = np.unique(hashes[new], return_index=True)

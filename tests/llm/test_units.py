@@ -84,6 +84,23 @@ def test_control_strings_as_text():
         assert flat[: size[0]].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("file, spaces", FILES)
+def test_units_met_again_are_not_learned_again(file, spaces):
+    path = public_tokenizers.path(file)
+    library, mine, learned = Tokenizer.from_file(path), UnitEncoder(path, spaces, keep=100), []
+    learn = mine._learn
+    mine._learn = lambda units, hashes: (learned.extend(units), learn(units, hashes))
+    letters = "abcdefghij"
+    for k in range(40):
+        new = " ".join(f"w{letters[k % 10]}{letters[k // 10]}{x}q{y}" for x in letters[:4] for y in letters[:4])
+        text = f"some words that come often. {new} and often, come what may"
+        flat, _ = mine.encode([text])
+        assert flat.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert mine.n < 150
+    assert sum(u.strip() == "often" for u in learned) == 1
+    assert len(learned) < 40 * 16 + 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aB é'.,!\n\t 1|#　 \x1cß—“s") | st.characters(codec="utf-8")), max_size=4))
 def test_encoding_equals_the_library(texts):
