@@ -39,7 +39,7 @@ def tile_sums(tiles: DataFrame) -> DataFrame:
     """tile_name and, over its pixels, their number, the sums of cross-entropies, of chance times truth, of chances and
     of truths, and tp, fp, tn, fn: whole arrays (z and mask) at a time, a row a tile.
 
-    A null array counts as empty; z and mask of different lengths are an error.
+    A null array counts as empty; z and mask of different lengths are an error. A null logit counts for its truth only.
     """
 
     def rows(batches):
@@ -51,20 +51,22 @@ def tile_sums(tiles: DataFrame) -> DataFrame:
             if (size != other).any():
                 raise ValueError("a tile's logits and mask differ in length")
             tile = np.repeat(np.arange(len(size)), size)
-            v = z.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = z.flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            v = np.where(there, flat.to_numpy(zero_copy_only=False), 0).astype(np.float64)
             t = (mask.flatten().to_numpy(zero_copy_only=False) > 0).astype(np.float64)
             p = 1 / (1 + np.exp(-v))
-            on = p > 0.5
+            on, off = (v > 0) | np.isnan(v), there & (v <= 0)  # a NaN is over 0, as in Spark
             each = (
-                np.ones(len(v)),
-                np.maximum(v, 0) - v * t + np.log1p(np.exp(-np.abs(v))),
-                p * t,
-                p,
+                there,
+                there * (np.maximum(v, 0) - v * t + np.log1p(np.exp(-np.abs(v)))),
+                there * p * t,
+                there * p,
                 t,
                 on & (t > 0),
                 on & (t == 0),
-                ~on & (t == 0),
-                ~on & (t > 0),
+                off & (t == 0),
+                off & (t > 0),
             )
             total = [np.bincount(tile, x, len(size)) for x in each]
             types = [pa.int64(), *[pa.float64()] * 4, *[pa.int64()] * 4]

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segjobs.functions.ranking import ranked
-from segjobs.operators.losses import sigmoid
 
 EPS = 1e-7
 METRICS = ("iou", "f1", "precision", "recall", "pixel_accuracy")
 
 
 def predicted(z: Column) -> Column:
-    """Positive if the chance is over a half, strictly."""
-    return (sigmoid(z) > 0.5).cast("int")
+    """Positive if the chance is over a half, strictly: if the logit is over 0. The chance itself is rounded to a half
+    where the logit is tiny."""
+    return (z > 0).cast("int")
 
 
 def confusion(pixels: DataFrame, *keys: str) -> DataFrame:

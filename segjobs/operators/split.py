@@ -41,10 +41,19 @@ def shuffled_as_list(spark: SparkSession, tiles: DataFrame, seed: int = SEED) ->
     return ranked(tiles, "tile_name", name="by_name").join(places, "by_name").drop("by_name")
 
 
-def split(tiles: DataFrame, train: int = 80, valid: int = 10, test: int = 10, seed: int | str = SEED) -> DataFrame:
-    """tiles with subset; exact counts, halves rounded to even, and the rest to test. tiles are read once."""
+def split(
+    tiles: DataFrame,
+    train: int = 80,
+    valid: int = 10,
+    test: int = 10,
+    seed: int | str = SEED,
+    key: Sequence[str] = ("tile_name",),
+) -> DataFrame:
+    """tiles with subset; exact counts, halves rounded to even, and the rest to test. tiles are read once. key: the
+    columns that tell rows apart; rows of one name are in order of the others, so that a subset ends at the same row in
+    every run."""
     check_percentages(train, valid, test)
-    order = "shuffle_key", "tile_name"
+    order = "shuffle_key", "tile_name", *[c for c in key if c != "tile_name"]
     parts = ranges(tiles.withColumn("shuffle_key", shuffle_key(seed)), *order)
     if parts.isEmpty():
         raise ValueError("there are no tiles to split")

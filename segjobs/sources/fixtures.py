@@ -147,13 +147,18 @@ def _tile_name() -> Column:
     return F.concat(F.lit("tile_"), F.lpad(F.col("vec_id").cast("string"), 5, "0"), F.lit(".tif"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with values; a null or empty one is no tile."""
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0)
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 tiles of one band: tile_name, size, bands. Some are flat, some have one NaN."""
     band = F.when(F.col("vec_id") % 41 == 0, F.array_repeat(F.lit(1.5), 64)).when(
         F.col("vec_id") % 43 == 0,
         F.concat(F.array(F.lit(float("nan"))), F.slice(F.col("embedding").cast("array<double>"), 2, 63)),
     ).otherwise(F.col("embedding").cast("array<double>"))
-    return table(spark, sf_dir, "embeddings").select(
+    return _vectors(spark, sf_dir).select(
         "vec_id", _tile_name().alias("tile_name"), F.lit(8).alias("size"), F.array(band).alias("bands")
     )
 
@@ -162,12 +167,12 @@ def masks(spark: SparkSession, sf_dir: str, by_name: bool = False) -> DataFrame:
     """tile_name, mask of 0 and 255; missing for one tile in ten, empty for one in seventeen. by_name: missing only
     where no row of that name has one."""
     value = F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda p: F.when(
+        "embedding",
+        lambda _, p: F.when(
             (F.col("vec_id") % 17 != 0) & ((p + F.col("label") + F.col("vec_id")) % 3 == 0), 255
         ).otherwise(0).cast("short"),
     )
-    own = table(spark, sf_dir, "embeddings")
+    own = _vectors(spark, sf_dir)
     every = own.select("vec_id", _tile_name().alias("tile_name"), value.alias("mask"))
     if by_name:
         return every.join(every.where("vec_id % 10 <> 9").select("tile_name"), "tile_name", "left_semi")
@@ -179,7 +184,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.when(F.col("vec_id") % 34 == 0, F.array_repeat(F.lit(-1.0), 64)).otherwise(
         F.transform(F.col("embedding").cast("array<double>"), lambda v: 4 * v)
     )
-    return table(spark, sf_dir, "embeddings").select("vec_id", _tile_name().alias("tile_name"), z.alias("z"))
+    return _vectors(spark, sf_dir).select("vec_id", _tile_name().alias("tile_name"), z.alias("z"))
 
 
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
