@@ -58,8 +58,9 @@ def placed(lists: pa.Array, size: int, nodata: float | None = None) -> tuple[np.
 
 
 def parts_of(batch: pa.RecordBatch, pixels: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about 16 million pixels, so that memory does not grow with rows of a batch."""
-    few = max(1, (16 << 20) // max(pixels, 1))
+    """A batch in slices of about a million pixels, so that memory does not grow with rows of a batch: a slice is held
+    as numbers, as what is missing, and as the lists made of both."""
+    few = max(1, (1 << 20) // max(pixels, 1))
     for i in range(0, batch.num_rows, few):
         yield batch.slice(i, few)
 

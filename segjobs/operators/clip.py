@@ -241,7 +241,7 @@ def tile_masks(runs: DataFrame, scenes: DataFrame, window: int, stride: int, bur
         F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end")
     )
     size = window * (window + 1)
-    few = max(1, (8 << 20) // size)  # tiles filled at a time, by memory
+    few = max(1, (1 << 20) // size)  # tiles filled at a time, by memory
 
     def rows(batches):
         for batch in batches:

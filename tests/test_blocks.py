@@ -1,6 +1,7 @@
 """Scenes in blocks: the same windows as from single pixels, with missing pixels, edges and pruned reads."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,11 @@ def test_shuffle_of_blocks_is_near_the_pixels(spark, scene):
     made = blocks.blocks_of(pixels, scenes, side, ["b1"])
     edges = blocks._edges(made, side, 4).select(F.sum(F.size(F.col("bands")[0]))).first()[0]
     assert edges < sum(w * h for w, h in sizes.values()) / 2
+
+
+def test_slices_of_a_batch_are_of_a_bounded_number_of_pixels():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000))], ["k"])
+    parts = list(blocks.parts_of(batch, 32 * 32 * 3))
+    assert sum(p.num_rows for p in parts) == 3000
+    assert max(p.num_rows for p in parts) * 32 * 32 * 3 <= 1 << 20
+    assert [p.num_rows for p in blocks.parts_of(batch.slice(0, 2), 4 << 20)] == [1, 1]  # a row at least
