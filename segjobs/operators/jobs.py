@@ -280,12 +280,14 @@ def run_prediction(
 
 def postprocess(polygons: DataFrame, steps: Steps, path: str | None = None) -> tuple[DataFrame, int, int]:
     """The cleaned polygons, written as multipolygons if there is a path, and the counts of usable ones before and
-    after."""
+    after. The polygons given are made once, whatever it takes to make them."""
     with scratch() as keep:
-        made = keep(stored(cleaned(polygons, steps)))
+        given = stored(usable(polygons))
+        made = keep(stored(cleaned(given, steps)))
+        before = given.count()
     if path is not None:
         sinks.multipolygons(made.select("scene_id", "parts")).write.parquet(path)
-    return made, usable(polygons).count(), made.count()
+    return made, before, made.count()
 
 
 def validation_epoch(
